@@ -27,6 +27,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str,
     placed = counted.join(ends, keys).withColumn(
         "_b", F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width), F.lit(buckets - 1)))
         .otherwise(F.lit(0)).cast("int"))
+    # spread a hot key over its buckets before ordering inside them
+    placed = placed.repartition(*keys, "_b")
     per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("_m").alias("_bm"))
     starts = per_bucket.select(*keys, "_b", F.coalesce(F.sum("_bm").over(
         Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),

@@ -55,7 +55,7 @@ def speed_histogram(track: DataFrame, step: int = 10, bins: int = 24, cap: float
     """Counts of km/h classes 0..240 per match, empty classes included."""
     kmh = F.col("speed") * 3.6
     d = track.filter(F.col("speed") < cap).select("match_id", bin_of(kmh, 0, step * bins, bins).alias("bin"))
-    full = d.select("match_id").distinct().select("match_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"))
+    full = d.select("match_id").distinct().select("match_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
     return full.join(d.groupBy("match_id", "bin").agg(F.count(F.lit(1)).alias("n")), ["match_id", "bin"], "left").na.fill({"n": 0}) \
         .withColumn("from_kmh", F.col("bin") * step)
 

@@ -17,7 +17,6 @@ from rallyframe.operators.quantiles import percentiles, summarise
 from rallyframe.operators.scan import Agg, join_in_span, scan
 
 KEY = ["match_id"]
-ONE = F.lit(1)
 
 
 def _share(part: str, *group: str) -> Column:
@@ -32,33 +31,33 @@ def shot_type(col: str = "shot_type") -> Column:
 
 def shot_mix(shots: DataFrame) -> DataFrame:
     """Shots per player and type with the share of the player's shots."""
-    g = shots.groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(ONE).alias("n"))
+    g = shots.groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("pct", _share("n", "match_id", "owner"))
 
 
 def direction_mix(shots: DataFrame) -> DataFrame:
     """Shots per player, type and direction with the share inside the type."""
     g = shots.groupBy("match_id", "owner", shot_type().alias("shot_type"),
-                      F.coalesce("direction", F.lit("unknown")).alias("direction")).agg(F.count(ONE).alias("n"))
+                      F.coalesce("direction", F.lit("unknown")).alias("direction")).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("pct", _share("n", "match_id", "owner", "shot_type"))
 
 
 def average_speed(shots: DataFrame) -> DataFrame:
     fast = F.when(F.col("speed_m_s") > 0, F.col("speed_m_s"))
-    return shots.groupBy("match_id", "owner").agg(F.count(ONE).alias("total_shots"),
+    return shots.groupBy("match_id", "owner").agg(F.count(F.lit(1)).alias("total_shots"),
                                                   F.coalesce(F.avg(fast), F.lit(0.0)).alias("avg_speed"))
 
 
 def match_summary_rollup(shots: DataFrame) -> DataFrame:
     """Shot counts per player and type with subtotals per player, match and overall."""
-    return shots.withColumn("shot_type", shot_type()).rollup("match_id", "owner", "shot_type").agg(F.count(ONE).alias("n"))
+    return shots.withColumn("shot_type", shot_type()).rollup("match_id", "owner", "shot_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pattern_top(shots: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` most frequent type/direction patterns per player, first seen first on ties."""
     g = shots.groupBy("match_id", "owner", shot_type().alias("shot_type"),
                       F.coalesce("direction", F.lit("unknown")).alias("direction")).agg(
-        F.count(ONE).alias("n"), F.min("frame_idx").alias("_seen"))
+        F.count(F.lit(1)).alias("n"), F.min("frame_idx").alias("_seen"))
     g = g.withColumn("pct", _share("n", "match_id", "owner"))
     w = Window.partitionBy("match_id", "owner").orderBy(F.desc("n"), "_seen")
     return (g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -73,7 +72,7 @@ def last_shots(shots: DataFrame, points: DataFrame) -> DataFrame:
     j = rows_in_points(shots.select(*cols), points)
     g = j.groupBy("match_id", "point_idx").agg(
         F.max_by(F.struct("owner", "shot_type", "direction", "speed_m_s", "frame_idx"), "frame_idx").alias("s"),
-        F.count(ONE).alias("shots_in_point"))
+        F.count(F.lit(1)).alias("shots_in_point"))
     return g.select("match_id", "point_idx", "shots_in_point", F.col("s.owner").alias("last_owner"),
                     F.col("s.shot_type").alias("last_type"), F.col("s.direction").alias("last_direction"),
                     F.col("s.speed_m_s").alias("last_speed"), F.col("s.frame_idx").alias("last_frame"))
@@ -96,18 +95,18 @@ def point_winners(points: DataFrame, shots: DataFrame, unknown: str | None = "pl
 def errors_by_type(points: DataFrame, shots: DataFrame) -> DataFrame:
     """Points lost by a player's own last shot, per shot type, against all shots of that type."""
     e = with_last_shot(points, shots).filter(F.col("end_reason").isin("OUT", "NET") & F.col("last_owner").isNotNull())
-    e = e.groupBy("match_id", F.col("last_owner").alias("owner"), shot_type("last_type").alias("shot_type")).agg(F.count(ONE).alias("errors"))
-    made = shots.groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(ONE).alias("made"))
+    e = e.groupBy("match_id", F.col("last_owner").alias("owner"), shot_type("last_type").alias("shot_type")).agg(F.count(F.lit(1)).alias("errors"))
+    made = shots.groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(F.lit(1)).alias("made"))
     return e.join(made, ["match_id", "owner", "shot_type"], "left").withColumn(
-        "rate", S.percent("errors", F.greatest(F.coalesce("made", ONE), ONE)))
+        "rate", S.percent("errors", F.greatest(F.coalesce("made", F.lit(1)), F.lit(1))))
 
 
 def errors_by_rally(points: DataFrame, shots: DataFrame) -> DataFrame:
     """Same errors per rally length class, against all points of the class."""
     d = with_last_shot(points, shots).withColumn("bucket", S.rally_bucket("rally_hit_count"))
     e = d.filter(F.col("end_reason").isin("OUT", "NET") & F.col("last_owner").isNotNull()) \
-        .groupBy("match_id", F.col("last_owner").alias("owner"), "bucket").agg(F.count(ONE).alias("errors"))
-    total = points.groupBy("match_id", S.rally_bucket("rally_hit_count").alias("bucket")).agg(F.count(ONE).alias("played"))
+        .groupBy("match_id", F.col("last_owner").alias("owner"), "bucket").agg(F.count(F.lit(1)).alias("errors"))
+    total = points.groupBy("match_id", S.rally_bucket("rally_hit_count").alias("bucket")).agg(F.count(F.lit(1)).alias("played"))
     return e.join(total, ["match_id", "bucket"]).withColumn("rate", S.percent("errors", "played"))
 
 
@@ -130,7 +129,7 @@ def double_faults(points: DataFrame, size: int | None = None) -> DataFrame:
 def serve_summary(points: DataFrame) -> DataFrame:
     """Serve points, first-serve share and double faults per server; both players always appear."""
     g = double_faults(points).groupBy("match_id", F.col("serve_player").alias("owner")).agg(
-        F.count(ONE).alias("serves"), (F.avg(F.col("serve_fault_type").isNull().cast("double")) * 100).alias("first_serve_pct"),
+        F.count(F.lit(1)).alias("serves"), (F.avg(F.col("serve_fault_type").isNull().cast("double")) * 100).alias("first_serve_pct"),
         F.count_if("double_fault").alias("double_faults"))
     both = points.select("match_id").distinct().select("match_id", F.explode(F.array(*[F.lit(p) for p in K.PLAYERS])).alias("owner"))
     return both.join(g, ["match_id", "owner"], "left").na.fill({"serves": 0, "first_serve_pct": 0.0, "double_faults": 0})
@@ -141,7 +140,7 @@ def serve_zone_wins(points: DataFrame) -> DataFrame:
     win = ~F.col("end_reason").isin("OUT", "NET", "BALL_LOST")
     return points.filter("serve_player IS NOT NULL").groupBy(
         "match_id", F.col("serve_player").alias("owner"), F.coalesce("serve_zone", F.lit("unknown")).alias("zone")).agg(
-        F.count(ONE).alias("serves"), (F.avg(win.cast("double")) * 100).alias("win_pct"))
+        F.count(F.lit(1)).alias("serves"), (F.avg(win.cast("double")) * 100).alias("win_pct"))
 
 
 def serve_placement(points: DataFrame) -> DataFrame:
@@ -152,11 +151,11 @@ def serve_placement(points: DataFrame) -> DataFrame:
 
 def rally_histogram(points: DataFrame) -> DataFrame:
     return points.groupBy("match_id", S.rally_bucket("rally_hit_count").alias("bucket")).agg(
-        F.count(ONE).alias("n"), F.sum("rally_hit_count").alias("hits"))
+        F.count(F.lit(1)).alias("n"), F.sum("rally_hit_count").alias("hits"))
 
 
 def rally_average(points: DataFrame) -> DataFrame:
-    return points.groupBy("match_id").agg(F.count(ONE).alias("points"), F.avg("rally_hit_count").alias("avg_hits"))
+    return points.groupBy("match_id").agg(F.count(F.lit(1)).alias("points"), F.avg("rally_hit_count").alias("avg_hits"))
 
 
 def match_flow(points: DataFrame) -> DataFrame:
@@ -168,7 +167,7 @@ def match_flow(points: DataFrame) -> DataFrame:
 def by_end_reason(points: DataFrame) -> DataFrame:
     """Points per end reason with their position inside the group, in play order."""
     r = points.withColumn("reason", F.coalesce("end_reason", F.lit("UNKNOWN")))
-    d = scan(r, ["match_id", "reason"], ["point_idx"], member_no=Agg("count", "upto", ONE), members=Agg("count", "all", ONE))
+    d = scan(r, ["match_id", "reason"], ["point_idx"], member_no=Agg("count", "upto", F.lit(1)), members=Agg("count", "all", F.lit(1)))
     return d.select("match_id", "reason", "members", "member_no", "point_idx")
 
 
@@ -211,22 +210,22 @@ def shot_error_attribution(points: DataFrame, shots: DataFrame, within: float =
 
 
 def rebuilt_errors_by_type(points: DataFrame, shots: DataFrame) -> DataFrame:
-    made = shots.groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(ONE).alias("made"))
-    e = shot_error_attribution(points, shots).groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(ONE).alias("errors"))
+    made = shots.groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(F.lit(1)).alias("made"))
+    e = shot_error_attribution(points, shots).groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(F.lit(1)).alias("errors"))
     return e.join(made, ["match_id", "owner", "shot_type"]).withColumn("rate", S.percent("errors", "made"))
 
 
 def rebuilt_errors_by_rally(points: DataFrame, shots: DataFrame) -> DataFrame:
     d = with_rebuilt_winner(points, shots).withColumn("bucket", S.rally_bucket("rally_hit_count"))
-    e = d.filter("is_error").groupBy("match_id", F.col("hitter").alias("owner"), "bucket").agg(F.count(ONE).alias("errors"))
-    total = points.groupBy("match_id", S.rally_bucket("rally_hit_count").alias("bucket")).agg(F.count(ONE).alias("played"))
+    e = d.filter("is_error").groupBy("match_id", F.col("hitter").alias("owner"), "bucket").agg(F.count(F.lit(1)).alias("errors"))
+    total = points.groupBy("match_id", S.rally_bucket("rally_hit_count").alias("bucket")).agg(F.count(F.lit(1)).alias("played"))
     return e.join(total, ["match_id", "bucket"]).withColumn("rate", S.percent("errors", "played"))
 
 
 def rebuilt_zone_wins(points: DataFrame, shots: DataFrame) -> DataFrame:
     d = with_rebuilt_winner(points, shots)
     return d.groupBy("match_id", F.col("serve_player").alias("owner"), F.coalesce("serve_zone", F.lit("unknown")).alias("zone")).agg(
-        F.count(ONE).alias("serves"), (F.avg((F.col("winner") == F.col("serve_player")).cast("double")) * 100).alias("win_pct"))
+        F.count(F.lit(1)).alias("serves"), (F.avg((F.col("winner") == F.col("serve_player")).cast("double")) * 100).alias("win_pct"))
 
 
 def contact_path(shots: DataFrame, size: int | None = None) -> DataFrame:
@@ -259,7 +258,7 @@ def court_coverage(positions: DataFrame, size: int | None = None) -> DataFrame:
     d = with_previous(positions, ["match_id", "label"], size)
     return d.groupBy("match_id", "label").agg(
         F.coalesce(F.sum(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))), F.lit(0.0)).alias("distance"),
-        F.avg("x").alias("centre_x"), F.avg("y").alias("centre_y"), F.count(ONE).alias("n")).filter("n >= 2")
+        F.avg("x").alias("centre_x"), F.avg("y").alias("centre_y"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
 def movement_samples(positions: DataFrame, max_gap: float = 0.5, size: int | None = None) -> DataFrame:
@@ -276,7 +275,7 @@ def movement(positions: DataFrame, size: int | None = None) -> DataFrame:
     zone = S.movement_zone("y")
     share = lambda z: (F.avg((zone == z).cast("double")) * 100).alias(f"{z}_pct")
     zones = positions.filter("x IS NOT NULL AND y IS NOT NULL").groupBy("match_id", "label").agg(
-        F.count(ONE).alias("positions"), share("net"), share("baseline"), share("mid"))
+        F.count(F.lit(1)).alias("positions"), share("net"), share("baseline"), share("mid"))
     return (zones.join(dist, ["match_id", "label"], "left").join(summarise(s, ["match_id", "label"], "speed", "speed_"), ["match_id", "label"], "left")
             .na.fill({"distance_m": 0.0}))
 
@@ -293,7 +292,7 @@ def serve_samples(points: DataFrame) -> DataFrame:
 
 def serve_depth_width(points: DataFrame) -> DataFrame:
     s = serve_samples(points)
-    rate = s.groupBy("match_id").agg(F.count(ONE).alias("samples"), F.avg(F.col("serve_fault_type").isNotNull().cast("double")).alias("fault_rate"))
+    rate = s.groupBy("match_id").agg(F.count(F.lit(1)).alias("samples"), F.avg(F.col("serve_fault_type").isNotNull().cast("double")).alias("fault_rate"))
     return (rate.join(summarise(s, KEY, "depth_m", "depth_"), KEY).join(summarise(s, KEY, "width_m", "width_"), KEY)
             .drop("depth_n", "width_n"))
 
@@ -314,7 +313,7 @@ def rally_structure(points: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def end_reason_counts(points: DataFrame) -> DataFrame:
-    return points.filter("end_reason IS NOT NULL").groupBy("match_id", "end_reason").agg(F.count(ONE).alias("n"))
+    return points.filter("end_reason IS NOT NULL").groupBy("match_id", "end_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def out_ball_samples(events: DataFrame) -> DataFrame:
@@ -358,7 +357,7 @@ def coverage_quality(frames: DataFrame, group: Sequence[str] = KEY) -> DataFrame
     """Percentages of frames with ball, projection, calibration and players."""
     pct = lambda cond, name: (F.avg(cond.cast("double")) * 100).alias(name)
     return frames.groupBy(*group).agg(
-        F.count(ONE).alias("frames_total"), pct(F.col("ball_px").isNotNull(), "ball_pct"), pct(F.col("cx").isNotNull(), "projected_pct"),
+        F.count(F.lit(1)).alias("frames_total"), pct(F.col("ball_px").isNotNull(), "ball_pct"), pct(F.col("cx").isNotNull(), "projected_pct"),
         pct(F.col("reliable"), "reliable_pct"), pct(F.col("has_a"), "a_pct"), pct(F.col("has_b"), "b_pct"),
         pct(F.col("has_a") & F.col("has_b"), "both_pct"))
 
@@ -367,12 +366,12 @@ def run_statistics(frames: DataFrame, located: DataFrame) -> DataFrame:
     """Counts and means of a run; ``located`` are the raw detections with the court test."""
     n = lambda cond, name: F.count_if(cond).alias(name)
     g = frames.groupBy("match_id").agg(
-        F.count(ONE).alias("frames"), n(F.col("reliable"), "reliable_frames"), n(F.col("carried"), "carried_frames"),
+        F.count(F.lit(1)).alias("frames"), n(F.col("reliable"), "reliable_frames"), n(F.col("carried"), "carried_frames"),
         F.avg("confidence").alias("avg_confidence"), F.avg("error").alias("avg_error_px"), n(F.col("ball_px").isNotNull(), "ball_frames"),
         n(F.col("cx").isNotNull(), "projected_frames"), F.avg("speed").alias("avg_speed"), F.max("speed").alias("max_speed"),
         n(F.col("has_a"), "a_frames"), n(F.col("has_b"), "b_frames"), n(F.col("has_a") & F.col("has_b"), "both_frames"))
     med = percentiles(frames, KEY, "speed", {"median_speed": 0.5})
-    raw = located.groupBy("match_id").agg(F.count(ONE).alias("raw_detections"), n(F.col("inside"), "kept_detections"))
+    raw = located.groupBy("match_id").agg(F.count(F.lit(1)).alias("raw_detections"), n(F.col("inside"), "kept_detections"))
     return g.join(med, KEY, "left").join(raw, KEY, "left").withColumn(
         "noise_pct", S.percent(F.col("raw_detections") - F.col("kept_detections"), "raw_detections"))
 
@@ -381,20 +380,20 @@ def event_statistics(events: DataFrame) -> DataFrame:
     hit, bounce = F.col("event_type") == "hit", F.col("event_type") == "bounce"
     n = lambda cond, name: F.count_if(cond).alias(name)
     return events.groupBy("match_id").agg(
-        F.count(ONE).alias("events"), n(bounce, "bounces"), n(hit, "hits"), n(F.col("in_out") == "in", "bounces_in"),
+        F.count(F.lit(1)).alias("events"), n(bounce, "bounces"), n(hit, "hits"), n(F.col("in_out") == "in", "bounces_in"),
         n(F.col("in_out") == "out", "bounces_out"), n(F.col("in_out") == "line", "bounces_line"), n(hit & F.col("player").isNotNull(), "hits_assigned"),
         F.avg(F.when(bounce, F.col("score"))).alias("avg_bounce_score"), F.avg(F.when(hit, F.col("score"))).alias("avg_hit_score"))
 
 
 def point_statistics(points: DataFrame) -> DataFrame:
     return points.groupBy("match_id").agg(
-        F.count(ONE).alias("points"), F.avg("rally_hit_count").alias("avg_hits"), F.max("rally_hit_count").alias("max_hits"),
+        F.count(F.lit(1)).alias("points"), F.avg("rally_hit_count").alias("avg_hits"), F.max("rally_hit_count").alias("max_hits"),
         F.avg("confidence").alias("avg_confidence"), F.count("serve_fault_type").alias("faults"), F.count("serve_zone").alias("zoned"))
 
 
 def merged_statistics(frames: DataFrame, segments: DataFrame) -> DataFrame:
     """Counts over all segments of a match together with how many segments finished."""
-    g = frames.groupBy("match_id").agg(F.count(ONE).alias("frames"), F.count("ball_px").alias("ball_frames"),
+    g = frames.groupBy("match_id").agg(F.count(F.lit(1)).alias("frames"), F.count("ball_px").alias("ball_frames"),
                                        F.countDistinct("segment_idx").alias("segments_seen"), F.avg("confidence").alias("avg_confidence"))
     done = segments.groupBy("match_id").agg(F.countDistinct(F.when(F.col("status") == "complete", F.col("segment_idx"))).alias("segments_done"))
     return g.join(done, KEY, "left")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_scalars", "q_tracking"]
+MODULES = ["q_scalars", "q_tracking", "q_stats"]
 
 
 def _load() -> None:

@@ -320,3 +320,80 @@ SELECT match_id, frame_idx, ROUND(frame_idx / fps, 3) AS timestamp_sec, CASE WHE
   sx AS ball_cx, sy AS ball_cy, CASE WHEN abs(vx) > 0.01 OR abs(vy) > 0.01 THEN ROUND(degrees(atan2(vy, vx)), 1) END AS direction_deg, ROUND(speed, 2) AS speed_m_s,
   CASE WHEN sy > 1748 THEN 'near' ELSE 'far' END AS court_side, CASE WHEN label IS NULL THEN 'court_side' WHEN label = so THEN 'combined' WHEN dist > 500 THEN 'court_side' ELSE 'distance' END AS ownership
 FROM s"""
+
+# --- statistics -------------------------------------------------------------------------------
+
+CTES["o_last"] = """
+SELECT * EXCLUDE (k) FROM (SELECT p.match_id, p.point_idx, p.end_reason, p.rally_hit_count, s.owner AS last_owner, s.shot_type AS last_type, s.direction AS last_direction,
+   s.speed_m_s AS last_speed, s.frame_idx AS last_frame, COUNT(*) OVER (PARTITION BY p.match_id, p.point_idx) AS shots_in_point,
+   ROW_NUMBER() OVER (PARTITION BY p.match_id, p.point_idx ORDER BY s.frame_idx DESC) AS k
+ FROM fx_points p JOIN fx_shots s ON s.match_id = p.match_id AND s.frame_idx BETWEEN p.start_frame AND p.end_frame) WHERE k = 1"""
+
+CTES["o_winner"] = """
+SELECT p.*, l.last_owner, l.last_type, l.last_direction, CASE WHEN l.last_owner IS NULL THEN 'player_a' WHEN p.end_reason IN ('OUT', 'NET') THEN CASE WHEN l.last_owner = 'player_a' THEN 'player_b' ELSE 'player_a' END ELSE l.last_owner END AS winner
+FROM fx_points p LEFT JOIN o_last l ON l.match_id = p.match_id AND l.point_idx = p.point_idx"""
+
+CTES["o_serve"] = """
+SELECT *, CASE WHEN bounce_cx IS NULL OR serve_zone IS NOT NULL THEN NULL
+    WHEN serve_player = 'player_a' AND bounce_cy < 1110 THEN 'long' WHEN serve_player = 'player_a' AND bounce_cy > 1748 THEN 'net'
+    WHEN serve_player = 'player_b' AND bounce_cy > 2386 THEN 'long' WHEN serve_player = 'player_b' AND bounce_cy < 1748 THEN 'net'
+    WHEN bounce_cx < 423 OR bounce_cx > 1242 THEN 'wide' ELSE 'long' END AS serve_fault_type
+FROM (SELECT *, CASE WHEN bounce_cx BETWEEN 423 AND 832 AND bounce_cy BETWEEN 1110 AND 1748 THEN 'far_left' WHEN bounce_cx BETWEEN 832 AND 1242 AND bounce_cy BETWEEN 1110 AND 1748 THEN 'far_right'
+    WHEN bounce_cx BETWEEN 423 AND 832 AND bounce_cy BETWEEN 1748 AND 2386 THEN 'near_left' WHEN bounce_cx BETWEEN 832 AND 1242 AND bounce_cy BETWEEN 1748 AND 2386 THEN 'near_right' END AS serve_zone FROM fx_points)"""
+
+CTES["o_bytime"] = """
+SELECT * EXCLUDE (k) FROM (SELECT p.match_id, p.point_idx, s.owner AS last_hit_owner, ROW_NUMBER() OVER (PARTITION BY p.match_id, p.point_idx ORDER BY s.timestamp_sec DESC) AS k
+  FROM fx_points p JOIN fx_shots s ON s.match_id = p.match_id AND s.timestamp_sec >= p.start_sec AND s.timestamp_sec <= p.end_sec + 0.5::DOUBLE) WHERE k = 1"""
+
+CTES["o_rebuilt"] = """
+SELECT p.*, COALESCE(b.last_hit_owner, p.serve_player) AS hitter, p.end_reason IN ('OUT', 'NET', 'NET_FAULT', 'OUT_LONG', 'OUT_WIDE') AS is_error,
+  CASE WHEN p.end_reason IN ('OUT', 'NET', 'NET_FAULT', 'OUT_LONG', 'OUT_WIDE') THEN CASE WHEN COALESCE(b.last_hit_owner, p.serve_player) = 'player_a' THEN 'player_b' ELSE 'player_a' END
+       ELSE COALESCE(b.last_hit_owner, p.serve_player, 'player_a') END AS winner
+FROM o_serve p LEFT JOIN o_bytime b ON b.match_id = p.match_id AND b.point_idx = p.point_idx"""
+
+CTES["o_bucketed"] = """
+SELECT *, CASE WHEN rally_hit_count <= 3 THEN '1-3' WHEN rally_hit_count <= 6 THEN '4-6' WHEN rally_hit_count <= 9 THEN '7-9' ELSE '10+' END AS bucket FROM fx_points"""
+
+CTES["o_mix"] = """
+SELECT match_id, owner, COALESCE(shot_type, 'unknown') AS shot_type, COUNT(*) AS n, MIN(frame_idx) AS seen FROM fx_shots GROUP BY 1, 2, 3"""
+
+CTES["o_dirs"] = """
+SELECT match_id, owner, COALESCE(shot_type, 'unknown') AS shot_type, COALESCE(direction, 'unknown') AS direction, COUNT(*) AS n, MIN(frame_idx) AS seen FROM fx_shots GROUP BY 1, 2, 3, 4"""
+
+CTES["o_errtype"] = """
+SELECT e.match_id, e.last_owner AS owner, COALESCE(e.last_type, 'unknown') AS shot_type, COUNT(*) AS errors, ANY_VALUE(m.n) AS made, COUNT(*) * 100.0::DOUBLE / ANY_VALUE(m.n) AS rate
+FROM o_last e JOIN o_mix m ON m.match_id = e.match_id AND m.owner = e.last_owner AND m.shot_type = COALESCE(e.last_type, 'unknown')
+WHERE e.end_reason IN ('OUT', 'NET') GROUP BY 1, 2, 3"""
+
+CTES["o_errrally"] = """
+WITH t AS (SELECT match_id, bucket, COUNT(*) AS played FROM o_bucketed GROUP BY 1, 2)
+SELECT b.match_id, l.last_owner AS owner, b.bucket, COUNT(*) AS errors, ANY_VALUE(t.played) AS played, COUNT(*) * 100.0::DOUBLE / ANY_VALUE(t.played) AS rate
+FROM o_bucketed b JOIN o_last l ON l.match_id = b.match_id AND l.point_idx = b.point_idx JOIN t ON t.match_id = b.match_id AND t.bucket = b.bucket
+WHERE b.end_reason IN ('OUT', 'NET') GROUP BY 1, 2, 3"""
+
+CTES["o_dfault"] = """
+SELECT *, serve_fault_type IS NOT NULL AND COALESCE(LEAD(serve_fault_type) OVER (PARTITION BY match_id, serve_player ORDER BY point_idx) IS NOT NULL, FALSE) AS double_fault FROM o_serve"""
+
+CTES["o_servesum"] = """
+SELECT match_id, serve_player AS owner, COUNT(*) AS serves, AVG(CASE WHEN serve_fault_type IS NULL THEN 100.0::DOUBLE ELSE 0 END) AS first_serve_pct, COUNT(*) FILTER (double_fault) AS double_faults
+FROM o_dfault GROUP BY 1, 2
+UNION ALL SELECT m.match_id, p.label, 0, 0, 0 FROM (SELECT DISTINCT match_id FROM fx_points) m CROSS JOIN (VALUES ('player_a'), ('player_b')) AS p(label)
+WHERE NOT EXISTS (SELECT 1 FROM fx_points q WHERE q.match_id = m.match_id AND q.serve_player = p.label)"""
+
+CTES["o_zonewin"] = """
+SELECT match_id, serve_player AS owner, COALESCE(serve_zone, 'unknown') AS zone, COUNT(*) AS serves, AVG(CASE WHEN end_reason NOT IN ('OUT', 'NET', 'BALL_LOST') THEN 100.0::DOUBLE ELSE 0 END) AS win_pct FROM o_serve GROUP BY 1, 2, 3"""
+
+CTES["o_won"] = """
+SELECT match_id, l.owner, COUNT(*) FILTER (winner = l.owner) AS points_won, COUNT(*) FILTER (winner <> l.owner) AS points_lost FROM o_rebuilt CROSS JOIN (VALUES ('player_a'), ('player_b')) AS l(owner) GROUP BY 1, 2"""
+
+CTES["o_pos"] = """SELECT match_id, label, frame_idx, CAST(frame_idx AS DOUBLE) / 30 AS t, foot_x AS x, foot_y AS y FROM o_players"""
+
+CTES["o_cover"] = """
+WITH s AS (SELECT match_id, label, x, y, sqrt(POWER(x - LAG(x) OVER w, 2) + POWER(y - LAG(y) OVER w, 2)) AS d FROM o_pos WHERE x IS NOT NULL WINDOW w AS (PARTITION BY match_id, label ORDER BY frame_idx))
+SELECT match_id, label, SUM(d) AS distance, AVG(x) AS centre_x, AVG(y) AS centre_y, COUNT(*) AS n FROM s GROUP BY 1, 2 HAVING COUNT(*) >= 2"""
+
+CTES["o_frame"] = """
+SELECT f.*, c.px, h.error, h.detected, h.confidence, h.reliable, h.carried, p.cx, p.cy, p.speed, p.accel,
+  EXISTS (SELECT 1 FROM o_players a WHERE a.match_id = f.match_id AND a.frame_idx = f.frame_idx AND a.label = 'player_a') AS has_a,
+  EXISTS (SELECT 1 FROM o_players b WHERE b.match_id = f.match_id AND b.frame_idx = f.frame_idx AND b.label = 'player_b') AS has_b
+FROM fx_frames f JOIN o_clean c USING (match_id, frame_idx) JOIN o_hom h USING (match_id, frame_idx) JOIN o_physics p USING (match_id, frame_idx)"""

@@ -62,17 +62,21 @@ def direction_means(fx):
 
 
 _EV = "match_id, frame_idx, timestamp_sec, ROUND(cx, 6) AS cx, ROUND(cy, 6) AS cy, speed_before, speed_after, score, court_side"
-_EVC = ["match_id", "frame_idx", "timestamp_sec", R6("cx"), R6("cy"), "speed_before", "speed_after", "score", "court_side"]
+
+
+def _event_columns():
+    return ["match_id", "frame_idx", "timestamp_sec", R6("cx"), R6("cy"), "speed_before", "speed_after", "score", "court_side"]
+
 
 
 @query("bounce_candidates", "WN-11", f"SELECT {_EV}, in_out FROM o_cand WHERE event_type = 'bounce'")
 def bounce_candidates(fx):
-    return Chain(fx).candidates.filter("event_type = 'bounce'").select(*_EVC, "in_out")
+    return Chain(fx).candidates.filter("event_type = 'bounce'").select(*_event_columns(), "in_out")
 
 
 @query("hit_candidates", "WN-12", f"SELECT {_EV}, turn_deg FROM o_cand WHERE event_type = 'hit'")
 def hit_candidates(fx):
-    return Chain(fx).candidates.filter("event_type = 'hit'").select(*_EVC, "turn_deg")
+    return Chain(fx).candidates.filter("event_type = 'hit'").select(*_event_columns(), "turn_deg")
 
 
 @query("event_nms", "WN-13", "SELECT match_id, event_type, frame_idx, score FROM o_nms")
@@ -180,12 +184,13 @@ def first_shots(fx):
 
 
 @query("calibration", "UD-01 UD-02 AG-42 JN-19", """
-SELECT match_id, frame_idx, CASE WHEN confidence >= 0.7 THEN 0.0::DOUBLE END AS clean_error, confidence, reliable, carried FROM o_hom""")
+SELECT match_id, frame_idx, CASE WHEN confidence >= 0.7 THEN 0.0::DOUBLE END AS clean_error, CASE WHEN confidence >= 0.7 THEN confidence END AS clean_confidence, reliable, carried FROM o_hom""")
 def calibration(fx):
-    """Known-answer check: clean frames recover the map exactly, noisy ones get confidence 0."""
+    """Known-answer check: clean frames recover the map exactly, noisy ones are not trusted."""
     d = calibrate.calibrate(fx.keypoints)
-    return d.select("match_id", "frame_idx", F.when(F.col("confidence") >= 0.7, F.abs(F.round("error", 6))).alias("clean_error"),
-                    F.round("confidence", 6).alias("confidence"), "reliable", "carried")
+    good = F.col("confidence") >= 0.7
+    return d.select("match_id", "frame_idx", F.when(good, F.abs(F.round("error", 6))).alias("clean_error"),
+                    F.when(good, F.round("confidence", 6)).alias("clean_confidence"), "reliable", "carried")
 
 
 @query("configuration_points", "JN-19", """

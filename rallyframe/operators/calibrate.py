@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,70 +33,87 @@ def configuration_points(keypoints: DataFrame, keys: Sequence[str] = KEY) -> Dat
 
 
 UNIT = 1000.0
-
-
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batched exact four-point fit; coordinates are scaled to about one for a stable solve."""
-    ref = np.array(K.COURT_KEYPOINTS, dtype=float) / UNIT
-    corners = [f"p{d}{i}" for d in "xy" for i in range(4)]
-    for b in batches:
-        n = len(b)
-        src = ref[np.array([K.CONFIGURATIONS[c] for c in b["conf"]], dtype=int).reshape(n, 4)]
-        u, v = (b[[f"p{d}{i}" for i in range(4)]].to_numpy(float) / UNIT for d in "xy")
-        x, y, one, zero = src[..., 0], src[..., 1], np.ones((n, 4)), np.zeros((n, 4))
-        a = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], axis=2),
-                            np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], axis=2)], axis=1)
+CORNERS = np.array(list(K.CONFIGURATIONS.values()))
+POINTS = len(K.COURT_KEYPOINTS)
+
+
+def _fit_all(x: np.ndarray, y: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Exact four-point fits: (frames, configurations, 3, 3), NaN where a corner is missing."""
+    out = np.full((len(x), len(CORNERS), 3, 3), np.nan)
+    for i, q in enumerate(CORNERS):
+        rows = np.flatnonzero(~np.isnan(x[:, q]).any(axis=1))
+        u, v = x[np.ix_(rows, q)], y[np.ix_(rows, q)]
+        rx, ry = (np.broadcast_to(c, u.shape) for c in (ref[q, 0], ref[q, 1]))
+        one, zero = np.ones_like(u), np.zeros_like(u)
+        a = np.concatenate([np.stack([rx, ry, one, zero, zero, zero, -u * rx, -u * ry], axis=2),
+                            np.stack([zero, zero, zero, rx, ry, one, -v * rx, -v * ry], axis=2)], axis=1)
         ok = np.abs(np.linalg.det(a)) > 1e-18
-        h = np.full((n, 9), np.nan)
-        h[ok, :8] = np.linalg.solve(a[ok], np.concatenate([u, v], axis=1)[ok][..., None])[..., 0]
-        h[:, 8] = 1.0
-        h = h.reshape(n, 3, 3)
-        h[:, :2, :] *= UNIT
-        h[:, :, :2] /= UNIT
-        b = b.drop(columns=corners)
-        yield b.assign(matrix=[m.ravel().tolist() if g else None for m, g in zip(h, ok, strict=True)])
+        h = np.ones((int(ok.sum()), 9))
+        h[:, :8] = np.linalg.solve(a[ok], np.concatenate([u, v], axis=1)[ok][..., None])[..., 0]
+        out[rows[ok], i] = h.reshape(-1, 3, 3)
+    return out
+
 
+def _median_errors(x: np.ndarray, y: np.ndarray, fits: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Median distance over seen keypoints outside each configuration, NaN without any."""
+    p = np.einsum("nkij,mj->nkmi", fits, np.column_stack([ref, np.ones(POINTS)]))
+    with np.errstate(all="ignore"):
+        d = np.hypot(p[..., 0] / p[..., 2] - x[:, None, :], p[..., 1] / p[..., 2] - y[:, None, :])
+    d[:, np.arange(len(CORNERS))[:, None], CORNERS] = np.nan
+    d.sort(axis=2)
+    m = np.count_nonzero(~np.isnan(d), axis=2)
+    pick = lambda k: np.take_along_axis(d, np.clip(k, 0, POINTS - 1)[..., None], axis=2)[..., 0]
+    return np.where(m > 0, (pick((m - 1) // 2) + pick(m // 2)) / 2, np.nan)
 
-def fit_configurations(keypoints: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Court-to-pixel matrix per (frame, configuration); a batched 8x8 solve inside Arrow batches."""
-    pts = configuration_points(keypoints, keys)
-    kept = [f for f in pts.schema if f.name in (*keys, "frame_idx", "conf")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", matrix array<double>"
-    return pts.mapInPandas(_solve, schema).filter("matrix IS NOT NULL")
 
+def _lists(values: np.ndarray) -> pa.ListArray:
+    flat = pa.array(values.ravel(), from_pandas=True)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), flat)
 
-def configuration_errors(fits: DataFrame, keypoints: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Median pixel error of each fit over seen keypoints outside its configuration.
 
-    A frame has at most 14 keypoints, so a (frame, configuration) group is small by construction.
+def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fit every frame of a batch at once; coordinates are scaled to about one for a stable solve."""
+    ref = np.array(K.COURT_KEYPOINTS, dtype=float) / UNIT
+    scale = np.array([[1, 1, UNIT], [1, 1, UNIT], [1 / UNIT, 1 / UNIT, 1]])
+    for b in batches:
+        if not b.num_rows:
+            continue
+        grid = lambda c: np.column_stack([b.column(f"{c}{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(POINTS)]) / UNIT
+        x, y = grid("px"), grid("py")
+        fits = _fit_all(x, y, ref)
+        errors = _median_errors(x, y, fits, ref) * UNIT
+        best = np.where(np.isnan(errors), np.inf, errors).argmin(axis=1)
+        rows = np.arange(len(best))
+        matrix = (fits[rows, best] * scale).reshape(-1, 9)
+        kept = [n for n in b.schema.names if n[:2] not in ("px", "py")]
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(n) for n in kept], _lists(errors), _lists(matrix), pa.array(errors[rows, best], from_pandas=True)],
+            names=[*kept, "errors", "matrix", "error"])
+
+
+def frame_fits(keypoints: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """Per frame: seen keypoints, median error of each configuration, matrix and error of the best one.
+
+    One shuffle brings the 14 keypoints of a frame into one row; the 8x8 systems of all frames and
+    configurations of an Arrow batch are solved together. The first of equally good ones wins.
     """
-    ref = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in K.COURT_KEYPOINTS])
-    inside = F.coalesce(*[F.when(F.col("conf") == c, F.array(*[F.lit(i) for i in q])) for c, q in K.CONFIGURATIONS.items()])
-    seen = keypoints.filter(F.col("px").isNotNull()).groupBy(*keys, "frame_idx").agg(
-        F.collect_list(F.struct("kp", "px", "py")).alias("_kps"))
-    d = fits.join(seen, [*keys, "frame_idx"]).withColumn("_ref", ref).withColumn("_in", inside)
-    others = F.filter("_kps", lambda k: ~F.array_contains(F.col("_in"), k.kp))
-    def error(k):
-        r = F.col("_ref")[k.kp]
-        u, v = S.project("matrix", r.x, r.y)
-        return F.hypot(k.px - u, k.py - v)
-    d = d.withColumn("_e", F.sort_array(F.transform(others, error)))
-    m = F.size("_e")
-    lo, hi = F.floor((m - 1) / 2).cast("int"), F.floor(m / 2).cast("int")
-    return (d.filter(m > 0).withColumn("error", (F.col("_e")[lo] + F.col("_e")[hi]) / 2)
-            .drop("_kps", "_ref", "_in", "_e"))
+    at = lambda c: [F.max(F.when(F.col("kp") == i, F.col(c))).alias(f"{c}{i}") for i in range(POINTS)]
+    d = keypoints.groupBy(*keys, "frame_idx").agg(F.count("px").alias("detected"), *at("px"), *at("py"))
+    kept = [f for f in d.schema if f.name in (*keys, "frame_idx", "detected")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", errors array<double>, matrix array<double>, error double"
+    return d.mapInArrow(_fit_batches, schema)
+
+
+def configuration_errors(keypoints: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """Long form of the median errors: one row per frame and complete configuration."""
+    return frame_fits(keypoints, keys).select(*keys, "frame_idx", F.posexplode("errors").alias("_pos", "error")).filter("error IS NOT NULL") \
+        .select(*keys, "frame_idx", (F.col("_pos") + 1).alias("conf"), "error")
 
 
 def best_fits(keypoints: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Per frame: number of seen keypoints, and matrix and error of the best configuration."""
-    seen = keypoints.groupBy(*keys, "frame_idx").agg(F.count("px").alias("detected"))
-    err = configuration_errors(fit_configurations(keypoints, keys), keypoints, keys)
-    best = err.groupBy(*keys, "frame_idx").agg(
-        F.min_by(F.struct("matrix", "error"), F.struct("error", "conf")).alias("b"))
-    d = seen.join(best, [*keys, "frame_idx"], "left")
-    ok = F.col("detected") >= K.MIN_KEYPOINTS
-    return d.select(*keys, "frame_idx", "detected", F.when(ok, F.col("b.matrix")).alias("matrix"),
-                    F.when(ok, F.col("b.error")).alias("error"))
+    ok = (F.col("detected") >= K.MIN_KEYPOINTS) & F.col("error").isNotNull()
+    return frame_fits(keypoints, keys).select(*keys, "frame_idx", "detected", F.when(ok, F.col("matrix")).alias("matrix"), F.when(ok, F.col("error")).alias("error"))
 
 
 def invert(matrix):

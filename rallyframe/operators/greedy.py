@@ -26,7 +26,7 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, reach: int, name: st
     def flag(d, w):
         near = F.count(F.lit(1)).over(w.rangeBetween(-reach, -1))
         return d.withColumn("_head", F.when(near == 0, F.col(order)))
-    flagged = bounded(df, keys, order, reach, 0, flag, size)
+    flagged = bounded(df, keys, order, reach, 0, flag, size, keep_chunk=True)
     out = scan(flagged, keys, [order, *tie], size=size,
                **{name: Agg("last", "upto", F.col("_head"))}, **extra)
     return out.drop("_head")

@@ -48,7 +48,7 @@ def streaks(points: DataFrame, min_length: int = 3, size: int | None = None) ->
     """Maximal runs of points with one winner; ``final`` marks the run that ends the match."""
     d = row_numbers(points, KEY, ORDER, "_no", size=size)
     d = bounded(d, KEY, "_no", 1, 0, lambda s, w: s.withColumn(
-        "_start", F.when(~F.coalesce(F.lag("winner").over(w) == F.col("winner"), F.lit(False)), F.col("_no"))), size)
+        "_start", F.when(~F.coalesce(F.lag("winner").over(w) == F.col("winner"), F.lit(False)), F.col("_no"))), size, keep_chunk=True)
     d = scan(d, KEY, ["_no"], size=size, _run=Agg("last", "upto", F.col("_start")), _n=Agg("count", "all", F.lit(1)))
     g = d.groupBy("match_id", "_run").agg(
         F.first("winner").alias("winner"), F.count(F.lit(1)).alias("length"), F.min_by("start_sec", "_no").alias("start_sec"),

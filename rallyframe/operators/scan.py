@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK = 8192
 
@@ -25,11 +26,13 @@ def frame_chunk(order: str = "frame_idx", size: int | None = None) -> Column:
 
 
 def bounded(df: DataFrame, keys: Sequence[str], order: str, before: int, after: int,
-            fn: Callable[[DataFrame, WindowSpec], DataFrame], size: int | None = None) -> DataFrame:
+            fn: Callable[[DataFrame, WindowSpec], DataFrame], size: int | None = None,
+            keep_chunk: bool = False) -> DataFrame:
     """Apply window logic that reaches at most ``before``/``after`` units of ``order``.
 
     ``order`` is an integer column. On a dense sequence (one row per unit) row frames are exact; on a
-    sparse one ``fn`` must use range frames.
+    sparse one ``fn`` must use range frames. With ``keep_chunk`` a following ``scan`` over the same
+    keys and order works on the same partitioning without another shuffle.
     """
     size = size or CHUNK
     if size <= max(before, after):
@@ -43,7 +46,8 @@ def bounded(df: DataFrame, keys: Sequence[str], order: str, before: int, after:
         copies.append(F.when(pos < after, home - 1))
     spread = df.withColumn("_chunk", F.explode(F.array_compact(F.array(*copies))))
     w = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    return fn(spread, w).filter(F.col("_chunk") == home).drop("_chunk")
+    own = fn(spread, w).filter(F.col("_chunk") == home)
+    return own if keep_chunk else own.drop("_chunk")
 
 
 @dataclass(frozen=True)
@@ -61,14 +65,35 @@ def _agg(kind: str, value: Column) -> Column:
     return F.last(value, ignorenulls=True) if kind == "last" else F.first(value, ignorenulls=True)
 
 
+def _pick(df: DataFrame, a: Agg, rank: Column, name: str) -> tuple[list[Column], Column]:
+    """Aggregates for the last/first value of a chunk and the expression that puts it together.
+
+    Struct values are taken field by field, so the aggregation buffers stay fixed-width and Spark can
+    use hash instead of sort aggregation.
+    """
+    pick, ends = (F.max_by, F.max) if a.kind == "last" else (F.min_by, F.min)
+    where = F.when(a.value.isNotNull(), rank)
+    kind = df.select(a.value.alias("v")).schema["v"].dataType
+    if not isinstance(kind, StructType):
+        return [pick(a.value, where).alias(name)], F.col(name)
+    cols = [pick(a.value[f.name], where).alias(f"{name}_{f.name}") for f in kind]
+    cols.append(ends(where).alias(f"{name}_at"))
+    whole = F.struct(*[F.col(f"{name}_{f.name}").alias(f.name) for f in kind])
+    return cols, F.when(F.col(f"{name}_at").isNotNull(), whole)
+
+
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None = None,
          size: int | None = None, **aggs: Agg) -> DataFrame:
     """Add one column per aggregate, exact over the whole ordered sequence of each key.
 
-    ``order`` is a unique order inside a key, ``chunk`` a number that never decreases along it.
+    ``order`` is a unique order inside a key, ``chunk`` a number that never decreases along it (a
+    ``_chunk`` column left by ``bounded`` is used as it is).
     """
     keys, order = list(keys), list(order)
-    d = df.withColumn("_chunk", chunk if chunk is not None else frame_chunk(order[0], size))
+    if "_chunk" in df.columns and chunk is None:
+        d = df
+    else:
+        d = df.withColumn("_chunk", chunk if chunk is not None else frame_chunk(order[0], size))
     asc = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     desc = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(o) for o in order])
     start = Window.unboundedPreceding
@@ -76,7 +101,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
               "after": desc.rowsBetween(start, -1), "from": desc.rowsBetween(start, 0)}
     rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
 
-    summary_cols, carry_cols, local_cols, out_cols = [], [], [], []
+    summary_cols, whole_cols, carry_cols, local_cols, out_cols = [], [], [], [], []
     casc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(start, -1)
     cdesc = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(start, -1)
     call = Window.partitionBy(*keys)
@@ -84,10 +109,12 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
         backward = a.span in ("after", "from")
         s, c, loc = f"_s_{name}", f"_c_{name}", f"_l_{name}"
         if a.kind in ("last", "first"):
-            where = F.when(a.value.isNotNull(), rank)
-            summary_cols.append((F.max_by if a.kind == "last" else F.min_by)(a.value, where).alias(s))
+            parts, whole = _pick(d, a, rank, s)
+            summary_cols += parts
+            whole_cols.append(whole.alias(s))
         else:
             summary_cols.append(_agg(a.kind, a.value).alias(s))
+            whole_cols.append(F.col(s))
         # counts of chunks add up; every other kind combines with itself
         up = "sum" if a.kind == "count" else a.kind
         if a.span == "all":
@@ -114,11 +141,11 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
         else:
             out_cols.append(F.coalesce(F.col(loc), F.col(c)).alias(name))
 
-    carry = (d.groupBy(*keys, "_chunk").agg(*summary_cols)
+    carry = (d.groupBy(*keys, "_chunk").agg(*summary_cols).select(*keys, "_chunk", *whole_cols)
              .select(*keys, "_chunk", *carry_cols))
     local = d.select("*", *local_cols)
     return (local.join(carry, [*keys, "_chunk"], "left")
-            .select(*[F.col(c) for c in df.columns if c not in aggs], *out_cols))
+            .select(*[F.col(c) for c in df.columns if c not in aggs and c != "_chunk"], *out_cols))
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions import scalars as S
@@ -102,10 +102,8 @@ def full_status(log: DataFrame, decisions: DataFrame, evals: DataFrame) -> DataF
 
 
 def artifacts_by_type(artifacts: DataFrame) -> DataFrame:
-    """Artifacts numbered inside their job and type (long form of the type -> list map)."""
-    n = F.row_number().over(Window.partitionBy("job_id", "artifact_type", "bucket").orderBy("artifact_no"))
-    d = artifacts.withColumn("bucket", F.expr("artifact_no div 4096")).withColumn("no_in_bucket", n)
-    return d.select("job_id", "artifact_type", "artifact_no", "path")
+    """Long form of the type -> list map: rows ordered by (job, type, number)."""
+    return artifacts.select("job_id", "artifact_type", "artifact_no", "path").orderBy("job_id", "artifact_type", "artifact_no")
 
 
 def artifact_counts(artifacts: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def sub_tracks(df: DataFrame, x: str = "ball_px", y: str = "ball_py", max_gap: i
                 .withColumn("_pos", F.when(seen, F.struct(
                     "frame_idx", F.col(x).alias("x"), F.col(y).alias("y"), (~F.col("_open")).alias("back"),
                     (~F.col("_shut")).alias("ahead"))))
-    d = bounded(df, keys, "frame_idx", 2 * max_gap + 4, 2 * max_gap + 4, local, size)
+    d = bounded(df, keys, "frame_idx", 2 * max_gap + 4, 2 * max_gap + 4, local, size, keep_chunk=True)
     seen_at = F.when(F.col("_pos").isNotNull(), F.col("frame_idx"))
     d = scan(d, keys, ["frame_idx"], size=size,
              _ls=Agg("last", "upto", F.col("_start")), _le=Agg("last", "upto", F.col("_end")),

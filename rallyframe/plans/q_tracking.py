@@ -201,6 +201,13 @@ def configuration_points(fx):
     return calibrate.configuration_points(fx.keypoints).select("match_id", "frame_idx", "conf")
 
 
+@query("configuration_errors", "AG-42")
+def configuration_errors(fx):
+    """Median error of every complete configuration of every frame."""
+    d = calibrate.configuration_errors(fx.keypoints)
+    return d.select("match_id", "frame_idx", "conf", F.round("error", 6).alias("error"))
+
+
 @query("fitted_matrices", "UD-01")
 def fitted_matrices(fx):
     """Best matrix of each frame as long rows."""

@@ -397,3 +397,38 @@ SELECT f.*, c.px, h.error, h.detected, h.confidence, h.reliable, h.carried, p.cx
   EXISTS (SELECT 1 FROM o_players a WHERE a.match_id = f.match_id AND a.frame_idx = f.frame_idx AND a.label = 'player_a') AS has_a,
   EXISTS (SELECT 1 FROM o_players b WHERE b.match_id = f.match_id AND b.frame_idx = f.frame_idx AND b.label = 'player_b') AS has_b
 FROM fx_frames f JOIN o_clean c USING (match_id, frame_idx) JOIN o_hom h USING (match_id, frame_idx) JOIN o_physics p USING (match_id, frame_idx)"""
+
+# --- narrative --------------------------------------------------------------------------------
+
+CTES["o_rates"] = """
+SELECT match_id, owner, """ + ", ".join(f"COALESCE(MAX(ROUND(rate, 1)) FILTER (bucket = '{b}'), 0) AS {t}, COALESCE(MAX(errors) FILTER (bucket = '{b}'), 0) AS {t}n"
+                                        for b, t in (("1-3", "r1"), ("4-6", "r4"), ("7-9", "r7"), ("10+", "r10"))) + " FROM o_errrally GROUP BY 1, 2"
+
+CTES["o_players2"] = """
+SELECT o.match_id, o.owner, CASE WHEN o.owner = 'player_a' THEN 'Player A' ELSE 'Player B' END AS name, CASE WHEN o.owner = 'player_a' THEN 'Player B' ELSE 'Player A' END AS opp,
+  GREATEST(COALESCE(r.r1, 0), COALESCE(r.r4, 0)) AS short, GREATEST(COALESCE(r.r7, 0), COALESCE(r.r10, 0)) AS long, COALESCE(r.r7n, 0) + COALESCE(r.r10n, 0) AS lost
+FROM (SELECT DISTINCT match_id, owner FROM fx_shots) o LEFT JOIN o_rates r ON r.match_id = o.match_id AND r.owner = o.owner"""
+
+CTES["o_worst"] = """
+SELECT * FROM (SELECT e.match_id, e.owner, e.shot_type, e.errors, e.made, ROUND(e.rate, 1) AS rate, ROW_NUMBER() OVER (PARTITION BY e.match_id, e.owner ORDER BY ROUND(e.rate, 1) DESC, f.at) AS k
+ FROM o_errtype e JOIN (SELECT match_id, last_owner AS owner, COALESCE(last_type, 'unknown') AS shot_type, MIN(point_idx) AS at FROM o_last WHERE end_reason IN ('OUT', 'NET') GROUP BY 1, 2, 3) f
+   ON f.match_id = e.match_id AND f.owner = e.owner AND f.shot_type = e.shot_type WHERE e.shot_type NOT IN ('neutral', 'unknown')) WHERE k = 1"""
+
+CTES["o_topdir"] = """
+SELECT *, SUM(n0) OVER (PARTITION BY match_id, owner, shot_type) AS tn FROM (
+ SELECT d.match_id, d.owner, d.shot_type, d.direction, d.n AS n0, ROUND(d.n * 100.0::DOUBLE / SUM(d.n) OVER (PARTITION BY d.match_id, d.owner, d.shot_type), 1) AS pct,
+   SUM(d.n) OVER (PARTITION BY d.match_id, d.owner, d.shot_type) AS n, MIN(d.seen) OVER (PARTITION BY d.match_id, d.owner, d.shot_type) AS seen,
+   ROW_NUMBER() OVER (PARTITION BY d.match_id, d.owner, d.shot_type ORDER BY d.n DESC, d.seen) AS k FROM o_dirs d) WHERE k = 1"""
+
+_N0 = "CAST(CAST(round_even({}, 0) AS BIGINT) AS VARCHAR)"
+
+CTES["o_weak"] = f"""
+WITH w AS (
+ SELECT match_id, owner, 1 AS rule, 'Against ' || name || ': extend rallies past 7 shots. Their error rate rises from ' || {_N0.format('short')} || '% in short rallies to ' || {_N0.format('long')} || '% in rallies longer than 7 shots. This pattern cost ' || lost || ' point' || CASE WHEN lost <> 1 THEN 's' ELSE '' END || ' in this match.' AS description,
+   lost || ' unforced errors in rallies 7+ shots vs ' || {_N0.format('short')} || '% error rate in rallies under 6 shots' AS data_point, lost AS points_cost, LEAST((long - short) / 50, 1.0) AS severity FROM o_players2 WHERE long > short + 15 AND long > 25
+ UNION ALL SELECT p.match_id, p.owner, 2, name || '''s ' || w.shot_type || ' breaks down under pressure — ' || {_N0.format('w.rate')} || '% error rate (' || w.errors || ' errors from ' || w.made || ' attempts). Target their ' || w.shot_type || ' side in critical points.',
+   w.errors || ' errors / ' || w.made || ' ' || w.shot_type || 's (' || {_N0.format('w.rate')} || '% error rate)', w.errors, LEAST(w.rate / 100, 1.0) FROM o_players2 p JOIN o_worst w ON w.match_id = p.match_id AND w.owner = p.owner WHERE w.rate > 20 AND w.errors >= 2
+ UNION ALL SELECT p.match_id, p.owner, 3, name || ' telegraphs their ' || d.shot_type || ' — ' || {_N0.format('d.pct')} || '% go ' || replace(d.direction, '_', ' ') || '. ' || opp || ' can position early and attack the predictable pattern.',
+   {_N0.format('d.pct')} || '% of ' || d.shot_type || 's go ' || replace(d.direction, '_', ' '), 0, LEAST(d.pct / 100, 0.8)
+  FROM o_players2 p JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY n DESC, shot_type) AS f FROM o_topdir WHERE shot_type NOT IN ('neutral', 'serve', 'unknown')) d ON d.match_id = p.match_id AND d.owner = p.owner AND d.f = 1 WHERE d.pct > 70 AND d.direction <> 'unknown')
+SELECT match_id, owner, CAST(ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY severity DESC, rule) AS INTEGER) AS weakness_no, description, data_point, CAST(points_cost AS BIGINT) AS points_cost, CAST(severity AS DOUBLE) AS severity FROM w"""

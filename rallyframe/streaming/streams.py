@@ -4,13 +4,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rallyframe import constants as K
+from rallyframe.session import shared_folder
 
 FRAME_STREAM = "match_id BIGINT, segment_idx BIGINT, frame_idx BIGINT, ts TIMESTAMP, fps DOUBLE, cx DOUBLE, cy DOUBLE, speed DOUBLE, ball_px DOUBLE"
 
@@ -91,26 +91,26 @@ class ContactDetector(StatefulProcessor):
             last, sx, sy, vx, vy, stable, contact, pending, pspeed = self.state.get()
         else:
             last, sx, sy, vx, vy, stable, contact, pending, pspeed = -1, None, None, None, None, 0, -10**9, False, None
+        # rows of one match in one micro-batch: a few segments, bounded by the files per trigger
+        batch = pd.concat(list(rows)).sort_values("frame_idx")[["frame_idx", "cx", "cy", "speed"]]
         found = []
-        for chunk in rows:
-            # a micro-batch of one match is a few segments; it is sorted, never kept
-            for frame, cx, cy, speed in chunk.sort_values("frame_idx")[["frame_idx", "cx", "cy", "speed"]].itertuples(index=False):
-                if frame <= last:
-                    continue
-                if pending:
-                    found.append((key[0], last, sx, sy, vx, vy, pspeed))
-                    pending = False
-                last = int(frame)
-                if cx is None or np.isnan(cx):
-                    stable, vx, vy = 0, (0.0 if sx is not None else None), (0.0 if sx is not None else None)
-                    continue
-                nx = cx if sx is None else K.EMA_ALPHA * cx + (1 - K.EMA_ALPHA) * sx
-                ny = cy if sy is None else K.EMA_ALPHA * cy + (1 - K.EMA_ALPHA) * sy
-                wx, wy = (None, None) if sx is None else (nx - sx, ny - sy)
-                stable += 1
-                if vx is not None and stable >= K.STABLE_FRAMES and last - contact >= K.COOLDOWN and _is_contact(vx, vy, wx, wy):
-                    pending, pspeed, contact = True, (None if speed is None or np.isnan(speed) else float(speed)), last
-                sx, sy, vx, vy = nx, ny, wx, wy
+        for frame, cx, cy, speed in batch.itertuples(index=False):
+            if frame <= last:
+                continue
+            if pending:
+                found.append((key[0], last, sx, sy, vx, vy, pspeed))
+                pending = False
+            last = int(frame)
+            if pd.isna(cx):
+                stable, vx, vy = 0, (0.0 if sx is not None else None), (0.0 if sx is not None else None)
+                continue
+            nx = float(cx) if sx is None else K.EMA_ALPHA * cx + (1 - K.EMA_ALPHA) * sx
+            ny = float(cy) if sy is None else K.EMA_ALPHA * cy + (1 - K.EMA_ALPHA) * sy
+            wx, wy = (None, None) if sx is None else (nx - sx, ny - sy)
+            stable += 1
+            if vx is not None and stable >= K.STABLE_FRAMES and last - contact >= K.COOLDOWN and _is_contact(vx, vy, wx, wy):
+                pending, pspeed, contact = True, (None if pd.isna(speed) else float(speed)), last
+            sx, sy, vx, vy = nx, ny, wx, wy
         self.state.update((last, sx, sy, vx, vy, stable, contact, pending, pspeed))
         if found:
             yield pd.DataFrame(found, columns=[c.split()[0] for c in CONTACT.split(", ")])
@@ -131,3 +131,21 @@ def contact_stream(frames: DataFrame) -> DataFrame:
     """Contacts of a stream of projected frames, after the cooldown."""
     return frames.groupBy("match_id").transformWithStateInPandas(
         statefulProcessor=ContactDetector(), outputStructType=CONTACT, outputMode="Append", timeMode="None")
+
+
+# --- running a stream to its end ------------------------------------------------------------------------
+
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Process everything available now and return the result table.
+
+    Append results are written by the file sink, complete results replace the table in each batch.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", f"{folder}/table").start()
+    else:
+        q = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table")).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")

@@ -44,7 +44,8 @@ def bounded(df: DataFrame, keys: Sequence[str], order: str, before: int, after:
         copies.append(F.when(pos >= size - before, home + 1))
     if after:
         copies.append(F.when(pos < after, home - 1))
-    spread = df.withColumn("_chunk", F.explode(F.array_compact(F.array(*copies))))
+    # an input that is already partitioned by the keys alone must not keep a hot key in one task
+    spread = df.withColumn("_chunk", F.explode(F.array_compact(F.array(*copies)))).repartition(*keys, "_chunk")
     w = Window.partitionBy(*keys, "_chunk").orderBy(order)
     own = fn(spread, w).filter(F.col("_chunk") == home)
     return own if keep_chunk else own.drop("_chunk")
@@ -91,9 +92,10 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
     """
     keys, order = list(keys), list(order)
     if "_chunk" in df.columns and chunk is None:
-        d = df
+        d = rows = df
     else:
         d = df.withColumn("_chunk", chunk if chunk is not None else frame_chunk(order[0], size))
+        rows = d.repartition(*keys, "_chunk")
     asc = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     desc = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(o) for o in order])
     start = Window.unboundedPreceding
@@ -143,7 +145,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
 
     carry = (d.groupBy(*keys, "_chunk").agg(*summary_cols).select(*keys, "_chunk", *whole_cols)
              .select(*keys, "_chunk", *carry_cols))
-    local = d.select("*", *local_cols)
+    local = rows.select("*", *local_cols)
     return (local.join(carry, [*keys, "_chunk"], "left")
             .select(*[F.col(c) for c in df.columns if c not in aggs and c != "_chunk"], *out_cols))
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_scalars", "q_tracking", "q_stats", "q_sequences", "q_state", "q_narrative", "q_streaming"]
+MODULES = ["q_scalars", "q_tracking", "q_stats", "q_sequences", "q_state", "q_narrative", "q_streaming", "q_files"]
 
 
 def _load() -> None:

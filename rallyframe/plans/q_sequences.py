@@ -244,7 +244,12 @@ def near_dup_frames(fx):
     return curation.near_duplicates(fx.hashes, [f"w{i}" for i in range(8)])
 
 
-@query("diverse_frames", "CU-02")
+@query("diverse_frames", "CU-02", """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), f AS (SELECT vec_id, e FROM v ORDER BY vec_id LIMIT 1),
+d(step, vec_id, e, m) AS (SELECT 1, v.vec_id, v.e, CASE WHEN v.vec_id = f.vec_id THEN -1 ELSE list_distance(v.e, f.e) END FROM v, f
+  UNION ALL SELECT step + 1, vec_id, e, CASE WHEN vec_id = pick THEN -1 ELSE LEAST(m, list_distance(e, pe)) END
+  FROM (SELECT *, FIRST_VALUE(vec_id) OVER (ORDER BY m DESC, vec_id) AS pick, FIRST_VALUE(e) OVER (ORDER BY m DESC, vec_id) AS pe FROM d) WHERE step < 24)
+SELECT vec_id FROM d WHERE step = 24 AND m = -1""")
 def diverse_frames(fx):
     return curation.diverse_subset(fx.table("embeddings"))
 

@@ -15,6 +15,7 @@ from rallyframe.functions import scalars as S
 from rallyframe.operators import momentum, stats
 from rallyframe.operators.points import rows_in_points
 from rallyframe.operators.scan import Agg, row_numbers, scan
+from rallyframe.session import pin
 
 ON = ["match_id", "owner"]
 
@@ -66,13 +67,11 @@ def profile(points: DataFrame, shots: DataFrame, coverage: DataFrame | None = No
                                              F.sum("n").alias("n"), F.min("dseen").alias("seen"))
     top = top.groupBy(*ON).agg(F.sort_array(F.collect_list(F.struct(
         "seen", "shot_type", "n", F.col("d.direction").alias("direction"), F.col("d.pct").alias("pct")))).alias("dirs"))
-    by_type = stats.rebuilt_errors_by_type(points, shots) if rebuilt else stats.errors_by_type(points, shots)
-    first = stats.shot_error_attribution(points, shots).groupBy(*ON, stats.shot_type().alias("shot_type")).agg(F.min("frame_idx").alias("at")) if rebuilt else \
-        stats.with_last_shot(points, shots).filter(F.col("end_reason").isin("OUT", "NET")).groupBy(
-            "match_id", F.col("last_owner").alias("owner"), stats.shot_type("last_type").alias("shot_type")).agg(F.min("point_idx").alias("at"))
-    errs = by_type.join(first, [*ON, "shot_type"]).groupBy(*ON).agg(F.sort_array(F.collect_list(F.struct(
-        "at", "shot_type", "errors", pct("rate").alias("rate"), F.col("made")))).alias("errors"))
-    by_rally = stats.rebuilt_errors_by_rally(points, shots) if rebuilt else stats.errors_by_rally(points, shots)
+    last = None if rebuilt else pin(stats.with_last_shot(points, shots))
+    by_type = stats.rebuilt_errors_by_type(points, shots) if rebuilt else stats.errors_by_type(points, shots, last)
+    errs = by_type.groupBy(*ON).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("first_at").alias("at"), "shot_type", "errors", pct("rate").alias("rate"), "made"))).alias("errors"))
+    by_rally = stats.rebuilt_errors_by_rally(points, shots) if rebuilt else stats.errors_by_rally(points, shots, last)
     one = lambda b, c: F.max(F.when(F.col("bucket") == b, c))
     tags = {"1-3": "r1", "4-6": "r4", "7-9": "r7", "10+": "r10"}
     rally = by_rally.groupBy(*ON).agg(*[one(b, pct("rate")).alias(f"{t}_rate") for b, t in tags.items()],

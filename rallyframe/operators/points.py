@@ -10,6 +10,7 @@ from rallyframe import constants as K
 from rallyframe.functions import scalars as S
 from rallyframe.operators.greedy import islands, runs
 from rallyframe.operators.scan import Agg, join_in_span, row_numbers, span_buckets
+from rallyframe.session import pin
 
 KEY = ["match_id"]
 
@@ -48,6 +49,7 @@ def point_events(events: DataFrame, min_events: int = K.MIN_POINT_EVENTS, keys:
     d = rally_sessions(events, keys, size=size,
                        _pb=Agg("last", "before", F.when(bounce, F.struct("frame_idx", "court_side"))),
                        _ph=Agg("last", "before", F.when(~bounce, F.col("frame_idx"))))
+    d = pin(d)  # read twice below; events are few compared with frames
     serve = d.groupBy(*keys, "rally_start").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.when(~bounce, F.col("frame_idx"))).alias("serve_frame"))
     d = d.join(serve.filter((F.col("_n") >= min_events) & F.col("serve_frame").isNotNull()).drop("_n"), [*keys, "rally_start"])
@@ -77,6 +79,7 @@ def segment_points(events: DataFrame, fps: float, homography: DataFrame | None =
     g = g.withColumn("serve_zone", zone).withColumn(
         "serve_fault_type", F.when(F.col("_b").isNotNull() & zone.isNull(), S.serve_fault("_b.cx", "_b.cy", target)))
     g = g.withColumn("end_reason", S.when_chain([(F.col("_out"), "OUT"), (F.col("_double"), "DOUBLE_BOUNCE")], "BALL_LOST"))
+    g = pin(g)
     if homography is not None:
         cost = first_overlap(g, low_confidence_runs(homography, keys=keys, size=size), keys)
         g = g.join(cost, [*keys, "start_frame", "end_frame"], "left")

@@ -3,52 +3,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from rallyframe.operators.scan import Agg, scan
 
+STEPS = 4096
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                buckets: int = BUCKETS) -> DataFrame:
-    """One row per key with a column per probability (linear interpolation between ranks).
 
-    Equal values are counted first (map-side combined). The distinct values of a key are cut into
-    equal-width buckets between its minimum and maximum; bucket counts give the rank at which each
-    bucket starts, and only the windows inside a bucket are ordered.
+def magnitude_bucket(v: Column, steps: int = STEPS) -> Column:
+    """Order-preserving bucket of a double: ``steps`` equal buckets per power of two, both signs.
+
+    Needs no knowledge of the data, so values of any range spread over buckets.
+    """
+    size = F.abs(v)
+    e = F.floor(F.log2(size))
+    key = (e + 1100) * steps + F.floor((size / F.pow(F.lit(2.0), e) - 1) * steps)
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("bigint") * key)
+
+
+def distribution(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], prefix: str = "",
+                 steps: int = STEPS) -> DataFrame:
+    """Count, mean, maximum and exact percentiles per key (keys without values give no row).
+
+    Equal values are counted first (map-side combined). The distinct values of a key are ranked by a
+    chunked running sum over magnitude buckets, so no task orders a whole key.
     """
     keys = list(keys)
-    v = F.col("_v")
     counted = (df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
                .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m")))
-    ends = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                      F.sum("_m").alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    placed = counted.join(ends, keys).withColumn(
-        "_b", F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width), F.lit(buckets - 1)))
-        .otherwise(F.lit(0)).cast("int"))
-    # spread a hot key over its buckets before ordering inside them
-    placed = placed.repartition(*keys, "_b")
-    per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("_m").alias("_bm"))
-    starts = per_bucket.select(*keys, "_b", F.coalesce(F.sum("_bm").over(
-        Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_start"))
-    w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (placed.join(starts, [*keys, "_b"])
-              .withColumn("_upto", F.col("_start") + F.sum("_m").over(w)))
-    out: list[Column] = []
+    ranked = scan(counted, keys, ["_v"], chunk=magnitude_bucket(F.col("_v"), steps),
+                  _upto=Agg("sum", "upto", F.col("_m")), _n=Agg("sum", "all", F.col("_m")))
+    ends = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)
-        out.append(_value_at(F.floor(pos)).alias(f"_a_{name}"))
-        out.append(_value_at(F.ceil(pos)).alias(f"_z_{name}"))
-    picked = ranked.groupBy(*keys).agg(F.first("_n").alias("_n"), *out)
-    result = []
+        ends += [_value_at(F.floor(pos)).alias(f"_a_{name}"), _value_at(F.ceil(pos)).alias(f"_z_{name}")]
+    g = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), F.sum(F.col("_v") * F.col("_m")).alias("_sum"), F.max("_v").alias("_max"), *ends)
+    out = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)
-        frac = pos - F.floor(pos)
         a, z = F.col(f"_a_{name}"), F.col(f"_z_{name}")
-        result.append((a + (z - a) * frac).alias(name))
-    return picked.select(*keys, *result)
+        out.append((a + (z - a) * (pos - F.floor(pos))).alias(f"{prefix}{name}"))
+    return g.select(*keys, F.col("_n").alias(f"{prefix}n"), (F.col("_sum") / F.col("_n")).alias(f"{prefix}mean"),
+                    F.col("_max").alias(f"{prefix}max"), *out)
 
 
 def _value_at(rank: Column) -> Column:
@@ -57,11 +54,11 @@ def _value_at(rank: Column) -> Column:
     return F.max(F.when(inside, F.col("_v")))
 
 
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], steps: int = STEPS) -> DataFrame:
+    """One row per key with a column per probability."""
+    return distribution(df, keys, value, probs, steps=steps).select(*keys, *probs)
+
+
 def summarise(df: DataFrame, keys: Sequence[str], value: str, prefix: str = "") -> DataFrame:
-    """Mean, median, p90, p95 and maximum per key (keys without values give no row)."""
-    keys = list(keys)
-    simple = (df.filter(F.col(value).isNotNull()).groupBy(*keys)
-              .agg(F.avg(value).alias(f"{prefix}mean"), F.max(value).alias(f"{prefix}max"),
-                   F.count(value).alias(f"{prefix}n")))
-    ranks = percentiles(df, keys, value, {f"{prefix}median": 0.5, f"{prefix}p90": 0.9, f"{prefix}p95": 0.95})
-    return simple.join(ranks, keys)
+    """Mean, median, p90, p95 and maximum per key."""
+    return distribution(df, keys, value, {"median": 0.5, "p90": 0.9, "p95": 0.95}, prefix)

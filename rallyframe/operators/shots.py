@@ -12,6 +12,7 @@ from rallyframe.operators.greedy import debounce
 from rallyframe.operators.players import nearest
 from rallyframe.operators.scan import Agg, bounded, scan
 from rallyframe.operators.tracking import ema_observed
+from rallyframe.session import pin
 
 KEY = ["match_id"]
 
@@ -40,7 +41,7 @@ def contact_candidates(physics: DataFrame, keys: Sequence[str] = KEY, alpha: flo
 def detect_contacts(physics: DataFrame, players: DataFrame, keys: Sequence[str] = KEY, start_sec: float = 0.0,
                     size: int | None = None) -> DataFrame:
     """Contacts with owner, direction, speed and side."""
-    d = debounce(contact_candidates(physics, keys, size=size), keys, "frame_idx", K.COOLDOWN, size=size)
+    d = debounce(pin(contact_candidates(physics, keys, size=size)), keys, "frame_idx", K.COOLDOWN, size=size)
     d = own(d, players, "sx", "sy", keys)
     moved = (F.abs("vx") > 0.01) | (F.abs("vy") > 0.01)
     return d.select(*keys, "frame_idx", S.frame_seconds("frame_idx", "fps", start_sec).alias("timestamp_sec"), "owner",

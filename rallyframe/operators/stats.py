@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rallyframe import constants as K
 from rallyframe.functions import scalars as S
 from rallyframe.operators.points import rows_in_points
-from rallyframe.operators.quantiles import percentiles, summarise
+from rallyframe.operators.quantiles import distribution, percentiles, summarise
 from rallyframe.operators.scan import Agg, join_in_span, scan
 
 KEY = ["match_id"]
@@ -92,18 +92,22 @@ def point_winners(points: DataFrame, shots: DataFrame, unknown: str | None = "pl
     return d.withColumn("winner", winner_of(F.col("last_owner"), F.col("end_reason").isin("OUT", "NET"), unknown))
 
 
-def errors_by_type(points: DataFrame, shots: DataFrame) -> DataFrame:
-    """Points lost by a player's own last shot, per shot type, against all shots of that type."""
-    e = with_last_shot(points, shots).filter(F.col("end_reason").isin("OUT", "NET") & F.col("last_owner").isNotNull())
-    e = e.groupBy("match_id", F.col("last_owner").alias("owner"), shot_type("last_type").alias("shot_type")).agg(F.count(F.lit(1)).alias("errors"))
+def errors_by_type(points: DataFrame, shots: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """Points lost by a player's own last shot, per shot type, against all shots of that type.
+
+    ``last`` is ``with_last_shot(points, shots)`` when the caller already has it.
+    """
+    e = (last if last is not None else with_last_shot(points, shots)).filter(F.col("end_reason").isin("OUT", "NET") & F.col("last_owner").isNotNull())
+    e = e.groupBy("match_id", F.col("last_owner").alias("owner"), shot_type("last_type").alias("shot_type")).agg(
+        F.count(F.lit(1)).alias("errors"), F.min("point_idx").alias("first_at"))
     made = shots.groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(F.lit(1)).alias("made"))
     return e.join(made, ["match_id", "owner", "shot_type"], "left").withColumn(
         "rate", S.percent("errors", F.greatest(F.coalesce("made", F.lit(1)), F.lit(1))))
 
 
-def errors_by_rally(points: DataFrame, shots: DataFrame) -> DataFrame:
+def errors_by_rally(points: DataFrame, shots: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """Same errors per rally length class, against all points of the class."""
-    d = with_last_shot(points, shots).withColumn("bucket", S.rally_bucket("rally_hit_count"))
+    d = (last if last is not None else with_last_shot(points, shots)).withColumn("bucket", S.rally_bucket("rally_hit_count"))
     e = d.filter(F.col("end_reason").isin("OUT", "NET") & F.col("last_owner").isNotNull()) \
         .groupBy("match_id", F.col("last_owner").alias("owner"), "bucket").agg(F.count(F.lit(1)).alias("errors"))
     total = points.groupBy("match_id", S.rally_bucket("rally_hit_count").alias("bucket")).agg(F.count(F.lit(1)).alias("played"))
@@ -211,7 +215,8 @@ def shot_error_attribution(points: DataFrame, shots: DataFrame, within: float =
 
 def rebuilt_errors_by_type(points: DataFrame, shots: DataFrame) -> DataFrame:
     made = shots.groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(F.lit(1)).alias("made"))
-    e = shot_error_attribution(points, shots).groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(F.count(F.lit(1)).alias("errors"))
+    e = shot_error_attribution(points, shots).groupBy("match_id", "owner", shot_type().alias("shot_type")).agg(
+        F.count(F.lit(1)).alias("errors"), F.min("frame_idx").alias("first_at"))
     return e.join(made, ["match_id", "owner", "shot_type"]).withColumn("rate", S.percent("errors", "made"))
 
 
@@ -308,7 +313,7 @@ def rally_structure(points: DataFrame, hits: DataFrame) -> DataFrame:
     p = points.groupBy("match_id").agg(F.avg("rally_hit_count").alias("avg_hits"), F.avg(F.when(span > 0, span)).alias("avg_duration"),
                                        F.avg(F.when(span > 0, F.col("rally_hit_count") / span)).alias("hits_per_sec"))
     i = inter_hit(hits)
-    t = i.groupBy("match_id").agg(F.avg("interval").alias("mean_inter_hit")).join(percentiles(i, KEY, "interval", {"p95_inter_hit": 0.95}), KEY)
+    t = distribution(i, KEY, "interval", {"p95_inter_hit": 0.95}).select("match_id", F.col("mean").alias("mean_inter_hit"), "p95_inter_hit")
     return p.join(t, KEY, "left")
 
 

@@ -128,7 +128,7 @@ def bounce_call_at_frame(fx):
 
 @query("error_by_shot_type", "AG-04", "SELECT match_id, owner, shot_type, errors, made, ROUND(rate, 6) AS rate FROM o_errtype")
 def error_by_shot_type(fx):
-    return rounded(stats.errors_by_type(fx.points, fx.shots))
+    return rounded(stats.errors_by_type(fx.points, fx.shots), "first_at")
 
 
 @query("error_by_rally", "AG-05", "SELECT match_id, owner, bucket, errors, played, ROUND(rate, 6) AS rate FROM o_errrally")
@@ -202,7 +202,7 @@ def rebuilt_players(fx):
 WITH e AS (SELECT s.match_id, s.owner, COALESCE(s.shot_type, 'unknown') AS shot_type, COUNT(*) AS errors FROM fx_shots s WHERE EXISTS (SELECT 1 FROM o_rebuilt p WHERE p.match_id = s.match_id AND p.is_error AND p.hitter = s.owner AND abs(s.timestamp_sec - p.end_sec) < 1.5) GROUP BY 1, 2, 3)
 SELECT e.match_id, e.owner, e.shot_type, m.n AS made, e.errors, ROUND(e.errors * 100.0::DOUBLE / m.n, 6) AS rate FROM e JOIN o_mix m ON m.match_id = e.match_id AND m.owner = e.owner AND m.shot_type = e.shot_type""")
 def rebuilt_error_rates(fx):
-    return rounded(stats.rebuilt_errors_by_type(fx.points, fx.shots))
+    return rounded(stats.rebuilt_errors_by_type(fx.points, fx.shots), "first_at")
 
 
 @query("rebuilt_error_by_rally", "AG-14", """

@@ -83,11 +83,12 @@ def test_runs_need_neighbours(spark):
     assert got == {(1, 3, 3), (5, 5, 1), (8, 9, 2)}
 
 
-def test_percentiles_equal_numpy(spark):
+@pytest.mark.parametrize("steps", [1, 4096])
+def test_percentiles_equal_numpy(spark, steps):
     rng = np.random.default_rng(3)
-    groups = {"a": rng.normal(size=400).round(1), "b": np.repeat(4.0, 7), "c": rng.integers(0, 5, 90).astype(float), "d": np.array([1.0, 2.0, 10.0])}
+    groups = {"a": rng.normal(size=400).round(1), "b": np.repeat(4.0, 7), "c": rng.integers(0, 5, 90).astype(float), "d": np.array([1.0, 2.0, 10.0]), "e": np.array([0.0, -8.0, 8.0, 4.0, -1e-9, 1e12, 7.999999, 0.5])}
     df = frames(spark, [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None)], "k STRING, v DOUBLE")
-    got = {r.k: r for r in quantiles.percentiles(df, ["k"], "v", {"p50": .5, "p90": .9, "p95": .95}, buckets=16).collect()}
+    got = {r.k: r for r in quantiles.percentiles(df, ["k"], "v", {"p50": .5, "p90": .9, "p95": .95}, steps=steps).collect()}
     for k, vs in groups.items():
         assert got[k].p50 == pytest.approx(np.percentile(vs, 50)) and got[k].p90 == pytest.approx(np.percentile(vs, 90)) and got[k].p95 == pytest.approx(np.percentile(vs, 95))
     assert got["d"].p90 == pytest.approx(8.4)

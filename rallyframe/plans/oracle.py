@@ -432,3 +432,12 @@ WITH w AS (
    {_N0.format('d.pct')} || '% of ' || d.shot_type || 's go ' || replace(d.direction, '_', ' '), 0, LEAST(d.pct / 100, 0.8)
   FROM o_players2 p JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY n DESC, shot_type) AS f FROM o_topdir WHERE shot_type NOT IN ('neutral', 'serve', 'unknown')) d ON d.match_id = p.match_id AND d.owner = p.owner AND d.f = 1 WHERE d.pct > 70 AND d.direction <> 'unknown')
 SELECT match_id, owner, CAST(ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY severity DESC, rule) AS INTEGER) AS weakness_no, description, data_point, CAST(points_cost AS BIGINT) AS points_cost, CAST(severity AS DOUBLE) AS severity FROM w"""
+
+CTES["o_rerr"] = """
+SELECT s.match_id, s.owner, COALESCE(s.shot_type, 'unknown') AS shot_type, COUNT(*) AS errors, MIN(s.frame_idx) AS at, ANY_VALUE(m.n) AS made, ROUND(COUNT(*) * 100.0::DOUBLE / ANY_VALUE(m.n), 1) AS rate
+FROM fx_shots s JOIN o_mix m ON m.match_id = s.match_id AND m.owner = s.owner AND m.shot_type = COALESCE(s.shot_type, 'unknown')
+WHERE EXISTS (SELECT 1 FROM o_rebuilt p WHERE p.match_id = s.match_id AND p.is_error AND p.hitter = s.owner AND abs(s.timestamp_sec - p.end_sec) < 1.5) GROUP BY 1, 2, 3"""
+
+CTES["o_rrally"] = """
+WITH b AS (SELECT r.*, k.bucket FROM o_rebuilt r JOIN o_bucketed k ON k.match_id = r.match_id AND k.point_idx = r.point_idx), t AS (SELECT match_id, bucket, COUNT(*) AS played FROM b GROUP BY 1, 2)
+SELECT b.match_id, b.hitter AS owner, b.bucket, COUNT(*) AS errors, ROUND(COUNT(*) * 100.0::DOUBLE / ANY_VALUE(t.played), 1) AS rate FROM b JOIN t ON t.match_id = b.match_id AND t.bucket = b.bucket WHERE is_error GROUP BY 1, 2, 3"""

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rallyframe.operators import momentum, narrative, points, stats
+from rallyframe.operators import momentum, narrative, stats
 from rallyframe.plans.oracle import _N0
 from rallyframe.plans.q_sequences import _STREAK
 from rallyframe.plans.q_stats import Tables, rounded
@@ -157,24 +157,6 @@ def fallback_cards(fx):
     return narrative.fallback_cards(Tables(fx).serve_points)
 
 
-@query("run_insights", "NA-10 AG-22 AG-23 AG-24")
-def run_insights(fx):
-    t = Tables(fx)
-    run = stats.run_statistics(pin(t.frame_table), t.located)
-    return narrative.run_insights(run, stats.event_statistics(t.events), stats.point_statistics(t.serve_points).drop("avg_confidence"))
-
-
-@query("rebuilt_cards", "NA-11")
-def rebuilt_cards(fx):
-    c = narrative.rebuilt_cards(_profile(fx, rebuilt=True, coverage=_coverage(fx)), stats.pattern_top(fx.shots))
-    return c.withColumn("tendencies", F.array_join("tendencies", " "))
-
-
-@query("rebuilt_weaknesses", "NA-11")
-def rebuilt_weaknesses(fx):
-    return narrative.rebuilt_weaknesses(_profile(fx, rebuilt=True))
-
-
 @query("match_stories", "NA-13", """
 WITH t AS (SELECT *, n * 100.0::DOUBLE / SUM(n) OVER (PARTITION BY match_id, owner) AS share, ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY n DESC, seen) AS k FROM o_mix),
 r AS (SELECT match_id, owner, COALESCE(MAX(ROUND(rate, 1)) FILTER (bucket = '7-9'), MAX(ROUND(rate, 1)) FILTER (bucket = '10+')) AS lr FROM o_errrally GROUP BY 1, 2)
@@ -204,7 +186,68 @@ def point_sentences(fx):
     return narrative.point_sentences(Tables(fx).serve_points, fx.shots, pin(_profile(fx)))
 
 
-@query("weakness_context", "NA-16")
+_P2 = "regexp_replace(printf('%.2f', ROUND({} * 100, 2)), '([.][0-9])0$', '\\1')"
+
+
+@query("run_insights", "NA-10 AG-22 AG-23 AG-24", f"""
+WITH r AS (SELECT match_id, COUNT(*) AS n, COUNT(*) FILTER (reliable) AS rel, AVG(error) AS err, COUNT(px) AS ball, AVG(speed) AS sp, MAX(speed) AS mx, COUNT(*) FILTER (has_b) AS b FROM o_frame GROUP BY 1),
+d AS (SELECT match_id, COUNT(*) AS raw, COUNT(*) FILTER (inside) AS kept FROM o_located GROUP BY 1),
+e AS (SELECT match_id, COUNT(*) FILTER (event_type = 'bounce') AS bo, COUNT(*) FILTER (event_type = 'hit') AS hi, COUNT(*) FILTER (in_out = 'in') AS i, COUNT(*) FILTER (in_out = 'out') AS o FROM o_events GROUP BY 1),
+p AS (SELECT match_id, COUNT(*) AS np, AVG(rally_hit_count) AS ah, COUNT(serve_fault_type) AS f FROM o_serve GROUP BY 1)
+SELECT r.match_id, {_PART.format(f"CASE WHEN rel / n::DOUBLE >= 0.85 THEN 'Court detection is strong: ' || rel || '/' || n || ' frames (' || {_P2.format('rel / n::DOUBLE')} || '%) have reliable homography with ' || {_N1.format('err')} || 'px avg reprojection error.' ELSE 'Court detection may need attention: only ' || rel || '/' || n || ' frames (' || {_P2.format('rel / n::DOUBLE')} || '%) have reliable homography.' END, 'Ball speed: avg ' || {_N0.format('sp * 3.6')} || ' km/h, max ' || {_N0.format('mx * 3.6')} || ' km/h (capped at 80.0 m/s to exclude artifacts).', CASE WHEN ball / n::DOUBLE < 0.5 THEN 'Ball detection rate is low (' || {_P2.format('ball / n::DOUBLE')} || '%). This segment may contain replays, close-ups, or poor visibility.' ELSE 'Ball detected in ' || ball || '/' || n || ' frames (' || {_P2.format('ball / n::DOUBLE')} || '%).' END, CASE WHEN b / n::DOUBLE < 0.3 THEN 'Far-side player (B) detected in only ' || {_P2.format('b / n::DOUBLE')} || '% of frames — typical for broadcast camera angles where the far player appears small.' END, CASE WHEN raw > kept THEN 'Court boundary filter removed ' || (raw - kept) || ' non-player detections (' || {_P2.format('(raw - kept) / raw::DOUBLE')} || '% noise — spectators, ball boys, umpires).' END, 'Event detection found ' || bo || ' bounces and ' || hi || ' hits in this segment.', CASE WHEN bo > 0 THEN 'Bounce classification: ' || i || ' in, ' || o || ' out — using singles court polygon with 20-unit line margin.' END, 'Point segmentation found ' || np || ' point(s) with avg ' || {_N1.format('ah')} || ' hits per rally.', CASE WHEN f > 0 THEN 'Serve faults: ' || f || '.' END")} AS insights
+FROM r JOIN d ON d.match_id = r.match_id JOIN e ON e.match_id = r.match_id JOIN p ON p.match_id = r.match_id""")
+def run_insights(fx):
+    t = Tables(fx)
+    run = stats.run_statistics(pin(t.frame_table), t.located)
+    return narrative.run_insights(run, stats.event_statistics(t.events), stats.point_statistics(t.serve_points).drop("avg_confidence"))
+
+
+@query("rebuilt_cards", "NA-11", f"""
+WITH t AS (SELECT *, ROUND(n * 100.0::DOUBLE / SUM(n) OVER (PARTITION BY match_id, owner), 1) AS pct, ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY n DESC, seen) AS k FROM o_mix),
+d AS (SELECT p.match_id, p.owner, string_agg(p.name || '''s ' || shot_type || ' goes ' || replace(direction, '_', ' ') || ' ' || printf('%.1f', pct) || '% of the time.', ' ' ORDER BY seen) AS txt FROM o_topdir d JOIN o_players2 p ON p.match_id = d.match_id AND p.owner = d.owner WHERE pct >= 55 GROUP BY 1, 2),
+b AS (SELECT *, ROUND(n * 100.0::DOUBLE / SUM(n) OVER (PARTITION BY match_id, owner), 1) AS pct, ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY n DESC, seen) AS k FROM o_dirs),
+w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY o_rerr.at DESC) AS k FROM o_rerr WHERE rate >= 30 AND errors >= 2),
+zz AS (SELECT match_id, serve_player AS owner, COALESCE(serve_zone, 'unknown') AS zone, COUNT(*) AS n, ROUND(AVG(CASE WHEN winner = serve_player THEN 100.0::DOUBLE ELSE 0 END), 1) AS win, MIN(point_idx) AS zs FROM o_rebuilt GROUP BY 1, 2, 3),
+z AS (SELECT match_id, owner, string_agg(zone || ': ' || n, ', ' ORDER BY zs) AS parts FROM zz GROUP BY 1, 2), zb AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY win DESC, zs) AS k FROM zz),
+c AS (SELECT match_id, owner, SUM(d) AS dist, AVG(ball_cx) AS cx, AVG(ball_cy) AS cy FROM (SELECT *, sqrt(POWER(ball_cx - LAG(ball_cx) OVER w, 2) + POWER(ball_cy - LAG(ball_cy) OVER w, 2)) AS d FROM fx_shots WINDOW w AS (PARTITION BY match_id, owner ORDER BY frame_idx)) GROUP BY 1, 2)
+SELECT p.match_id, p.owner, {_PART.format("p.name || ' primarily uses ' || t.shot_type || 's (' || printf('%.1f', t.pct) || '% of all shots).', d.txt, p.name || '''s most frequent pattern is ' || b.shot_type || ' ' || replace(b.direction, '_', ' ') || ' (' || printf('%.1f', b.pct) || '% of shots).'")} AS tendencies,
+  COALESCE('Attack ' || p.name || '''s ' || w.shot_type || ' — ' || {_N0.format('w.rate')} || '% error rate (' || w.errors || ' errors this match). Force them to that wing in key moments.', '') AS exploit_plan,
+  'Serve zones: ' || z.parts || '. Best zone: ' || replace(zb.zone, '_', ' ') || ' (' || printf('%.1f', zb.win) || '% win rate).' AS serve_summary,
+  p.name || ' covered ' || CAST(floor(c.dist) AS BIGINT) || ' court units. Average position: (' || CAST(floor(c.cx) AS BIGINT) || ', ' || CAST(floor(c.cy) AS BIGINT) || ').' AS coverage_summary
+FROM o_players2 p JOIN t ON t.match_id = p.match_id AND t.owner = p.owner AND t.k = 1 LEFT JOIN d ON d.match_id = p.match_id AND d.owner = p.owner JOIN b ON b.match_id = p.match_id AND b.owner = p.owner AND b.k = 1 LEFT JOIN w ON w.match_id = p.match_id AND w.owner = p.owner AND w.k = 1
+JOIN z ON z.match_id = p.match_id AND z.owner = p.owner JOIN zb ON zb.match_id = p.match_id AND zb.owner = p.owner AND zb.k = 1 JOIN c ON c.match_id = p.match_id AND c.owner = p.owner""")
+def rebuilt_cards(fx):
+    c = narrative.rebuilt_cards(_profile(fx, rebuilt=True, coverage=_coverage(fx)), stats.pattern_top(fx.shots))
+    return c.withColumn("tendencies", F.array_join("tendencies", " "))
+
+
+@query("rebuilt_weaknesses", "NA-11", f"""
+WITH x AS (
+ SELECT e.match_id, e.owner, 0 AS g, e.at AS o, p.name || '''s ' || shot_type || ' breaks down under pressure — ' || {_N0.format('rate')} || '% error rate (' || errors || ' errors from ' || made || ' attempts). Target their ' || shot_type || ' side in critical points.' AS description,
+   errors || ' errors / ' || made || ' ' || shot_type || 's (' || {_N0.format('rate')} || '% error rate)' AS data_point, errors AS points_cost, rate AS v FROM o_rerr e JOIN o_players2 p ON p.match_id = e.match_id AND p.owner = e.owner WHERE rate >= 30 AND errors >= 2
+ UNION ALL SELECT d.match_id, d.owner, 1, d.seen, p.name || ' telegraphs their ' || shot_type || ' — ' || {_N0.format('pct')} || '% go ' || replace(direction, '_', ' ') || '. Opponent can position early and attack the predictable pattern.', {_N0.format('pct')} || '% of ' || shot_type || 's go ' || replace(direction, '_', ' '), 0, pct
+  FROM o_topdir d JOIN o_players2 p ON p.match_id = d.match_id AND p.owner = d.owner WHERE pct >= 75
+ UNION ALL SELECT r.match_id, r.owner, 2, CASE bucket WHEN '1-3' THEN 0 WHEN '4-6' THEN 1 WHEN '7-9' THEN 2 ELSE 3 END, p.name || '''s error rate spikes in ' || bucket || '-shot rallies (' || {_N0.format('rate')} || '%). Extend rallies to exploit this.', {_N0.format('rate')} || '% error rate in ' || bucket || '-shot rallies', errors, rate
+  FROM o_rrally r JOIN o_players2 p ON p.match_id = r.match_id AND p.owner = r.owner WHERE rate >= 50 AND errors >= 2)
+SELECT match_id, owner, CAST(ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY ROUND(LEAST(v / 100, 1.0), 3) DESC, g, o) AS INTEGER) AS weakness_no, description, data_point, CAST(points_cost AS BIGINT) AS points_cost, ROUND(LEAST(v / 100, 1.0), 3) AS severity FROM x""")
+def rebuilt_weaknesses(fx):
+    return narrative.rebuilt_weaknesses(_profile(fx, rebuilt=True))
+
+
+_J0 = "CAST(CAST(round({}) AS BIGINT) AS VARCHAR)"
+
+
+@query("weakness_context", "NA-16", f"""
+WITH w AS (SELECT match_id, owner, CAST(u.n AS INTEGER) AS weakness_no, u.d AS description FROM o_players2 CROSS JOIN (VALUES (1, 'Backhand breaks down'), (2, 'Loses long rallies'), (3, 'Forehand and serve')) AS u(n, d)),
+r AS (SELECT match_id, owner, COALESCE(MAX(ROUND(rate, 1)) FILTER (bucket = '7-9'), MAX(ROUND(rate, 1)) FILTER (bucket = '10+')) AS lr, MAX(ROUND(rate, 1)) FILTER (bucket = '1-3') AS sr FROM o_errrally GROUP BY 1, 2)
+SELECT w.match_id, w.owner, w.weakness_no, CASE weakness_no WHEN 1 THEN {_PART.format(f"'-> ' || {_J0.format('ROUND(b.rate, 1)')} || '% error rate on backhands overall', '-> Goes ' || replace(d.direction, '_', ' ') || ' ' || {_J0.format('d.pct')} || '% of the time - predictable'")}
+  WHEN 2 THEN {_PART.format(f"'-> ' || {_J0.format('r.lr')} || '% error rate in rallies longer than 7 shots', '-> Only ' || {_J0.format('r.sr')} || '% error rate in short rallies - big contrast'")}
+  ELSE {_PART.format(f"'-> ' || {_J0.format('ROUND(f.rate, 1)')} || '% error rate on forehands overall', CASE WHEN s.first_serve_pct > 0 THEN '-> First serve in: ' || {_J0.format('ROUND(s.first_serve_pct, 1)')} || '%' END, CASE WHEN s.double_faults > 0 THEN '-> Double faults this match: ' || s.double_faults END")} END AS context
+FROM w LEFT JOIN o_errtype b ON b.match_id = w.match_id AND b.owner = w.owner AND b.shot_type = 'backhand' LEFT JOIN o_errtype f ON f.match_id = w.match_id AND f.owner = w.owner AND f.shot_type = 'forehand'
+LEFT JOIN o_topdir d ON d.match_id = w.match_id AND d.owner = w.owner AND d.shot_type = 'backhand' LEFT JOIN r ON r.match_id = w.match_id AND r.owner = w.owner JOIN o_servesum s ON s.match_id = w.match_id AND s.owner = w.owner""")
 def weakness_context(fx):
+    """Context of three descriptions per player that touch every rule."""
     prof = pin(_profile(fx))
-    return narrative.weakness_context(narrative.weakness_report(prof), prof)
+    texts = F.array(F.lit("Backhand breaks down"), F.lit("Loses long rallies"), F.lit("Forehand and serve"))
+    w = prof.select("match_id", "owner", F.posexplode(texts).alias("_n", "description")).withColumn("weakness_no", F.col("_n") + 1).drop("_n")
+    return narrative.weakness_context(w, prof)

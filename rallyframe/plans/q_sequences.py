@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rallyframe.functions import scalars as S
 from rallyframe.operators import curation, history, momentum, points, stats
 from rallyframe.plans.q_stats import Tables, rounded
 from rallyframe.plans.registry import query

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 CHUNK = 8192
 
@@ -66,7 +66,7 @@ def _agg(kind: str, value: Column) -> Column:
     return F.last(value, ignorenulls=True) if kind == "last" else F.first(value, ignorenulls=True)
 
 
-def _pick(df: DataFrame, a: Agg, rank: Column, name: str) -> tuple[list[Column], Column]:
+def _pick(a: Agg, kind: DataType, rank: Column, name: str) -> tuple[list[Column], Column]:
     """Aggregates for the last/first value of a chunk and the expression that puts it together.
 
     Struct values are taken field by field, so the aggregation buffers stay fixed-width and Spark can
@@ -74,7 +74,6 @@ def _pick(df: DataFrame, a: Agg, rank: Column, name: str) -> tuple[list[Column],
     """
     pick, ends = (F.max_by, F.max) if a.kind == "last" else (F.min_by, F.min)
     where = F.when(a.value.isNotNull(), rank)
-    kind = df.select(a.value.alias("v")).schema["v"].dataType
     if not isinstance(kind, StructType):
         return [pick(a.value, where).alias(name)], F.col(name)
     cols = [pick(a.value[f.name], where).alias(f"{name}_{f.name}") for f in kind]
@@ -90,8 +89,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
     ``order`` is a unique order inside a key, ``chunk`` a number that never decreases along it (a
     ``_chunk`` column left by ``bounded`` is used as it is).
     """
-    keys, order = list(keys), list(order)
-    if "_chunk" in df.columns and chunk is None:
+    keys, order, columns = list(keys), list(order), df.columns
+    if "_chunk" in columns and chunk is None:
         d = rows = df
     else:
         d = df.withColumn("_chunk", chunk if chunk is not None else frame_chunk(order[0], size))
@@ -103,6 +102,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
               "after": desc.rowsBetween(start, -1), "from": desc.rowsBetween(start, 0)}
     rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
 
+    picked = {n: a.value for n, a in aggs.items() if a.kind in ("last", "first")}
+    kinds = {f.name: f.dataType for f in d.select(*[v.alias(n) for n, v in picked.items()]).schema} if picked else {}
     summary_cols, whole_cols, carry_cols, local_cols, out_cols = [], [], [], [], []
     casc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(start, -1)
     cdesc = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(start, -1)
@@ -111,7 +112,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
         backward = a.span in ("after", "from")
         s, c, loc = f"_s_{name}", f"_c_{name}", f"_l_{name}"
         if a.kind in ("last", "first"):
-            parts, whole = _pick(d, a, rank, s)
+            parts, whole = _pick(a, kinds[name], rank, s)
             summary_cols += parts
             whole_cols.append(whole.alias(s))
         else:
@@ -147,7 +148,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
              .select(*keys, "_chunk", *carry_cols))
     local = rows.select("*", *local_cols)
     return (local.join(carry, [*keys, "_chunk"], "left")
-            .select(*[F.col(c) for c in df.columns if c not in aggs and c != "_chunk"], *out_cols))
+            .select(*[F.col(c) for c in columns if c not in aggs and c != "_chunk"], *out_cols))
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,

@@ -1,8 +1,10 @@
 """Session settings and reliable materialisation."""
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,20 @@ def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage and continue from there (cuts lineage)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, for functions that run there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as d:
+        kept = Path(d) / "src" / root.name
+        shutil.copytree(root, kept, ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp()) / root.name), "zip", kept.parent)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)

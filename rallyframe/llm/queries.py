@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyframe.llm import chat, langid, pii
+from rallyframe.llm import ann, chat, langid, mtree, pii
 from rallyframe.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,5 @@ def register(name: str, of: str, report: Callable[[DataFrame], DataFrame], sql:
 register("op2_chat_formatting", "conversations", chat.chat_report)
 register("op6_personal_data", "documents", pii.pii_report)
 register("op8_language_id", "documents", langid.language_report)
+register("op7_nearest_neighbours", "embeddings", ann.nearest)
+register("op10_exact_top_k", "embeddings", mtree.top_scores, mtree.oracle())

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyframe.llm import ann, chat, langid, lines, mixing, mtree, pieces, pii
+from rallyframe.llm import ann, chat, jaccard, langid, lines, mixing, mtree, pieces, pii
 from rallyframe.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,7 @@ register("op1_substring_dedup", "documents", lines.line_report, lines.oracle())
 register("op2_chat_formatting", "conversations", chat.chat_report)
 register("op3_source_mixing", "documents", mixing.mix_report)
 register("op4_sentencepiece", "documents", pieces.encode_documents)
+register("op5_jaccard_join", "documents", jaccard.jaccard_report)
 register("op6_personal_data", "documents", pii.pii_report)
 register("op8_language_id", "documents", langid.language_report)
 register("op7_nearest_neighbours", "embeddings", ann.nearest)

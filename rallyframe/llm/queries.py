@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyframe.llm import ann, chat, jaccard, langid, lines, mixing, mtree, pieces, pii
+from rallyframe.llm import ann, chat, jaccard, langid, lines, mixing, mtree, pieces, pii, suffix
 from rallyframe.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,4 +34,5 @@ register("op5_jaccard_join", "documents", jaccard.jaccard_report)
 register("op6_personal_data", "documents", pii.pii_report)
 register("op8_language_id", "documents", langid.language_report)
 register("op7_nearest_neighbours", "embeddings", ann.nearest)
+register("op9_suffix_array_dedup", "documents", suffix.substring_report)
 register("op10_exact_top_k", "embeddings", mtree.top_scores, mtree.oracle())

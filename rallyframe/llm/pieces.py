@@ -23,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, UNKNOWN = "▁", -1
 KNOWN_WORDS, WORDS_AT_ONCE = 1_000_000, 400_000
-ENCODED = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
+ENCODED = [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+           T.StructField("round_trip", T.BooleanType())]
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -264,8 +266,9 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether decoding the ids gives the text back."""
+def encode_documents(docs: DataFrame, path: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids, whether decoding the ids gives the text back, and the columns of ``carry``."""
+    schema = T.StructType(ENCODED + [T.StructField(c, docs.schema[c].dataType) for c in carry])
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,9 +279,9 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
             back = vocab.decode(ids, at)
             same = [x == y.replace(MARK, " ") for x, y in zip(back, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())],
-                names=["doc_id", "n_tokens", "ids", "round_trip"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+                [b.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_()), *[b.column(f"kept_{c}") for c in carry]],
+                names=["doc_id", "n_tokens", "ids", "round_trip", *carry])
+    return docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(f"kept_{c}") for c in carry]).mapInArrow(run, schema)
 
 
 def decode_documents(tokens: DataFrame, path: str = MODEL) -> DataFrame:

@@ -4,8 +4,9 @@ Components become floor(64 * x). One more component brings all vectors to the la
 product is the order by distance, a metric. The rows are dealt to ``CELLS`` routing objects (nearest first) and a cell into
 blocks of at most about ``BLOCK`` rows; each block is an M-tree of pages of ``PAGE`` entries with covering radii and parent
 distances. A query first searches one block of its nearest cell, which gives it a bound, then every block of the cells
-whose radius lets them beat the bound. Within a tree nodes are visited by their smallest possible distance; entries that
-the stored parent distance rules out are never compared.
+whose radius lets them beat the bound. Within a tree the queries of a batch visit pages by their smallest possible distance,
+best first, in waves that tighten their limits; children and entries that the stored parent distance rules out are never
+compared.
 
 Equal vectors are one entry. Null vectors and those with null or non-finite components take no part, nor do null ids; zero
 vectors do. A repeated id is a row of its own; as a query it is asked once, with its smallest vector. Shorter vectors count
@@ -13,8 +14,6 @@ as filled up with zeros. Other columns are not read.
 """
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +23,8 @@ from rallyframe.llm.vectors import BLOCK, QUERY_STEP, TOP, best_of, distinct_vec
 from rallyframe.session import pin
 
 CELLS, PAGE, SCALE = 32, 64, 64
+WAVES = (1, 5)
+NONE = np.iinfo(np.int64).min
 FOUND = "query_id long, vid long, score long"
 EMPTY = "query_id long, rank int, vec_id long, score long"
 
@@ -67,38 +68,69 @@ class Tree:
         return made | {"leaf": False, "kids": kids, "near": np.array([k["up"] for k in kids]), "reach": np.array([k["radius"] for k in kids]),
                        "at": np.array([k["center"] for k in kids])}
 
-    def search(self, q: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the ``TOP + 1`` best scores not below ``bound``; ties go to smaller ids."""
-        point = np.append(q.astype(np.float64), 0.0)
-        base = float(point @ point) + self.longest_sq
-        limit = np.sqrt(max(0.0, base - 2 * bound)) + self.slack if bound > -np.inf else np.inf
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        to_root = float(np.sqrt(((self.points[self.root["center"]] - point) ** 2).sum()))
-        heap, n = [(max(0.0, to_root - self.root["radius"]), 0, to_root, self.root)], 0
-        while heap:
-            least, _, d, node = heapq.heappop(heap)
-            if least > limit:
-                break
+    def leaves(self, node: dict) -> list[dict]:
+        return [node] if node["leaf"] else [x for k in node["kids"] for x in self.leaves(k)]
+
+    def lower_bounds(self, points: np.ndarray, limit: np.ndarray) -> tuple[list[dict], np.ndarray, np.ndarray]:
+        """The leaves, the smallest possible distance of each query to them (infinite where ruled out) and the distances to their
+        objects. Children that the parent distance rules out for all queries are not compared."""
+        found: list[tuple[dict, np.ndarray, np.ndarray]] = []
+
+        def away(at: np.ndarray) -> np.ndarray:
+            c = self.points[at]
+            return np.sqrt(np.maximum(0.0, (points**2).sum(1)[:, None] - 2 * points @ c.T + (c**2).sum(1)))
+
+        def walk(node: dict, d: np.ndarray, low: np.ndarray) -> None:
             if node["leaf"]:
-                rows = node["rows"][np.abs(d - node["near"]) <= limit]
-                if not len(rows):
-                    continue
-                rows = np.concatenate([best_rows, rows])
-                score = np.concatenate([best, product(self.x[rows[len(best):]], q)])
-                order = np.lexsort((self.ids[rows], -score))[:TOP + 1]
-                best_rows, best = rows[order], score[order]
-                if len(best) > TOP:
-                    limit = min(limit, np.sqrt(max(0.0, base - 2.0 * float(best[-1]))) + self.slack)
-            else:
-                near = np.flatnonzero(np.abs(d - node["near"]) - node["reach"] <= limit)
-                if len(near):
-                    away = np.sqrt(np.maximum(0.0, ((self.points[node["at"][near]] - point) ** 2).sum(1)))
-                    for k, far in zip(near, away, strict=True):
-                        low = max(0.0, far - node["reach"][k])
-                        if low <= limit:
-                            n += 1
-                            heapq.heappush(heap, (low, n, far, node["kids"][k]))
-        return best_rows, best
+                found.append((node, low, d))
+                return
+            may = (np.abs(d[:, None] - node["near"]) - node["reach"] <= limit[:, None]) & (low <= limit)[:, None]
+            for k in np.flatnonzero(may.any(0)):
+                far = away(node["at"][k:k + 1])[:, 0]
+                walk(node["kids"][k], far, np.where(may[:, k], np.maximum(low, far - node["reach"][k] - self.slack), np.inf))
+
+        d = away(np.array([self.root["center"]]))[:, 0]
+        walk(self.root, d, np.maximum(0.0, d - self.root["radius"] - self.slack))
+        return [x for x, _, _ in found], np.column_stack([x for _, x, _ in found]) if found else np.zeros((len(points), 0)), np.column_stack([x for _, _, x in found]) if found else np.zeros((len(points), 0))
+
+    def search(self, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, rows and scores of the ``TOP + 1`` best scores not below the bounds; ties go to smaller ids. The queries
+        visit their pages best first, in waves; a wave's scores tighten the limits for the next."""
+        points = np.column_stack([q.astype(np.float64), np.zeros(len(q))])
+        base = (points**2).sum(1) + self.longest_sq
+        limit = np.where(np.isneginf(bound), np.inf, np.sqrt(np.maximum(0.0, base - 2 * np.where(np.isneginf(bound), 0, bound))) + self.slack)
+        pages, low, dist = self.lower_bounds(points, limit)
+        place = np.argsort(np.argsort(low, 1, kind="stable"), 1)
+        score = np.full((len(q), len(self.ids)), NONE)
+        done = 0
+        for until in (*WAVES, len(pages)):
+            asked = (place >= done) & (place < until) & (low <= limit[:, None])
+            done = until
+            for k in np.flatnonzero(asked.any(0)):
+                at = np.flatnonzero(asked[:, k])
+                ok = np.abs(dist[at, k][:, None] - pages[k]["near"]) <= limit[at][:, None]
+                use = ok.any(0)
+                if use.any():
+                    rows = pages[k]["rows"][use]
+                    score[np.ix_(at, rows)] = np.where(ok[:, use], product(q[at], self.x[rows].T), NONE)
+            if len(self.ids) > TOP:
+                edge = np.partition(score, len(self.ids) - TOP - 1, 1)[:, len(self.ids) - TOP - 1]
+                known = edge > NONE
+                limit[known] = np.minimum(limit[known], np.sqrt(np.maximum(0.0, base[known] - 2.0 * edge[known])) + self.slack)
+        return best_rows(score, self.ids)
+
+
+def best_rows(score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, cols = [], []
+    k = min(TOP + 1, len(ids))
+    edge = np.partition(score, len(ids) - k, 1)[:, len(ids) - k]
+    for i, s in enumerate(score):
+        at = np.flatnonzero((s >= edge[i]) & (s > NONE))
+        at = at[np.lexsort((ids[at], -s[at]))][:k]
+        rows.append(np.full(len(at), i))
+        cols.append(at)
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    return rows, cols, score[rows, cols]
 
 
 def finder(longest_sq: float):
@@ -106,9 +138,8 @@ def finder(longest_sq: float):
         return Tree(ids, unpacked(data, np.int64), longest_sq)
 
     def search(tree, ids, data, bounds):
-        found = [tree.search(q, b) for q, b in zip(unpacked(data, np.int64), bounds, strict=True)]
-        rows = np.concatenate([r for r, _ in found])
-        return pd.DataFrame({"query_id": np.repeat(ids, [len(r) for r, _ in found]), "vid": tree.ids[rows], "score": np.concatenate([s for _, s in found])})
+        asked, rows, score = tree.search(unpacked(data, np.int64), bounds)
+        return pd.DataFrame({"query_id": ids[asked], "vid": tree.ids[rows], "score": score})
     return build, search
 
 

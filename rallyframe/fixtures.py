@@ -149,7 +149,7 @@ class Fixtures:
     @cached_property
     def evals(self) -> DataFrame:
         """Evaluation rounds of labelling jobs."""
-        li = self.table("lineitem").filter("l_linenumber <= 4")
+        li = self.table("lineitem")
         g = li.groupBy(F.col("l_orderkey").alias("job_id"), E("CAST(l_linenumber AS BIGINT)").alias("iteration")).agg(
             F.max("l_partkey").alias("a"), F.max("l_suppkey").alias("b"), F.max(E("CAST(l_quantity AS BIGINT)")).alias("q"))
         return g.select(

@@ -78,10 +78,10 @@ def foot_point(x1: ColumnLike, x2: ColumnLike, y2: ColumnLike) -> tuple[Column,
 
 
 def project(matrix: ColumnLike, x: ColumnLike, y: ColumnLike) -> tuple[Column, Column]:
-    """Perspective map by a row-major 3x3 array (inverse: pixel to court; forward: court to pixel)."""
+    """Perspective map by a row-major 3x3 array (inverse: pixel to court; forward: court to pixel); null on the horizon."""
     m, x, y = _c(matrix), _c(x), _c(y)
     row = lambda r: m[3 * r] * x + m[3 * r + 1] * y + m[3 * r + 2]
-    return row(0) / row(2), row(1) / row(2)
+    return F.try_divide(row(0), row(2)), F.try_divide(row(1), row(2))
 
 
 def error_confidence(error: ColumnLike) -> Column:

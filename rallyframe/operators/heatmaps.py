@@ -66,21 +66,19 @@ def intensity(cells: DataFrame, keys: Sequence[str] = ("match_id",)) -> DataFram
     return cells.withColumn("intensity", F.col("n") / peak)
 
 
-def sampled_sets(frames: DataFrame, sets: int = 3, samples: int = 200, size: int | None = None) -> DataFrame:
-    """Frames sampled for the density maps: equal frame ranges, about ``samples`` frames of each."""
-    d = scan(frames.select("match_id", "frame_idx"), ["match_id"], ["frame_idx"], size=size, _n=Agg("count", "all", F.lit(1)))
+def frame_sets(frames: DataFrame, sets: int = 3) -> DataFrame:
+    """All frames of a match in ``sets`` equal frame ranges, the last one taking the remainder."""
+    n = frames.groupBy("match_id").agg(F.count(F.lit(1)).alias("_n"))
+    d = frames.select("match_id", "frame_idx").join(n, "match_id")
     width = F.floor(F.col("_n") / sets)
     s = F.when(width > 0, F.least(F.floor(F.col("frame_idx") / width), F.lit(sets - 1))).otherwise(sets - 1)
-    start = s * width
-    end = F.when(s == sets - 1, F.col("_n")).otherwise(start + width)
-    step = F.greatest(F.lit(1), F.floor((end - start) / samples))
-    return d.filter((F.col("frame_idx") - start) % step == 0).select("match_id", "frame_idx", s.cast("bigint").alias("set_no"))
+    return d.select("match_id", "frame_idx", s.cast("bigint").alias("set_no"))
 
 
-def set_density(boxes: DataFrame, frames: DataFrame, res: int = 64, size: int | None = None) -> DataFrame:
+def set_density(boxes: DataFrame, frames: DataFrame, res: int = 64) -> DataFrame:
     """Player box centres per set on a res x res grid."""
     p = boxes.filter("class_id = 0").select("match_id", "frame_idx", "cx", "cy")
-    d = p.join(sampled_sets(frames, size=size), ["match_id", "frame_idx"])
+    d = p.join(frame_sets(frames), ["match_id", "frame_idx"])
     cell = lambda c: F.least(F.floor(F.col(c) * res), F.lit(res - 1)).cast("bigint")
     return d.groupBy("match_id", "set_no", cell("cx").alias("xb"), cell("cy").alias("yb")).agg(F.count(F.lit(1)).alias("n"))
 

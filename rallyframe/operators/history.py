@@ -77,9 +77,9 @@ def baselines(history: DataFrame) -> DataFrame:
 def deltas(history: DataFrame) -> DataFrame:
     """Every match against the baseline of its player slot, in percentage points and km/h.
 
-    The baseline has one row per player slot (two rows), so broadcasting it is bounded.
+    The baseline has one row per player slot; whether to broadcast it is left to Spark's size check.
     """
-    d = history.withColumn("long_rally", F.greatest("rally_79", "rally_10")).join(F.broadcast(baselines(history)), "player_key")
+    d = history.withColumn("long_rally", F.greatest("rally_79", "rally_10")).join(baselines(history), "player_key")
     pp = lambda now, base, name: ((F.col(now) - F.col(base)) * 100).alias(name)
     return d.select("player_key", "job_id", "match_count", (F.col("match_count") >= 3).alias("enabled"),
                     pp("backhand", "base_backhand", "backhand_delta_pp"), pp("long_rally", "base_long", "long_rally_delta_pp"),
@@ -101,7 +101,7 @@ def persistent_weaknesses(history: DataFrame) -> DataFrame:
 
 def summary_lines(history: DataFrame) -> DataFrame:
     """Sentences per match and slot once three matches exist."""
-    d = deltas(history).join(F.broadcast(baselines(history)).drop("match_count"), "player_key").filter("enabled")
+    d = deltas(history).join(baselines(history).drop("match_count"), "player_key").filter("enabled")
     one = lambda c: F.format_string("%.1f", F.bround(c, 1))
     sign = F.when(F.col("backhand_delta_pp") >= 0, "+").otherwise("")
     lines = F.array_compact(F.array(

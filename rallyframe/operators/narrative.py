@@ -151,10 +151,10 @@ def player_cards(prof: DataFrame, patterns: DataFrame) -> DataFrame:
     return d.select(*ON, tend.alias("tendencies"), serve.alias("serve_summary"), mix.alias("shot_distribution"), cover.alias("coverage_summary"), exploit_plan().alias("exploit_plan"))
 
 
-def _numbered(d: DataFrame, items: Column, limit: int = 3) -> DataFrame:
-    """Rule outputs of a player by severity, the rule order breaking ties."""
+def _numbered(d: DataFrame, items: Column, limit: int | None = 3) -> DataFrame:
+    """Rule outputs of a player by severity, the rule order breaking ties; the first ``limit``, or all."""
     ranked = F.sort_array(F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: F.struct((-x.severity).alias("o"), x.rule.alias("r"), x.alias("w"))))
-    d = d.select(*ON, F.posexplode(F.slice(ranked, 1, limit)).alias("_p", "_x"))
+    d = d.select(*ON, F.posexplode(ranked if limit is None else F.slice(ranked, 1, limit)).alias("_p", "_x"))
     return d.select(*ON, (F.col("_p") + 1).alias("weakness_no"), "_x.w.description", "_x.w.data_point", "_x.w.points_cost", "_x.w.severity")
 
 
@@ -226,7 +226,7 @@ def rebuilt_weaknesses(prof: DataFrame) -> DataFrame:
                                                     fill(f"{{rate}}% error rate in {b}-shot rallies", rate=n0(rate)), n, rate))
     rallies = F.array(*[rally(k, b, t) for k, (b, t) in enumerate((("1-3", "r1"), ("4-6", "r4"), ("7-9", "r7"), ("10+", "r10")))])
     none = F.array().cast(prof.select(shot.alias("a")).schema["a"].dataType)
-    return _numbered(prof, F.concat(F.coalesce(shot, none), F.coalesce(aim, none), rallies), 40)
+    return _numbered(prof, F.concat(F.coalesce(shot, none), F.coalesce(aim, none), rallies), None)
 
 
 # --- match flow -----------------------------------------------------------------------------------
@@ -445,7 +445,7 @@ def point_sentences(points: DataFrame, shots: DataFrame, prof: DataFrame, owner:
         (once, fill("{h}-hit rally - tracking was lost, but this is {l}'s danger zone. Their error rate rises to {p}% in rallies this long.", h=h, l=label, p=js0(F.col("_lr")))),
         ((r == "BALL_LOST") & some, fill("Tracking lost during a {t} exchange. {h} hits, {s}s.", t=kind, h=h, s=dur)),
         (r == "BALL_LOST", fill("Ball tracking lost after {h} hits. {s}s rally.", h=h, s=dur))], fill("{h}-hit rally over {s}s.", h=h, s=dur))
-    return d.select("match_id", "point_idx", text.alias("sentence"))
+    return d.select("match_id", "point_idx", F.lit(owner).alias("owner"), text.alias("sentence"))
 
 
 def weakness_context(weaknesses: DataFrame, prof: DataFrame) -> DataFrame:

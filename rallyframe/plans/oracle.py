@@ -87,7 +87,7 @@ FROM fx_points CROSS JOIN (VALUES (0), (1)) AS v(k) WHERE point_idx % 3 = 0 AND
 
 CTES["fx_evals"] = """
 WITH g AS (SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS iteration, MAX(l_partkey) AS a, MAX(l_suppkey) AS b,
-                  MAX(CAST(l_quantity AS BIGINT)) AS q FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2)
+                  MAX(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2)
 SELECT job_id, iteration, CAST(60 + (q * 3 + a) % 40 AS DOUBLE) / 100 AS player_map, CAST(55 + (a * 7) % 45 AS DOUBLE) / 100 AS ball_map,
        CAST(65 + (b * 11 + q) % 35 AS DOUBLE) / 100 AS court_lines_map, CAST(65 + (a + b) % 35 AS DOUBLE) / 100 AS net_map,
        CAST(80 + (b * 3 + a) % 20 AS DOUBLE) / 100 AS "precision", CAST(2 + (b * 3 + a) % 14 AS DOUBLE) / 100 AS fp_rate,

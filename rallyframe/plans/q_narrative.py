@@ -167,23 +167,27 @@ def match_stories(fx):
     return narrative.match_stories(prof, narrative.weakness_report(prof))
 
 
-@query("point_sentences", "NA-14", f"""
+_SENTENCES = f"""
 WITH s AS (SELECT p.match_id, p.point_idx, s.shot_type AS t, s.direction AS d, s.speed_m_s AS v, ROW_NUMBER() OVER (PARTITION BY p.match_id, p.point_idx ORDER BY s.frame_idx DESC) AS k FROM fx_points p JOIN fx_shots s ON s.match_id = p.match_id AND s.owner = 'player_a' AND s.frame_idx BETWEEN p.start_frame AND p.end_frame),
 a AS (SELECT match_id, ROUND(AVG(speed_m_s) FILTER (speed_m_s > 0), 1) AS av FROM fx_shots WHERE owner = 'player_a' GROUP BY 1),
 r AS (SELECT match_id, COALESCE(MAX(ROUND(rate, 1)) FILTER (bucket = '7-9'), MAX(ROUND(rate, 1)) FILTER (bucket = '10+')) AS lr FROM o_errrally WHERE owner = 'player_a' GROUP BY 1),
 x AS (SELECT p.*, s.t, s.d, s.v, a.av, r.lr, rally_hit_count AS h, {_N1.format('end_sec - start_sec')} AS dur, CAST(CAST(round(s.v * 3.6) AS BIGINT) AS VARCHAR) AS kmh, COALESCE(end_reason = 'BALL_LOST' AND serve_fault_type IS NULL AND rally_hit_count >= 7 AND r.lr > 40, FALSE) AS dz
   FROM o_serve p LEFT JOIN s ON s.match_id = p.match_id AND s.point_idx = p.point_idx AND s.k = 1 LEFT JOIN a ON a.match_id = p.match_id LEFT JOIN r ON r.match_id = p.match_id),
 y AS (SELECT *, dz AND SUM(CASE WHEN dz THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY point_idx) = 1 AS once FROM x)
-SELECT match_id, point_idx, CASE WHEN serve_fault_type = 'long' THEN 'Serve went long. ' || h || ' shot rally - point never got started.' WHEN serve_fault_type = 'net' THEN 'Serve clipped the net. ' || h || ' shot rally.' WHEN serve_fault_type IS NOT NULL THEN 'Serve fault (' || serve_fault_type || '). ' || h || ' shots played.'
+SELECT match_id, point_idx, 'player_a' AS owner, CASE WHEN serve_fault_type = 'long' THEN 'Serve went long. ' || h || ' shot rally - point never got started.' WHEN serve_fault_type = 'net' THEN 'Serve clipped the net. ' || h || ' shot rally.' WHEN serve_fault_type IS NOT NULL THEN 'Serve fault (' || serve_fault_type || '). ' || h || ' shots played.'
  WHEN end_reason = 'OUT' AND t IS NOT NULL AND v > av * 1.2::DOUBLE THEN 'Player A went for too much on a ' || t || ' ' || d || ' at ' || kmh || ' km/h - ' || CAST(round((v / av - 1) * 100) AS BIGINT) || '% above their average pace. Missed long after ' || h || ' hits.'
  WHEN end_reason = 'OUT' AND t IS NOT NULL AND v IS NOT NULL THEN 'Player A missed a ' || t || ' ' || d || ' (' || kmh || ' km/h) after ' || h || ' hits. ' || dur || 's rally.'
  WHEN end_reason = 'OUT' AND t IS NOT NULL THEN t || ' error ended the point after ' || h || ' hits.' WHEN end_reason = 'OUT' THEN 'Unforced error - ball went out after ' || h || ' hits over ' || dur || 's.'
  WHEN end_reason = 'NET' AND t IS NOT NULL THEN 'Player A''s ' || t || ' ' || d || ' found the net after ' || h || ' hits. ' || dur || 's rally.' WHEN end_reason = 'NET' THEN 'Ball into the net ended a ' || h || '-hit, ' || dur || 's rally.'
  WHEN end_reason = 'DOUBLE_BOUNCE' THEN 'Opponent couldn''t reach the ball - it bounced twice after ' || h || ' hits.'
  WHEN once THEN h || '-hit rally - tracking was lost, but this is Player A''s danger zone. Their error rate rises to ' || CAST(round(lr) AS BIGINT) || '% in rallies this long.'
- WHEN t IS NOT NULL THEN 'Tracking lost during a ' || t || ' exchange. ' || h || ' hits, ' || dur || 's.' ELSE 'Ball tracking lost after ' || h || ' hits. ' || dur || 's rally.' END AS sentence FROM y""")
+ WHEN t IS NOT NULL THEN 'Tracking lost during a ' || t || ' exchange. ' || h || ' hits, ' || dur || 's.' ELSE 'Ball tracking lost after ' || h || ' hits. ' || dur || 's rally.' END AS sentence FROM y"""
+
+
+@query("point_sentences", "NA-14", f"SELECT * FROM ({_SENTENCES}) UNION ALL SELECT * FROM ({_SENTENCES.replace('player_a', 'player_b').replace('Player A', 'Player B')})")
 def point_sentences(fx):
-    return narrative.point_sentences(Tables(fx).serve_points, fx.shots, pin(_profile(fx)))
+    points, profile = pin(Tables(fx).serve_points), pin(_profile(fx))
+    return narrative.point_sentences(points, fx.shots, profile).unionByName(narrative.point_sentences(points, fx.shots, profile, "player_b"))
 
 
 _P2 = "regexp_replace(printf('%.2f', ROUND({} * 100, 2)), '([.][0-9])0$', '\\1')"

@@ -148,9 +148,9 @@ def temporal_split(fx):
 
 
 @query("merged_reindex", "SO-05", """
-SELECT match_id, start_frame // 300 AS segment_idx, point_idx, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY start_frame // 300, point_idx) - 1 AS merged_idx FROM fx_points WHERE point_idx % 3 <> 1""")
+SELECT match_id, start_frame // 300 AS segment_idx, point_idx, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY start_frame // 300, point_idx) - 1 AS merged_idx FROM fx_points""")
 def merged_reindex(fx):
-    p = fx.points.filter("point_idx % 3 <> 1").select("match_id", F.expr("start_frame div 300").alias("segment_idx"), "point_idx")
+    p = fx.points.select("match_id", F.expr("start_frame div 300").alias("segment_idx"), "point_idx")
     return momentum.reindex(p)
 
 
@@ -253,9 +253,9 @@ def diverse_frames(fx):
     return curation.diverse_subset(fx.table("embeddings"))
 
 
-@query("frame_shards", "CU-03", "SELECT match_id, frame_idx, (ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY frame_idx) - 1) // 25 AS shard FROM fx_frames WHERE frame_idx % 2 = 0")
+@query("frame_shards", "CU-03", "SELECT match_id, frame_idx, (ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY frame_idx) - 1) // 25 AS shard FROM fx_frames")
 def frame_shards(fx):
-    return curation.shards(fx.frames.filter("frame_idx % 2 = 0").select("match_id", "frame_idx"))
+    return curation.shards(fx.frames.select("match_id", "frame_idx"))
 
 
 @query("shard_qc", "CU-04", """
@@ -315,11 +315,10 @@ def fp_rate(fx):
 
 
 @query("box_agreement", "AG-41", """
-WITH f AS (SELECT match_id, frame_idx FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY frame_idx) AS k FROM fx_frames) WHERE k <= 100),
-c AS (SELECT f.match_id, f.frame_idx, COUNT(b.box_no) FILTER (b.confidence >= 0.25) AS p, COUNT(b.box_no) FILTER (b.class_id < 3 AND b.frame_idx % 4 <> 0) AS t FROM f LEFT JOIN fx_boxes b ON b.match_id = f.match_id AND b.frame_idx = f.frame_idx GROUP BY 1, 2)
-SELECT match_id, ROUND(AVG(CASE WHEN p = 0 AND t = 0 THEN 1.0::DOUBLE WHEN p = 0 OR t = 0 THEN 0 ELSE LEAST(1.0, p / CAST(t AS DOUBLE) * 0.8) END), 6) AS score, COUNT(*) AS frames FROM c GROUP BY 1""")
+WITH c AS (SELECT match_id, frame_idx, COUNT(*) FILTER (confidence >= 0.25) AS p, COUNT(*) FILTER (class_id < 3 AND frame_idx % 4 <> 0) AS t FROM fx_boxes GROUP BY 1, 2)
+SELECT match_id, ROUND(AVG(CASE WHEN p = 0 THEN 0::DOUBLE ELSE LEAST(1.0, p / CAST(t AS DOUBLE) * 0.8) END), 6) AS score, COUNT(*) AS frames FROM c WHERE t > 0 GROUP BY 1""")
 def box_agreement(fx):
-    return rounded(curation.box_agreement(fx.boxes.filter("confidence >= 0.25"), fx.frames, fx.boxes.filter("class_id < 3 AND frame_idx % 4 <> 0")))
+    return rounded(curation.box_agreement(fx.boxes.filter("confidence >= 0.25"), fx.boxes.filter("class_id < 3 AND frame_idx % 4 <> 0")))
 
 
 @query("without_rejected", "JN-16 SO-03", "SELECT match_id, frame_idx, box_no FROM fx_boxes b WHERE NOT EXISTS (SELECT 1 FROM fx_shots s WHERE s.match_id = b.match_id AND s.frame_idx = b.frame_idx AND s.owner = 'player_a')")

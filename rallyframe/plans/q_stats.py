@@ -44,9 +44,11 @@ def shot_mix(fx):
     return rounded(stats.shot_mix(fx.shots))
 
 
-@query("direction_mix", "AG-02 JN-10", "SELECT match_id, owner, shot_type, direction, n, ROUND(n * 100.0::DOUBLE / SUM(n) OVER (PARTITION BY match_id, owner, shot_type), 6) AS pct FROM o_dirs")
+@query("direction_mix", "AG-02 JN-10", """
+WITH d AS (SELECT match_id, owner, COALESCE(shot_type, 'unknown') AS shot_type, CASE WHEN frame_idx % 5 = 3 OR direction IS NULL THEN 'unknown' ELSE direction END AS direction, COUNT(*) AS n FROM fx_shots GROUP BY 1, 2, 3, 4)
+SELECT match_id, owner, shot_type, direction, n, ROUND(n * 100.0::DOUBLE / SUM(n) OVER (PARTITION BY match_id, owner, shot_type), 6) AS pct FROM d""")
 def direction_mix(fx):
-    shots, labels = fx.shots.drop("direction"), fx.shots.filter("frame_idx % 3 <> 5").select("match_id", "frame_idx", "direction")
+    shots, labels = fx.shots.drop("direction"), fx.shots.filter("frame_idx % 5 <> 3").select("match_id", "frame_idx", "direction")
     return rounded(stats.direction_mix(state.with_label(shots, labels, "direction")))
 
 
@@ -404,10 +406,8 @@ def auto_heatmap(fx):
 
 _SETS = """
 WITH n AS (SELECT match_id, COUNT(*) AS n FROM fx_frames GROUP BY 1),
-f AS (SELECT f.match_id, f.frame_idx, n.n, LEAST(f.frame_idx // (n.n // 3), 2) AS set_no, n.n // 3 AS w FROM fx_frames f JOIN n ON n.match_id = f.match_id),
-g AS (SELECT *, set_no * w AS s0, CASE WHEN set_no = 2 THEN n ELSE (set_no + 1) * w END AS s1 FROM f),
-cells AS (SELECT g.match_id, g.set_no, LEAST(CAST(floor(b.cx * 64) AS BIGINT), 63) AS xb, LEAST(CAST(floor(b.cy * 64) AS BIGINT), 63) AS yb, COUNT(*) AS n FROM g JOIN fx_boxes b ON b.match_id = g.match_id AND b.frame_idx = g.frame_idx AND b.class_id = 0
-  WHERE (g.frame_idx - s0) % GREATEST(1, (s1 - s0) // 200) = 0 GROUP BY 1, 2, 3, 4)
+g AS (SELECT f.match_id, f.frame_idx, LEAST(f.frame_idx // (n.n // 3), 2) AS set_no FROM fx_frames f JOIN n ON n.match_id = f.match_id),
+cells AS (SELECT g.match_id, g.set_no, LEAST(CAST(floor(b.cx * 64) AS BIGINT), 63) AS xb, LEAST(CAST(floor(b.cy * 64) AS BIGINT), 63) AS yb, COUNT(*) AS n FROM g JOIN fx_boxes b ON b.match_id = g.match_id AND b.frame_idx = g.frame_idx AND b.class_id = 0 GROUP BY 1, 2, 3, 4)
 """
 
 

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +23,24 @@ def segment_files(spark: SparkSession, path: str, schema: str = FRAME_STREAM, fm
     return r.load(path)
 
 
-def merge_segments(stream: DataFrame, table: str, checkpoint: str, partition_by: Sequence[str] = ("match_id", "segment_idx")):
-    """Write every micro-batch into the partitions of its segments.
+def merge_segments(stream: DataFrame, table: str, checkpoint: str, run_version: int):
+    """Append every micro-batch under its (run version, batch); nothing that an earlier batch wrote is touched.
 
-    A repeated batch or a re-run segment overwrites only its own partitions, so the merge is
-    idempotent and partial results can be read at any time.
+    A batch that is repeated after a failure overwrites its own folder only, so the merge is idempotent. A segment may span any
+    number of batches; a re-run is a higher ``run_version``. Read with ``merged_segments``.
     """
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(table)
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/run_version={run_version}/batch={batch_id}")
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
+def merged_segments(spark: SparkSession, table: str, schema: str = FRAME_STREAM) -> DataFrame:
+    """Current state of a merged table: of every segment the rows of its latest run."""
+    d = spark.read.option("basePath", table).schema(f"{schema}, run_version INT, batch INT").parquet(table)
+    latest = d.groupBy("match_id", "segment_idx").agg(F.max("run_version").alias("run_version"))
+    return d.join(latest, ["match_id", "segment_idx", "run_version"]).drop("run_version", "batch")
+
+
 def rally_session_stream(events: DataFrame, fps: float, gap_frames: int = K.INACTIVITY_GAP, delay: str = "10 seconds") -> DataFrame:
     """Rallies as session windows.
 
@@ -58,16 +65,17 @@ def pace_stream(frames: DataFrame, width: str = "3 seconds", slide: str = "1 sec
     return g.agg(F.count(F.lit(1)).alias("n"), F.avg("speed").alias("avg_speed")).select("match_id", F.col("w.start").alias("window_start"), "n", "avg_speed")
 
 
-def first_copies(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Late repeats of a frame dropped inside the watermark."""
+def first_copies(frames: DataFrame, delay: str) -> DataFrame:
+    """Repeats of a frame dropped inside the watermark. ``delay`` must cover how far apart in event time files may arrive: rows
+    behind it are lost; re-runs of any age belong to ``merge_segments``."""
     return frames.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["match_id", "frame_idx"])
 
 
 def status_stream(log: DataFrame) -> DataFrame:
-    """Latest stage and status per job (update mode); an error wins."""
-    g = log.groupBy("job_id").agg(F.max_by(F.struct("stage", "status"), "seq").alias("l"),
+    """Latest stage and status per job (update mode); an error wins. ``seq`` is the last one folded, for keyed merges."""
+    g = log.groupBy("job_id").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n"), F.max_by(F.struct("stage", "status"), "seq").alias("l"),
                                   F.max_by("error_message", F.when(F.col("error_message").isNotNull(), F.col("seq"))).alias("error_message"))
-    return g.select("job_id", F.col("l.stage").alias("stage"), F.when(F.col("error_message").isNotNull(), "error").otherwise(F.col("l.status")).alias("status"), "error_message")
+    return g.select("job_id", "n", F.col("l.stage").alias("stage"), F.when(F.col("error_message").isNotNull(), "error").otherwise(F.col("l.status")).alias("status"), "error_message")
 
 
 # --- contacts with state ------------------------------------------------------------------------------
@@ -77,41 +85,38 @@ STATE = "last_frame BIGINT, sx DOUBLE, sy DOUBLE, vx DOUBLE, vy DOUBLE, stable B
 
 
 class ContactDetector(StatefulProcessor):
-    """Smoothed position, last velocity, stability and last contact of a match carried across batches.
+    """Smoothed position, last velocity, stability and last contact of a match, carried across batches.
 
-    Frames of a match must arrive in order between batches (segments do). A contact needs the frame
-    after it, so the newest frame waits in the state as a pending contact.
+    Frames may arrive in any order: they wait in a map by frame until all before them are there, from frame 0 on, and are then
+    folded one by one; only that map is held, never the rows of a batch. Repeated frames are ignored. Frame numbers without a
+    row (dropped by the recorder) hold the fold back until ``finish`` says that no more will come: then the rest is folded in
+    order and a gap in the numbers ends the stability count. A contact needs the frame after it, so the newest folded frame
+    waits in the state as a pending contact.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("track", STATE + ", pending BOOLEAN, pending_speed DOUBLE")
+        self.waiting = handle.getMapState("waiting", "frame_idx BIGINT", "cx DOUBLE, cy DOUBLE, speed DOUBLE")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            last, sx, sy, vx, vy, stable, contact, pending, pspeed = self.state.get()
-        else:
-            last, sx, sy, vx, vy, stable, contact, pending, pspeed = -1, None, None, None, None, 0, -10**9, False, None
-        # rows of one match in one micro-batch: a few segments, bounded by the files per trigger
-        batch = pd.concat(list(rows)).sort_values("frame_idx")[["frame_idx", "cx", "cy", "speed"]]
+        s = list(self.state.get()) if self.state.exists() else [-1, None, None, None, None, 0, -10**9, False, None]
+        finish = False
+        for part in rows:
+            for frame, cx, cy, speed, last in part[["frame_idx", "cx", "cy", "speed", "finish"]].itertuples(index=False):
+                if last:
+                    finish = True
+                elif frame > s[0] and not self.waiting.containsKey((int(frame),)):
+                    self.waiting.updateValue((int(frame),), tuple(None if pd.isna(x) else float(x) for x in (cx, cy, speed)))
         found = []
-        for frame, cx, cy, speed in batch.itertuples(index=False):
-            if frame <= last:
-                continue
-            if pending:
-                found.append((key[0], last, sx, sy, vx, vy, pspeed))
-                pending = False
-            last = int(frame)
-            if pd.isna(cx):
-                stable, vx, vy = 0, (0.0 if sx is not None else None), (0.0 if sx is not None else None)
-                continue
-            nx = float(cx) if sx is None else K.EMA_ALPHA * cx + (1 - K.EMA_ALPHA) * sx
-            ny = float(cy) if sy is None else K.EMA_ALPHA * cy + (1 - K.EMA_ALPHA) * sy
-            wx, wy = (None, None) if sx is None else (nx - sx, ny - sy)
-            stable += 1
-            if vx is not None and stable >= K.STABLE_FRAMES and last - contact >= K.COOLDOWN and _is_contact(vx, vy, wx, wy):
-                pending, pspeed, contact = True, (None if pd.isna(speed) else float(speed)), last
-            sx, sy, vx, vy = nx, ny, wx, wy
-        self.state.update((last, sx, sy, vx, vy, stable, contact, pending, pspeed))
+        while self.waiting.containsKey((s[0] + 1,)):
+            frame = s[0] + 1
+            _fold(s, frame, *self.waiting.getValue((frame,)), found, key[0])
+            self.waiting.removeKey((frame,))
+        if finish:
+            for frame in sorted(k[0] for k in self.waiting.keys()):
+                _fold(s, frame, *self.waiting.getValue((frame,)), found, key[0])
+                self.waiting.removeKey((frame,))
+        self.state.update(tuple(s))
         if found:
             yield pd.DataFrame(found, columns=[c.split()[0] for c in CONTACT.split(", ")])
 
@@ -119,6 +124,25 @@ class ContactDetector(StatefulProcessor):
         pass
 
 
+def _fold(s: list, frame: int, cx: float | None, cy: float | None, speed: float | None, found: list, match_id: int) -> None:
+    """One frame into the state: last frame, smoothed x and y, velocity, stable frames, last contact, pending, its speed."""
+    last, sx, sy, vx, vy, stable, contact, pending, pending_speed = s
+    if pending:
+        found.append((match_id, last, sx, sy, vx, vy, pending_speed))
+    if frame != last + 1:
+        stable = 0
+    if cx is None:
+        held = 0.0 if sx is not None else None
+        s[:] = [frame, sx, sy, held, held, 0, contact, False, None]
+        return
+    nx = cx if sx is None else K.EMA_ALPHA * cx + (1 - K.EMA_ALPHA) * sx
+    ny = cy if sy is None else K.EMA_ALPHA * cy + (1 - K.EMA_ALPHA) * sy
+    wx, wy = (None, None) if sx is None else (nx - sx, ny - sy)
+    stable += 1
+    hit = vx is not None and stable >= K.STABLE_FRAMES and frame - contact >= K.COOLDOWN and _is_contact(vx, vy, wx, wy)
+    s[:] = [frame, nx, ny, wx, wy, stable, frame if hit else contact, hit, speed if hit else None]
+
+
 def _is_contact(ux: float, uy: float, vx: float, vy: float) -> bool:
     before, after = math.hypot(ux, uy), math.hypot(vx, vy)
     if not K.CONTACT_MIN_SPEED <= max(before, after) <= K.CONTACT_MAX_SPEED or before * after < 0.01:
@@ -128,24 +152,29 @@ def _is_contact(ux: float, uy: float, vx: float, vy: float) -> bool:
 
 
 def contact_stream(frames: DataFrame) -> DataFrame:
-    """Contacts of a stream of projected frames, after the cooldown."""
+    """Contacts of a stream of projected frames, after the cooldown. A row with ``finish`` set closes its match."""
+    finish = F.coalesce("finish", F.lit(False)) if "finish" in frames.columns else F.lit(False)
+    frames = frames.withColumn("finish", finish)
     return frames.groupBy("match_id").transformWithStateInPandas(
         statefulProcessor=ContactDetector(), outputStructType=CONTACT, outputMode="Append", timeMode="None")
 
 
 # --- running a stream to its end ------------------------------------------------------------------------
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, keys: tuple[str, ...] = (), version: str | None = None) -> DataFrame:
     """Process everything available now and return the result table.
 
-    Append results are written by the file sink, complete results replace the table in each batch.
+    Append streams go through the file sink. With ``keys`` the stream runs in update mode: each batch appends the rows it changed,
+    and of every key the row with the largest ``version`` counts.
     """
     spark = stream.sparkSession
     folder = shared_folder(spark, name)
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        q = w.format("parquet").option("path", f"{folder}/table").start()
-    else:
-        q = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table")).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    w = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if not keys:
+        w.outputMode("append").format("parquet").option("path", f"{folder}/table").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    put = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{folder}/table/batch={batch_id}")
+    w.outputMode("update").foreachBatch(put).start().awaitTermination()
+    d = spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    rest = [c for c in stream.columns if c not in keys]
+    return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*keys, "_r.*")

@@ -90,19 +90,19 @@ class Parser:
         parts, self.roots, base = [], [], 0
         for d in data:
             moves = suffix_automaton(d)
-            begin = np.full(self.width, base, np.int64)
+            strange = base + len(moves)  # after a byte that the training text lacks, which is a phrase by itself
+            begin = np.full(self.width, strange, np.int64)
             for c, s in moves[0].items():
                 begin[self.code[c]] = base + s
-            table = np.tile(begin * 2 + 1, (len(moves), 1))
+            table = np.tile(begin * 2 + 1, (len(moves) + 1, 1))
+            table[0] = begin * 2
             for s, m in enumerate(moves):
                 for c, to in m.items():
                     table[s, self.code[c]] = 2 * (base + to)
             parts.append(table.astype(np.int32))
             self.roots.append(base)
-            base += len(moves)
+            base += len(moves) + 1
         self.table = np.concatenate(parts).ravel()
-        # the tables of one language at a time, so that the lockstep stays within near memory
-        self.bounds = [*self.roots, base]
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases per language and text."""

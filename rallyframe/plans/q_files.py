@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rallyframe import constants as K
-from rallyframe.operators import curation, history, stats
+from rallyframe.operators import curation, history, narrative, state, stats
 from rallyframe.plans.q_stats import Tables, rounded
-from rallyframe.plans.registry import query
+from rallyframe.plans.q_narrative import _profile
+from rallyframe.plans.registry import ORACLES, query
 from rallyframe.session import pin, shared_folder
 from rallyframe.sources import readers, sinks
 
@@ -81,3 +82,43 @@ def analytics_documents(fx):
     d = sinks.analytics_documents(history.snapshot(Tables(fx).serve_points, fx.shots), stats.rally_average(fx.points))
     at = lambda p: F.get_json_object("document", p).cast("bigint")
     return d.select("match_id", at("$.points").alias("points"), at("$.players.player_a.shot_type_counts.backhand").alias("a_backhands"), at("$.players.player_b.points_won").alias("b_won"))
+
+
+@query("analysis_bundle", "IO-13", """
+SELECT e.match_id, e.n AS events, p.n AS points, p.hits, s.n AS shots FROM (SELECT match_id, COUNT(*) AS n FROM o_events GROUP BY 1) e
+JOIN (SELECT match_id, COUNT(*) AS n, CAST(SUM(rally_hit_count) AS BIGINT) AS hits FROM fx_points GROUP BY 1) p ON p.match_id = e.match_id
+JOIN (SELECT match_id, COUNT(*) AS n FROM fx_shots GROUP BY 1) s ON s.match_id = e.match_id""")
+def analysis_bundle(fx):
+    folder, t = shared_folder(fx.spark, "bundle"), Tables(fx)
+    tables = {"frames": t.physics, "events": sinks.event_rows(t.events), "points": fx.points, "shots": fx.shots}
+    sinks.write_bundle(tables, folder)
+    back = lambda name: readers.rows(fx.spark, f"{folder}/{name}", tables[name].schema).groupBy("match_id")
+    n = lambda name: F.count(F.lit(1)).alias(name)
+    return back("events").agg(n("events")).join(back("points").agg(n("points"), F.sum("rally_hit_count").alias("hits")), "match_id").join(back("shots").agg(n("shots")), "match_id")
+
+
+@query("coaching_files", "IO-15", ORACLES["weakness_report"])
+def coaching_files(fx):
+    """Cards and weaknesses as documents of a match, written, read back and taken apart."""
+    folder, profile = shared_folder(fx.spark, "coaching"), pin(_profile(fx))
+    cards = profile.select("match_id", "owner", narrative.exploit_plan().alias("exploit_plan"))
+    sinks.write_rows(sinks.coaching_documents(cards, narrative.weakness_report(profile)), folder)
+    d = fx.spark.read.schema("match_id BIGINT, document STRING").option("basePath", folder).json(folder)
+    weakness = "ARRAY<STRUCT<weakness_no: INT, description: STRING, data_point: STRING, points_cost: BIGINT, severity: DOUBLE>>"
+    cards = F.from_json("document", f"MAP<STRING, STRUCT<exploit_plan: STRING, weaknesses: {weakness}>>")
+    d = d.select("match_id", F.explode(cards).alias("owner", "card")).select("match_id", "owner", F.explode("card.weaknesses").alias("w"))
+    return rounded(d.select("match_id", "owner", "w.*"))
+
+
+@query("stored_run_files", "IO-03", """
+WITH r AS (SELECT match_id AS job_id, COUNT(*) AS n FROM fx_points GROUP BY 1)
+SELECT CAST(job_id AS VARCHAR) AS job_id, CASE WHEN job_id = 2 THEN n + 1000 ELSE n END AS total_points FROM r WHERE job_id % 4 <> 3""")
+def stored_run_files(fx):
+    """One analytics document per run folder; run 2 is computed anew, runs without points are skipped."""
+    folder = shared_folder(fx.spark, "runs")
+    runs = fx.points.groupBy(F.col("match_id").alias("run")).agg(F.count(F.lit(1)).alias("n"))
+    stored = runs.select("run", F.when(F.col("run") % 4 == 3, 0).otherwise(F.col("n")).alias("total_points"))
+    sinks.write_json(stored, folder, ["run"])
+    current = runs.where("run = 2").select((F.col("n") + 1000).alias("total_points"), F.concat(F.lit("run="), F.col("run")).alias("job_id"))
+    d = readers.stored_runs(fx.spark, folder, files="*/*").select("total_points", "job_id")
+    return state.replace_run(d, current).select(F.regexp_replace("job_id", "^run=", "").alias("job_id"), "total_points")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from rallyframe.operators import state, stats
 from rallyframe.plans.q_stats import Tables, rounded
 from rallyframe.plans.registry import query
+from rallyframe.session import shared_folder
+from rallyframe.sources import readers, sinks
 
 _LATEST = "SELECT * EXCLUDE (k) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, point_idx ORDER BY version DESC) AS k FROM fx_feedback) WHERE k = 1"
 _REVIEW = f"""
@@ -165,27 +167,34 @@ def run_replacement(fx):
     return state.replace_run(stored, runs.filter("job_id = 2").withColumn("total_points", F.col("total_points") + 1000))
 
 
+def through_files(rows):
+    """Write a result table with its sink and read it back."""
+    folder = shared_folder(rows.sparkSession, "rows")
+    sinks.write_rows(rows, folder)
+    return readers.rows(rows.sparkSession, folder, rows.schema)
+
+
 @query("ball_series", "IO-06", """
 SELECT match_id, ROUND(t, 3) AS t, frame_idx, CASE WHEN cx IS NOT NULL THEN ROUND(cx, 2) END AS x, CASE WHEN cx IS NOT NULL THEN ROUND(cy, 2) END AS y, CASE WHEN cx IS NOT NULL THEN speed END AS speed_m_s,
   CASE WHEN cx IS NOT NULL AND speed <> 0 THEN ROUND(speed * 3.6::DOUBLE, 2) END AS speed_km_h, CASE WHEN cx IS NOT NULL THEN accel END AS accel_m_s2
 FROM (SELECT match_id, frame_idx / 30.0::DOUBLE AS t, frame_idx, cx, cy, speed, accel FROM o_physics)""")
 def ball_series(fx):
     from rallyframe.sources.sinks import ball_series as op
-    return op(Tables(fx).physics)
+    return through_files(op(Tables(fx).physics))
 
 
 @query("player_series", "IO-07", """
 SELECT match_id, label, ROUND(frame_idx / 30.0::DOUBLE, 3) AS t, frame_idx, ROUND(foot_x, 2) AS x, ROUND(foot_y, 2) AS y, CASE WHEN foot_x IS NOT NULL THEN ROUND(foot_px, 2) END AS foot_pixel_x, CASE WHEN foot_x IS NOT NULL THEN ROUND(foot_py, 2) END AS foot_pixel_y FROM o_players""")
 def player_series(fx):
     from rallyframe.sources.sinks import player_series as op
-    return op(Tables(fx).players, 30.0)
+    return through_files(op(Tables(fx).players, 30.0))
 
 
 @query("event_rows", "IO-08", """
 SELECT match_id, event_type, frame_idx, timestamp_sec, ROUND(cx, 2) AS x, ROUND(cy, 2) AS y, speed_before AS speed_before_m_s, speed_after AS speed_after_m_s, turn_deg AS direction_change_deg, score, court_side, player, player_distance, in_out FROM o_events""")
 def event_rows(fx):
     from rallyframe.sources.sinks import event_rows as op
-    return op(Tables(fx).events)
+    return through_files(op(Tables(fx).events))
 
 
 @query("shot_rows", "IO-10 JN-10", """
@@ -193,7 +202,7 @@ SELECT match_id, frame_idx, timestamp_sec, owner, ball_cx, ball_cy, shot_type, R
 def shot_rows(fx):
     from rallyframe.sources.sinks import shot_rows as op
     labels = fx.shots.filter("frame_idx % 5 <> 0").select("match_id", "frame_idx", "direction")
-    d = op(fx.shots.drop("direction"), labels)
+    d = through_files(op(fx.shots.drop("direction"), labels))
     return d.select("match_id", "frame_idx", "timestamp_sec", "owner", "ball_cx", "ball_cy", "shot_type", "speed_m_s", "court_side", "ball_direction_label")
 
 
@@ -201,4 +210,4 @@ def shot_rows(fx):
 SELECT match_id, point_idx, start_frame, end_frame, serve_player, serve_zone, serve_fault_type, end_reason, rally_hit_count, confidence FROM o_serve""")
 def point_rows(fx):
     from rallyframe.sources.sinks import point_rows as op
-    return op(Tables(fx).serve_points).select("match_id", "point_idx", "start_frame", "end_frame", "serve_player", "serve_zone", "serve_fault_type", "end_reason", "rally_hit_count", "confidence")
+    return through_files(op(Tables(fx).serve_points)).select("match_id", "point_idx", "start_frame", "end_frame", "serve_player", "serve_zone", "serve_fault_type", "end_reason", "rally_hit_count", "confidence")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rallyframe import schemas
 from rallyframe.operators.state import replace_run
@@ -50,9 +51,14 @@ def documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return d.select("*", run_of().alias("job_id"))
 
 
-def stored_runs(spark: SparkSession, root: str, current: DataFrame | None = None) -> DataFrame:
-    """analytics.json of all runs with points; the current run replaces its stored copy."""
-    d = documents(spark, f"{root}/*/analytics.json", "analytics").filter("total_points > 0")
+def rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table of ``sinks.write_rows``."""
+    return spark.read.schema(schema).option("basePath", path).json(path)
+
+
+def stored_runs(spark: SparkSession, root: str, current: DataFrame | None = None, files: str = "*/analytics.json") -> DataFrame:
+    """Analytics documents of all runs with points; the current run replaces its stored copy."""
+    d = documents(spark, f"{root}/{files}", "analytics").filter("total_points > 0")
     return d if current is None else replace_run(d, current)
 
 

@@ -116,6 +116,11 @@ def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode:
     (w.partitionBy(*partition_by) if partition_by else w).json(path)
 
 
+def write_rows(df: DataFrame, path: str) -> None:
+    """A result table (series, events, points, shots) as JSON lines, one folder per match."""
+    write_json(df, path, ["match_id"])
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)

@@ -119,12 +119,12 @@ def exploit_plan() -> Column:
     d = F.try_element_at(readable, F.lit(1))
     return F.coalesce(
         F.when((_long("rate") > _short() + 15) & (_long_errors() >= 2), fill(
-            "Extend rallies past 7 shots — {name}'s error rate jumps from {a}% to {b}% in long exchanges ({n} points surrendered this match).",
+            "Keep the ball in play beyond shot 7: {name}'s errors climb from {a}% to {b}% once a rally is long ({n} points given away so far).",
             name=name, a=n0(_short()), b=n0(_long("rate")), n=_long_errors().cast("string"))),
         F.when((w.rate > 25) & (w.errors >= 2), fill(
-            "Attack {name}'s {type} — {rate}% error rate ({n} errors this match). Force them to that wing in key moments.",
+            "Attack {name}'s {type} — {rate}% of them miss ({n} misses so far). Aim there when it matters.",
             name=name, type=w.shot_type, rate=n0(w.rate), n=w.errors.cast("string"))),
-        fill("Position early for {name}'s {type} — {pct}% go {dir}. Reading the pattern gives {opp} an easy setup.",
+        fill("Expect {name}'s {type} — {pct}% go {dir}. Knowing this lets {opp} set up early.",
              name=name, type=d.shot_type, pct=n0(d.pct), dir=S.spaced(d.direction), opp=opp), F.lit(""))
 
 
@@ -134,19 +134,19 @@ def player_cards(prof: DataFrame, patterns: DataFrame) -> DataFrame:
     d = prof.join(best, ON, "left")
     name, dom, best = name_of(), F.col("types")[0], F.col("best")
     usual = F.transform(F.filter("dirs", lambda x: ~x.shot_type.isin("neutral", "serve") & (x.pct > 50) & (x.direction != "unknown")),
-                        lambda x: _direction(x, name, "{name}'s {type} goes {dir} {pct}% of the time."))
+                        lambda x: _direction(x, name, "{name}'s {type} goes {dir} {pct}% of the attempts."))
     tend = F.concat(
-        F.array_compact(F.array(F.when((dom.shot_type != "neutral") & (dom.pct > 30), fill("{name} primarily uses {type}s ({pct}% of all shots).", name=name, type=dom.shot_type, pct=n1(dom.pct))))),
+        F.array_compact(F.array(F.when((dom.shot_type != "neutral") & (dom.pct > 30), fill("{name} relies mostly on {type}s ({pct}% of what they hit).", name=name, type=dom.shot_type, pct=n1(dom.pct))))),
         usual,
-        F.array_compact(F.array(F.when(best.pct > 25, fill("{name}'s most frequent pattern is {type} {dir} ({pct}% of shots).", name=name, type=best.shot_type, dir=S.spaced(best.direction), pct=n1(best.pct))))))
-    tend = F.when(F.size(tend) > 0, tend).otherwise(F.array(fill("Insufficient shot data to determine {name}'s tendencies.", name=name)))
+        F.array_compact(F.array(F.when(best.pct > 25, fill("{name}'s favourite combination is {type} {dir} ({pct}% of strokes).", name=name, type=best.shot_type, dir=S.spaced(best.direction), pct=n1(best.pct))))))
+    tend = F.when(F.size(tend) > 0, tend).otherwise(F.array(fill("Too few shots to describe {name}'s habits.", name=name)))
     z = F.try_element_at("zones", F.lit(1))
     serve = F.when(F.col("first_serve_pct") > 0, F.concat(
-        fill("{name} has a {pct}% first serve rate.", name=name, pct=n1(F.col("first_serve_pct"))),
-        F.coalesce(F.when(z.win > 0, fill(" Most effective serve zone: {zone} ({win}% win rate).", zone=S.spaced(z.zone), win=n1(z.win))), F.lit("")))).otherwise("")
-    mix = fill("Shot breakdown: {parts} (total: {n})", n=F.col("total_shots").cast("string"),
+        fill("{name} has a {pct}% of first serves in.", name=name, pct=n1(F.col("first_serve_pct"))),
+        F.coalesce(F.when(z.win > 0, fill(" Best serving target: {zone} ({win}% of those points won).", zone=S.spaced(z.zone), win=n1(z.win))), F.lit("")))).otherwise("")
+    mix = fill("Shots by type: {parts} (all: {n})", n=F.col("total_shots").cast("string"),
                parts=F.array_join(F.transform("types", lambda t: F.concat(t.shot_type, F.lit(": "), t.n.cast("string"))), ", "))
-    cover = F.coalesce(F.when(F.col("distance") > 0, fill("{name} covered {d} court units. Average position: ({x}, {y}).", name=name, d=n0(F.col("distance")),
+    cover = F.coalesce(F.when(F.col("distance") > 0, fill("{name} covered {d} court units around a mean spot of ({x}, {y}).", name=name, d=n0(F.col("distance")),
                                                           x=n0(F.col("centre_x")), y=n0(F.col("centre_y")))), F.lit(""))
     return d.select(*ON, tend.alias("tendencies"), serve.alias("serve_summary"), mix.alias("shot_distribution"), cover.alias("coverage_summary"), exploit_plan().alias("exploit_plan"))
 
@@ -168,12 +168,12 @@ def weakness_report(prof: DataFrame) -> DataFrame:
     name, opp, w = name_of(), other_name(), _worst()
     long, short, lost = _long("rate"), _short(), _long_errors()
     fatigue = _item(1, (long > short + 15) & (long > 25),
-        fill("Against {name}: extend rallies past 7 shots. Their error rate rises from {a}% in short rallies to {b}% in rallies longer than 7 shots. This pattern cost {n} point{s} in this match.",
+        fill("Against {name}: go beyond seven shots. Their misses grow from {a}% early on to {b}% after shot seven. That was worth {n} point{s} in the match.",
              name=name, a=n0(short), b=n0(long), n=lost.cast("string"), s=F.when(lost != 1, "s").otherwise("")),
-        fill("{n} unforced errors in rallies 7+ shots vs {a}% error rate in rallies under 6 shots", n=lost.cast("string"), a=n0(short)),
+        fill("{n} own errors from shot 7 on, against {a}% before shot 6", n=lost.cast("string"), a=n0(short)),
         lost, F.least((long - short) / 50, F.lit(1.0)))
     shot = _item(2, (w.rate > 20) & (w.errors >= 2),
-        fill("{name}'s {type} breaks down under pressure — {rate}% error rate ({n} errors from {m} attempts). Target their {type} side in critical points.",
+        fill("{name}'s {type} is shaky when pressed: {rate}% of them miss ({n} errors from {m} tries). Aim at their {type} side on big points.",
              name=name, type=w.shot_type, rate=n0(w.rate), n=w.errors.cast("string"), m=w.made.cast("string")),
         fill("{n} errors / {m} {type}s ({rate}% error rate)", n=w.errors.cast("string"), m=w.made.cast("string"), type=w.shot_type, rate=n0(w.rate)),
         w.errors, F.least(w.rate / 100, F.lit(1.0)))
@@ -182,7 +182,7 @@ def weakness_report(prof: DataFrame) -> DataFrame:
                                         lambda d: F.struct((-d.n).alias("o"), d.shot_type.alias("t"), d.alias("d"))))
     d = F.try_element_at(eligible, F.lit(1)).d
     aim = _item(3, (d.pct > 70) & (d.direction != "unknown"),
-        fill("{name} telegraphs their {type} — {p0}% go {dir}. {opp} can position early and attack the predictable pattern.",
+        fill("{name} shows their {type} — {p0}% go {dir}. {opp} can move first and punish it.",
              name=name, type=d.shot_type, p0=n0(d.pct), dir=S.spaced(d.direction), opp=opp),
         fill("{p0}% of {type}s go {dir}", p0=n0(d.pct), type=d.shot_type, dir=S.spaced(d.direction)), F.lit(0), F.least(d.pct / 100, F.lit(0.8)))
     return _numbered(prof, F.array(fatigue, shot, aim))
@@ -193,18 +193,18 @@ def rebuilt_cards(prof: DataFrame, patterns: DataFrame) -> DataFrame:
     best = patterns.filter("rank = 1").select(*ON, F.struct("shot_type", "direction", F.round("pct", 1).alias("pct")).alias("best"))
     d = prof.join(best, ON, "left")
     name, dom, best = name_of(), F.col("types")[0], F.col("best")
-    usual = F.transform(F.filter("dirs", lambda x: x.pct >= 55), lambda x: _direction(x, name, "{name}'s {type} goes {dir} {pct}% of the time."))
-    tend = F.concat(F.array(fill("{name} primarily uses {type}s ({pct}% of all shots).", name=name, type=dom.shot_type, pct=n1(dom.pct))), usual,
-                    F.array(fill("{name}'s most frequent pattern is {type} {dir} ({pct}% of shots).", name=name, type=best.shot_type, dir=S.spaced(best.direction), pct=n1(best.pct))))
+    usual = F.transform(F.filter("dirs", lambda x: x.pct >= 55), lambda x: _direction(x, name, "{name}'s {type} goes {dir} {pct}% of the attempts."))
+    tend = F.concat(F.array(fill("{name} relies mostly on {type}s ({pct}% of what they hit).", name=name, type=dom.shot_type, pct=n1(dom.pct))), usual,
+                    F.array(fill("{name}'s favourite combination is {type} {dir} ({pct}% of strokes).", name=name, type=best.shot_type, dir=S.spaced(best.direction), pct=n1(best.pct))))
     weak = F.filter("errors", lambda e: (e.rate >= 30) & (e.errors >= 2))
     w = F.try_element_at(weak, F.lit(-1))
-    plan = F.coalesce(fill("Attack {name}'s {type} — {rate}% error rate ({n} errors this match). Force them to that wing in key moments.", name=name, type=w.shot_type,
+    plan = F.coalesce(fill("Attack {name}'s {type} — {rate}% of them miss ({n} misses so far). Aim there when it matters.", name=name, type=w.shot_type,
                            rate=n0(w.rate), n=w.errors.cast("string")), F.lit(""))
     z = F.try_element_at("zones", F.lit(1))
     in_order = F.sort_array(F.transform("zones", lambda q: F.struct(q.zseen.alias("a"), q.zone.alias("zone"), q.serves.alias("serves"))))
-    serve = F.coalesce(fill("Serve zones: {parts}. Best zone: {zone} ({win}% win rate).", zone=S.spaced(z.zone), win=n1(z.win),
+    serve = F.coalesce(fill("Serve zones: {parts}. Best zone: {zone} ({win}% of those points won).", zone=S.spaced(z.zone), win=n1(z.win),
         parts=F.array_join(F.transform(in_order, lambda q: F.concat(q.zone, F.lit(": "), q.serves.cast("string"))), ", ")), F.lit(""))
-    cover = F.coalesce(F.when(F.col("distance") > 0, fill("{name} covered {d} court units. Average position: ({x}, {y}).", name=name, d=F.floor("distance").cast("string"),
+    cover = F.coalesce(F.when(F.col("distance") > 0, fill("{name} covered {d} court units around a mean spot of ({x}, {y}).", name=name, d=F.floor("distance").cast("string"),
                                                           x=F.floor("centre_x").cast("string"), y=F.floor("centre_y").cast("string"))), F.lit(""))
     return d.select(*ON, tend.alias("tendencies"), plan.alias("exploit_plan"), serve.alias("serve_summary"), cover.alias("coverage_summary"))
 
@@ -214,15 +214,15 @@ def rebuilt_weaknesses(prof: DataFrame) -> DataFrame:
     name = name_of()
     item = lambda rule, desc, data, cost, sev: F.struct(rule.cast("int").alias("rule"), desc.alias("description"), data.alias("data_point"), cost.cast("bigint").alias("points_cost"), F.round(F.least(sev / 100, F.lit(1.0)), 3).alias("severity"))
     shot = F.transform(F.filter("errors", lambda e: (e.rate >= 30) & (e.errors >= 2)), lambda e, i: item(
-        i, fill("{name}'s {type} breaks down under pressure — {rate}% error rate ({n} errors from {m} attempts). Target their {type} side in critical points.",
+        i, fill("{name}'s {type} is shaky when pressed: {rate}% of them miss ({n} errors from {m} tries). Aim at their {type} side on big points.",
                 name=name, type=e.shot_type, rate=n0(e.rate), n=e.errors.cast("string"), m=e.made.cast("string")),
         fill("{n} errors / {m} {type}s ({rate}% error rate)", n=e.errors.cast("string"), m=e.made.cast("string"), type=e.shot_type, rate=n0(e.rate)), e.errors, e.rate))
     aim = F.transform(F.filter("dirs", lambda d: d.pct >= 75), lambda d, i: item(
-        i + 10, fill("{name} telegraphs their {type} — {p0}% go {dir}. Opponent can position early and attack the predictable pattern.", name=name, type=d.shot_type, p0=n0(d.pct), dir=S.spaced(d.direction)),
+        i + 10, fill("{name} shows their {type} — {p0}% go {dir}. Opponent can move first and punish it.", name=name, type=d.shot_type, p0=n0(d.pct), dir=S.spaced(d.direction)),
         fill("{p0}% of {type}s go {dir}", p0=n0(d.pct), type=d.shot_type, dir=S.spaced(d.direction)), F.lit(0), d.pct))
     def rally(k, b, t):
         rate, n = F.col(f"{t}_rate"), F.col(f"{t}_errors")
-        return F.when((rate >= 50) & (n >= 2), item(F.lit(20 + k), fill(f"{{name}}'s error rate spikes in {b}-shot rallies ({{rate}}%). Extend rallies to exploit this.", name=name, rate=n0(rate)),
+        return F.when((rate >= 50) & (n >= 2), item(F.lit(20 + k), fill(f"{{name}}'s misses pile up in {b}-shot rallies ({{rate}}%). Make the exchanges that long.", name=name, rate=n0(rate)),
                                                     fill(f"{{rate}}% error rate in {b}-shot rallies", rate=n0(rate)), n, rate))
     rallies = F.array(*[rally(k, b, t) for k, (b, t) in enumerate((("1-3", "r1"), ("4-6", "r4"), ("7-9", "r7"), ("10+", "r10")))])
     none = F.array().cast(prof.select(shot.alias("a")).schema["a"].dataType)
@@ -234,9 +234,9 @@ def rebuilt_weaknesses(prof: DataFrame) -> DataFrame:
 def flow_insights(points: DataFrame, rebuilt: bool = False) -> DataFrame:
     """Streaks, first-half / second-half rally length and overall rally length per match."""
     s = momentum.streaks(points)
-    surge = fill("{name} won {n} consecutive points — a momentum surge.", name=name_of("winner"), n=F.col("length").cast("string"))
+    surge = fill("{name} won {n} points in a row and took over.", name=name_of("winner"), n=F.col("length").cast("string"))
     if not rebuilt:
-        surge = F.when(F.col("final"), fill("{name} won the last {n} consecutive points.", name=name_of("winner"), n=F.col("length").cast("string"))).otherwise(surge)
+        surge = F.when(F.col("final"), fill("{name} won the final {n} points in a row.", name=name_of("winner"), n=F.col("length").cast("string"))).otherwise(surge)
     s = s.select("match_id", F.lit("streak").alias("kind"), surge.alias("description"), "start_sec", "end_sec")
     d = scan(points, ["match_id"], ["point_idx"], _no=Agg("count", "upto", F.lit(1)), _n=Agg("count", "all", F.lit(1)))
     late = F.col("_no") > F.floor(F.col("_n") / 2)
@@ -245,16 +245,16 @@ def flow_insights(points: DataFrame, rebuilt: bool = False) -> DataFrame:
     up = F.col("late") > F.col("early")
     least, diff, long, short = (4, 2.0, 8, 4) if rebuilt else (6, 1.5, 7, 3)
     overall = F.col("all") if rebuilt else F.round("all", 1)
-    change = fill("Rally length {way} from {a} shots (first half) to {b} shots (second half)", way=F.when(up, "increased").otherwise("decreased"), a=n1(F.col("early")), b=n1(F.col("late")))
+    change = fill("Mean exchange {way} from {a} shots before half-time to {b} shots after it", way=F.when(up, "increased").otherwise("decreased"), a=n1(F.col("early")), b=n1(F.col("late")))
     change = F.concat(change, F.lit(".")) if rebuilt else F.concat(change, F.when(
-        up, " — suggesting longer exchanges and more baseline play.").otherwise(" — suggesting fatigue or more conservative play."))
-    brief = ("Short rallies (avg {a} shots) — aggressive serve-and-volley or quick points." if rebuilt
-             else "Short rallies dominate (avg {a} shots) — serve-heavy or aggressive play.")
+        up, ", so more was settled from the baseline.").otherwise(", perhaps from tired legs or caution."))
+    brief = ("Brief exchanges (mean {a} shots): points were ended fast." if rebuilt
+             else "Mostly brief exchanges (mean {a} shots): serve and attack decided.")
     entry = lambda kind, cond, text: F.when(cond, F.struct(F.lit(kind).alias("kind"), text.alias("description")))
     rows = F.array_compact(F.array(
         entry("trend", (F.col("n") >= least) & (F.abs(F.col("late") - F.col("early")) > diff), change),
         entry("short", (overall > 0) & (overall < short), fill(brief, a=n1(overall))),
-        entry("long", overall > long, fill("Long rallies dominate (avg {a} shots) — baseline-heavy match.", a=n1(overall)))))
+        entry("long", overall > long, fill("Mostly long exchanges (mean {a} shots): a match from the baseline.", a=n1(overall)))))
     none = F.lit(None).cast("double")
     g = g.select("match_id", F.explode(rows).alias("r")).select("match_id", "r.*", none.alias("start_sec"), none.alias("end_sec"))
     return s.unionByName(g)
@@ -288,15 +288,15 @@ def point_summaries(points: DataFrame, shots: DataFrame) -> DataFrame:
     d = points.join(shot_digest(points, shots), ["match_id", "point_idx"], "left")
     dur, hits = n1(F.col("end_sec") - F.col("start_sec")), F.col("rally_hit_count").cast("string")
     lead = F.coalesce(fill("{n}-shot rally ({d}s): {digest}", n=F.col("shots_in_point").cast("string"), d=dur, digest=F.col("digest")),
-                      fill("Point lasted {d}s with {h} detected hits.", d=dur, h=hits))
+                      fill("Took {d}s with {h} hits seen.", d=dur, h=hits))
     fault = F.col("serve_fault_type")
     missed = F.coalesce(fault.isNotNull() & (F.col("rally_hit_count") <= 1), F.lit(False))
     r = F.col("end_reason")
     end = S.when_chain([
-        (missed & (fault == "net"), "Serve into the net"), (missed & (fault == "long"), "Serve long"), (missed & (fault == "wide"), "Serve wide"),
-        (missed, fill("Serve fault ({f})", f=fault)), (r == "OUT", "Ball out"), (r == "NET", "Ball into the net"), (r == "DOUBLE_BOUNCE", "Double bounce"),
-        (r == "BALL_LOST", "Ball went out of tracking range")], fill("End: {r}", r=r))
-    zone = F.when(~missed, fill("Serve landed {z}", z=S.spaced("serve_zone")))
+        (missed & (fault == "net"), "Served into net"), (missed & (fault == "long"), "Serve long"), (missed & (fault == "wide"), "Serve wide"),
+        (missed, fill("Fault on serve ({f})", f=fault)), (r == "OUT", "Ball out"), (r == "NET", "Ball stopped by the net"), (r == "DOUBLE_BOUNCE", "Double bounce"),
+        (r == "BALL_LOST", "Ball left the tracked area")], fill("End: {r}", r=r))
+    zone = F.when(~missed, fill("Served to {z}", z=S.spaced("serve_zone")))
     return d.withColumn("summary", F.concat(sentences(lead, end, zone, sep=". "), F.lit(".")))
 
 
@@ -311,14 +311,14 @@ def suggestions(points: DataFrame, shots: DataFrame, prof: DataFrame) -> DataFra
     r, hits, dirn = F.col("end_reason"), F.col("rally_hit_count"), F.col("last_direction")
     text = S.when_chain([
         (F.col("last_owner").isNull(), ""),
-        ((hits >= 7) & (_long("rate") > _short() + 15), fill("{opp}'s strategy is working — {name} collapses in long rallies ({a}% error rate vs {b}% in short rallies). Keep pushing the pace past shot 7.",
+        ((hits >= 7) & (_long("rate") > _short() + 15), fill("{opp}'s plan pays off: {name} fades when points last ({a}% missed against {b}% early on). Stay patient beyond shot 7.",
             opp=opp, name=name, a=n0(_long("rate")), b=n0(_short()))),
-        ((r == "OUT") & (rate > 20) & ~kind.isin("neutral", "unknown"), fill("{name}'s {t} is breaking down — {p}% error rate this match. This is an exploitable pattern. Keep forcing them to that wing.", name=name, t=kind, p=n0(rate))),
-        ((r == "OUT") & dirn.isNotNull() & ~dirn.isin("unknown", ""), fill("{name} went for the {d} and missed long. Under pressure, this is their go-to and it's costing them.", name=name, d=S.spaced(dirn))),
-        (r == "OUT", fill("{name} pushed for a winner and paid for it — unforced error out of bounds.", name=name)),
-        (r == "NET", fill("{name}'s {t} clipped the net — likely rushed or off-balance. Force them wide to create more situations like this.", name=name, t=kind)),
-        (F.col("_rep").isNotNull(), fill("{name} went {d} {n} times in a row — a predictable pattern {opp} can start anticipating.", name=name, d=S.spaced("_rep"), n=F.col("_times").cast("string"), opp=opp)),
-        (hits >= 5, fill("{h}-shot rally — good baseline consistency from both players.", h=hits.cast("string")))], "")
+        ((r == "OUT") & (rate > 20) & ~kind.isin("neutral", "unknown"), fill("{name}'s {t} does not hold: {p}% missed so far. Keep asking for that shot.", name=name, t=kind, p=n0(rate))),
+        ((r == "OUT") & dirn.isNotNull() & ~dirn.isin("unknown", ""), fill("{name} went for the {d} and overshot; they reach for it when pressed and it's costing them.", name=name, d=S.spaced(dirn))),
+        (r == "OUT", fill("{name} went for more than was there and hit it out.", name=name)),
+        (r == "NET", fill("{name}'s {t} caught the tape, probably hurried. Moving them wide should bring more of these.", name=name, t=kind)),
+        (F.col("_rep").isNotNull(), fill("{name} went {d} {n} times running, which {opp} can wait for.", name=name, d=S.spaced("_rep"), n=F.col("_times").cast("string"), opp=opp)),
+        (hits >= 5, fill("{h}-shot exchange, steady from both sides.", h=hits.cast("string")))], "")
     return d.withColumn("suggestion", text)
 
 
@@ -334,24 +334,24 @@ def point_cards(points: DataFrame, shots: DataFrame, prof: DataFrame) -> DataFra
 def basic_cards(points: DataFrame, last_bounce_side: str = "last_bounce_side") -> DataFrame:
     """Summary and advice from the point alone; ``last_bounce_side`` is null unless the point ended on a bounce."""
     r, f, hits = F.col("end_reason"), F.col("serve_fault_type"), F.col("rally_hit_count")
-    lead = fill("Point {i}: {h}-hit rally lasting {d}s.", i=F.col("point_idx").cast("string"), h=hits.cast("string"), d=n1(F.col("end_sec") - F.col("start_sec")))
-    serve = F.coalesce(fill("Serve landed in the {z} box.", z=S.spaced("serve_zone")), fill("Serve was a fault ({f}).", f=f))
-    end = S.when_chain([(r == "OUT", "The point ended with a ball landing out of bounds."),
-                        (r == "DOUBLE_BOUNCE", "The point ended on a double bounce — the ball bounced twice on the same side before being returned."),
-                        (r == "NET", "The ball hit the net, ending the point."),
-                        (r == "BALL_LOST", "The ball went out of the camera's tracking range, likely after the rally ended.")], fill("End reason: {r}.", r=r))
+    lead = fill("Point {i}: {h} hits in {d}s.", i=F.col("point_idx").cast("string"), h=hits.cast("string"), d=n1(F.col("end_sec") - F.col("start_sec")))
+    serve = F.coalesce(fill("First ball hit the {z} box.", z=S.spaced("serve_zone")), fill("The serve was called out ({f}).", f=f))
+    end = S.when_chain([(r == "OUT", "The last ball landed outside."),
+                        (r == "DOUBLE_BOUNCE", "The ball touched the same side twice before anyone returned it."),
+                        (r == "NET", "The net stopped the last ball."),
+                        (r == "BALL_LOST", "The ball left the camera's view, most likely once play was over.")], fill("Ended by: {r}.", r=r))
     out, side = r == "OUT", F.col(last_bounce_side)
     advice = F.array_compact(F.array(
-        S.when_chain([(f == "wide", "The serve went wide — try aiming more toward the center of the service box to reduce fault risk."),
-                      (f == "long", "The serve was long — consider adding more topspin or reducing power to keep the ball inside the service line."),
-                      (f == "net", "The serve hit the net — try a higher ball toss or more upward swing path to clear the net with margin.")]).cast("string"),
-        S.when_chain([(out & (side == "near"), "The final ball went out on the near side. Focus on depth control and keeping the ball inside the baseline."),
-                      (out & side.isNotNull(), "The final ball went out on the far side. Work on placement — aim for a target zone well inside the lines.")]).cast("string"),
-        S.when_chain([(hits >= 8, "This was a long rally. Good endurance, but look for opportunities to end the point earlier with an aggressive shot or approach to the net."),
-                      ((hits <= 2) & (r != "BALL_LOST"), "Very short rally — focus on extending rallies by improving consistency and shot selection.")]).cast("string"),
-        F.when(r == "DOUBLE_BOUNCE", "A double bounce means the player couldn't reach the ball in time. Work on court positioning and split-step timing to improve reaction speed."),
-        F.when(r == "NET", "Ball caught the net. Try hitting with more clearance over the net, especially on passing shots and returns.")))
-    advice = F.when(F.size(advice) > 0, F.array_join(advice, " ")).otherwise("Solid point. Continue working on consistency and shot placement.")
+        S.when_chain([(f == "wide", "The serve missed wide; a target nearer the middle of the box leaves more room."),
+                      (f == "long", "The serve missed long; more spin or less power brings it down in time."),
+                      (f == "net", "The serve met the net; toss higher and swing up for more clearance.")]).cast("string"),
+        S.when_chain([(out & (side == "near"), "The last ball missed on the near side; mind the depth."),
+                      (out & side.isNotNull(), "The last ball missed on the far side; pick targets further inside.")]).cast("string"),
+        S.when_chain([(hits >= 8, "A long exchange. Stamina is there; look for a ball to attack or follow to the net."),
+                      ((hits <= 2) & (r != "BALL_LOST"), "Over quickly; get more balls back before going for it.")]).cast("string"),
+        F.when(r == "DOUBLE_BOUNCE", "With a second bounce the player couldn't get there. A better ready position and split step would help."),
+        F.when(r == "NET", "The net took the ball. Give returns and passing shots more height.")))
+    advice = F.when(F.size(advice) > 0, F.array_join(advice, " ")).otherwise("A sound point. Keep it up.")
     return points.select("match_id", "point_idx", sentences(lead, serve, end).alias("summary"), advice.alias("suggestion"))
 
 
@@ -381,18 +381,18 @@ def run_insights(run: DataFrame, events: DataFrame, points: DataFrame) -> DataFr
     p2 = lambda c: F.regexp_replace(F.format_string("%.2f", F.round(c * 100, 2)), r"(\.\d)0$", "$1")
     kmh = lambda c: n0(F.col(c) * 3.6)
     lines = sentences(
-        F.when(share("reliable_frames") >= 0.85, fill("Court detection is strong: {r}/{n} frames ({p}%) have reliable homography with {e}px avg reprojection error.",
+        F.when(share("reliable_frames") >= 0.85, fill("Court found reliably: {r}/{n} frames ({p}%) have a trusted projection, mean error {e} px.",
             r=s("reliable_frames"), n=s("frames"), p=p2(share("reliable_frames")), e=F.coalesce(n1(F.col("avg_error_px")), F.lit("N/A")))).otherwise(
-            fill("Court detection may need attention: only {r}/{n} frames ({p}%) have reliable homography.", r=s("reliable_frames"), n=s("frames"), p=p2(share("reliable_frames")))),
-        fill("Ball speed: avg {a} km/h, max {m} km/h (capped at {cap} m/s to exclude artifacts).", a=kmh("avg_speed"), m=kmh("max_speed"), cap=str(K.SPEED_CAP)),
-        F.when(share("ball_frames") < 0.5, fill("Ball detection rate is low ({p}%). This segment may contain replays, close-ups, or poor visibility.", p=p2(share("ball_frames")))).otherwise(
-            fill("Ball detected in {b}/{n} frames ({p}%).", b=s("ball_frames"), n=s("frames"), p=p2(share("ball_frames")))),
-        F.when(share("b_frames") < 0.3, fill("Far-side player (B) detected in only {p}% of frames — typical for broadcast camera angles where the far player appears small.", p=p2(share("b_frames")))),
-        F.when(F.col("raw_detections") > F.col("kept_detections"), fill("Court boundary filter removed {k} non-player detections ({p}% noise — spectators, ball boys, umpires).",
+            fill("Court often not found: only {r}/{n} frames ({p}%) have a trusted projection.", r=s("reliable_frames"), n=s("frames"), p=p2(share("reliable_frames")))),
+        fill("Ball speed: mean {a} km/h, max {m} km/h (capped at {cap} m/s).", a=kmh("avg_speed"), m=kmh("max_speed"), cap=str(K.SPEED_CAP)),
+        F.when(share("ball_frames") < 0.5, fill("The ball is rarely seen ({p}%); replays, close-ups or a bad view are likely.", p=p2(share("ball_frames")))).otherwise(
+            fill("Ball seen in {b}/{n} frames ({p}%).", b=s("ball_frames"), n=s("frames"), p=p2(share("ball_frames")))),
+        F.when(share("b_frames") < 0.3, fill("Player B, on the far side, is seen in just {p}% of frames, as is usual when a player is far from the camera.", p=p2(share("b_frames")))),
+        F.when(F.col("raw_detections") > F.col("kept_detections"), fill("Outside the court, {k} detections were dropped ({p}% of all; crowd, officials, ball kids).",
             k=(F.col("raw_detections") - F.col("kept_detections")).cast("string"), p=p2(F.col("noise_pct") / 100))),
-        fill("Event detection found {b} bounces and {h} hits in this segment.", b=s("bounces"), h=s("hits")),
-        F.when(F.col("bounces") > 0, fill("Bounce classification: {i} in, {o} out — using singles court polygon with {m}-unit line margin.", i=s("bounces_in"), o=s("bounces_out"), m=str(K.LINE_MARGIN))),
-        fill("Point segmentation found {n} point(s) with avg {a} hits per rally.", n=s("points"), a=n1(F.col("avg_hits"))),
+        fill("Found {b} bounces and {h} hits in this segment.", b=s("bounces"), h=s("hits")),
+        F.when(F.col("bounces") > 0, fill("Bounces called: {i} in, {o} out, on the singles court with {m} units of margin.", i=s("bounces_in"), o=s("bounces_out"), m=str(K.LINE_MARGIN))),
+        fill("Play splits into {n} point(s), mean {a} hits each.", n=s("points"), a=n1(F.col("avg_hits"))),
         F.when(F.col("faults") > 0, fill("Serve faults: {f}.", f=s("faults"))))
     return d.select("match_id", lines.alias("insights"))
 
@@ -409,10 +409,10 @@ def match_stories(prof: DataFrame, weaknesses: DataFrame) -> DataFrame:
     d, dom = prof.join(w, ON, "left"), F.col("types")[0]
     share, label, total = dom.n / F.col("total_shots") * 100, name_of(), F.col("points_won") + F.col("points_lost")
     text = sentences(
-        F.when(share > 30, fill("{l} is a {t}-dominant player ({p}% of shots).", l=label, t=dom.shot_type, p=js0(share))), F.col("_w"),
-        F.when(_long_rate() > 40, fill("Breaks down in extended exchanges - error rate climbs to {p}% in rallies longer than 7 shots.", p=js0(_long_rate()))),
-        F.when(total > 0, fill("Won {w} of {t} points in this match.", w=F.col("points_won").cast("string"), t=total.cast("string"))))
-    return d.select(*ON, F.when(text != "", text).otherwise(fill("{l} analysis complete.", l=label)).alias("story"))
+        F.when(share > 30, fill("{l} is a {t} hitter above all ({p}% of strokes).", l=label, t=dom.shot_type, p=js0(share))), F.col("_w"),
+        F.when(_long_rate() > 40, fill("Loses control as points go on: misses reach {p}% beyond shot seven.", p=js0(_long_rate()))),
+        F.when(total > 0, fill("Won {w} of {t} points here.", w=F.col("points_won").cast("string"), t=total.cast("string"))))
+    return d.select(*ON, F.when(text != "", text).otherwise(fill("{l} has nothing else to report.", l=label)).alias("story"))
 
 
 def point_sentences(points: DataFrame, shots: DataFrame, prof: DataFrame, owner: str = "player_a") -> DataFrame:
@@ -429,22 +429,22 @@ def point_sentences(points: DataFrame, shots: DataFrame, prof: DataFrame, owner:
     full, some = kind.isNotNull() & dirn.isNotNull() & v.isNotNull(), kind.isNotNull()
     once = F.col("_danger") & (F.coalesce("_before", F.lit(0)) == 0)
     text = S.when_chain([
-        (f == "long", fill("Serve went long. {h} shot rally - point never got started.", h=h)), (f == "net", fill("Serve clipped the net. {h} shot rally.", h=h)),
-        (f.isNotNull(), fill("Serve fault ({f}). {h} shots played.", f=S.spaced(f), h=h)),
-        ((r == "OUT") & full & (v > avg * 1.2), fill("{l} went for too much on a {t} {d} at {k} km/h - {x}% above their average pace. Missed long after {h} hits.",
+        (f == "long", fill("Long serve. {h} shots, over at once.", h=h)), (f == "net", fill("Net serve. {h} shots.", h=h)),
+        (f.isNotNull(), fill("Fault on serve ({f}). {h} shots in all.", f=S.spaced(f), h=h)),
+        ((r == "OUT") & full & (v > avg * 1.2), fill("{l} overhit a {t} {d} at {k} km/h - {x}% faster than usual, and out after {h} hits.",
             l=label, t=kind, d=dirn, k=kmh, x=js0((v / avg - 1) * 100), h=h)),
-        ((r == "OUT") & full, fill("{l} missed a {t} {d} ({k} km/h) after {h} hits. {s}s rally.", l=label, t=kind, d=dirn, k=kmh, h=h, s=dur)),
-        ((r == "OUT") & some, fill("{t} error ended the point after {h} hits.", t=kind, h=h)),
-        (r == "OUT", fill("Unforced error - ball went out after {h} hits over {s}s.", h=h, s=dur)),
-        ((r == "NET") & some & dirn.isNotNull(), fill("{l}'s {t} {d} found the net after {h} hits. {s}s rally.", l=label, t=kind, d=dirn, h=h, s=dur)),
-        (r == "NET", fill("Ball into the net ended a {h}-hit, {s}s rally.", h=h, s=dur)),
-        ((r == "WINNER") & full, fill("{l} put away a {t} {d} winner at {k} km/h. {h} hits, {s}s.", l=label, t=kind, d=dirn, k=kmh, h=h, s=dur)),
-        ((r == "WINNER") & some, fill("{l} hit a {t} winner to end the {h}-hit rally.", l=label, t=kind, h=h)),
-        (r == "WINNER", fill("Winner - rally finished in {l}'s favor after {h} hits.", l=label, h=h)),
-        (r == "DOUBLE_BOUNCE", fill("Opponent couldn't reach the ball - it bounced twice after {h} hits.", h=h)),
-        (once, fill("{h}-hit rally - tracking was lost, but this is {l}'s danger zone. Their error rate rises to {p}% in rallies this long.", h=h, l=label, p=js0(F.col("_lr")))),
-        ((r == "BALL_LOST") & some, fill("Tracking lost during a {t} exchange. {h} hits, {s}s.", t=kind, h=h, s=dur)),
-        (r == "BALL_LOST", fill("Ball tracking lost after {h} hits. {s}s rally.", h=h, s=dur))], fill("{h}-hit rally over {s}s.", h=h, s=dur))
+        ((r == "OUT") & full, fill("{l} failed with a {t} {d} ({k} km/h) after {h} hits. {s}s rally.", l=label, t=kind, d=dirn, k=kmh, h=h, s=dur)),
+        ((r == "OUT") & some, fill("{t} mistake closed the point after {h} hits.", t=kind, h=h)),
+        (r == "OUT", fill("Own error, out after {h} hits over {s}s.", h=h, s=dur)),
+        ((r == "NET") & some & dirn.isNotNull(), fill("{l}'s {t} {d} met the net after {h} hits. {s}s rally.", l=label, t=kind, d=dirn, h=h, s=dur)),
+        (r == "NET", fill("Ball stopped by the net ended a {h}-hit, {s}s rally.", h=h, s=dur)),
+        ((r == "WINNER") & full, fill("{l} finished with a {t} {d} winner at {k} km/h. {h} hits, {s}s.", l=label, t=kind, d=dirn, k=kmh, h=h, s=dur)),
+        ((r == "WINNER") & some, fill("{l} hit a {t} winner closing the {h}-hit rally.", l=label, t=kind, h=h)),
+        (r == "WINNER", fill("Winner, in {l}'s favour after {h} hits.", l=label, h=h)),
+        (r == "DOUBLE_BOUNCE", fill("Opponent couldn't get to the second bounce after {h} hits.", h=h)),
+        (once, fill("{h} hits before the track broke off, and this is {l}'s weak stretch: misses reach {p}% at this length.", h=h, l=label, p=js0(F.col("_lr")))),
+        ((r == "BALL_LOST") & some, fill("The track broke off in a {t} exchange. {h} hits, {s}s.", t=kind, h=h, s=dur)),
+        (r == "BALL_LOST", fill("The track broke off after {h} hits. {s}s rally.", h=h, s=dur))], fill("{h}-hit rally over {s}s.", h=h, s=dur))
     return d.select("match_id", "point_idx", F.lit(owner).alias("owner"), text.alias("sentence"))
 
 

@@ -424,11 +424,11 @@ _N0 = "CAST(CAST(round_even({}, 0) AS BIGINT) AS VARCHAR)"
 
 CTES["o_weak"] = f"""
 WITH w AS (
- SELECT match_id, owner, 1 AS rule, 'Against ' || name || ': extend rallies past 7 shots. Their error rate rises from ' || {_N0.format('short')} || '% in short rallies to ' || {_N0.format('long')} || '% in rallies longer than 7 shots. This pattern cost ' || lost || ' point' || CASE WHEN lost <> 1 THEN 's' ELSE '' END || ' in this match.' AS description,
-   lost || ' unforced errors in rallies 7+ shots vs ' || {_N0.format('short')} || '% error rate in rallies under 6 shots' AS data_point, lost AS points_cost, LEAST((long - short) / 50, 1.0) AS severity FROM o_players2 WHERE long > short + 15 AND long > 25
- UNION ALL SELECT p.match_id, p.owner, 2, name || '''s ' || w.shot_type || ' breaks down under pressure — ' || {_N0.format('w.rate')} || '% error rate (' || w.errors || ' errors from ' || w.made || ' attempts). Target their ' || w.shot_type || ' side in critical points.',
+ SELECT match_id, owner, 1 AS rule, 'Against ' || name || ': go beyond seven shots. Their misses grow from ' || {_N0.format('short')} || '% early on to ' || {_N0.format('long')} || '% after shot seven. That was worth ' || lost || ' point' || CASE WHEN lost <> 1 THEN 's' ELSE '' END || ' in the match.' AS description,
+   lost || ' own errors from shot 7 on, against ' || {_N0.format('short')} || '% before shot 6' AS data_point, lost AS points_cost, LEAST((long - short) / 50, 1.0) AS severity FROM o_players2 WHERE long > short + 15 AND long > 25
+ UNION ALL SELECT p.match_id, p.owner, 2, name || '''s ' || w.shot_type || ' is shaky when pressed: ' || {_N0.format('w.rate')} || '% of them miss (' || w.errors || ' errors from ' || w.made || ' tries). Aim at their ' || w.shot_type || ' side on big points.',
    w.errors || ' errors / ' || w.made || ' ' || w.shot_type || 's (' || {_N0.format('w.rate')} || '% error rate)', w.errors, LEAST(w.rate / 100, 1.0) FROM o_players2 p JOIN o_worst w ON w.match_id = p.match_id AND w.owner = p.owner WHERE w.rate > 20 AND w.errors >= 2
- UNION ALL SELECT p.match_id, p.owner, 3, name || ' telegraphs their ' || d.shot_type || ' — ' || {_N0.format('d.pct')} || '% go ' || replace(d.direction, '_', ' ') || '. ' || opp || ' can position early and attack the predictable pattern.',
+ UNION ALL SELECT p.match_id, p.owner, 3, name || ' shows their ' || d.shot_type || ' — ' || {_N0.format('d.pct')} || '% go ' || replace(d.direction, '_', ' ') || '. ' || opp || ' can move first and punish it.',
    {_N0.format('d.pct')} || '% of ' || d.shot_type || 's go ' || replace(d.direction, '_', ' '), 0, LEAST(d.pct / 100, 0.8)
   FROM o_players2 p JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY n DESC, shot_type) AS f FROM o_topdir WHERE shot_type NOT IN ('neutral', 'serve', 'unknown')) d ON d.match_id = p.match_id AND d.owner = p.owner AND d.f = 1 WHERE d.pct > 70 AND d.direction <> 'unknown')
 SELECT match_id, owner, CAST(ROW_NUMBER() OVER (PARTITION BY match_id, owner ORDER BY severity DESC, rule) AS INTEGER) AS weakness_no, description, data_point, CAST(points_cost AS BIGINT) AS points_cost, CAST(severity AS DOUBLE) AS severity FROM w"""

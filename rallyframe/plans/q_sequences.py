@@ -261,8 +261,8 @@ def frame_shards(fx):
 @query("shard_qc", "CU-04", """
 WITH s AS (SELECT match_id, frame_idx, (ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY frame_idx) - 1) // 25 AS shard FROM fx_frames),
 f AS (SELECT match_id, frame_idx, COUNT(*) FILTER (class_id = 0) AS p, COUNT(*) FILTER (class_id = 1) AS b, arg_min(w * h, box_no) FILTER (w * h > 0.5) AS big FROM fx_boxes GROUP BY 1, 2),
-r AS (SELECT s.*, CASE WHEN p > 4 THEN 'Implausible detection: ' || p || ' players in one frame (max 4 for doubles)' WHEN b > 2 THEN 'Too many ball detections: ' || b || ' in one frame'
-   WHEN big IS NOT NULL THEN 'Box covers ' || CAST(round_even(big * 100, 0) AS BIGINT) || '% of frame (threshold 50%)' END AS reason FROM s LEFT JOIN f ON f.match_id = s.match_id AND f.frame_idx = s.frame_idx)
+r AS (SELECT s.*, CASE WHEN p > 4 THEN 'Unlikely count: ' || p || ' players in a frame (doubles has 4)' WHEN b > 2 THEN 'Too many balls: ' || b || ' in a frame'
+   WHEN big IS NOT NULL THEN 'A box fills ' || CAST(round_even(big * 100, 0) AS BIGINT) || '% of the frame (limit 50%)' END AS reason FROM s LEFT JOIN f ON f.match_id = s.match_id AND f.frame_idx = s.frame_idx)
 SELECT match_id, shard, arg_min(reason, frame_idx) FILTER (reason IS NOT NULL) AS reason, COUNT(*) AS frames, COUNT(reason) = 0 AS valid FROM r GROUP BY 1, 2""")
 def shard_qc(fx):
     return curation.shard_quality(fx.boxes, curation.shards(fx.frames.select("match_id", "frame_idx")))
@@ -274,10 +274,10 @@ def hash_split(fx):
 
 
 _UNMET = """
-list_filter([CASE WHEN frame_count < 500 THEN 'Insufficient training frames: ' || frame_count || ' < 500 required' END,
- CASE WHEN player_map < 0.80 THEN 'Player detection below target: ' || printf('%.2f', player_map) || ' < 0.80' END, CASE WHEN ball_map < 0.70 THEN 'Ball detection below target: ' || printf('%.2f', ball_map) || ' < 0.70' END,
- CASE WHEN court_lines_map < 0.75 THEN 'Court lines detection below target: ' || printf('%.2f', court_lines_map) || ' < 0.75' END, CASE WHEN net_map < 0.75 THEN 'Net detection below target: ' || printf('%.2f', net_map) || ' < 0.75' END,
- CASE WHEN fp_rate > 0.10 THEN 'False positive rate too high: ' || printf('%.2f', fp_rate) || ' > 0.10' END], lambda x: x IS NOT NULL)"""
+list_filter([CASE WHEN frame_count < 500 THEN 'Too few frames: ' || frame_count || ' < 500 required' END,
+ CASE WHEN player_map < 0.80 THEN 'Player detection under its target: ' || printf('%.2f', player_map) || ' < 0.80' END, CASE WHEN ball_map < 0.70 THEN 'Ball detection under its target: ' || printf('%.2f', ball_map) || ' < 0.70' END,
+ CASE WHEN court_lines_map < 0.75 THEN 'Court lines detection under its target: ' || printf('%.2f', court_lines_map) || ' < 0.75' END, CASE WHEN net_map < 0.75 THEN 'Net detection under its target: ' || printf('%.2f', net_map) || ' < 0.75' END,
+ CASE WHEN fp_rate > 0.10 THEN 'Too many false positives: ' || printf('%.2f', fp_rate) || ' > 0.10' END], lambda x: x IS NOT NULL)"""
 
 
 @query("exit_criteria", "CU-06", f"SELECT job_id, iteration, len({_UNMET}) = 0 AS criteria_met, array_to_string({_UNMET}, '; ') AS unmet FROM fx_evals")
@@ -296,14 +296,14 @@ WITH e AS (SELECT *, {_UNMET} AS unmet, LAG(player_map) OVER (PARTITION BY job_i
 a AS (SELECT *, CASE WHEN len(unmet) = 0 THEN 1 WHEN iteration >= 3 THEN 2 WHEN ball_map < 0.7 AND player_map >= 0.8::DOUBLE * 0.9::DOUBLE THEN 3 WHEN player_map < 0.8 AND frame_count < 500 THEN 4 WHEN fp_rate > 0.1 THEN 5
   WHEN lows <> '' AND abs(player_map - prev) < 0.03::DOUBLE THEN 6 WHEN lows <> '' THEN 7 ELSE 8 END AS rule FROM e)
 SELECT job_id, iteration, CASE rule WHEN 1 THEN 'exit' WHEN 2 THEN 'exit' WHEN 4 THEN 'mine_frames' WHEN 5 THEN 'relabel' WHEN 6 THEN 'mine_frames' ELSE 'retrain' END AS action,
- CASE rule WHEN 1 THEN 'All accuracy targets met after ' || iteration || ' training pass' || CASE WHEN iteration <> 1 THEN 'es' ELSE '' END || '. Player: ' || {_P.format('player_map')} || ', Ball: ' || {_P.format('ball_map')} || ', Court lines: ' || {_P.format('court_lines_map')} || ', Net: ' || {_P.format('net_map')} || ', False positive rate: ' || {_P.format('fp_rate')} || '. Pipeline complete.'
-  WHEN 2 THEN 'Reached the maximum of 3 training passes. Delivering best available model. Targets not fully met: ' || array_to_string(unmet, '; ') || '.'
-  WHEN 3 THEN 'Ball detection lagging at ' || {_P.format('ball_map')} || ' — below the 70% target. Player detection is strong at ' || {_P.format('player_map')} || '. Focusing on ball-specific label refinement and augmentation for the next pass.'
-  WHEN 4 THEN 'Player detection at ' || {_P.format('player_map')} || ' — below the 80% target. Only ' || frame_count || ' training frames available (need 500+). Increasing video sampling to ' || LEAST(fps * 2, 30) || ' frames per second and focusing on high-action moments: net approaches, baseline rallies, and serve sequences.'
-  WHEN 5 THEN 'Too many incorrect detections: ' || {_P.format('fp_rate')} || ' false positive rate (target is below 10%). Tightening rules for excluding ball persons, umpires, and crowd. Re-running label review on the most affected frames.'
-  WHEN 6 THEN 'Accuracy has plateaued — ' || lows || '. Adding more diverse match situations: deuce-court rallies, ad-court serves, net volleys. Increasing sampling to ' || LEAST(fps + 5, 30) || ' frames per second.'
-  WHEN 7 THEN 'Making progress but not there yet — ' || lows || '. Running another training pass with the current frame set and improved labels.'
-  ELSE 'Continuing training. Current: player ' || {_P.format('player_map')} || ', ball ' || {_P.format('ball_map')} || ', court lines ' || {_P.format('court_lines_map')} || ', net ' || {_P.format('net_map')} || '. Unmet: ' || array_to_string(unmet, '; ') || '.' END AS justification,
+ CASE rule WHEN 1 THEN 'Every target reached after ' || iteration || ' training pass' || CASE WHEN iteration <> 1 THEN 'es' ELSE '' END || '. Player: ' || {_P.format('player_map')} || ', Ball: ' || {_P.format('ball_map')} || ', Court lines: ' || {_P.format('court_lines_map')} || ', Net: ' || {_P.format('net_map')} || ', False positive rate: ' || {_P.format('fp_rate')} || '. Done.'
+  WHEN 2 THEN 'Stopping at the limit of 3 training passes; the best model so far is kept. Still open: ' || array_to_string(unmet, '; ') || '.'
+  WHEN 3 THEN 'The ball is found too rarely, at ' || {_P.format('ball_map')} || ' — below the 70% target, while players are at ' || {_P.format('player_map')} || '. The next pass works on ball labels and their augmentation.'
+  WHEN 4 THEN 'Players are at ' || {_P.format('player_map')} || ' — below the 80% target, with only ' || frame_count || ' frames to train on (wanted: 500+). Sampling goes to ' || LEAST(fps * 2, 30) || ' frames per second, at net approaches, baseline exchanges and serves above all.'
+  WHEN 5 THEN 'Too much is found that is not there: ' || {_P.format('fp_rate')} || ' false positives (allowed: below 10%). Stricter rules for people off court: ball kids, officials, crowd. The worst frames are reviewed again.'
+  WHEN 6 THEN 'No more progress: ' || lows || '. More varied play is added (rallies and serves from both sides, volleys) and sampling goes to ' || LEAST(fps + 5, 30) || ' frames per second.'
+  WHEN 7 THEN 'Better, not yet enough: ' || lows || '. One more pass on the same frames with corrected labels.'
+  ELSE 'Training goes on. Now: player ' || {_P.format('player_map')} || ', ball ' || {_P.format('ball_map')} || ', court lines ' || {_P.format('court_lines_map')} || ', net ' || {_P.format('net_map')} || '. Unmet: ' || array_to_string(unmet, '; ') || '.' END AS justification,
  CASE rule WHEN 3 THEN 'focus_ball_augmentation,ball_label_refinement' WHEN 4 THEN 'mine_hard_frames,fps=' || LEAST(fps * 2, 30) WHEN 5 THEN 'strict_crowd_exclusion,rerun_labeling' WHEN 6 THEN 'mine_hard_frames,fps=' || LEAST(fps + 5, 30) WHEN 7 THEN 'fps=' || LEAST(fps + 5, 30) END AS config_updates FROM a""")
 def next_action(fx):
     return curation.next_action(fx.evals)

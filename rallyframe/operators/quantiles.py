@@ -2,13 +2,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.operators.scan import Agg, scan
+from rallyframe.session import pin
 
-STEPS = 4096
+STEPS, BORDERS = 4096, 64
 
 
 def magnitude_bucket(v: Column, steps: int = STEPS) -> Column:
@@ -27,12 +29,19 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str
     """Count, mean, maximum and exact percentiles per key (keys without values give no row).
 
     Equal values are counted first (map-side combined). The distinct values of a key are ranked by a
-    chunked running sum over magnitude buckets, so no task orders a whole key.
+    chunked running sum, so no task orders a whole key. Chunks are magnitude buckets cut further at
+    about ``BORDERS`` evenly spread values of the key, so that values in a narrow band are split as
+    well; the borders only place the cuts, ranks stay exact.
     """
     keys = list(keys)
-    counted = (df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-               .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m")))
-    ranked = scan(counted, keys, ["_v"], chunk=magnitude_bucket(F.col("_v"), steps),
+    counted = pin(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+                  .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m")))
+    marks = [i / BORDERS for i in range(1, BORDERS)]
+    borders = counted.groupBy(*keys).agg(F.percentile_approx("_v", marks, 10 * BORDERS).alias("_b"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    counted = counted.alias("c").join(borders.alias("b"), reduce(lambda x, y: x & y, same)).select("c.*", "_b")
+    cut = F.size(F.filter("_b", lambda b: b <= F.col("_v"))).cast("bigint") * (1 << 40)
+    ranked = scan(counted.withColumn("_chunk_at", cut + magnitude_bucket(F.col("_v"), steps)).drop("_b"), keys, ["_v"], chunk=F.col("_chunk_at"),
                   _upto=Agg("sum", "upto", F.col("_m")), _n=Agg("sum", "all", F.col("_m")))
     ends = []
     for name, p in probs.items():

@@ -7,7 +7,7 @@ from rallyframe.operators import momentum, narrative, stats
 from rallyframe.plans.oracle import _N0
 from rallyframe.plans.q_sequences import _STREAK
 from rallyframe.plans.q_stats import Tables, rounded
-from rallyframe.plans.registry import query
+from rallyframe.plans.registry import ORACLES, query, with_ctes
 from rallyframe.session import pin
 
 
@@ -128,7 +128,11 @@ def shot_sequence(fx):
     return narrative.shot_sequence(fx.points, fx.shots)
 
 
-@query("point_cards", "NA-05")
+@query("point_cards", "NA-05", f"""
+SELECT s.match_id, s.point_idx, p.start_sec, p.end_sec, s.summary, p.end_reason, p.rally_hit_count, p.confidence, COALESCE(r.pattern_context, '') AS pattern_context, COALESCE(g.suggestion, '') AS suggestion
+FROM ({with_ctes(ORACLES["point_summaries"])}) s JOIN o_serve p ON p.match_id = s.match_id AND p.point_idx = s.point_idx
+LEFT JOIN ({with_ctes(ORACLES["repeated_errors"])}) r ON r.match_id = s.match_id AND r.point_idx = s.point_idx
+LEFT JOIN ({with_ctes(ORACLES["point_suggestions"])}) g ON g.match_id = s.match_id AND g.point_idx = s.point_idx""")
 def point_cards(fx):
     """Summary, pattern context and suggestion together (each has its own oracle query)."""
     return narrative.point_cards(Tables(fx).serve_points, fx.shots, pin(_profile(fx)))

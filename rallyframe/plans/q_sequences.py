@@ -268,7 +268,7 @@ def shard_qc(fx):
     return curation.shard_quality(fx.boxes, curation.shards(fx.frames.select("match_id", "frame_idx")))
 
 
-@query("hash_split", "CU-05")
+@query("hash_split", "CU-05", "SELECT match_id, frame_idx, CASE WHEN substring(md5(match_id || '_' || frame_idx), 1, 4) < 'cccd' THEN 'train' ELSE 'val' END AS part FROM fx_frames")
 def hash_split(fx):
     return curation.hash_split(fx.frames.select("match_id", "frame_idx"), "match_id", "frame_idx")
 

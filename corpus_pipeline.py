@@ -13,28 +13,27 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from rallyframe.llm import jaccard, langid, mixing, pieces, pii  # noqa: E402
-from rallyframe.llm.queries import table  # noqa: E402
+from rallyframe.llm.queries import prepare, table  # noqa: E402
 from rallyframe.llm.stored import store  # noqa: E402
-from rallyframe.session import ship  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts and texts without a letter go."""
-    ship(spark)
+    prepare(spark)
     return langid.known_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that links by 5-word shingles at a similarity of 0.8."""
-    ship(spark)
+    prepare(spark)
     return jaccard.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span of personal data replaced by its kind."""
-    ship(spark)
+    prepare(spark)
     masked = pii.mask_pii(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
@@ -46,7 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and token ids of every row."""
-    ship(spark)
+    prepare(spark)
     return pieces.encode_documents(docs, carry=("lang", "source"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, UNKNOWN = "▁", -1
-KNOWN_WORDS, WORDS_AT_ONCE = 1_000_000, 400_000
+KNOWN_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 1_000_000, 400_000, 2_000_000
 ENCODED = [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
            T.StructField("round_trip", T.BooleanType())]
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -266,6 +266,17 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
+def small_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch, of about ``CHARS_AT_ONCE`` characters."""
+    first, size = 0, 0
+    for i, n in enumerate(len(t or "") for t in batch.column("text").to_pylist()):
+        if size and size + n > CHARS_AT_ONCE:
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    yield batch.slice(first)
+
+
 def encode_documents(docs: DataFrame, path: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids, whether decoding the ids gives the text back, and the columns of ``carry``."""
     schema = T.StructType(ENCODED + [T.StructField(c, docs.schema[c].dataType) for c in carry])
@@ -273,7 +284,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, carry: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model.value)
-        for b in batches:
+        for b in (part for batch in batches for part in small_parts(batch)):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids, at = vocab.encode(texts)
             back = vocab.decode(ids, at)

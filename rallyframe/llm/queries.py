@@ -13,10 +13,14 @@ ORACLES: dict[str, str] = {}
 RECORDS_PER_BATCH = "512"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; texts travel to Python in small batches, as single texts may be long."""
+def prepare(spark: SparkSession) -> None:
+    """Workers get the package; texts travel to Python in small batches, as single texts may be long."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", RECORDS_PER_BATCH)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,10 +7,11 @@ document's frequent tokens that fall into the same hash class; there are more cl
 so that partners agree on a whole class. Class numbers follow bands of set sizes; a document takes part in its own band and in
 the one below. Where too few classes hold tokens, the prefix is indexed singly as well.
 
-Candidates of an index entry first meet its smallest member only; linked ones form components. Then members of different
-components are paired. Before the exact comparison a pair must pass a bound on its difference from token counts by hash
-class. No candidate is dropped for want of room: every pair of an index entry is linked, bound to be apart, compared, or
-inside one component.
+In ``ROUNDS`` rounds the members of an index entry meet one of them only, another in each round; linked ones form components.
+Then the members of an entry that lie in different components are tested in blocks of about ``BLOCK`` against a bound on the
+tokens in which they differ, from token counts by hash class; pairs that pass are compared exactly. No candidate is dropped
+for want of room: every pair of an index entry is compared, bound to be apart, or inside one component. Families whose
+members share most tokens but do not link cost the square of their size in tests of that bound, in blocks over all tasks.
 
 Which tokens are frequent only decides the order, never the result. A token is frequent if the counts of the chunks in which it
 occurs at least twice add up to more than ``FREQUENT``; frequent tokens are kept as a bit table of fixed size, so that a token
@@ -28,14 +29,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rallyframe.llm.stored import store
+from rallyframe.llm.stored import discard, store
 from rallyframe.llm.text import ORDER_CODE, mix, shingle_sets, slices
 
-FREQUENT, TABLE_BITS, CHUNK_TOKENS, BINS = 24, 26, 3_000_000, 128
+FREQUENT, TABLE_BITS, CHUNK_TOKENS, BINS, BLOCK, ROUNDS = 24, 26, 3_000_000, 64, 1024, 3
 SETS = "doc_id long, version long, n_shingles long, node long, sketch binary, signatures array<long>"
 
 
@@ -152,8 +154,8 @@ def indexed_sets(docs: DataFrame, table: np.ndarray, rule: Rule) -> DataFrame:
                 often = is_frequent(shared.value, code)
                 own = [signatures(code[a:z], often[a:z], rule) if z > a else code[:0] for a, z in zip(at[:-1], at[1:], strict=True)]
                 doc = np.repeat(np.arange(j - i), np.diff(at))
-                bins = np.bincount(doc * BINS + (code >> np.uint64(57)).astype(np.int64), minlength=(j - i) * BINS)
-                sketch = np.minimum(bins, 65535).astype(np.uint16).reshape(j - i, BINS)
+                bins = np.bincount(doc * BINS + (code >> np.uint64(58)).astype(np.int64), minlength=(j - i) * BINS)
+                sketch = np.minimum(bins, 255).astype(np.uint8).reshape(j - i, BINS)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -168,7 +170,7 @@ def may_link(n: pd.Series, m: pd.Series, a: pd.Series, b: pd.Series, percent: pd
     """False only for pairs that differ in more tokens than a link allows."""
     if not len(n):
         return pd.Series([], dtype=bool)
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), BINS).astype(np.int64) for s in (a, b))
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), BINS).astype(np.int64) for s in (a, b))
     return pd.Series(np.abs(x - y).sum(1) <= Rule(percent=int(percent.iloc[0])).apart(n.to_numpy(), m.to_numpy()))
 
 
@@ -181,21 +183,34 @@ def plausible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.where(may_link("n_a", "n_b", "s_a", "s_b", F.lit(rule.percent))).select("a", "b")
 
 
+def compressed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and the compressed text of the document that stands for it; texts are compressed before they are shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            data = pa.array([pack.compress(t) for t in text_bytes(b.column("text").to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), data], names=["doc_id", "version", "text"])
+    packed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "doc_id long, version long, text binary").alias("d")
+    of = nodes.select("node", "of.doc_id", "of.version").alias("n")
+    found = packed.join(of, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.version") == F.col("n.version")))
+    return found.select("n.node", "d.text").dropDuplicates(["node"])
+
+
 def linked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose sets link, compared exactly."""
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, None
+        now, own, unpack = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             text_a, keep = batch.column("text_a"), []
-            texts_b = text_bytes(batch.column("text_b").to_pylist())
+            texts_b = [unpack.decompress(t) for t in batch.column("text_b").to_pylist()]
             for i, j in slices(texts_b):
                 code, at = shingle_sets(texts_b[i:j], rule.width)
                 for k in range(i, j):
                     if a[k] != now:
-                        now, own = a[k], shingle_sets(text_bytes([text_a[k].as_py()]), rule.width)[0]
+                        now, own = a[k], shingle_sets([unpack.decompress(text_a[k].as_py())], rule.width)[0]
                     other = code[at[k - i]:at[k - i + 1]]
                     place = np.minimum(np.searchsorted(own, other), len(own) - 1)
                     common = int((own[place] == other).sum())
@@ -209,7 +224,7 @@ def components(links: DataFrame) -> DataFrame:
     """node, label for every node with a link: the smallest node it reaches. Labels spread over links and along themselves until
     nothing changes; rounds grow with the logarithm of the longest chain in practice."""
     edges = store(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = store(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label")
     while True:
         seen = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         better = labels.join(seen, labels.node == seen.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
@@ -220,38 +235,93 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def placed_in(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """sig, node, label: the entries with the component of each member."""
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+
+
+def star_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Each member of an entry with the entry's first member in the order of this round, where their components differ."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")
+    heads = placed.groupBy("sig").agg(F.min(order).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    pairs = placed.join(heads.select("sig", "head"), "sig").where(F.col("label") != F.col("head.label"))
+    return pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+
+
+def pairs_across(placed: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of an entry's members in different components that the bounds let pass; members meet block by block."""
+    counts = placed.groupBy("sig").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    rows = placed.join(counts.select("sig", F.ceil(F.col("n") / BLOCK).alias("blocks")), "sig").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["sig", "i", "j"]
+    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n_shingles", "sketch")
+
+    def met(i: int, j: int, parts: list[pd.DataFrame]) -> Iterator[tuple[int, int]]:
+        rows = pd.concat(parts) if len(parts) > 1 else parts[0]
+        own, node, label, size = (rows[c].to_numpy() for c in ("own", "node", "label", "n_shingles"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), BINS).astype(np.int32)
+        right = np.flatnonzero(own == j)
+        for x in np.flatnonzero(own == i):
+            y = right[(label[right] != label[x]) & ((node[right] > node[x]) if i == j else True)]
+            y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * rule.percent]
+            y = y[np.abs(sketch[y] - sketch[x]).sum(1) <= rule.apart(size[y], size[x])]
+            yield from ((min(node[x], z), max(node[x], z)) for z in node[y].tolist())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts = None, []
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            own = b[keys].to_numpy()
+            cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1).tolist(), len(b)] if len(b) else [0]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(own[a].tolist())
+                if key != now:
+                    if parts:
+                        found += met(now[1], now[2], parts)
+                    now, parts = key, []
+                parts.append(b.iloc[a:z])
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        if parts:
+            yield pd.DataFrame(list(met(now[1], now[2], parts)), columns=["a", "b"], dtype="int64")
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, version (hash of the text), n_shingles, component_id (smallest doc_id reachable by links, own included) and n_linked
     (links found for the document's set; links within a component need not all be found)."""
     docs = docs.select("doc_id", "text")
     sets = store(indexed_sets(docs, frequent_table(docs, rule), rule), "sets")
-    entries = sets.select(F.explode("signatures").alias("sig"), "node")
-    shared = store(entries.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("sig", "a"), "shared")
-    members = store(entries.join(shared, "sig").select("sig", "a", F.col("node").alias("b")).distinct(), "members")
-    nodes = sets.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "version")).alias("of"))
-    nodes = store(nodes.join(members.select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "nodes")
-    first_pairs = store(plausible(members.where("a <> b").select("a", "b").distinct(), nodes, rule), "pairs")
-    own = docs.withColumn("version", F.xxhash64("text")).dropDuplicates(["doc_id", "version"]).alias("d")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        of = nodes.join(asked, "node", "left_semi").select("node", "of.doc_id", "of.version").alias("n")
-        found = own.join(of, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.version") == F.col("n.version")))
-        return store(found.select("n.node", "d.text"), "texts")
-
-    links = store(linked(first_pairs, texts_of(first_pairs), rule), "links")
-    labels = components(links)
-    placed = members.select("sig", "b", "a").join(labels.select(F.col("node").alias("b"), "label"), "b", "left").select("sig", "a", "b", F.coalesce("label", "b").alias("label"))
-    mixed = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    placed = store(placed.join(mixed, "sig").where("a <> b"), "placed")
-    left, right = placed.select("sig", "b", "label"), placed.select("sig", F.col("b").alias("c"), F.col("label").alias("other"))
-    more = left.join(right, "sig").where((F.col("label") != F.col("other")) & (F.col("b") < F.col("c"))).select(F.col("b").alias("a"), F.col("c").alias("b")).distinct()
-    more = store(plausible(more, nodes, rule), "more")
-    links = store(links.unionByName(linked(more, texts_of(more), rule)), "links")
-    labels = components(links)
+    rows = store(sets.select("doc_id", "version", "n_shingles", "node"), "rows")
+    first = lambda c: F.first(c).alias(c)  # noqa: E731  equal for all rows of a node
+    nodes = sets.where("n_shingles > 0").groupBy("node").agg(first("n_shingles"), first("sketch"), first("signatures"), F.min(F.struct("doc_id", "version")).alias("of"))
+    every = store(nodes, "every")
+    discard(sets)
+    entries = every.select(F.explode("signatures").alias("sig"), "node")
+    shared = entries.groupBy("sig").count().where("count > 1").select("sig")
+    members = store(entries.join(shared, "sig"), "members")
+    nodes = store(every.join(members.select("node").distinct(), "node", "left_semi").drop("signatures"), "nodes")
+    discard(every)
+    texts = store(compressed_texts(docs, nodes), "texts")
+
+    links, labels = None, None
+    for turn in range(ROUNDS + 1):
+        placed = placed_in(members, labels)
+        if turn < ROUNDS:
+            pairs = plausible(star_pairs(placed, turn), nodes, rule)
+        else:
+            pairs = pairs_across(placed, nodes, rule)
+        new = store(linked(pairs, texts, rule), "links")
+        links = new if links is None else links.unionByName(new)
+        if not new.isEmpty():
+            labels = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_linked"))
-    tagged = store(sets.select("doc_id", "version", "n_shingles", "node").join(labels, "node", "left").join(degree, "node", "left").select(
+    if labels is None:
+        labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    tagged = store(rows.join(labels, "node", "left").join(degree, "node", "left").select(
         "doc_id", "version", "n_shingles", F.coalesce("label", "node").alias("label"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")), "tagged")
     smallest = tagged.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     some = tagged.where("n_shingles > 0").join(smallest, "label").select("doc_id", "version", "n_shingles", "component_id", "n_linked")

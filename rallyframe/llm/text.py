@@ -8,7 +8,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     for d in np.flatnonzero((n_words > 0) & (n_words < width)):
         own = h[begin[d]:begin[d] + n_words[d]]
         keep_doc.append(np.array([d]))
-        keep.append(mix(np.array([(own * ORDER_CODE[:len(own)]).sum() + ORDER_CODE[50 + len(own)]], np.uint64)))
+        keep.append(mix(np.array([(own * ORDER_CODE[:len(own)]).sum()]) + ORDER_CODE[50 + len(own)]))
     if not keep:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     doc, code = np.concatenate(keep_doc), np.concatenate(keep)

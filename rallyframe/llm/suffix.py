@@ -6,8 +6,8 @@ Contexts that occur more than once are repeated as a whole, whatever their windo
 contexts, each context is laid out once in a shard of about ``SHARD_BYTES``, followed by a terminator of its own. A shard's
 suffix array comes from Larsson-Sadakane refinement, its common prefixes from Kasai's pass in lockstep over the contexts;
 a window is repeated if a neighbour in the array shares ``LENGTH`` bytes. An anchor with more than ``SPLIT`` contexts is dealt
-over several shards; for those, each shard lists its distinct windows sorted, and windows are looked up by binary search among
-the lists of the other shards.
+over several shards; for those, each shard lists its distinct windows sorted, in ranges of digests, and windows are looked up by binary search
+among the lists of the other shards.
 
 Null and empty texts have no windows and nothing is removed. Rows that repeat an id and a text are places of their own, so
 their windows repeat. Strings never reach across documents. Other columns are not read.
@@ -27,7 +27,7 @@ from rallyframe.llm.stored import store
 from rallyframe.llm.text import joined, mix, powers, prefix_hash, slices, span_hash
 
 LENGTH, GRAM = 200, 32
-SHARD_BYTES, SPLIT, MERGE_ROWS = 2_000_000, 1000, 200_000
+SHARD_BYTES, SPLIT = 2_000_000, 1000
 END = 8
 SPAN = "doc long, start long, stop long"
 OTHER_CODE = mix(np.arange(5001, 5257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -188,36 +188,50 @@ def merged_spans(starts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": d[first], "start": s[first], "stop": s[last] + LENGTH})
 
 
-def in_shards(rows: DataFrame) -> DataFrame:
-    """Spans (digest null) and listed windows of all shards, shard after shard in a task."""
-    schema = "doc long, start long, stop long, shard long, digest long, second long, open boolean"
+LISTED = ["digest", "second", "doc", "start", "open"]
 
-    def both(shard: int, parts: list[pd.DataFrame]) -> pd.DataFrame:
+
+def listed(windows: pd.DataFrame, ranges: int) -> pd.DataFrame:
+    """A shard's list of windows, cut into ranges of digests: one packed, sorted array for each."""
+    windows = windows.sort_values(["digest", "second"])
+    values = windows[LISTED].to_numpy(np.int64)
+    own = (values[:, 0].view(np.uint64) // np.uint64(-(-2**64 // ranges))).astype(np.int64) if ranges > 1 else np.zeros(len(values), np.int64)
+    order = np.argsort(own, kind="stable")
+    own, values = own[order], values[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return pd.DataFrame({"part": own[first], "windows": [x.tobytes() for x in np.split(values, first[1:])] if len(own) else []})
+
+
+def in_shards(rows: DataFrame, ranges: int) -> DataFrame:
+    """Repeated spans and packed lists of windows of all shards, shard after shard in a task."""
+    names = ["doc", "start", "stop", "part", "windows"]
+
+    def both(parts: list[pd.DataFrame]) -> pd.DataFrame:
         spans, windows = shard_windows(pd.concat(parts))
-        out = pd.concat([spans.assign(digest=pd.NA, second=pd.NA, open=False), windows.assign(stop=windows["start"] + LENGTH)]).assign(shard=shard)
-        return out[["doc", "start", "stop", "shard", "digest", "second", "open"]].astype({"digest": "Int64", "second": "Int64", "open": "bool"})
+        return pd.concat([spans.astype("Int64"), listed(windows, ranges)]).reindex(columns=names).astype({n: "Int64" for n in names[:4]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, parts = None, []
         for b in batches:
             for shard, part in b.groupby("shard", sort=False):
                 if shard != now and parts:
-                    yield both(now, parts)
+                    yield both(parts)
                     parts = []
                 now = shard
                 parts.append(part)
         if parts:
-            yield both(now, parts)
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, schema)
+            yield both(parts)
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, f"{SPAN}, part long, windows binary")
 
 
 def across_shards(rows: pd.DataFrame) -> pd.DataFrame:
     """Windows of one range of digests that other shards list as well, by binary search in the sorted lists of all shards."""
-    own = rows[["digest", "second"]].to_numpy().copy().view([("a", "i8"), ("b", "i8")]).ravel()
+    values = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, len(LISTED)) for x in rows["windows"]])
+    own = values[:, :2].copy().view([("a", "i8"), ("b", "i8")]).ravel()
     union = np.sort(own)
     twice = np.searchsorted(union, own, "right") - np.searchsorted(union, own, "left") > 1
-    hit = rows[twice & rows["open"].to_numpy()]
-    return pd.DataFrame({"doc": hit["doc"], "start": hit["start"], "stop": hit["stop"]})
+    hit = values[twice & (values[:, 4] > 0)]
+    return merged_spans(pd.DataFrame({"doc": hit[:, 2], "start": hit[:, 3]}))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
@@ -287,11 +301,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shards = -(-size // SHARD_BYTES)
     parts = F.ceil(F.col("m") / SPLIT)
     asked = several.withColumn("split", F.col("m") > SPLIT).withColumn("shard", F.pmod(F.xxhash64("anchor", F.pmod(F.xxhash64("context"), parts)), F.lit(shards)))
-    found = store(in_shards(bodies_of(docs, asked)), "shards")
-    listed = found.where("digest is not null")
-    ranges = -(-listed.count() // MERGE_ROWS) or 1
-    merged = listed.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(ranges))).groupBy("part").applyInPandas(across_shards, SPAN)
-    return spans.unionByName(found.where("digest is null").select("doc", "start", "stop")).unionByName(merged)
+    found = store(in_shards(bodies_of(docs, asked), shards), "shards")
+    merged = found.where("windows is not null").select("part", "windows").groupBy("part").applyInPandas(across_shards, SPAN)
+    return spans.unionByName(found.where("windows is null").select("doc", "start", "stop")).unionByName(merged)
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

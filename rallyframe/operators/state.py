@@ -156,10 +156,6 @@ def replace_run(stored: DataFrame, current: DataFrame, key: str = "job_id") -> D
     return others.unionByName(current)
 
 
-def listing(df: DataFrame, *order: Column) -> DataFrame:
-    return df.orderBy(*order)
-
-
 def with_card(points: DataFrame, cards: DataFrame) -> DataFrame:
     """First card of each point."""
     c = cards.groupBy("match_id", "point_idx").agg(F.min_by("summary", "card_no").alias("summary"))

@@ -235,6 +235,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def one_entry_each(members: DataFrame) -> DataFrame:
+    """Index entries with the same members lead to the same pairs; one of them stays."""
+    hashed = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    kept = members.groupBy("sig").agg(F.count("*").alias("n"), *hashed).groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
+    out = store(members.join(kept, "sig"), "members")
+    discard(members)
+    return out
+
+
 def placed_in(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """sig, node, label: the entries with the component of each member."""
     if labels is None:
@@ -301,7 +310,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     discard(sets)
     entries = every.select(F.explode("signatures").alias("sig"), "node")
     shared = entries.groupBy("sig").count().where("count > 1").select("sig")
-    members = store(entries.join(shared, "sig"), "members")
+    members = one_entry_each(store(entries.join(shared, "sig"), "entries"))
     nodes = store(every.join(members.select("node").distinct(), "node", "left_semi").drop("signatures"), "nodes")
     discard(every)
     texts = store(compressed_texts(docs, nodes), "texts")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rallyframe.llm.stored import store
+from rallyframe.llm.stored import discard, store
 from rallyframe.llm.text import joined, mix, powers, prefix_hash, slices, span_hash
 
 LENGTH, GRAM = 200, 32
@@ -284,17 +284,19 @@ def bodies_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, start, stop: byte spans that repeated windows cover; they may overlap. ``docs`` has doc (a row's key) and text."""
-    seen = store(occurrences(docs), "occurrences")
-    again = seen.groupBy("anchor").count().where("count > 1").select("anchor")
-    seen = store(seen.join(again, "anchor"), "repeated")
-    context = seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one"))
-    context = store(context.where("n > 0"), "contexts")
+    every = store(occurrences(docs), "occurrences")
+    again = every.groupBy("anchor").count().where("count > 1").select("anchor")
+    seen = store(every.join(again, "anchor"), "repeated")
+    discard(every)
+    context = store(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one")), "contexts")
     whole = seen.join(context.where("n > 1").select("anchor", "context"), ["anchor", "context"])
     first = F.floor(F.col("place") / 256)
     spans = store(whole.select("doc", first.alias("start"), (first + F.col("place") % 256 + (LENGTH - 1)).alias("stop")).distinct(), "whole")
     several = context.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
     several = context.join(several, "anchor").select("anchor", "context", "one.doc", "one.place", (F.col("n") == 1).alias("alone"), "m")
     several = store(several, "several")
+    discard(seen)
+    discard(context)
     size = several.agg(F.sum(F.col("place") % 256 + (LENGTH + END))).first()[0]
     if not size:
         return spans
@@ -302,6 +304,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("m") / SPLIT)
     asked = several.withColumn("split", F.col("m") > SPLIT).withColumn("shard", F.pmod(F.xxhash64("anchor", F.pmod(F.xxhash64("context"), parts)), F.lit(shards)))
     found = store(in_shards(bodies_of(docs, asked), shards), "shards")
+    discard(several)
     merged = found.where("windows is not null").select("part", "windows").groupBy("part").applyInPandas(across_shards, SPAN)
     return spans.unionByName(found.where("windows is null").select("doc", "start", "stop")).unionByName(merged)
 

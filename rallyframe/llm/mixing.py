@@ -136,8 +136,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     whole = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("row", F.xxhash64("doc.text"))
     whole = whole.withColumn("copy", F.row_number().over(own)).where("copy = 1").alias("d")
     rows = taken.join(whole, (F.col("m.row") == F.col("d.row")) & F.col("m.doc_id").eqNullSafe(F.col("d.doc.doc_id")) & F.col("m.source").eqNullSafe(F.col("d.doc.source")))
-    rows = rows.withColumn("tokens", F.when(F.col("taken") < F.col("size"), F.regexp_extract_all("doc.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))))
-    runs = F.transform("parts", lambda p: F.array_join(F.slice(F.col("tokens"), (p["first_word"] + 1).cast("int"), p["words"].cast("int")), ""))
+    tokens = F.regexp_extract_all("doc.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = lambda t: F.transform("parts", lambda p: F.array_join(F.slice(t, (p["first_word"] + 1).cast("int"), p["words"].cast("int")), ""))
+    # a bound variable: the words are found once for a row, not once for each part
+    runs = F.transform(F.array(tokens), cut)[0]
     rows = rows.withColumn("new_text", F.when(F.col("taken") == F.col("size"), F.col("doc.text")).otherwise(F.array_join(runs, "\n")))
     new = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:

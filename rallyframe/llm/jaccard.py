@@ -13,6 +13,10 @@ tokens in which they differ, from token counts by hash class; pairs that pass ar
 for want of room: every pair of an index entry is compared, bound to be apart, or inside one component. Families whose
 members share most tokens but do not link cost the square of their size in tests of that bound, in blocks over all tasks.
 
+Links are counted afterwards, component by component, as no link leaves one: its nodes are cut into blocks of about ``FAMILY``,
+and the tokens that each node of a block shares with each node of another are counted by products of 0-1 matrices. Each pair is
+compared once and exactly; only sums leave a block. A component costs the square of its size, over all tasks.
+
 Which tokens are frequent only decides the order, never the result. A token is frequent if the counts of the chunks in which it
 occurs at least twice add up to more than ``FREQUENT``; frequent tokens are kept as a bit table of fixed size, so that a token
 may be taken for frequent by chance.
@@ -38,6 +42,7 @@ from rallyframe.llm.stored import discard, store
 from rallyframe.llm.text import ORDER_CODE, mix, shingle_sets, slices
 
 FREQUENT, TABLE_BITS, CHUNK_TOKENS, BINS, BLOCK, ROUNDS = 24, 26, 3_000_000, 64, 1024, 3
+FAMILY, FAMILY_TOKENS, COLUMNS = 256, 500_000, 4096
 SETS = "doc_id long, version long, n_shingles long, node long, sketch binary, signatures array<long>"
 
 
@@ -298,9 +303,85 @@ def pairs_across(placed: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, version (hash of the text), n_shingles, component_id (smallest doc_id reachable by links, own included) and n_linked
-    (links found for the document's set; links within a component need not all be found)."""
+def common_tokens(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, same: bool) -> np.ndarray:
+    """How many tokens each set of one block shares with each set of another. With ``same`` the blocks are one and the counts of
+    a set with itself are not to be used."""
+    if same:
+        found, count = np.unique(a, return_counts=True)
+        shared = found[count > 1]
+    else:
+        shared = np.intersect1d(a, b)
+    out = np.zeros((len(at_a) - 1, len(at_b) - 1), np.int64)
+    if not len(shared):
+        return out
+    sides = []
+    for code, at in ((a, at_a), (b, at_b)):
+        place = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
+        hit = np.flatnonzero(shared[place] == code)
+        order = hit[np.argsort(place[hit], kind="stable")]
+        sides.append((place[order], np.repeat(np.arange(len(at) - 1), np.diff(at))[order], len(at) - 1))
+    for low in range(0, len(shared), COLUMNS):
+        dense = []
+        for place, own, n in sides:
+            i, j = np.searchsorted(place, [low, low + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, len(shared) - low)), np.float32)
+            part[own[i:j], place[i:j] - low] = 1
+            dense.append(part)
+        out += (dense[0] @ dense[1].T).astype(np.int64)  # sums of at most COLUMNS ones are exact
+    return out
+
+
+def link_counts(labels: DataFrame, weights: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """node, n: the rows whose sets link with the node's, itself left out, for every node of a component."""
+    members = labels.join(weights, "node").join(nodes.select("node", "n_shingles"), "node")
+    sizes = members.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / FAMILY, F.sum("n_shingles") / FAMILY_TOKENS)).alias("blocks"))
+    rows = members.join(sizes.where("blocks > 1"), "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).join(texts, "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["label", "i", "j"]
+    rows = rows.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n_rows", "text")
+
+    def counted(i: int, j: int, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows, unpack = pd.concat(parts), zstandard.ZstdDecompressor()
+        sides = []
+        for own in (i, j)[:1 + (i != j)]:
+            side = rows[rows["own"] == own]
+            data, codes, sizes = [unpack.decompress(t) for t in side["text"]], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+            for first, last in slices(data):
+                code, at = shingle_sets(data[first:last], rule.width)
+                codes.append(code)
+                sizes.append(np.diff(at))
+            sides.append((side["node"].to_numpy(), side["n_rows"].to_numpy(), np.concatenate(codes), np.cumsum(np.concatenate(sizes))))
+        (node_a, w_a, a, at_a), (node_b, w_b, b, at_b) = sides[0], sides[-1]
+        common = common_tokens(a, at_a, b, at_b, i == j)
+        link = 100 * common >= rule.percent * (np.diff(at_a)[:, None] + np.diff(at_b)[None, :] - common)
+        if i == j:
+            np.fill_diagonal(link, False)
+            return pd.DataFrame({"node": node_a, "n": link @ w_a})
+        return pd.DataFrame({"node": np.concatenate([node_a, node_b]), "n": np.concatenate([link @ w_b, w_a @ link])})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts = None, []
+        for b in batches:
+            own = b[keys].to_numpy()
+            cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1).tolist(), len(b)] if len(b) else [0]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(own[a].tolist())
+                if key != now:
+                    if parts:
+                        yield counted(now[1], now[2], parts)
+                    now, parts = key, []
+                parts.append(b.iloc[a:z])
+        if parts:
+            yield counted(now[1], now[2], parts)
+
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "node long, n long")
+    return found.groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), count: bool = True) -> DataFrame:
+    """doc_id, version (hash of the text), n_shingles, component_id (smallest doc_id reachable by links, own included) and, with
+    ``count``, n_linked: the other rows whose sets link with the row's, rows of an equal set among them."""
     docs = docs.select("doc_id", "text")
     sets = store(indexed_sets(docs, frequent_table(docs, rule), rule), "sets")
     rows = store(sets.select("doc_id", "version", "n_shingles", "node"), "rows")
@@ -327,14 +408,20 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         if not new.isEmpty():
             labels = components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_linked"))
     if labels is None:
         labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    tagged = store(rows.join(labels, "node", "left").join(degree, "node", "left").select(
-        "doc_id", "version", "n_shingles", F.coalesce("label", "node").alias("label"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")), "tagged")
+    tagged = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    out = ["doc_id", "version", "n_shingles", "component_id"]
+    if count:
+        weights = rows.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("n_rows"))
+        degree = store(weights.join(link_counts(labels, weights, nodes, texts, rule), "node", "left").select(
+            "node", (F.coalesce("n", F.lit(0)) + F.col("n_rows") - 1).alias("n_linked")), "degree")
+        tagged = tagged.join(degree, "node", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0)))
+        out.append("n_linked")
+    tagged = store(tagged.drop("node"), "tagged")
     smallest = tagged.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    some = tagged.where("n_shingles > 0").join(smallest, "label").select("doc_id", "version", "n_shingles", "component_id", "n_linked")
-    none = tagged.where("n_shingles = 0").select("doc_id", "version", "n_shingles", F.col("doc_id").alias("component_id"), "n_linked")
+    some = tagged.where("n_shingles > 0").join(smallest, "label").select(*out)
+    none = tagged.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*out)
     return some.unionByName(none)
 
 
@@ -344,7 +431,7 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(width=5, percent=80)) -> DataFrame:
     """The documents without those whose component holds a smaller id; rows that repeat an id and a text stay once."""
-    found = jaccard_components(docs, rule).select("doc_id", "version", "component_id").distinct().alias("c")
+    found = jaccard_components(docs, rule, count=False).select("doc_id", "version", "component_id").distinct().alias("c")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "version").distinct().alias("k")
     own = docs.withColumn("__version", F.xxhash64("text")).dropDuplicates(["doc_id", "__version"]).alias("d")
     joined = own.join(keep, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__version") == F.col("k.version")), "left_semi")

@@ -219,6 +219,26 @@ def test_jaccard_components(sp, monkeypatch, rule, frequent, block):
     assert got == components(texts, rule)
 
 
+def link_numbers(texts, rule):
+    sets = [shingles(t, rule.width) for t in texts]
+    return [sum(1 for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= rule.percent * len(a | b)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("rule,family,tokens,columns", [(jaccard.Rule(), 256, 500_000, 4096), (jaccard.Rule(5, 80), 7, 2000, 64)])
+def test_jaccard_counts_every_link(sp, monkeypatch, rule, family, tokens, columns):
+    for name, value in (("FAMILY", family), ("FAMILY_TOKENS", tokens), ("COLUMNS", columns)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(13)
+    base = prose(rng, 100).split()
+    texts = families(rng)
+    for i in range(100):  # near copies that all link
+        texts.append(" ".join([*base[:i], f"only{i}", *base[i + 1:]]))
+    texts += [texts[-1]] * 3 + [texts[-2].upper()]
+    got = {r["doc_id"]: r["n_linked"] for r in rows_of(jaccard.jaccard_components(docs_of(sp, texts), rule))}
+    want = link_numbers(texts, rule)
+    assert [got[i] for i in range(len(texts))] == want and max(want) >= 100
+
+
 def test_jaccard_corner_cases(sp):
     assert jaccard.jaccard_report(docs_of(sp, [])).count() == 0
     d = docs_of(sp, ["a b c d e f", "x y"])

@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 Base kinds (``email``, ``ip``, ``card``, ``phone``) are leftmost non-overlapping matches of their pattern that pass
-their own test; they are always kept. ``iban`` (mod 97) and ``ssn`` (needs a context word) come on top.
+their own test; they are always kept. ``iban`` (mod 97) and ``ssn`` (needs a context word) come on top. Words after an account number may look like
+more of it, so every length of it is tried.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Rows stay as they are, repeated or not,
 and any other column of the input is left alone.
@@ -21,9 +22,14 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
+# characters of an account number by country, where the registry fixes them
+IBAN_LENGTH = {c: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL",
+    29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC"}.items() for c in names.split()}
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE_KINDS = KINDS[:4]
 CONTEXT = {
@@ -49,6 +55,25 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def ibans(text: str):
+    """From each start the cut at the country's length, then the longest other one, whose check digits are right. A cut ends a word."""
+    done = 0
+    for m in IBAN.finditer(text):
+        start, run = m.start(), m[1]
+        if start < done:
+            continue
+        ends, n = [], 0
+        for at, c in enumerate(run, start + 1):
+            n += c != " "
+            if c != " " and n >= 15 and not (text[at:at + 1].isascii() and text[at:at + 1].isalnum()):
+                ends.append((n != IBAN_LENGTH.get(run[:2]), -n, at))
+        for _, _, end in sorted(ends):
+            if mod97(text[start:end]):
+                yield start, end
+                done = end
+                break
+
+
 def emails(text: str):
     """Every address is built around its at sign, so that a long run of letters is walked once."""
     done, at = 0, text.find("@")
@@ -79,9 +104,8 @@ def proposals(text: str):
     for m in PHONE.finditer(text):
         if 10 <= sum(c.isdigit() and c.isascii() for c in m[0]) <= 15:
             yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for s, e in ibans(text):
+        yield "iban", s, e
     for m in SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", *m.span()

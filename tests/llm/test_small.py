@@ -279,6 +279,14 @@ def test_pii(sp):
     assert masked == ["to <EMAIL>, ssn <SSN>; <IBAN>", None, "no 123-45-6789"]
 
 
+def test_iban_before_other_words():
+    gb, de, spaced = "GB82WEST12345698765432", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for text, want in [(f"{gb} BIC NWBKGB2L", [gb]), (f"{gb} 12 May 2024", [gb]), (f"{de} I paid", [de]), (f"{spaced} EUR 40 TO {gb} A", [spaced, gb]),
+                       (f"{gb} {de} {spaced}", [gb, de, spaced]), (f"AB12 {gb} X", [gb]), (f"{gb}X", []), (f"x{gb} A", []), ("DE89370400440532013001 I paid", [])]:
+        assert [text[s:e] for k, s, e, _ in pii.find_spans(text) if k == "iban"] == want, text
+    assert pii.masked(f"pay {gb} BIC NWBKGB2L") == "pay <IBAN> BIC NWBKGB2L"
+
+
 # --- vectors ------------------------------------------------------------------------------------------
 
 def vector_rows(rng, n, dim):

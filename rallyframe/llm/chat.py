@@ -3,8 +3,9 @@ outputs is a turn's span. A template whose longer output does not begin with the
 is marked and its span starts where the outputs part.
 
 Rows of a conversation are sorted by turn (nulls first), role and text and streamed through one task, as the digest of
-a conversation is a chain over its text; a task holds ``WINDOW`` turns at a time, never a conversation. A prefix reaches
-back at most ``WINDOW`` turns: then rendering goes on with the last ``CONTEXT`` turns before it.
+a conversation is a chain over its text. Prefixes are whole: a task holds the conversation it is at, and renders each of its
+prefixes. Only for a template that declares itself ``context_free`` (the output is one piece after the other, each made of its own
+turn alone, as in ``marked_turns``) a task holds ``WINDOW`` turns at a time: then rendering goes on with the last ``CONTEXT``.
 
 Null roles and texts count as empty, repeated rows are turns of their own, a null conv_id is a conversation. Other columns
 of the input are not read.
@@ -40,6 +41,9 @@ def marked_turns(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+marked_turns.context_free = True
+
+
 def common(a: str, b: str) -> int:
     """Length of the common prefix."""
     if b.startswith(a):
@@ -56,10 +60,19 @@ class Renderer:
 
     def __init__(self, template: Template):
         self.template, self.frames = template, {}
+        self.context_free = getattr(template, "context_free", False)
         self.restart()
 
     def restart(self) -> None:
-        self.turns, self.before, self.length, self.pos = [], self.template([]), 0, 0
+        self.turns, self.before, self.length, self.pos = [], "", 0, 0  # what comes before any turn is in the first piece
+
+    def place(self, role: str, after: str) -> tuple[int, int]:
+        """Where the last turn's text starts and ends in ``after``: between what stays with two texts of one letter instead."""
+        a, b = (self.template([*self.turns[:-1], (role, x)]) for x in "ab")
+        head = min(common(a, b), common(a, after))
+        ends = [x[::-1] for x in (a, b, after)]
+        tail = min(common(ends[0], ends[1]), common(ends[0], ends[2]), len(after) - head)
+        return head, len(after) - tail
 
     def frame(self, role: str) -> tuple[int, int]:
         """Characters before and after the text within a turn's piece, found with two texts of one letter."""
@@ -73,20 +86,26 @@ class Renderer:
         return self.frames[key]
 
     def add(self, role: str, text: str) -> tuple:
-        if len(self.turns) >= WINDOW:
+        if self.context_free and len(self.turns) >= WINDOW:
             self.turns = self.turns[-CONTEXT:]
             self.before = self.template(self.turns)
-        head, tail = self.frame(role)
+        head, tail = self.frame(role) if self.context_free else (0, 0)
         self.turns.append((role, text))
         after = self.template(self.turns)
         same = common(self.before, after)
         rewrites = same < len(self.before)
-        start = self.length - len(self.before) + same
+        gone = self.length - len(self.before)  # characters before the window
+        loss = (None, None)
+        if role == "assistant" and self.context_free:
+            loss = gone + same + head, gone + len(after) - tail
+        elif role == "assistant":
+            loss = self.place(role, after)
+            same = min(same, loss[0])  # a rewriting turn's piece holds all of its text
+        start = gone + same
         piece = after[same:]
         self.length = start + len(piece)
         self.before = after
         self.pos += 1
-        loss = (start + head, self.length - tail) if role == "assistant" and not rewrites else (None, None)
         return self.pos - 1, role, start, self.length, *loss, piece, rewrites
 
 

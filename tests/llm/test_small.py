@@ -89,6 +89,33 @@ def test_chat_template_that_rewrites_history(sp):
     assert got[2, 1]["piece"] == "[assistant]b\n" and (got[2, 1]["loss_start"], got[2, 1]["loss_end"]) == (len("[user]a\n[assistant]"), len("[user]a\n[assistant]b"))
 
 
+def test_chat_templates_see_whole_prefixes(sp):
+    def last_query(turns):
+        """Thoughts stay only after the last user turn; turns are numbered and the first one is named in each."""
+        asked = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=0)
+        return "".join(f"[{i} {r} of {turns[0][1]}]" + (re.sub("<think>.*?</think>", "", t) if r == "assistant" and i < asked else t) + "\n" for i, (r, t) in enumerate(turns))
+
+    convs = {}
+    for n in (33, 64, 200):
+        turns = [("user", f"first{n}")] + [("assistant" if i % 2 else "tool", f"<think>h{i}</think>said {i}") for i in range(1, n - 2)]
+        convs[n] = turns + [("user", "next"), ("assistant", "<think>z</think>answer")]
+    df = sp.createDataFrame([(k, i, r, t) for k, c in convs.items() for i, (r, t) in enumerate(c)], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["pos"]): r for r in rows_of(chat.format_chats(df, last_query))}
+    for k, turns in convs.items():
+        for i, (role, text) in enumerate(turns):
+            before, after, r = last_query(turns[:i]), last_query(turns[:i + 1]), got[k, i]
+            assert r["rewrites"] == (not after.startswith(before)) == (i == k - 2) and r["end"] == len(after) and after[r["start"]:] == r["piece"]
+            if role == "assistant":
+                assert (r["loss_start"], r["loss_end"]) == (len(after) - 1 - len(text), len(after) - 1)
+
+
+def test_chat_rewriting_turn_keeps_its_loss_span():
+    made = chat.Renderer(lambda turns: f"{len(turns)} turns\n" + "".join(f"{r}: {t.strip()}\n" for r, t in turns))
+    made.add("user", "hi")
+    _, _, start, end, a, z, piece, rewrites = made.add("assistant", " yes ")
+    assert rewrites and (start, piece[a - start:z - start], end) == (0, "yes", len("2 turns\nuser: hi\nassistant: yes\n"))
+
+
 # --- mixing -------------------------------------------------------------------------------------------
 
 def filled(size, weight):

@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by largest inner product with multiprobe p-stable hashing.
 
-Vectors get one more component that brings all of them to the largest length, so that the largest inner product is the
-smallest distance. Each table hashes with ``FUNCTIONS`` random projections cut into steps of ``WIDTH`` times that length.
+Entries are split into bands of length, each ``RATIO`` times the next. In a band, vectors get one more component that brings all
+of them to the band's top length, so that the largest inner product is the smallest distance. Each table hashes with ``FUNCTIONS`` random projections cut into steps of ``WIDTH`` times that length.
 A query visits, in each table, the ``PROBES`` buckets its vector reaches with the smallest estimated displacement (own
-bucket first); the candidates of all tables are merged and ranked by their exact inner product on the original vectors.
+bucket first), in every band; the candidates are merged and ranked by their exact inner product on the original vectors.
+A band of at most ``BLOCK`` entries has no tables: every query meets all of it. A query that has met fewer than ``TOP + 1`` entries
+in the end, though there are more, meets all entries. Both are exact, so only large bands are approximate.
 
 A bucket of any size is cut into blocks of at most about ``BLOCK`` rows; a query meets each of them. Equal vectors are one
 entry, so a vector repeated a million times is no large bucket. Null vectors, zero vectors and those with null or non-finite
@@ -22,13 +24,14 @@ from pyspark.sql import functions as F
 from rallyframe.llm.vectors import BLOCK, QUERY_STEP, TOP, best_of, distinct_vectors, finite, matrix, meet, packed, unpacked
 from rallyframe.session import pin
 
-TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 4, 4, 1.4, 60, 20240
+TABLES, FUNCTIONS, WIDTH, PROBES, SEED, RATIO = 4, 4, 1.4, 60, 20240, 1.25
+WHOLE = -1  # the table number of what is searched without tables
 FOUND = "query_id long, vid long, score double"
 KEYED = "tbl int, bucket long, id long, data binary"
 
 
 class Tables:
-    """The random projections of all tables for vectors of ``dim`` components and a largest length of ``longest``."""
+    """The random projections of all tables for vectors of ``dim`` components and a largest length of ``longest``, by band."""
 
     def __init__(self, dim: int, longest: float):
         rng = np.random.default_rng(SEED)
@@ -36,6 +39,7 @@ class Tables:
         self.a = rng.normal(size=(dim + 1, TABLES * FUNCTIONS))
         self.b = rng.uniform(0, WIDTH, TABLES * FUNCTIONS)
         self.code = rng.integers(1, 2**62, size=(TABLES, FUNCTIONS)) | 1
+        self.band_code = int(rng.integers(1, 2**62)) | 1
         moves = np.array(list(itertools.product((-1, 0, 1), repeat=FUNCTIONS)))
         self.moves = moves[np.argsort(np.abs(moves).sum(1), kind="stable")]
 
@@ -49,14 +53,23 @@ class Tables:
     def buckets(self, steps: np.ndarray) -> np.ndarray:
         return (steps * self.code).sum(-1)
 
-    def entries(self, x: np.ndarray) -> np.ndarray:
-        """One bucket per table for each row."""
-        x = x / self.longest
+    def bands(self, x: np.ndarray) -> np.ndarray:
+        largest = np.abs(x).max(1)  # scaled first, so that no square is lost
+        size = np.linalg.norm(x / largest[:, None], axis=1) * (largest / self.longest)
+        return np.maximum(0, np.floor(-np.log(np.maximum(size, 5e-324)) / np.log(RATIO) + 1e-9)).astype(np.int64)
+
+    def of_band(self, buckets: np.ndarray, band: np.ndarray) -> np.ndarray:
+        return buckets + np.asarray(band, np.int64) * self.band_code
+
+    def entries(self, x: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """One bucket per table for each row, all bands alike."""
+        x = x / self.longest * (RATIO ** band.astype(float))[:, None]
         rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
         return self.buckets(self.steps(np.column_stack([x, rest]))[0])
 
     def probes(self, q: np.ndarray) -> np.ndarray:
         """``PROBES`` buckets per table for each query, most promising first."""
+        q = q / np.abs(q).max(1)[:, None]
         q = q / np.linalg.norm(q, axis=1)[:, None]
         steps, low = self.steps(np.column_stack([q, np.zeros(len(q))]))
         cost = np.stack([low**2, np.zeros_like(low), (WIDTH - low) ** 2], -1)
@@ -90,27 +103,57 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding") ->
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tables = Tables(stats.dim, float(np.sqrt(stats.sq)))
 
-    def hashed(batches):
+    def banded(batches):
         for b in batches:
             x = matrix(b["vec"], np.float64, tables.dim)
-            found, data = tables.entries(x), packed(x)
+            yield pd.DataFrame({"band": tables.bands(x), "id": b["vid"], "data": packed(x)})
+
+    entries = pin(groups.select("vid", "vec").mapInPandas(banded, "band long, id long, data binary"))
+    sizes = {r.band: r.n for r in entries.groupBy("band").agg(F.count("*").alias("n")).collect()}  # one row a band
+    large = sorted(k for k, n in sizes.items() if n > BLOCK)
+    small = sorted(k for k, n in sizes.items() if n <= BLOCK)
+
+    def hashed(batches):
+        for b in batches:
+            x, band = unpacked(b["data"], np.float64).reshape(len(b), -1), b["band"].to_numpy()
+            if not len(b):
+                continue
+            big = np.isin(band, large)
+            found = tables.of_band(tables.entries(x[big], band[big]), band[big][:, None])
             for t in range(TABLES):
-                yield pd.DataFrame({"tbl": t, "bucket": found[:, t], "id": b["vid"], "data": data}).astype({"tbl": "int32"})
+                yield pd.DataFrame({"tbl": t, "bucket": found[:, t], "id": b["id"][big], "data": b["data"][big]}).astype({"tbl": "int32"})
+            yield pd.DataFrame({"tbl": WHOLE, "bucket": band[~big], "id": b["id"][~big], "data": b["data"][~big]}).astype({"tbl": "int32"})
 
     def probing(batches):
         for b in batches:
             for i in range(0, len(b), 256):
                 x = matrix(b["vec"][i:i + 256], np.float64, tables.dim)
-                found, data = tables.probes(x), np.array([*packed(x), None], dtype=object)[:-1]
+                ids, found, data = b["vec_id"][i:i + 256].to_numpy(), tables.probes(x), np.array([*packed(x), None], dtype=object)[:-1]
                 n, _, p = found.shape
-                for t in range(TABLES):
-                    yield pd.DataFrame({"tbl": t, "bucket": found[:, t].ravel(), "id": np.repeat(b["vec_id"][i:i + 256].to_numpy(), p),
-                                        "data": np.repeat(data, p)}).astype({"tbl": "int32"})
-
-    index = groups.select("vid", "vec").mapInPandas(hashed, KEYED)
-    blocks = index.groupBy("tbl", "bucket").count().select("tbl", "bucket", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    members = index.join(blocks, ["tbl", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    queries = rows.where(F.col("vec_id") % QUERY_STEP == 0).dropDuplicates(["vec_id"]).mapInPandas(probing, KEYED)
-    asks = queries.join(blocks, ["tbl", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("bound", F.lit(0.0))
-    found = meet(members, asks, ["tbl", "bucket", "block"], lambda ids, data: (ids, unpacked(data, np.float64)), search_block, FOUND)
+                for band in large:
+                    for t in range(TABLES):
+                        yield pd.DataFrame({"tbl": t, "bucket": tables.of_band(found[:, t], band).ravel(), "id": np.repeat(ids, p),
+                                            "data": np.repeat(data, p)}).astype({"tbl": "int32"})
+                for band in small:
+                    yield pd.DataFrame({"tbl": WHOLE, "bucket": band, "id": ids, "data": data}).astype({"tbl": "int32"})
+
+    def plain(batches):
+        for b in batches:
+            yield pd.DataFrame({"id": b["vec_id"], "data": packed(matrix(b["vec"], np.float64, tables.dim))})
+
+    def met(members, asks):
+        blocks = members.groupBy("tbl", "bucket").count().select("tbl", "bucket", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+        members = members.join(blocks, ["tbl", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        asks = asks.join(blocks, ["tbl", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("bound", F.lit(0.0))
+        return meet(members, asks, ["tbl", "bucket", "block"], lambda ids, data: (ids, unpacked(data, np.float64)), search_block, FOUND)
+
+    queries = rows.where(F.col("vec_id") % QUERY_STEP == 0).dropDuplicates(["vec_id"])
+    found = met(entries.mapInPandas(hashed, KEYED), queries.mapInPandas(probing, KEYED))
+    if large:  # without large bands every query has met everything
+        found = pin(found)
+        enough = found.groupBy("query_id").agg(F.countDistinct("vid").alias("n")).where(F.col("n") >= min(TOP + 1, sum(sizes.values())))
+        short = pin(queries.join(enough, queries.vec_id == enough.query_id, "left_anti").select("vec_id", "vec").mapInPandas(plain, "id long, data binary"))
+        if not short.isEmpty():
+            whole = [F.lit(WHOLE).alias("tbl"), F.lit(0).cast("long").alias("bucket"), "id", "data"]
+            found = found.unionByName(met(entries.select(*whole), short.select(*whole)))
     return best_of(found, groups, "double")

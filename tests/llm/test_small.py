@@ -356,6 +356,25 @@ def test_nearest_neighbours(sp, monkeypatch):
     assert np.mean(share) >= 0.9
 
 
+@pytest.mark.parametrize("n,block,skew", [(5, 2048, 0.0), (15, 2048, 1.0), (19, 6, 0.0), (900, 150, 1.5), (900, 150, "one long")])
+def test_nearest_neighbours_of_few_and_uneven_vectors(sp, monkeypatch, n, block, skew):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if skew == "one long":
+        x[7] *= 1000
+    else:
+        x *= np.exp(skew * rng.normal(size=n))[:, None]
+    found = {}
+    for r in rows_of(ann.nearest(sp.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))):
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    best = {q: {int(i) for i in np.argsort(-(x @ x[q])) if i != q} for q in range(0, n, 20)} if n <= 20 else {
+        q: set([int(i) for i in np.argsort(-(x @ x[q])) if i != q][:20]) for q in range(0, n, 20)}
+    assert found.keys() == best.keys() and all(len(found[q]) == min(20, n - 1) for q in best)
+    assert np.mean([len(found[q] & best[q]) / len(best[q]) for q in best]) >= (1 if n <= 20 else 0.9)
+
+
 @pytest.mark.parametrize("search", [ann.nearest, mtree.top_scores])
 def test_few_and_no_vectors(sp, search):
     schema = "vec_id long, embedding array<float>"

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyframe.llm import ann, chat, filters, jaccard, langid, licenses, lines, mixing, mtree, pieces, pii, suffix
+from rallyframe.llm import ann, chat, filters, jaccard, langid, licenses, lines, mixing, mtree, pieces, pii, ranking, suffix
 from rallyframe.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,5 @@ register("op10_exact_top_k", "embeddings", mtree.top_scores, mtree.oracle())
 register("op13_license_scans", "documents", licenses.license_report, licenses.oracle())
 QUERIES["op11_filter_audit"] = lambda spark, sf_dir: filters.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 ORACLES["op11_filter_audit"] = filters.oracle()
+QUERIES["op12_ranked_search"] = lambda spark, sf_dir: ranking.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+ORACLES["op12_ranked_search"] = ranking.oracle()

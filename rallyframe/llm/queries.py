@@ -30,7 +30,7 @@ def register(name: str, of: str, report: Callable[[DataFrame], DataFrame], sql:
         ORACLES[name] = sql
 
 
-register("op1_substring_dedup", "documents", lines.line_report, lines.oracle())
+register("op1_substring_dedup", "documents", lines.sentence_report, lines.oracle())
 register("op2_chat_formatting", "conversations", chat.chat_report)
 register("op3_source_mixing", "documents", mixing.mix_report)
 register("op4_sentencepiece", "documents", pieces.encode_documents)

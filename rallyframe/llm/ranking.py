@@ -190,7 +190,7 @@ Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nda
 LAST = np.iinfo(np.int64).max
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], most_docs: int = BLOCK_DOCS, most_cells: int = BLOCK_CELLS) -> Iterator[Block]:
     """Bounded runs of documents by doc_id: ids, which of them are null, lengths, and the cells' documents, terms and occurrences."""
     held, docs, cells = [], 0, 0
 
@@ -206,7 +206,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         return ids[order], null[order], t.column("n").to_numpy()[order], np.repeat(place, sizes), flat("terms"), flat("tfs")
 
     for b in batches:
-        if docs and (docs + b.num_rows > BLOCK_DOCS or cells + len(b.column("terms").flatten()) > BLOCK_CELLS):
+        if docs and (docs + b.num_rows > most_docs or cells + len(b.column("terms").flatten()) > most_cells):
             yield block()
             held, docs, cells = [], 0, 0
         if b.num_rows:
@@ -220,12 +220,12 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 FOUND = "item int, item_id long, doc_id long, score long"
 
 
-def search(packed: DataFrame, given: Broadcast, top: int = TOP) -> DataFrame:
+def search(packed: DataFrame, given: Broadcast, top: int = TOP, bounds: tuple[int, int] = (BLOCK_DOCS, BLOCK_CELLS)) -> DataFrame:
     """The ``top`` best documents of each item among those of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, item_ids, items, total, length = given.value
         best: list[list[tuple[int, bool, int]]] = [[] for _ in items]  # (-score, id is null, id), best first
-        for ids, null, n, doc, term, tf in blocks(batches):
+        for ids, null, n, doc, term, tf in blocks(batches, *bounds):
             mean = np.array([50 + 50 * int(x) * total // length for x in n], np.int64)
             value = weights[term] * (1_000_000_000 * tf // (1000 * tf + 20 * mean[doc]))
             on = value > 0
@@ -251,7 +251,7 @@ def search(packed: DataFrame, given: Broadcast, top: int = TOP) -> DataFrame:
     return packed.mapInArrow(run, FOUND)
 
 
-def ranked_slice(docs: DataFrame, items: list, top: int) -> DataFrame:
+def ranked_slice(docs: DataFrame, items: list, top: int, bounds: tuple[int, int]) -> DataFrame:
     spark = docs.sparkSession
     hashes = [np.array(r["terms"], np.int64).view(np.uint64) for r in items]
     known = np.unique(np.concatenate(hashes))
@@ -265,17 +265,18 @@ def ranked_slice(docs: DataFrame, items: list, top: int) -> DataFrame:
     own = [np.searchsorted(known, np.sort(h)) for h in hashes]
     given = spark.sparkContext.broadcast((weights, [r["item_id"] for r in items], own, total, max(length, 1)))
     place = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    best = search(packed, given, top).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
+    best = search(packed, given, top, bounds).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
     return best.select("item_id", "rank", "doc_id", "score")
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
+def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP, bounds: tuple[int, int] = (BLOCK_DOCS, BLOCK_CELLS)) -> DataFrame:
     """item_id, rank, doc_id and score of the ``top`` best documents of each item with a score above 0."""
     asked = store(item_terms(items), "items")
     total = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     slices = -(-total // SLICE_TERMS)
     of = F.pmod(F.xxhash64("item_id", "terms"), F.lit(max(slices, 1)))
-    parts = [ranked_slice(docs, asked.where(of == s).orderBy("item_id").collect(), top) for s in range(slices)]
+    rows = (asked.where(of == s).orderBy("item_id").collect() for s in range(slices))
+    parts = [ranked_slice(docs, own, top, bounds) for own in rows if own]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
 
 

@@ -482,3 +482,26 @@ def test_suffix_array_and_common_prefixes():
         while max(a, b) + n < len(raw) and raw[a + n] == raw[b + n]:
             n += 1
         assert got[r] == n
+
+
+# --- sentences ----------------------------------------------------------------------------------------
+
+def test_sentences(sp):
+    a = "The first of these words stands in a sentence of twelve words."
+    b = "Another one of them, Also in TWELVE words or a few more follows!"
+    texts = [f"{a} Short. {b}\nline", f"x y.  {b.lower()}  {a}", None, "", f"{a}\n\n{a}", f"{b}\tand {a}"]
+    got = {r["doc_id"]: r for r in rows_of(lines.sentence_report(docs_of(sp, texts)))}
+    assert got[0]["n_removed"] == 0 and got[0]["text"] == texts[0]
+    assert got[1]["text"] == "x y.  " and got[1]["removed"] == f"6:{8 + len(b)},{8 + len(b)}:{8 + len(b) + len(a)}"
+    assert got[2]["text"] is None and got[3]["text"] == "" and got[4]["text"] == "" and got[4]["n_removed"] == 2
+    assert got[5]["text"] == f"and {a}"  # another sentence
+    assert lines.sentence_report(docs_of(sp, [])).count() == 0
+
+
+def test_repeated_rows_keep_one_copy_of_a_sentence(sp):
+    t = "one two three four five six seven eight nine ten eleven twelve. And a rest"
+    d = docs_of(sp, [t, t, "w " * 50_000])
+    got = [tuple(r[c] for c in ("doc_id", "text", "removed")) for r in rows_of(lines.sentence_report(d.union(d).repartition(3)))]
+    first = t.index("And")
+    assert sorted(got) == sorted([(0, t, ""), (0, "And a rest", f"0:{first}"), (1, "And a rest", f"0:{first}"), (1, "And a rest", f"0:{first}"),
+                                  (2, "w " * 50_000, ""), (2, "", "0:100000")])

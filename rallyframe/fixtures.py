@@ -15,6 +15,21 @@ from rallyframe.operators.scan import row_numbers
 
 E = F.expr
 
+# A camera per match: court to pixel with a vanishing point, scaled to the height of the video. Matrix rows of a match:
+# (5e-1, 1e-2, 1e2) * s, (0, 25e-2, 5e1) * s, (g, h, 1) with s = height / 1000.
+TILT_X, TILT_Y, SCALE = "((match_id % 3 - 1) * 1e-5)", "((1 + match_id % 3) * 2e-5)", "(frame_height / 1e3)"
+
+
+def pixel(x: str, y: str) -> tuple[str, str]:
+    """Pixel position of a court position in the video of ``match_id``."""
+    depth = f"(1 + {TILT_X} * {x} + {TILT_Y} * {y})"
+    return f"(5e-1 * {x} + 1e-2 * {y} + 1e2) * {SCALE} / {depth}", f"(25e-2 * {y} + 5e1) * {SCALE} / {depth}"
+
+
+VIEW = f"array(5e-1 * {SCALE}, 1e-2 * {SCALE}, 1e2 * {SCALE}, 0e0, 25e-2 * {SCALE}, 5e1 * {SCALE}, {TILT_X}, {TILT_Y}, 1e0)"
+FPS = "CASE match_id % 3 WHEN 0 THEN 30e0 WHEN 1 THEN 25e0 ELSE 60e0 END"
+HEIGHT = "if(match_id % 2 = 0, 1000e0, 720e0)"
+
 
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -31,16 +46,17 @@ class Fixtures:
         ten_minutes = E("CAST(FLOOR(unix_micros(CAST(ts AS TIMESTAMP)) / 600000000D) AS BIGINT)")
         base = row_numbers(base, ["match_id"], ["ts", "event_id"], "frame_no", ten_minutes)
         pos = base.select(
-            "match_id", E("frame_no - 1").alias("frame_idx"), "event_id", "ts").select(
+            "match_id", E(FPS).alias("fps"), E(HEIGHT).alias("frame_height"), E("frame_no - 1").alias("frame_idx"), "event_id", "ts").select(
             "*",
             E("380 + abs((frame_idx * 61 + match_id * 173) % 1820 - 910) + if(event_id % 97 = 0, 400, 0)").alias("cx"),
             E("500 + abs((frame_idx * 97 + match_id * 311) % 4996 - 2498)").alias("cy"),
             E("frame_idx % 400 < 320 AND event_id % 17 <> 0 AND NOT (frame_idx % 150 BETWEEN 100 AND 105)").alias("seen"))
+        px, py = pixel("(cx + 37e-2)", "(cy + 21e-2)")  # off the grid of whole numbers on which calls and zones change
         return pos.select(
-            "match_id", "frame_idx", E("frame_idx div 300").alias("segment_idx"), "event_id", "ts",
-            F.lit(30.0).alias("fps"), E("CAST(frame_idx AS DOUBLE) / 30").alias("t_sec"),
-            E("if(seen, CAST(cx AS DOUBLE) / 2 + 100, NULL)").alias("ball_px"),
-            E("if(seen, CAST(cy AS DOUBLE) / 4 + 50, NULL)").alias("ball_py"),
+            "match_id", "frame_idx", "frame_height", E("frame_idx div 300").alias("segment_idx"), "event_id", "ts",
+            "fps", E("CAST(frame_idx AS DOUBLE) / fps").alias("t_sec"),
+            E(f"if(seen, {px}, NULL)").alias("ball_px"),
+            E(f"if(seen, {py}, NULL)").alias("ball_py"),
             E("if(seen, CAST(cx AS DOUBLE), NULL)").alias("ball_cx"),
             E("if(seen, CAST(cy AS DOUBLE), NULL)").alias("ball_cy"),
             E("CAST(CASE WHEN frame_idx % 500 BETWEEN 200 AND 207 THEN 60 WHEN event_id % 19 = 0 THEN 30 ELSE 0 END AS DOUBLE)").alias("kp_noise_px"))
@@ -52,18 +68,18 @@ class Fixtures:
             named_struct('slot', 1, 'x0', 832, 'y0', 650, 'w', 30, 'h', 80),
             named_struct('slot', 2, 'x0', 2100, 'y0', 1700, 'w', 40, 'h', 90),
             named_struct('slot', 3, 'x0', 500, 'y0', 2600, 'w', 20, 'h', 50)))""").alias("s")
-        d = self.frames.select("match_id", "frame_idx", "event_id", slots).filter(
+        d = self.frames.select("match_id", "frame_idx", "frame_height", "event_id", slots).filter(
             "NOT (s.slot = 0 AND event_id % 11 = 0) AND NOT (s.slot = 1 AND event_id % 7 = 0) "
             "AND NOT (s.slot = 3 AND event_id % 5 <> 0)")
-        d = d.select("match_id", "frame_idx", "event_id", F.col("s.slot").alias("slot"), "s.w", "s.h",
+        d = d.select("match_id", "frame_idx", "frame_height", "event_id", F.col("s.slot").alias("slot"), "s.w", "s.h",
                      E("s.x0 + ((frame_idx * 13 + s.slot * 29) % 401) - 200").alias("foot_cx"),
                      E("s.y0 + ((frame_idx * 7) % 81) - 40").alias("foot_cy"))
+        px, py = pixel("(foot_cx + 37e-2)", "(foot_cy + 21e-2)")
+        d = d.select("*", E(px).alias("foot_px"), E(py).alias("foot_py"))
         return d.select(
-            "match_id", "frame_idx", "slot", "foot_cx", "foot_cy",
-            E("CAST(foot_cx AS DOUBLE) / 2 + 100 - CAST(w AS DOUBLE) / 2").alias("x1"),
-            E("CAST(foot_cy AS DOUBLE) / 4 + 50 - h").alias("y1"),
-            E("CAST(foot_cx AS DOUBLE) / 2 + 100 + CAST(w AS DOUBLE) / 2").alias("x2"),
-            E("CAST(foot_cy AS DOUBLE) / 4 + 50").alias("y2"),
+            "match_id", "frame_idx", "frame_height", "slot", "foot_cx", "foot_cy",
+            E("foot_px - CAST(w AS DOUBLE) / 2").alias("x1"), E("foot_py - h").alias("y1"),
+            E("foot_px + CAST(w AS DOUBLE) / 2").alias("x2"), F.col("foot_py").alias("y2"),
             E("CAST(50 + (event_id * 3 + slot) % 50 AS DOUBLE) / 100").alias("confidence"),
             E("slot").alias("track_id"))
 
@@ -85,8 +101,8 @@ class Fixtures:
              .groupBy("match_id", "point_idx").agg((F.max(F.col("event_id") + 31 * F.col("point_idx"))).alias("h")))
         return p.select(
             "match_id", "point_idx", E("point_idx * 40").alias("start_frame"), E("point_idx * 40 + 29").alias("end_frame"),
-            E("CAST(point_idx * 40 AS DOUBLE) / 30").alias("start_sec"),
-            E("CAST(point_idx * 40 + 29 AS DOUBLE) / 30").alias("end_sec"),
+            E(f"CAST(point_idx * 40 AS DOUBLE) / ({FPS})").alias("start_sec"),
+            E(f"CAST(point_idx * 40 + 29 AS DOUBLE) / ({FPS})").alias("end_sec"),
             E("if(point_idx % 2 = 0, 'player_a', 'player_b')").alias("serve_player"),
             E("if(h % 6 = 0, NULL, CAST(380 + (h * 41) % 920 AS DOUBLE))").alias("bounce_cx"),
             E("if(h % 6 = 0, NULL, CAST(900 + (h * 59) % 1700 AS DOUBLE))").alias("bounce_cy"),
@@ -105,21 +121,13 @@ class Fixtures:
     @cached_property
     def keypoints(self) -> DataFrame:
         ref = ", ".join(f"named_struct('kp', {i}, 'rx', {x}, 'ry', {y})" for i, (x, y) in enumerate(K.COURT_KEYPOINTS))
-        k = self.frames.select("match_id", "frame_idx", "event_id", "kp_noise_px", E(f"explode(array({ref}))").alias("k"))
+        k = self.frames.select("match_id", "frame_idx", "frame_height", "event_id", "kp_noise_px", E(f"explode(array({ref}))").alias("k"))
         seen = "(event_id + k.kp) % 29 <> 0"
+        px, py = pixel("k.rx", "k.ry")
         return k.select(
             "match_id", "frame_idx", F.col("k.kp").alias("kp"),
-            E(f"if({seen}, CAST(k.rx AS DOUBLE) / 2 + 100 + kp_noise_px * (((k.kp * 37) % 5) - 2), NULL)").alias("px"),
-            E(f"if({seen}, CAST(k.ry AS DOUBLE) / 4 + 50 + kp_noise_px * (((k.kp * 23) % 3) - 1), NULL)").alias("py"))
-
-    @cached_property
-    def fits(self) -> DataFrame:
-        """Per-frame calibration result as the fit delivers it (pixel error and inverse matrix)."""
-        return self.frames.select(
-            "match_id", "frame_idx", (F.col("kp_noise_px") * 1.8).alias("error"),
-            E("14 - CAST((event_id + 13) % 29 <= 13 AS INT)").cast("bigint").alias("detected"),
-            E("array(0.5D, 0D, 100D, 0D, 0.25D, 50D, 0D, 0D, 1D)").alias("matrix"),
-            E("array(2D, 0D, -200D, 0D, 4D, -200D, 0D, 0D, 1D)").alias("inverse"))
+            E(f"if({seen}, {px} + kp_noise_px * (((k.kp * 37) % 5) - 2), NULL)").alias("px"),
+            E(f"if({seen}, {py} + kp_noise_px * (((k.kp * 23) % 3) - 1), NULL)").alias("py"))
 
     @cached_property
     def segments(self) -> DataFrame:

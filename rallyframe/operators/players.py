@@ -23,11 +23,12 @@ def locate(detections: DataFrame, homography: DataFrame, keys: Sequence[str] = K
     return d.withColumn("inside", F.when(F.col("_inv").isNull(), True).otherwise(S.inside_court("foot_x", "foot_y"))).drop("_inv")
 
 
-def choose(located: DataFrame, frame_height: float = 1000.0, min_confidence: float = K.PLAYER_MIN_CONFIDENCE,
+def choose(located: DataFrame, frame_height: float | str = 1000.0, min_confidence: float = K.PLAYER_MIN_CONFIDENCE,
            keys: Sequence[str] = KEY) -> DataFrame:
-    """One row per (frame, label): the largest box of the near half is A, of the far half B."""
+    """One row per (frame, label): the largest box of the near half is A, of the far half B. ``frame_height`` is a number or a column of ``located``."""
+    height = F.col(frame_height) if isinstance(frame_height, str) else F.lit(frame_height)
     d = located.filter(F.col("inside") & (F.col("confidence") >= min_confidence)).withColumn(
-        "label", F.when(F.col("foot_py") >= frame_height / 2, "player_a").otherwise("player_b"))
+        "label", F.when(F.col("foot_py") >= height / 2, "player_a").otherwise("player_b"))
     keep = ["foot_px", "foot_py", "foot_x", "foot_y", "confidence", "track_id", "x1", "y1", "x2", "y2"]
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     g = d.groupBy(*keys, "frame_idx", "label").agg(
@@ -35,15 +36,15 @@ def choose(located: DataFrame, frame_height: float = 1000.0, min_confidence: flo
     return g.select(*keys, "frame_idx", "label", "p.*")
 
 
-def carry(players: DataFrame, frames: DataFrame, keys: Sequence[str] = KEY, size: int | None = None) -> DataFrame:
-    """Every frame gets both labels; a missing player keeps the last seen row (``carried``)."""
+def carry(players: DataFrame, frames: DataFrame, keys: Sequence[str] = KEY, size: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Every frame gets both labels; a missing player keeps the last seen row (``carried``). Columns ``keep`` of the frames stay."""
     labels = F.explode(F.array(*[F.lit(p) for p in K.PLAYERS])).alias("label")
-    spine = frames.select(*keys, "frame_idx", labels)
+    spine = frames.select(*keys, "frame_idx", *keep, labels)
     vals = [c for c in players.columns if c not in (*keys, "frame_idx", "label")]
     d = spine.join(players.withColumn("_p", F.struct(*vals)).select(*keys, "frame_idx", "label", "_p"),
                    [*keys, "frame_idx", "label"], "left").withColumn("_here", F.col("_p").isNotNull())
     d = scan(d, [*keys, "label"], ["frame_idx"], size=size, _q=Agg("last", "upto", F.col("_p")))
-    return d.filter(F.col("_q").isNotNull()).select(*keys, "frame_idx", "label", "_q.*", (~F.col("_here")).alias("carried"))
+    return d.filter(F.col("_q").isNotNull()).select(*keys, "frame_idx", "label", *keep, "_q.*", (~F.col("_here")).alias("carried"))
 
 
 def nearest(rows: DataFrame, players: DataFrame, x: str, y: str, radius: int = K.SEARCH_RADIUS,

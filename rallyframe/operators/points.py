@@ -59,9 +59,10 @@ def point_events(events: DataFrame, min_events: int = K.MIN_POINT_EVENTS, keys:
     return d.withColumn("double_bounce", F.coalesce(bounce & same & no_hit, F.lit(False))).drop("_pb", "_ph")
 
 
-def segment_points(events: DataFrame, fps: float, homography: DataFrame | None = None, start_sec: float = 0.0,
+def segment_points(events: DataFrame, fps: float | DataFrame, homography: DataFrame | None = None, start_sec: float = 0.0,
                    min_events: int = K.MIN_POINT_EVENTS, keys: Sequence[str] = KEY, size: int | None = None) -> DataFrame:
-    """One row per point. The frames of its bounces stay in the events table, reachable by the frame span."""
+    """One row per point. The frames of its bounces stay in the events table, reachable by the frame span. ``fps`` is the rate of all
+    matches, or a table of ``keys`` and ``fps``."""
     keys = list(keys)
     e = point_events(events, min_events, keys, size)
     hit, bounce = F.col("event_type") == "hit", F.col("event_type") == "bounce"
@@ -86,7 +87,8 @@ def segment_points(events: DataFrame, fps: float, homography: DataFrame | None =
     else:
         g = g.withColumn("penalty", F.lit(None).cast("double"))
     g = row_numbers(g, keys, ["start_frame"], "_no", size=size)
-    sec = lambda c: S.frame_seconds(c, F.lit(float(fps)), start_sec)
+    g = g.join(fps.select(*keys, "fps"), keys, "left") if isinstance(fps, DataFrame) else g.withColumn("fps", F.lit(float(fps)))
+    sec = lambda c: S.frame_seconds(c, F.col("fps"), start_sec)
     return g.select(*keys, (F.col("_no") - 1).alias("point_idx"), "start_frame", "end_frame",
                     sec("start_frame").alias("start_sec"), sec("end_frame").alias("end_sec"), "serve_frame",
                     F.col("_serve.player").alias("serve_player"), F.col("_b.frame_idx").alias("first_bounce_frame"),

@@ -17,7 +17,7 @@ class Chain:
 
     @cached_property
     def homography(self):
-        return calibrate.carry_forward(self.fx.fits)
+        return pin(calibrate.calibrate(self.fx.keypoints))
 
     @cached_property
     def clean(self):
@@ -45,7 +45,7 @@ class Chain:
 
     @cached_property
     def players(self):
-        return players.carry(players.choose(self.located), self.fx.frames)
+        return players.carry(players.choose(self.located, "frame_height"), self.fx.frames, keep=["fps"])
 
     @cached_property
     def events(self):
@@ -53,7 +53,7 @@ class Chain:
 
     @cached_property
     def points(self):
-        return points.segment_points(self.events, 30.0, self.homography)
+        return points.segment_points(self.events, self.fx.frames.select("match_id", "fps").distinct(), self.homography)
 
     @cached_property
     def contacts(self):

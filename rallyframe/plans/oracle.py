@@ -1,8 +1,21 @@
 """Shared views of the DuckDB side, written independently of the Spark operators."""
+from rallyframe import constants as K
 
 CTES: dict[str, str] = {}
 
-CTES["fx_frames"] = """
+# A match's rate, height and camera.
+FPS = "CASE match_id % 3 WHEN 0 THEN 30e0 WHEN 1 THEN 25e0 ELSE 60e0 END"
+_HEIGHT = "CASE WHEN match_id % 2 = 0 THEN 1000e0 ELSE 720e0 END"
+
+
+def _pixel(x: str, y: str, height: str = "frame_height") -> tuple[str, str]:
+    depth = f"(1 + ((match_id % 3 - 1) * 1e-5) * {x} + ((1 + match_id % 3) * 2e-5) * {y})"
+    return f"(5e-1 * {x} + 1e-2 * {y} + 1e2) * ({height} / 1e3) / {depth}", f"(25e-2 * {y} + 5e1) * ({height} / 1e3) / {depth}"
+
+
+_BALL, _FOOT, _MARK = _pixel("(cx + 37e-2)", "(cy + 21e-2)", f"({_HEIGHT})"), _pixel("(foot_cx + 37e-2)", "(foot_cy + 21e-2)"), _pixel("rx", "ry")
+
+CTES["fx_frames"] = f"""
 WITH base AS (
   SELECT user_id // 30 AS match_id, event_id, ts,
          CAST(ROW_NUMBER() OVER (PARTITION BY user_id // 30 ORDER BY ts, event_id) - 1 AS BIGINT) AS frame_idx
@@ -13,26 +26,29 @@ pos AS (
             500 + ABS(((frame_idx * 97 + match_id * 311) % 4996) - 2498) AS cy,
          (frame_idx % 400 < 320 AND event_id % 17 <> 0 AND NOT (frame_idx % 150 BETWEEN 100 AND 105)) AS seen
   FROM base)
-SELECT match_id, frame_idx, frame_idx // 300 AS segment_idx, event_id, ts,
-       CAST(30 AS DOUBLE) AS fps, CAST(frame_idx AS DOUBLE) / 30 AS t_sec,
-       CASE WHEN seen THEN CAST(cx AS DOUBLE) / 2 + 100 END AS ball_px,
-       CASE WHEN seen THEN CAST(cy AS DOUBLE) / 4 + 50 END AS ball_py,
+SELECT match_id, frame_idx, {_HEIGHT} AS frame_height, frame_idx // 300 AS segment_idx, event_id, ts,
+       {FPS} AS fps, CAST(frame_idx AS DOUBLE) / ({FPS}) AS t_sec,
+       CASE WHEN seen THEN {_BALL[0]} END AS ball_px,
+       CASE WHEN seen THEN {_BALL[1]} END AS ball_py,
        CASE WHEN seen THEN CAST(cx AS DOUBLE) END AS ball_cx,
        CASE WHEN seen THEN CAST(cy AS DOUBLE) END AS ball_cy,
        CAST(CASE WHEN frame_idx % 500 BETWEEN 200 AND 207 THEN 60 WHEN event_id % 19 = 0 THEN 30 ELSE 0 END AS DOUBLE) AS kp_noise_px
 FROM pos"""
 
-CTES["fx_detections"] = """
-SELECT f.match_id, f.frame_idx, s.slot,
-       s.x0 + ((f.frame_idx * 13 + s.slot * 29) % 401) - 200 AS foot_cx, s.y0 + ((f.frame_idx * 7) % 81) - 40 AS foot_cy,
-       CAST(s.x0 + ((f.frame_idx * 13 + s.slot * 29) % 401) - 200 AS DOUBLE) / 2 + 100 - CAST(s.w AS DOUBLE) / 2 AS x1,
-       CAST(s.y0 + ((f.frame_idx * 7) % 81) - 40 AS DOUBLE) / 4 + 50 - s.h AS y1,
-       CAST(s.x0 + ((f.frame_idx * 13 + s.slot * 29) % 401) - 200 AS DOUBLE) / 2 + 100 + CAST(s.w AS DOUBLE) / 2 AS x2,
-       CAST(s.y0 + ((f.frame_idx * 7) % 81) - 40 AS DOUBLE) / 4 + 50 AS y2,
-       CAST(50 + (f.event_id * 3 + s.slot) % 50 AS DOUBLE) / 100 AS confidence, s.slot AS track_id
-FROM fx_frames f
-CROSS JOIN (VALUES (0, 832, 2800, 60, 160), (1, 832, 650, 30, 80), (2, 2100, 1700, 40, 90), (3, 500, 2600, 20, 50)) AS s(slot, x0, y0, w, h)
-WHERE NOT (s.slot = 0 AND f.event_id % 11 = 0) AND NOT (s.slot = 1 AND f.event_id % 7 = 0) AND NOT (s.slot = 3 AND f.event_id % 5 <> 0)"""
+CTES["fx_detections"] = f"""
+WITH d AS (SELECT f.match_id, f.frame_idx, f.frame_height, f.event_id, s.slot, s.w, s.h,
+       s.x0 + ((f.frame_idx * 13 + s.slot * 29) % 401) - 200 AS foot_cx, s.y0 + ((f.frame_idx * 7) % 81) - 40 AS foot_cy FROM fx_frames f
+  CROSS JOIN (VALUES (0, 832, 2800, 60, 160), (1, 832, 650, 30, 80), (2, 2100, 1700, 40, 90), (3, 500, 2600, 20, 50)) AS s(slot, x0, y0, w, h)
+  WHERE NOT (s.slot = 0 AND f.event_id % 11 = 0) AND NOT (s.slot = 1 AND f.event_id % 7 = 0) AND NOT (s.slot = 3 AND f.event_id % 5 <> 0))
+SELECT match_id, frame_idx, frame_height, slot, foot_cx, foot_cy, {_FOOT[0]} - CAST(w AS DOUBLE) / 2 AS x1, {_FOOT[1]} - h AS y1,
+       {_FOOT[0]} + CAST(w AS DOUBLE) / 2 AS x2, {_FOOT[1]} AS y2, CAST(50 + (event_id * 3 + slot) % 50 AS DOUBLE) / 100 AS confidence, slot AS track_id
+FROM d"""
+
+CTES["fx_keypoints"] = f"""
+WITH k AS (SELECT f.match_id, f.frame_idx, f.frame_height, f.event_id, f.kp_noise_px AS noise, c.* FROM fx_frames f
+  CROSS JOIN (VALUES {', '.join(f'({i}, {x}, {y})' for i, (x, y) in enumerate(K.COURT_KEYPOINTS))}) AS c(kp, rx, ry))
+SELECT match_id, frame_idx, kp, rx, ry, CASE WHEN (event_id + kp) % 29 <> 0 THEN {_MARK[0]} + noise * (((kp * 37) % 5) - 2) END AS px,
+       CASE WHEN (event_id + kp) % 29 <> 0 THEN {_MARK[1]} + noise * (((kp * 23) % 3) - 1) END AS py FROM k"""
 
 CTES["fx_shots"] = """
 SELECT match_id, frame_idx, t_sec AS timestamp_sec,
@@ -44,10 +60,10 @@ SELECT match_id, frame_idx, t_sec AS timestamp_sec,
        CASE WHEN (561 + (event_id * 53) % 2375) > 1748 THEN 'near' ELSE 'far' END AS court_side
 FROM fx_frames WHERE event_id % 4 = 0"""
 
-CTES["fx_points"] = """
+CTES["fx_points"] = f"""
 WITH p AS (SELECT match_id, frame_idx // 40 AS point_idx, MAX(event_id + 31 * (frame_idx // 40)) AS h FROM fx_frames GROUP BY 1, 2)
 SELECT match_id, point_idx, point_idx * 40 AS start_frame, point_idx * 40 + 29 AS end_frame,
-       CAST(point_idx * 40 AS DOUBLE) / 30 AS start_sec, CAST(point_idx * 40 + 29 AS DOUBLE) / 30 AS end_sec,
+       CAST(point_idx * 40 AS DOUBLE) / ({FPS}) AS start_sec, CAST(point_idx * 40 + 29 AS DOUBLE) / ({FPS}) AS end_sec,
        CASE WHEN point_idx % 2 = 0 THEN 'player_a' ELSE 'player_b' END AS serve_player,
        CASE WHEN h % 6 = 0 THEN NULL ELSE CAST(380 + (h * 41) % 920 AS DOUBLE) END AS bounce_cx,
        CASE WHEN h % 6 = 0 THEN NULL ELSE CAST(900 + (h * 59) % 1700 AS DOUBLE) END AS bounce_cy,
@@ -61,11 +77,6 @@ SELECT match_id, point_idx, CASE WHEN (point_idx * 7 + match_id + v.ver) % 3 = 0
 FROM fx_points CROSS JOIN (VALUES (0), (1)) AS v(ver)
 WHERE point_idx % 4 <> 3 AND (v.ver = 0 OR point_idx % 5 = 0)"""
 
-CTES["fx_fits"] = """
-SELECT match_id, frame_idx, kp_noise_px * 1.8::DOUBLE AS error,
-       CAST(14 - CASE WHEN (event_id + 13) % 29 <= 13 THEN 1 ELSE 0 END AS BIGINT) AS detected
-FROM fx_frames"""
-
 CTES["fx_segments"] = """
 WITH s AS (SELECT match_id, segment_idx, MIN(t_sec) AS s0, MAX(t_sec) AS end_sec FROM fx_frames GROUP BY 1, 2)
 SELECT match_id, segment_idx, s0 + v.version AS start_sec, end_sec,
@@ -168,13 +179,50 @@ SELECT match_id, frame_idx, fps,
        ELSE pyp + (ny - pyp) * (CAST(frame_idx - pf AS DOUBLE) / (nf - pf)) END AS py
 FROM w"""
 
+# Four points in closed form: the map of the unit square to the seen quadrilateral, after the map of the court rectangle to that square.
+CTES["o_quads"] = f"""
+WITH c(conf, k0, k1, k2, k3) AS (VALUES {', '.join(f'({c}, {q[0]}, {q[1]}, {q[2]}, {q[3]})' for c, q in K.CONFIGURATIONS.items())}),
+k AS (SELECT match_id, frame_idx, list(px ORDER BY kp) AS xs, list(py ORDER BY kp) AS ys, list(rx ORDER BY kp) AS rxs, list(ry ORDER BY kp) AS rys, COUNT(px) AS detected FROM fx_keypoints GROUP BY 1, 2),
+q AS (SELECT k.*, c.*, xs[k0 + 1] AS x0, ys[k0 + 1] AS y0, xs[k1 + 1] AS x1, ys[k1 + 1] AS y1, xs[k3 + 1] AS x2, ys[k3 + 1] AS y2, xs[k2 + 1] AS x3, ys[k2 + 1] AS y3,
+        CAST(rxs[k0 + 1] AS DOUBLE) AS rx, CAST(rys[k0 + 1] AS DOUBLE) AS ry, CAST(rxs[k3 + 1] - rxs[k0 + 1] AS DOUBLE) AS rw, CAST(rys[k3 + 1] - rys[k0 + 1] AS DOUBLE) AS rh FROM k CROSS JOIN c),
+s AS (SELECT *, x1 - x2 AS ax, y1 - y2 AS ay, x3 - x2 AS bx, y3 - y2 AS b_y, x0 - x1 + x2 - x3 AS sx, y0 - y1 + y2 - y3 AS sy FROM q WHERE x0 + x1 + x2 + x3 IS NOT NULL),
+t AS (SELECT *, (sx * b_y - sy * bx) / (ax * b_y - ay * bx) AS g, (ax * sy - ay * sx) / (ax * b_y - ay * bx) AS h FROM s),
+u AS (SELECT *, (x1 - x0 + g * x1) / rw AS a, (x3 - x0 + h * x3) / rh AS b, (y1 - y0 + g * y1) / rw AS d, (y3 - y0 + h * y3) / rh AS e, g / rw AS gg, h / rh AS hh FROM t),
+v AS (SELECT *, 1 - gg * rx - hh * ry AS n FROM u)
+SELECT match_id, frame_idx, detected, conf, k0, k1, k2, k3, xs, ys, rxs, rys, a / n AS m0, b / n AS m1, (x0 - a * rx - b * ry) / n AS m2, d / n AS m3, e / n AS m4, (y0 - d * rx - e * ry) / n AS m5,
+       gg / n AS m6, hh / n AS m7 FROM v"""
+
+CTES["o_conf"] = """
+WITH p AS (SELECT *, UNNEST(range(14)) AS kp FROM o_quads),
+d AS (SELECT match_id, frame_idx, conf, sqrt(POWER((m0 * rxs[kp + 1] + m1 * rys[kp + 1] + m2) / (m6 * rxs[kp + 1] + m7 * rys[kp + 1] + 1) - xs[kp + 1], 2)
+                                           + POWER((m3 * rxs[kp + 1] + m4 * rys[kp + 1] + m5) / (m6 * rxs[kp + 1] + m7 * rys[kp + 1] + 1) - ys[kp + 1], 2)) AS dist
+      FROM p WHERE kp NOT IN (k0, k1, k2, k3) AND xs[kp + 1] IS NOT NULL)
+SELECT match_id, frame_idx, conf, quantile_cont(dist, 0.5) AS error FROM d GROUP BY 1, 2, 3"""
+
+CTES["o_fit"] = """
+SELECT match_id, frame_idx, detected, error, [m0, m1, m2, m3, m4, m5, m6, m7, 1] AS m,
+       [m4 - m5 * m7, m2 * m7 - m1, m1 * m5 - m2 * m4, m5 * m6 - m3, m0 - m2 * m6, m2 * m3 - m0 * m5, m3 * m7 - m4 * m6, m1 * m6 - m0 * m7, m0 * m4 - m1 * m3] AS inv
+FROM (SELECT q.*, c.error, ROW_NUMBER() OVER (PARTITION BY q.match_id, q.frame_idx ORDER BY c.error, q.conf) AS k
+      FROM o_quads q JOIN o_conf c ON c.match_id = q.match_id AND c.frame_idx = q.frame_idx AND c.conf = q.conf) WHERE k = 1"""
+
 CTES["o_hom"] = """
-WITH c AS (SELECT *, CASE WHEN error <= 5 THEN 1.0::DOUBLE WHEN error <= 20 THEN 1 - 0.5 * (error - 5) / 15 WHEN error <= 50 THEN 0.5 - 0.5 * (error - 20) / 30 ELSE 0 END AS confidence FROM fx_fits),
+WITH c AS (SELECT f.match_id, f.frame_idx, t.detected, t.error, t.inv, CASE WHEN error <= 5 THEN 1.0::DOUBLE WHEN error <= 20 THEN 1 - 0.5 * (error - 5) / 15 WHEN error <= 50 THEN 0.5 - 0.5 * (error - 20) / 30 ELSE 0 END AS confidence
+  FROM fx_frames f LEFT JOIN o_fit t ON t.match_id = f.match_id AND t.frame_idx = f.frame_idx),
 l AS (SELECT *, MAX(CASE WHEN confidence >= 0.7 THEN frame_idx END) OVER (PARTITION BY match_id ORDER BY frame_idx) AS lr FROM c)
-SELECT match_id, frame_idx, error, detected, confidence, COALESCE(frame_idx - lr <= 5, FALSE) AS reliable, COALESCE(frame_idx - lr BETWEEN 1 AND 5, FALSE) AS carried FROM l"""
+SELECT l.match_id, l.frame_idx, l.error, l.detected, l.confidence, COALESCE(l.frame_idx - l.lr <= 5, FALSE) AS reliable, COALESCE(l.frame_idx - l.lr BETWEEN 1 AND 5, FALSE) AS carried, CASE WHEN l.frame_idx - l.lr <= 5 THEN g.inv END AS i
+FROM l LEFT JOIN c g ON g.match_id = l.match_id AND g.frame_idx = l.lr"""
+
+
+def court(x: str, y: str) -> tuple[str, str]:
+    """Court position of a pixel position by the inverse ``h.i``, null without one."""
+    depth = f"(h.i[7] * {x} + h.i[8] * {y} + h.i[9])"
+    return f"(h.i[1] * {x} + h.i[2] * {y} + h.i[3]) / {depth}", f"(h.i[4] * {x} + h.i[5] * {y} + h.i[6]) / {depth}"
+
+
+_BALL_AT, _FOOT_AT = court("c.px", "c.py"), court("((x1 + x2) / 2)", "y2")
 
-CTES["o_physics"] = """
-WITH p AS (SELECT c.match_id, c.frame_idx, c.fps, CASE WHEN h.reliable THEN 2 * c.px - 200 END AS cx, CASE WHEN h.reliable THEN 4 * c.py - 200 END AS cy
+CTES["o_physics"] = f"""
+WITH p AS (SELECT c.match_id, c.frame_idx, c.fps, {_BALL_AT[0]} AS cx, {_BALL_AT[1]} AS cy
            FROM o_clean c JOIN o_hom h ON c.match_id = h.match_id AND c.frame_idx = h.frame_idx),
 v AS (SELECT *, sqrt(POWER((cx - LAG(cx) OVER w) * (10.97::DOUBLE / 1117), 2) + POWER((cy - LAG(cy) OVER w) * (10.97::DOUBLE / 1117), 2)) * fps AS v0 FROM p WINDOW w AS (PARTITION BY match_id ORDER BY frame_idx)),
 u AS (SELECT *, CASE WHEN v0 <= 80 THEN v0 END AS v FROM v)
@@ -226,14 +274,14 @@ c AS (SELECT *, SUM(b) OVER (PARTITION BY match_id ORDER BY frame_idx, event_typ
 r AS (SELECT *, MIN(event_type) OVER p <> MAX(event_type) OVER p AS mixed, ROW_NUMBER() OVER (PARTITION BY match_id, chain ORDER BY score DESC, frame_idx, event_type) AS k FROM c WINDOW p AS (PARTITION BY match_id, chain))
 SELECT * EXCLUDE (b, chain, mixed, k) FROM r WHERE NOT mixed OR k = 1"""
 
-CTES["o_located"] = """
-SELECT d.*, (x1 + x2) / 2 AS foot_px, y2 AS foot_py, CASE WHEN h.reliable THEN 2 * ((x1 + x2) / 2) - 200 END AS foot_x, CASE WHEN h.reliable THEN 4 * y2 - 200 END AS foot_y,
-  CASE WHEN h.reliable THEN 2 * ((x1 + x2) / 2) - 200 BETWEEN 86 AND 1579 AND 4 * y2 - 200 BETWEEN 361 AND 3135 ELSE TRUE END AS inside
+CTES["o_located"] = f"""
+SELECT d.*, (x1 + x2) / 2 AS foot_px, y2 AS foot_py, {_FOOT_AT[0]} AS foot_x, {_FOOT_AT[1]} AS foot_y,
+  CASE WHEN h.reliable THEN {_FOOT_AT[0]} BETWEEN 86 AND 1579 AND {_FOOT_AT[1]} BETWEEN 361 AND 3135 ELSE TRUE END AS inside
 FROM fx_detections d JOIN o_hom h ON d.match_id = h.match_id AND d.frame_idx = h.frame_idx"""
 
 CTES["o_chosen"] = """
-SELECT * FROM (SELECT *, CASE WHEN foot_py >= 500 THEN 'player_a' ELSE 'player_b' END AS label,
-   ROW_NUMBER() OVER (PARTITION BY match_id, frame_idx, foot_py >= 500 ORDER BY (x2 - x1) * (y2 - y1) DESC, slot) AS rn
+SELECT * FROM (SELECT *, CASE WHEN foot_py >= frame_height / 2 THEN 'player_a' ELSE 'player_b' END AS label,
+   ROW_NUMBER() OVER (PARTITION BY match_id, frame_idx, foot_py >= frame_height / 2 ORDER BY (x2 - x1) * (y2 - y1) DESC, slot) AS rn
  FROM o_located WHERE inside AND confidence >= 0.5) WHERE rn = 1"""
 
 CTES["o_players"] = """
@@ -258,7 +306,7 @@ CTES["o_rallies"] = """
 SELECT *, SUM(b) OVER (PARTITION BY match_id ORDER BY frame_idx, event_type) AS rally
 FROM (SELECT *, CASE WHEN frame_idx - LAG(frame_idx) OVER (PARTITION BY match_id ORDER BY frame_idx, event_type) <= 50 THEN 0 ELSE 1 END AS b FROM o_events)"""
 
-CTES["o_points"] = """
+CTES["o_points"] = f"""
 WITH r AS (SELECT *, COUNT(*) OVER p AS n0, MIN(CASE WHEN event_type = 'hit' THEN frame_idx END) OVER p AS serve_frame FROM o_rallies WINDOW p AS (PARTITION BY match_id, rally)),
 e AS (SELECT * FROM r WHERE n0 >= 2 AND frame_idx >= serve_frame),
 b AS (SELECT match_id, rally, frame_idx, court_side, LAG(frame_idx) OVER w AS pf, LAG(court_side) OVER w AS ps FROM e WHERE event_type = 'bounce' WINDOW w AS (PARTITION BY match_id, rally ORDER BY frame_idx)),
@@ -271,8 +319,8 @@ g AS (SELECT match_id, rally, COUNT(*) AS event_count, MIN(frame_idx) AS start_f
 z AS (SELECT g.*, CASE WHEN bounce_cx BETWEEN 423 AND 832 AND bounce_cy BETWEEN 1110 AND 1748 THEN 'far_left' WHEN bounce_cx BETWEEN 832 AND 1242 AND bounce_cy BETWEEN 1110 AND 1748 THEN 'far_right'
     WHEN bounce_cx BETWEEN 423 AND 832 AND bounce_cy BETWEEN 1748 AND 2386 THEN 'near_left' WHEN bounce_cx BETWEEN 832 AND 1242 AND bounce_cy BETWEEN 1748 AND 2386 THEN 'near_right' END AS serve_zone,
     EXISTS (SELECT 1 FROM dbl WHERE dbl.match_id = g.match_id AND dbl.rally = g.rally) AS dbl,
-    (SELECT arg_min({'s': l.run_start, 'e': l.run_end}, l.run_start) FROM o_lowruns l WHERE l.match_id = g.match_id AND g.start_frame <= l.run_end AND g.end_frame >= l.run_start) AS low FROM g)
-SELECT match_id, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY start_frame) - 1 AS point_idx, start_frame, end_frame, ROUND(start_frame / 30.0::DOUBLE, 3) AS start_sec, ROUND(end_frame / 30.0::DOUBLE, 3) AS end_sec,
+    (SELECT arg_min({{'s': l.run_start, 'e': l.run_end}}, l.run_start) FROM o_lowruns l WHERE l.match_id = g.match_id AND g.start_frame <= l.run_end AND g.end_frame >= l.run_start) AS low FROM g)
+SELECT match_id, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY start_frame) - 1 AS point_idx, start_frame, end_frame, ROUND(start_frame / ({FPS}), 3) AS start_sec, ROUND(end_frame / ({FPS}), 3) AS end_sec,
   serve_frame, serve_player, first_bounce_frame, bounce_cx, bounce_cy, serve_zone,
   CASE WHEN first_bounce_frame IS NULL OR serve_zone IS NOT NULL THEN NULL
        WHEN serve_side = 'near' AND bounce_cy < 1110 THEN 'long' WHEN serve_side = 'near' AND bounce_cy > 1748 THEN 'net'
@@ -386,7 +434,7 @@ SELECT match_id, serve_player AS owner, COALESCE(serve_zone, 'unknown') AS zone,
 CTES["o_won"] = """
 SELECT match_id, l.owner, COUNT(*) FILTER (winner = l.owner) AS points_won, COUNT(*) FILTER (winner <> l.owner) AS points_lost FROM o_rebuilt CROSS JOIN (VALUES ('player_a'), ('player_b')) AS l(owner) GROUP BY 1, 2"""
 
-CTES["o_pos"] = """SELECT match_id, label, frame_idx, CAST(frame_idx AS DOUBLE) / 30 AS t, foot_x AS x, foot_y AS y FROM o_players"""
+CTES["o_pos"] = f"""SELECT match_id, label, frame_idx, CAST(frame_idx AS DOUBLE) / ({FPS}) AS t, foot_x AS x, foot_y AS y FROM o_players"""
 
 CTES["o_cover"] = """
 WITH s AS (SELECT match_id, label, x, y, sqrt(POWER(x - LAG(x) OVER w, 2) + POWER(y - LAG(y) OVER w, 2)) AS d FROM o_pos WHERE x IS NOT NULL WINDOW w AS (PARTITION BY match_id, label ORDER BY frame_idx))

@@ -47,7 +47,7 @@ def label_files(fx):
 
 
 @query("run_metadata", "IO-11", """
-SELECT match_id AS job_id, 30.0::DOUBLE AS fps, COUNT(*) AS frames, ROUND(MAX(t_sec), 6) AS segment_end, 100 AS outlier_max_dist FROM fx_frames GROUP BY 1""")
+SELECT match_id AS job_id, MAX(fps) AS fps, COUNT(*) AS frames, ROUND(MAX(t_sec), 6) AS segment_end, 100 AS outlier_max_dist FROM fx_frames GROUP BY 1""")
 def run_metadata(fx):
     r = fx.frames.groupBy(F.col("match_id").alias("job_id")).agg(
         F.max("ts").cast("string").alias("created_at"), F.lit("footage").alias("source_path"), F.max("fps").alias("fps"), F.min("t_sec").alias("segment_start_sec"),

@@ -5,7 +5,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rallyframe import constants as K
+from rallyframe.fixtures import VIEW
 from rallyframe.functions import scalars as S
+from rallyframe.operators.calibrate import invert
 from rallyframe.plans.registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -53,15 +55,17 @@ def serve_faults(fx):
 
 
 @query("court_filter", "SC-05 SC-06 SC-07 SC-08", """
-SELECT match_id, frame_idx, slot, ROUND(2 * ((x1 + x2) / 2) - 200, 6) AS cx, ROUND(4 * y2 - 200, 6) AS cy,
-  (2 * ((x1 + x2) / 2) - 200 BETWEEN 86 AND 1579 AND 4 * y2 - 200 BETWEEN 361 AND 3135) AS inside,
+SELECT match_id, frame_idx, slot, ROUND(foot_cx + 0.37::DOUBLE, 6) AS cx, ROUND(foot_cy + 0.21::DOUBLE, 6) AS cy,
+  (foot_cx + 0.37::DOUBLE BETWEEN 86 AND 1579 AND foot_cy + 0.21::DOUBLE BETWEEN 361 AND 3135) AS inside,
   ROUND((x1 + x2) / 2, 6) AS back_px, ROUND(y2, 6) AS back_py
 FROM fx_detections""")
 def court_filter(fx):
-    inv, mat = F.expr("array(2D, 0D, -200D, 0D, 4D, -200D, 0D, 0D, 1D)"), F.expr("array(0.5D, 0D, 100D, 0D, 0.25D, 50D, 0D, 0D, 1D)")
+    """Pixel to court by the inverse of the match's camera, and back; the court positions behind the pixels are known."""
+    mat = F.expr(VIEW)
+    inv = invert(mat)
     fxx, fy = S.foot_point("x1", "x2", "y2")
     cx, cy = S.project(inv, fxx, fy)
-    d = fx.detections.select("match_id", "frame_idx", "slot", cx.alias("cx"), cy.alias("cy"))
+    d = fx.detections.select("match_id", "frame_idx", "frame_height", "slot", cx.alias("cx"), cy.alias("cy"))
     bx, by = S.project(mat, "cx", "cy")
     return d.select("match_id", "frame_idx", "slot", R6(F.col("cx"), "cx"), R6(F.col("cy"), "cy"),
                     S.inside_court("cx", "cy").alias("inside"), R6(bx, "back_px"), R6(by, "back_py"))

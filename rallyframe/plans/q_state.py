@@ -101,11 +101,11 @@ def artifact_counts(fx):
 
 
 @query("detection_summary", "ST-08", """
-SELECT f.match_id, 30.0::DOUBLE AS fps, f.n AS frame_count, ROUND(f.n / 30.0::DOUBLE, 2) AS duration_sec, p.n AS total_points, s.n AS total_events FROM (SELECT match_id, COUNT(*) AS n FROM fx_frames GROUP BY 1) f
+SELECT f.match_id, fps, f.n AS frame_count, ROUND(f.n / fps, 2) AS duration_sec, p.n AS total_points, s.n AS total_events FROM (SELECT match_id, COUNT(*) AS n, MAX(fps) AS fps FROM fx_frames GROUP BY 1) f
 LEFT JOIN (SELECT match_id, COUNT(*) AS n FROM fx_points GROUP BY 1) p ON p.match_id = f.match_id LEFT JOIN (SELECT match_id, COUNT(*) AS n FROM fx_shots GROUP BY 1) s ON s.match_id = f.match_id""")
 def detection_summary(fx):
-    meta = fx.frames.groupBy("match_id").agg(F.count(F.lit(1)).alias("frame_count")).select(
-        "match_id", F.to_json(F.struct(F.lit(30.0).alias("fps"), "frame_count")).alias("metadata"))
+    meta = fx.frames.groupBy("match_id").agg(F.count(F.lit(1)).alias("frame_count"), F.max("fps").alias("fps")).select(
+        "match_id", F.to_json(F.struct("fps", "frame_count")).alias("metadata"))
     return state.detection_summary(meta, fx.points, fx.shots)
 
 
@@ -177,17 +177,17 @@ def through_files(rows):
 @query("ball_series", "IO-06", """
 SELECT match_id, ROUND(t, 3) AS t, frame_idx, CASE WHEN cx IS NOT NULL THEN ROUND(cx, 2) END AS x, CASE WHEN cx IS NOT NULL THEN ROUND(cy, 2) END AS y, CASE WHEN cx IS NOT NULL THEN speed END AS speed_m_s,
   CASE WHEN cx IS NOT NULL AND speed <> 0 THEN ROUND(speed * 3.6::DOUBLE, 2) END AS speed_km_h, CASE WHEN cx IS NOT NULL THEN accel END AS accel_m_s2
-FROM (SELECT match_id, frame_idx / 30.0::DOUBLE AS t, frame_idx, cx, cy, speed, accel FROM o_physics)""")
+FROM (SELECT match_id, frame_idx / fps AS t, frame_idx, cx, cy, speed, accel FROM o_physics)""")
 def ball_series(fx):
     from rallyframe.sources.sinks import ball_series as op
     return through_files(op(Tables(fx).physics))
 
 
 @query("player_series", "IO-07", """
-SELECT match_id, label, ROUND(frame_idx / 30.0::DOUBLE, 3) AS t, frame_idx, ROUND(foot_x, 2) AS x, ROUND(foot_y, 2) AS y, CASE WHEN foot_x IS NOT NULL THEN ROUND(foot_px, 2) END AS foot_pixel_x, CASE WHEN foot_x IS NOT NULL THEN ROUND(foot_py, 2) END AS foot_pixel_y FROM o_players""")
+SELECT match_id, label, ROUND(t, 3) AS t, frame_idx, ROUND(foot_x, 2) AS x, ROUND(foot_y, 2) AS y, CASE WHEN foot_x IS NOT NULL THEN ROUND(foot_px, 2) END AS foot_pixel_x, CASE WHEN foot_x IS NOT NULL THEN ROUND(foot_py, 2) END AS foot_pixel_y FROM o_players JOIN (SELECT match_id, frame_idx, label, t FROM o_pos) USING (match_id, frame_idx, label)""")
 def player_series(fx):
     from rallyframe.sources.sinks import player_series as op
-    return through_files(op(Tables(fx).players, 30.0))
+    return through_files(op(Tables(fx).players))
 
 
 @query("event_rows", "IO-08", """

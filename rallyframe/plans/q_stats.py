@@ -28,7 +28,7 @@ class Tables(Chain):
 
     @property
     def positions(self):
-        return self.players.select("match_id", "label", "frame_idx", (F.col("frame_idx") / 30).alias("t"), F.col("foot_x").alias("x"), F.col("foot_y").alias("y"))
+        return self.players.select("match_id", "label", "frame_idx", (F.col("frame_idx") / F.col("fps")).alias("t"), F.col("foot_x").alias("x"), F.col("foot_y").alias("y"))
 
     @property
     def frame_table(self):

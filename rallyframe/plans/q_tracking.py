@@ -8,6 +8,9 @@ from rallyframe.plans.chain import Chain
 from rallyframe.plans.registry import query
 
 R6 = lambda c: F.round(c, 6).alias(c)
+# Values behind a fitted matrix: two ways of solving it agree to about 1e-9, so they are compared to three decimals.
+R3 = lambda c: (F.round(c, 3) + 0.0).alias(c)
+ZERO = lambda c: (F.col(c) + 0.0).alias(c)
 
 
 @query("track_distances", "WN-01", "SELECT match_id, frame_idx, ROUND(d, 6) AS dist FROM o_dist")
@@ -31,9 +34,9 @@ def track_interpolated(fx):
     return Chain(fx).clean.select("match_id", "frame_idx", R6("ball_px"), R6("ball_py"))
 
 
-@query("ball_physics", "WN-06 SC-07", "SELECT match_id, frame_idx, ROUND(cx, 6) AS cx, ROUND(cy, 6) AS cy, speed, accel FROM o_physics")
+@query("ball_physics", "WN-06 SC-07", "SELECT match_id, frame_idx, ROUND(cx, 3) + 0 AS cx, ROUND(cy, 3) + 0 AS cy, speed + 0 AS speed, accel + 0 AS accel FROM o_physics")
 def ball_physics(fx):
-    return Chain(fx).physics.select("match_id", "frame_idx", R6("cx"), R6("cy"), "speed", "accel")
+    return Chain(fx).physics.select("match_id", "frame_idx", R3("cx"), R3("cy"), ZERO("speed"), ZERO("accel"))
 
 
 @query("smoothed_track", "WN-07 WN-08 WN-10", """
@@ -61,11 +64,11 @@ def direction_means(fx):
     return d.select("match_id", "frame_idx", F.round("mean_before", 4).alias("mean_before"))
 
 
-_EV = "match_id, frame_idx, timestamp_sec, ROUND(cx, 6) AS cx, ROUND(cy, 6) AS cy, speed_before, speed_after, score, court_side"
+_EV = "match_id, frame_idx, timestamp_sec, ROUND(cx, 3) AS cx, ROUND(cy, 3) AS cy, speed_before, speed_after, score, court_side"
 
 
 def _event_columns():
-    return ["match_id", "frame_idx", "timestamp_sec", R6("cx"), R6("cy"), "speed_before", "speed_after", "score", "court_side"]
+    return ["match_id", "frame_idx", "timestamp_sec", R3("cx"), R3("cy"), "speed_before", "speed_after", "score", "court_side"]
 
 
 
@@ -97,10 +100,10 @@ def hit_player_assignment(fx):
 
 
 @query("ema_track", "WN-15 WN-16 UD-03", """
-SELECT match_id, frame_idx, ROUND(sx, 6) AS sx, ROUND(sy, 6) AS sy, ROUND(vx, 6) AS vx, ROUND(vy, 6) AS vy, stable FROM o_track""")
+SELECT match_id, frame_idx, ROUND(sx, 3) + 0 AS sx, ROUND(sy, 3) + 0 AS sy, ROUND(vx, 3) + 0 AS vx, ROUND(vy, 3) + 0 AS vy, stable FROM o_track""")
 def ema_track(fx):
     d = tracking.ema_track(Chain(fx).physics_table.select("match_id", "frame_idx", "cx", "cy"), "cx", "cy")
-    return d.select("match_id", "frame_idx", *[(F.round(c, 6) + 0.0).alias(c) for c in ("sx", "sy", "vx", "vy")], "stable")
+    return d.select("match_id", "frame_idx", *[R3(c) for c in ("sx", "sy", "vx", "vy")], "stable")
 
 
 @query("contact_debounce", "WN-18", "SELECT match_id, frame_idx FROM o_cool WHERE ok")
@@ -109,25 +112,25 @@ def contact_debounce(fx):
 
 
 @query("contacts", "WN-17 JN-02", """
-SELECT match_id, frame_idx, timestamp_sec, owner, ROUND(ball_cx, 6) AS ball_cx, ROUND(ball_cy, 6) AS ball_cy, direction_deg, speed_m_s, court_side, ownership FROM o_contacts""")
+SELECT match_id, frame_idx, timestamp_sec, owner, ROUND(ball_cx, 3) AS ball_cx, ROUND(ball_cy, 3) AS ball_cy, direction_deg, speed_m_s, court_side, ownership FROM o_contacts""")
 def contacts(fx):
     c = Chain(fx).contacts
-    return c.select("match_id", "frame_idx", "timestamp_sec", "owner", R6("ball_cx"), R6("ball_cy"), "direction_deg", "speed_m_s", "court_side", "ownership")
+    return c.select("match_id", "frame_idx", "timestamp_sec", "owner", R3("ball_cx"), R3("ball_cy"), "direction_deg", "speed_m_s", "court_side", "ownership")
 
 
-@query("homography_carry", "WN-20", "SELECT match_id, frame_idx, ROUND(confidence, 6) AS confidence, reliable, carried FROM o_hom")
+@query("homography_carry", "WN-20", "SELECT match_id, frame_idx, ROUND(confidence, 4) AS confidence, reliable, carried FROM o_hom")
 def homography_carry(fx):
-    return Chain(fx).homography.select("match_id", "frame_idx", R6("confidence"), "reliable", "carried")
+    return Chain(fx).homography.select("match_id", "frame_idx", F.round("confidence", 4).alias("confidence"), "reliable", "carried")
 
 
 @query("player_choice", "UD-04 SC-05", "SELECT match_id, frame_idx, label, track_id, ROUND(foot_px, 6) AS foot_px, ROUND(foot_py, 6) AS foot_py FROM o_chosen")
 def player_choice(fx):
-    return players.choose(Chain(fx).located).select("match_id", "frame_idx", "label", "track_id", R6("foot_px"), R6("foot_py"))
+    return players.choose(Chain(fx).located, "frame_height").select("match_id", "frame_idx", "label", "track_id", R6("foot_px"), R6("foot_py"))
 
 
-@query("player_carry", "WN-21", "SELECT match_id, frame_idx, label, ROUND(foot_x, 6) AS foot_x, ROUND(foot_y, 6) AS foot_y, carried FROM o_players")
+@query("player_carry", "WN-21", "SELECT match_id, frame_idx, label, ROUND(foot_x, 3) AS foot_x, ROUND(foot_y, 3) AS foot_y, carried FROM o_players")
 def player_carry(fx):
-    return Chain(fx).players.select("match_id", "frame_idx", "label", R6("foot_x"), R6("foot_y"), "carried")
+    return Chain(fx).players.select("match_id", "frame_idx", "label", R3("foot_x"), R3("foot_y"), "carried")
 
 
 @query("low_confidence_runs", "WN-22", "SELECT match_id, run_start, run_end, length FROM o_lowruns")
@@ -143,11 +146,11 @@ def rally_sessions(fx):
 
 
 @query("point_records", "AG-32 AG-33 JN-08 JN-18", """
-SELECT match_id, point_idx, start_frame, end_frame, start_sec, end_sec, serve_frame, serve_player, first_bounce_frame, ROUND(bounce_cx, 6) AS bounce_cx, ROUND(bounce_cy, 6) AS bounce_cy,
+SELECT match_id, point_idx, start_frame, end_frame, start_sec, end_sec, serve_frame, serve_player, first_bounce_frame, ROUND(bounce_cx, 3) AS bounce_cx, ROUND(bounce_cy, 3) AS bounce_cy,
   serve_zone, serve_fault_type, end_reason, rally_hit_count, bounce_count, event_count, confidence, low_confidence_homography FROM o_points""")
 def point_records(fx):
     p = Chain(fx).points
-    return p.select(*[R6(c) if c in ("bounce_cx", "bounce_cy") else c for c in p.columns])
+    return p.select(*[R3(c) if c in ("bounce_cx", "bounce_cy") else c for c in p.columns])
 
 
 @query("point_bounces", "AG-32", """
@@ -184,13 +187,13 @@ def first_shots(fx):
 
 
 @query("calibration", "UD-01 UD-02 AG-42 JN-19", """
-SELECT match_id, frame_idx, CASE WHEN confidence >= 0.7 THEN 0.0::DOUBLE END AS clean_error, CASE WHEN confidence >= 0.7 THEN confidence END AS clean_confidence, reliable, carried FROM o_hom""")
+SELECT match_id, frame_idx, detected, ROUND(error, 3) + 0 AS error, ROUND(confidence, 4) AS confidence, reliable, carried, CASE WHEN reliable THEN [ROUND(i[1] / i[9], 4) + 0, ROUND(i[2] / i[9], 4) + 0, ROUND(i[3] / i[9], 4) + 0] END AS inverse_row FROM o_hom""")
 def calibration(fx):
-    """Known-answer check: clean frames recover the map exactly, noisy ones are not trusted."""
-    d = calibrate.calibrate(fx.keypoints)
-    good = F.col("confidence") >= 0.7
-    return d.select("match_id", "frame_idx", F.when(good, F.abs(F.round("error", 6))).alias("clean_error"),
-                    F.when(good, F.round("confidence", 6)).alias("clean_confidence"), "reliable", "carried")
+    """Keypoints to one calibration per frame; the first row of the inverse, scaled to a last entry of 1, stands for the matrix."""
+    d = Chain(fx).homography
+    row = F.array(*[F.round(F.col("inverse")[i] / F.col("inverse")[8], 4) + 0.0 for i in range(3)])
+    return d.select("match_id", "frame_idx", "detected", R3("error"), F.round("confidence", 4).alias("confidence"), "reliable", "carried",
+                    F.when(F.col("reliable"), row).alias("inverse_row"))
 
 
 @query("configuration_points", "JN-19", """
@@ -201,15 +204,17 @@ def configuration_points(fx):
     return calibrate.configuration_points(fx.keypoints).select("match_id", "frame_idx", "conf")
 
 
-@query("configuration_errors", "AG-42")
+@query("configuration_errors", "AG-42", "SELECT match_id, frame_idx, conf, ROUND(error, 3) + 0 AS error FROM o_conf")
 def configuration_errors(fx):
     """Median error of every complete configuration of every frame."""
-    d = calibrate.configuration_errors(fx.keypoints)
-    return d.select("match_id", "frame_idx", "conf", F.round("error", 6).alias("error"))
+    return calibrate.configuration_errors(fx.keypoints).select("match_id", "frame_idx", "conf", R3("error"))
 
 
-@query("fitted_matrices", "UD-01")
+@query("fitted_matrices", "UD-01", """
+SELECT match_id, frame_idx, detected, CAST(cell AS INTEGER) AS cell, ROUND(m[cell + 1] * CASE WHEN cell IN (6, 7) THEN 1000 ELSE 1 END, 4) + 0 AS value
+FROM (SELECT match_id, frame_idx, detected, m, UNNEST(range(9)) AS cell FROM o_fit)""")
 def fitted_matrices(fx):
-    """Best matrix of each frame as long rows."""
+    """Best matrix of each frame as long rows; the two perspective terms in thousandths."""
     b = calibrate.best_fits(fx.keypoints)
-    return b.select("match_id", "frame_idx", "detected", F.posexplode("matrix").alias("cell", "value")).withColumn("value", F.round("value", 6))
+    d = b.select("match_id", "frame_idx", "detected", F.posexplode("matrix").alias("cell", "value"))
+    return d.withColumn("value", F.round(F.col("value") * F.when(F.col("cell").isin(6, 7), 1000).otherwise(1), 4) + 0.0)

@@ -24,10 +24,12 @@ def ball_series(physics: DataFrame, start_sec: float = 0.0) -> DataFrame:
         F.when(known & (F.col("speed") != 0), S.safe_round(F.col("speed") * 3.6)).alias("speed_km_h"), r("accel").alias("accel_m_s2"))
 
 
-def player_series(players: DataFrame, fps: float, start_sec: float = 0.0) -> DataFrame:
+def player_series(players: DataFrame, fps: float | str = "fps", start_sec: float = 0.0) -> DataFrame:
+    """``fps`` is a number or a column of ``players``."""
     known = F.col("foot_x").isNotNull()
     r = lambda c: F.when(known, S.safe_round(c))
-    return players.select("match_id", "label", S.frame_seconds("frame_idx", F.lit(fps), start_sec).alias("t"), "frame_idx", r("foot_x").alias("x"), r("foot_y").alias("y"),
+    rate = F.col(fps) if isinstance(fps, str) else F.lit(fps)
+    return players.select("match_id", "label", S.frame_seconds("frame_idx", rate, start_sec).alias("t"), "frame_idx", r("foot_x").alias("x"), r("foot_y").alias("y"),
                           r("foot_px").alias("foot_pixel_x"), r("foot_py").alias("foot_pixel_y"))
 
 

@@ -1,20 +1,16 @@
-"""Order-dependent greedy filters, made parallel by cutting candidates into islands.
-
-Two candidates further apart than the reach of a rule cannot influence each other, so every island of
-close candidates is decided on its own. Islands up to ``ISLAND_ROWS`` candidates are folded as one
-sorted array; longer ones are decided by a distributed exact method.
-"""
+"""Order-dependent greedy filters over chunks: what a chunk does is worked out for every state it may be entered in, and the
+states are then followed from chunk to chunk. One plan for all sizes; a match of any length spreads over its chunks."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.operators.scan import Agg, bounded, frame_chunk, scan
-from rallyframe.session import pin
-
-ISLAND_ROWS = 1000
+from rallyframe.operators.scan import CHUNK, Agg, bounded, fold_chunks, frame_chunk, scan
+from rallyframe.session import pin, ship
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: str, reach: int, name: str = "island",
@@ -32,84 +28,152 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, reach: int, name: st
     return out.drop("_head")
 
 
-def _split_by_size(marked: DataFrame, keys: list[str], limit: int):
-    """(rows of ordinary islands, rows of oversized ones or None)."""
-    big = (marked.groupBy(*keys, "island").count().filter(F.col("count") > limit).drop("count"))
-    if big.isEmpty():
-        return marked, None
-    return marked.join(big, [*keys, "island"], "left_anti"), marked.join(big, [*keys, "island"], "left_semi")
+def debounce(df: DataFrame, keys: Sequence[str], order: str = "frame_idx", step: int = 12, size: int | None = None) -> DataFrame:
+    """Keep a row when it lies at least ``step`` after the last kept row of its key.
 
-
-def suppress(df: DataFrame, keys: Sequence[str], order: str = "frame_idx", score: str = "score",
-             reach: int = 5, limit: int = ISLAND_ROWS, size: int | None = None) -> DataFrame:
-    """Keep a row when no kept row of better score lies within ``reach`` (earlier row wins ties)."""
-    keys = list(keys)
-    cols = df.columns
-    marked = pin(islands(df, keys, order, reach, size=size))
-    small, big = _split_by_size(marked, keys, limit)
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(order).alias("t"))))
-    no_rows = F.array().cast("array<bigint>")
-    kept = F.aggregate(ranked, no_rows, lambda acc, x: F.when(
-        F.exists(acc, lambda k: F.abs(k - x.t) <= reach), acc).otherwise(F.array_append(acc, x.t)))
-    winners = small.groupBy(*keys, "island").agg(kept.alias("_k")).select(*keys, F.explode("_k").alias(order))
-    out = small.join(winners, [*keys, order], "left_semi").select(*cols)
-    if big is not None:
-        out = out.unionByName(_suppress_rounds(big, keys, order, score, reach, size).select(*cols))
-    return out
-
-
-def _suppress_rounds(df, keys, order, score, reach, size):
-    """Local winners are kept, their neighbours dropped, until every row is decided."""
-    state = pin(df.withColumn("_state", F.lit("open")))
-    while True:
-        def step(d, w):
-            around = w.rangeBetween(-reach, reach)
-            rank = F.struct(F.col(score).alias("s"), (-F.col(order)).alias("t"))
-            best = F.max(F.when(F.col("_state") == "open", rank)).over(around)
-            kept_near = F.max(F.col("_state") == "kept").over(around)
-            is_open = F.col("_state") == "open"
-            return d.withColumn("_state", F.when(is_open & kept_near, "dropped")
-                                .when(is_open & (best == rank), "kept").otherwise(F.col("_state")))
-        state = pin(bounded(state, keys, order, reach, reach, step, size))
-        if state.filter("_state = 'open'").isEmpty():
-            return state.filter("_state = 'kept'").drop("_state")
-
-
-def debounce(df: DataFrame, keys: Sequence[str], order: str = "frame_idx", step: int = 12,
-             limit: int = ISLAND_ROWS, size: int | None = None) -> DataFrame:
-    """Keep a row when it lies at least ``step`` after the last kept row of its key."""
-    keys = list(keys)
-    cols = df.columns
-    marked = pin(islands(df, keys, order, step - 1, size=size))
-    small, big = _split_by_size(marked, keys, limit)
-    times = F.sort_array(F.collect_list(F.col(order)))
-    no_rows = F.array().cast("array<bigint>")
-    kept = F.aggregate(times, no_rows, lambda acc, t: F.when(
-        (F.size(acc) == 0) | (t - F.element_at(acc, -1) >= step), F.array_append(acc, t)).otherwise(acc))
-    winners = small.groupBy(*keys, "island").agg(kept.alias("_k")).select(*keys, F.explode("_k").alias(order))
-    out = small.join(winners, [*keys, order], "left_semi").select(*cols)
-    if big is not None:
-        out = out.unionByName(_debounce_jumps(big, keys, order, step, size).select(*cols))
-    return out
-
-
-def _debounce_jumps(df, keys, order, step, size):
-    """Accepted rows are those reached from island heads by 'first row >= t + step'; jumps double."""
-    own = df.select(*keys, "island", F.col(order).alias("_pos"), F.lit(1).alias("_kind"),
-                    F.col(order).alias("_own"), F.lit(None).cast("bigint").alias("_from"))
-    probe = df.select(*keys, "island", (F.col(order) + step).alias("_pos"), F.lit(0).alias("_kind"),
-                      F.lit(None).cast("bigint").alias("_own"), F.col(order).alias("_from"))
-    # probes of one island may only land in that island
-    both = scan(own.unionByName(probe), [*keys, "island"], ["_pos", "_kind", "_from"],
-                chunk=frame_chunk("_pos", size), _to=Agg("first", "from", F.col("_own")))
-    jump = pin(both.filter("_kind = 0 AND _to IS NOT NULL").select(*keys, "_from", "_to"))
-    reached = pin(df.filter(F.col(order) == F.col("island")).select(*keys, F.col(order).alias("_from")))
-    while not jump.isEmpty():
-        more = reached.join(jump, [*keys, "_from"]).select(*keys, F.col("_to").alias("_from"))
-        reached = pin(reached.unionByName(more))
-        second = jump.select(*keys, F.col("_from").alias("_to"), F.col("_to").alias("_to2"))
-        jump = pin(jump.join(second, [*keys, "_to"]).select(*keys, "_from", F.col("_to2").alias("_to")))
-    return df.join(reached.withColumnRenamed("_from", order), [*keys, order], "left_semi")
+    All that a chunk needs to know of the past is how far into it rows are still blocked: one of ``step`` numbers. Its
+    summary lists for each of them the last row it would keep; folding the summaries gives every chunk its past.
+    """
+    keys, cols = list(keys), df.columns
+    size = max(size or CHUNK, step)
+    rows = pin(df.withColumn("_chunk", frame_chunk(order, size)))
+    at = F.sort_array(F.collect_list(F.col(order).cast("long")))
+    chunks = rows.groupBy(*keys, "_chunk").agg(at.alias("_at"))
+    begin = F.col("_chunk") * size
+    none = F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda _: F.lit(None).cast("long"))
+    last = F.aggregate("_at", none, lambda acc, t: F.transform(acc, lambda kept, free: F.when(
+        t >= F.coalesce(kept + step, begin + free), t).otherwise(kept)))
+    tables = chunks.select(*keys, "_chunk", last.alias("_last"))
+
+    def fold(found: pd.DataFrame) -> dict[str, list]:
+        past, kept = [], None
+        for chunk, last in zip(found["_chunk"], found["_last"], strict=True):
+            past.append(kept)
+            free = 0 if kept is None else max(0, kept + step - chunk * size)
+            own = last[free] if free < step else None
+            kept = kept if own is None or own != own else int(own)
+        return {"_past": pd.array(past, "Int64")}
+
+    entered = fold_chunks(tables, keys, fold, "_past long")
+    first = F.array(F.coalesce(F.col("_past"), begin - step))
+    kept = F.aggregate("_at", first, lambda acc, t: F.when(t - F.element_at(acc, -1) >= step, F.array_append(acc, t)).otherwise(acc))
+    winners = chunks.join(entered, [*keys, "_chunk"]).select(*keys, "_chunk", F.explode(F.slice(kept, 2, size)).alias(order))
+    return rows.join(winners, [*keys, "_chunk", order], "left_semi").select(*cols)
+
+
+# --- suppression ----------------------------------------------------------------------------------------
+
+OPEN, KEPT, DROPPED = 0, 1, 2
+
+
+def _resolve(at: np.ndarray, by_score: np.ndarray, state: np.ndarray, reach: int, blind: np.ndarray) -> np.ndarray:
+    """Decide the open rows, best score first: a row falls to a kept better one within ``reach`` and stays if all better ones have
+    fallen. Rows that are ``blind`` may have better neighbours that are not seen, and stay open unless a kept one is seen."""
+    state = state.copy()
+    first, last = np.searchsorted(at, at - reach), np.searchsorted(at, at + reach, "right")
+    rank = np.empty(len(at), np.int64)
+    rank[by_score] = np.arange(len(at))
+    for i in by_score.tolist():
+        if state[i] != OPEN:
+            continue
+        near = slice(first[i], last[i])
+        better = state[near][rank[near] < rank[i]]
+        if (better == KEPT).any():
+            state[i] = DROPPED
+        elif not blind[i] and (better == DROPPED).all():
+            state[i] = KEPT
+    return state
+
+
+def _outcomes(at: np.ndarray, score: np.ndarray, own: np.ndarray, begin: int, end: int, reach: int) -> list[list[int] | None]:
+    """For each own row that may stay, with None for those that may not: the cases in which it stays, or [-1] for all of them. A case is a pair of outer
+    states, the place of the kept row among the ``reach`` frames before and after the chunk (0 for none), numbered ``before * (reach + 1) + after``."""
+    by_score = np.lexsort((at, -score))
+    state = _resolve(at, by_score, np.full(len(at), OPEN), reach, ~own)
+    cases: dict[int, list[int]] = {int(i): [] for i in np.flatnonzero(own & (state == OPEN))}
+    for case in range((reach + 1) ** 2 if cases else 0):
+        before, after = divmod(case, reach + 1)
+        given = state.copy()
+        given[~own] = DROPPED
+        given[~own & ((at == begin - before) | (at == end - 1 + after))] = KEPT
+        done = _resolve(at, by_score, given, reach, np.zeros(len(at), bool))
+        for i, found in cases.items():
+            if done[i] == KEPT:
+                found.append(case)
+    return [[-1] if state[i] == KEPT else cases.get(int(i)) for i in np.flatnonzero(own)]
+
+
+def _path(chunks: list[int], edges: list[list[tuple[int, set[int]]]], reach: int, size: int) -> list[int]:
+    """The case of each chunk that agrees with its neighbours. ``edges`` holds (row, cases in which it stays) for a chunk's rows near its borders."""
+    wide = reach + 1
+    pairs = range(wide * wide)
+
+    def sides(c: int, own: list[tuple[int, set[int]]], pair: int) -> tuple[int, int]:
+        kept = [t - c * size for t, cases in own if pair in cases or -1 in cases]
+        return next((t + 1 for t in kept if t < reach), 0), next((size - t for t in reversed(kept) if t >= size - reach), 0)
+
+    ways: list[dict[int, tuple[int, int, int]]] = []  # pair -> (pair of the chunk before, own first, own last)
+    for n, (c, own) in enumerate(zip(chunks, edges, strict=True)):
+        joined = n > 0 and chunks[n - 1] == c - 1
+        found: dict[int, tuple[int, int, int]] = {}
+        for pair in pairs:
+            left, right = divmod(pair, wide)
+            first, last = sides(c, own, pair)
+            if not joined:
+                if left == 0 and (n == 0 or any(p % wide == 0 for p in ways[-1])):
+                    found[pair] = (next((p for p in ways[-1] if p % wide == 0), -1) if n else -1, first, last)
+                continue
+            for p, (_, _, before) in ways[-1].items():
+                if before == left and p % wide == first:
+                    found[pair] = (p, first, last)
+                    break
+        ways.append(found)
+    pair = next(p for p in ways[-1] if p % wide == 0)
+    out = []
+    for found in reversed(ways):
+        out.append(pair)
+        pair = found[pair][0]
+    return out[::-1]
+
+
+def suppress(df: DataFrame, keys: Sequence[str], order: str = "frame_idx", score: str = "score", reach: int = 5, size: int | None = None) -> DataFrame:
+    """Keep a row when no kept row of better score lies within ``reach`` (the earlier of equal ones is better). One row per ``order`` and key.
+
+    Chunks decide their rows by themselves, seeing ``reach`` frames beyond their borders. The few that hang on what a neighbour
+    keeps there are decided for every case: at most one row is kept within ``reach`` frames, so a border has ``reach + 1``
+    states and a chunk ``(reach + 1) ** 2``. Which case holds follows from the rows near the borders alone: exactly one chain of cases agrees at all of them.
+    """
+    keys, cols = list(keys), df.columns
+    size = max(size or CHUNK, 2 * reach)
+    ship(df.sparkSession)
+    rows = pin(df)
+    home, pos = frame_chunk(order, size), F.expr(f"pmod({order}, {size})")
+    copies = F.explode(F.array_compact(F.array(home, F.when(pos >= size - reach, home + 1), F.when(pos < reach, home - 1)))).alias("_chunk")
+    seen = rows.select(*keys, F.col(order).cast("long").alias("_at"), F.col(score).cast("double").alias("_score"), home.alias("_home"), copies)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def decide(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_at").reset_index(drop=True)
+        c = int(part["_chunk"].iloc[0])
+        own = (part["_home"] == c).to_numpy()
+        cases = _outcomes(part["_at"].to_numpy(), part["_score"].to_numpy(), own, c * size, (c + 1) * size, reach)
+        out = part.loc[own, [*keys, "_chunk", "_at"]]
+        out["_cases"] = pd.Series(cases, index=out.index, dtype=object)
+        return out[out["_cases"].notna()]
+
+    decided = pin(seen.groupBy(*keys, "_chunk").applyInPandas(decide, f"{kinds}, _chunk long, _at long, _cases array<int>"))
+    inside = F.expr(f"pmod(_at, {size})")
+    near = F.when((inside < reach) | (inside >= size - reach), F.struct("_at", "_cases"))
+    edges = decided.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(near)).alias("_edge"))
+
+    def fold(found: pd.DataFrame) -> dict[str, list]:
+        own = [[(int(e["_at"]), {int(x) for x in e["_cases"]}) for e in edge] for edge in found["_edge"]]
+        return {"_case": _path([int(c) for c in found["_chunk"]], own, reach, size)}
+
+    holds = fold_chunks(edges, keys, fold, "_case int")
+    stays = F.array_contains("_cases", F.lit(-1)) | F.array_contains("_cases", F.col("_case"))
+    kept = decided.join(holds, [*keys, "_chunk"]).where(stays).select(*keys, F.col("_at").alias(order))
+    return rows.join(kept, [*keys, order], "left_semi").select(*cols)
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: str, member: str, size: int | None = None) -> DataFrame:

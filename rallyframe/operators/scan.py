@@ -6,18 +6,24 @@ into chunks by an order-preserving chunk number, and two exact building blocks w
 * ``bounded``  - windows of a fixed reach; rows near a chunk border are copied to the neighbour chunk.
 * ``scan``     - unbounded prefix/suffix aggregates; every chunk is reduced to one summary row
   (map-side combined), the summaries are windowed per key, and the carry is joined back by chunk.
+* ``fold_chunks`` - the same for states that no window knows: a summary row says what its chunk does to every
+  state it may be entered in, and the summaries of a key are folded in order.
 
 Only chunk summaries (rows / chunk size) ever meet in one task.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from rallyframe.session import ship
+
 CHUNK = 8192
 
 
@@ -151,6 +157,55 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
             .select(*[F.col(c) for c in columns if c not in aggs and c != "_chunk"], *out_cols))
 
 
+def fold_chunks(summaries: DataFrame, keys: Sequence[str], fold: Callable[[pd.DataFrame], dict[str, list]], schema: str) -> DataFrame:
+    """One row (keys, ``_chunk``, columns of ``schema``) per summary: ``fold`` gets the summaries of a key in chunk order."""
+    ship(summaries.sparkSession)
+    keys = list(keys)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in summaries.schema if f.name in (*keys, "_chunk"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_chunk").reset_index(drop=True)
+        return pd.concat([rows[[*keys, "_chunk"]], pd.DataFrame(fold(rows))], axis=1)
+    return summaries.groupBy(*keys).applyInPandas(run, f"{types}, {schema}")
+
+
+def decayed_sum(df: DataFrame, keys: Sequence[str], order: str, decay: float, size: int | None = None, **values: Column) -> DataFrame:
+    """Add one column per value: the state s after ``s = decay * s + value`` of all rows up to this one, 0 before the first.
+
+    ``order`` numbers the rows of a key from 1. Inside a chunk the state is a running sum of values weighted by powers of
+    ``1 / decay`` (chunks are short enough for these to stay finite); a chunk maps the state it is entered in by one slope and
+    offset, and these maps are composed over the chunks of a key. Nothing is cut off, for any ``decay`` from 0 to below 1.
+    """
+    keys = list(keys)
+    if not 0 <= decay < 1:
+        raise ValueError("decay must lie in [0, 1)")
+    if decay == 0:
+        return df.withColumns(values)
+    size = max(1, min(size or CHUNK, int(250 / -math.log10(decay))))
+    pos = F.expr(f"CAST(({order} - 1) % {size} AS DOUBLE)")
+    d = df.withColumn("_chunk", F.expr(f"({order} - 1) DIV {size}")).withColumns({f"_v_{n}": v for n, v in values.items()})
+    up, down = F.pow(F.lit(1 / decay), pos), F.pow(F.lit(decay), pos)
+    whole = F.pow(F.lit(decay), size - 1 - pos)
+    ends = d.groupBy(*keys, "_chunk").agg(*[F.sum(F.col(f"_v_{n}") * whole).alias(f"_e_{n}") for n in values])
+    slope, names = decay ** size, list(values)
+
+    def fold(rows: pd.DataFrame) -> dict[str, list]:
+        out: dict[str, list] = {}
+        for n in names:
+            state, carry = 0.0, []
+            for e in rows[f"_e_{n}"]:
+                carry.append(state)
+                state = slope * state + e
+            out[f"_c_{n}"] = carry
+        return out
+
+    carry = fold_chunks(ends, keys, fold, ", ".join(f"_c_{n} double" for n in values))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.repartition(*keys, "_chunk").select("*", *[F.sum(F.col(f"_v_{n}") * up).over(w).alias(f"_l_{n}") for n in values])
+    states = [(F.col(f"_l_{n}") * down + F.col(f"_c_{n}") * down * decay).alias(n) for n in values]
+    return local.join(carry, [*keys, "_chunk"]).select(*[c for c in df.columns if c not in values], *states)
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
                 chunk: Column | None = None, size: int | None = None) -> DataFrame:
     """1-based position of each row inside its key."""

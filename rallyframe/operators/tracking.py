@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rallyframe import constants as K
 from rallyframe.functions import scalars as S
-from rallyframe.operators.scan import Agg, bounded, row_numbers, scan
+from rallyframe.operators.scan import Agg, bounded, decayed_sum, row_numbers, scan
 
 KEY = ["match_id"]
 
@@ -155,30 +155,13 @@ def tracking_gap(df: DataFrame, value: str = "cx", radius: int = 3, keys: Sequen
         "gap", F.max(F.col(value).isNull()).over(w.rowsBetween(-radius, radius))), size)
 
 
-EMA_TERMS = 128
-
-
 def ema_observed(df: DataFrame, x: str, y: str, alpha: float = K.EMA_ALPHA, keys: Sequence[str] = KEY,
                  size: int | None = None) -> DataFrame:
-    """Exponential moving averages ``sx``/``sy`` over the seen frames, with their position ``obs_no``.
-
-    The average over 2k seen frames is the average over the last k plus the decayed one of the k
-    before, so log2(EMA_TERMS) lags cover a history whose remaining weight is below double precision.
-    """
-    if (1 - alpha) ** EMA_TERMS > 1e-16:
-        raise ValueError("alpha too small for the covered history")
+    """Exponential moving averages ``sx``/``sy`` over the seen frames, with their position ``obs_no``. The first
+    seen position counts in full, so each average is a decayed sum over all of the history."""
     seen = row_numbers(df.filter(F.col(x).isNotNull()), keys, ["frame_idx"], "obs_no", size=size)
-    def local(d, w):
-        first = F.col("obs_no") == 1
-        d = d.select("*", *[F.when(first, F.col(c)).otherwise(F.col(c) * alpha).alias(s)
-                            for c, s in ((x, "sx"), (y, "sy"))])
-        k = 1
-        while k < EMA_TERMS:
-            decay = (1 - alpha) ** k
-            d = d.withColumns({s: F.col(s) + F.coalesce(F.lag(s, k).over(w) * decay, F.lit(0.0)) for s in ("sx", "sy")})
-            k *= 2
-        return d
-    return bounded(seen, keys, "obs_no", EMA_TERMS - 1, 0, local, size)
+    share = lambda c: F.when(F.col("obs_no") == 1, F.col(c)).otherwise(F.col(c) * alpha)
+    return decayed_sum(seen, keys, "obs_no", 1 - alpha, size, sx=share(x), sy=share(y))
 
 
 def ema_track(df: DataFrame, x: str, y: str, alpha: float = K.EMA_ALPHA, keys: Sequence[str] = KEY,

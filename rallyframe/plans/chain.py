@@ -37,7 +37,7 @@ class Chain:
 
     @cached_property
     def nms(self):
-        return events.temporal_nms(pin(self.candidates))
+        return events.temporal_nms(self.candidates)
 
     @cached_property
     def located(self):

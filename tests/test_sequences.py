@@ -58,20 +58,56 @@ def cool(rows, step):
     return kept
 
 
-@pytest.mark.parametrize("limit", [1000, 2])
-def test_suppress_and_debounce(spark, limit):
-    """limit=2 sends nearly every island through the distributed path."""
+@pytest.mark.parametrize("size", [8192, 32, 12])
+def test_suppress_and_debounce(spark, size):
+    """One plan for all sizes; with chunks of 12 frames nearly every decision hangs on a neighbour chunk. Few score values give many ties."""
     rnd = random.Random(2)
     rows = {m: [(f, rnd.randint(0, 5) / 5) for f in sorted(rnd.sample(range(160), 60))] for m in (0, 1)}
     df = frames(spark, [(m, f, s) for m, r in rows.items() for f, s in r], "match_id BIGINT, frame_idx BIGINT, score DOUBLE")
-    got = greedy.suppress(df, ["match_id"], limit=limit, size=32).collect()
+    got = greedy.suppress(df, ["match_id"], size=size).collect()
     for m, r in rows.items():
         assert sorted(x.frame_idx for x in got if x.match_id == m) == nms(r, 5)
-    got = greedy.debounce(df.drop("score"), ["match_id"], limit=limit, size=32).collect()
+    got = greedy.debounce(df.drop("score"), ["match_id"], size=size).collect()
     for m, r in rows.items():
         assert sorted(x.frame_idx for x in got if x.match_id == m) == cool([f for f, _ in r], 12)
 
 
+@pytest.mark.parametrize("step", [1, 4])
+def test_suppression_along_a_chain(spark, step):
+    """Rising scores: every row falls or stays by its right neighbour, through all chunks up to the last one. And equal scores: by the left one."""
+    rows = [(0, f * step, float(f)) for f in range(400)] + [(1, f * step, 1.0) for f in range(400)] + [(2, f * 40 * step, 1.0) for f in range(9)]
+    df = frames(spark, rows, "match_id BIGINT, frame_idx BIGINT, score DOUBLE").repartition(3)
+    got = greedy.suppress(df, ["match_id"], size=16).collect()
+    for m in (0, 1, 2):
+        assert sorted(x.frame_idx for x in got if x.match_id == m) == nms([(f, s) for k, f, s in rows if k == m], 5)
+
+
+def test_cooldown_over_an_endless_island(spark):
+    df = spark.range(0, 30_000).selectExpr("0L AS match_id", "id * 3 + id % 2 AS frame_idx")
+    got = sorted(r.frame_idx for r in greedy.debounce(df, ["match_id"], step=12, size=512).collect())
+    assert got == cool([i * 3 + i % 2 for i in range(30_000)], 12)
+
+
+def test_suppression_reach_is_free(spark):
+    rnd = random.Random(9)
+    rows = [(0, f, rnd.random()) for f in sorted(rnd.sample(range(900), 500))]
+    got = greedy.suppress(frames(spark, rows, "match_id BIGINT, frame_idx BIGINT, score DOUBLE"), ["match_id"], reach=9, size=25).collect()
+    assert sorted(x.frame_idx for x in got) == nms([(f, s) for _, f, s in rows], 9)
+
+
+@pytest.mark.parametrize("alpha", [1.0, 0.97, 0.3, 1e-6])
+def test_decayed_sum_keeps_all_history(spark, alpha):
+    from rallyframe.operators.scan import decayed_sum
+    rnd = random.Random(7)
+    x = [rnd.uniform(-5, 5) for _ in range(1500)]
+    df = frames(spark, [(0, i + 1, v) for i, v in enumerate(x)], "match_id BIGINT, no BIGINT, x DOUBLE").repartition(4)
+    got = {r.no: r.s for r in decayed_sum(df, ["match_id"], "no", 1 - alpha, 64, s=F.col("x")).collect()}
+    s = 0.0
+    for i, v in enumerate(x):
+        s = (1 - alpha) * s + v
+        assert got[i + 1] == pytest.approx(s, rel=1e-9, abs=1e-9)
+
+
 def test_cooldown_edge(spark):
     df = frames(spark, [(0, f) for f in (0, 11, 12, 23, 24)], "match_id BIGINT, frame_idx BIGINT")
     assert sorted(r.frame_idx for r in greedy.debounce(df, ["match_id"]).collect()) == [0, 12, 24]

@@ -42,6 +42,7 @@ from rallyframe.llm.stored import discard, store
 from rallyframe.llm.text import ORDER_CODE, mix, shingle_sets, slices
 
 FREQUENT, TABLE_BITS, CHUNK_TOKENS, BINS, BLOCK, ROUNDS = 24, 26, 3_000_000, 64, 1024, 3
+FIRST = 16
 FAMILY, FAMILY_TOKENS, COLUMNS = 256, 500_000, 4096
 SETS = "doc_id long, version long, n_shingles long, node long, sketch binary, signatures array<long>"
 
@@ -265,20 +266,32 @@ def star_pairs(placed: DataFrame, turn: int) -> DataFrame:
 
 
 def pairs_across(placed: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of an entry's members in different components that the bounds let pass; members meet block by block."""
+    """Pairs of an entry's members in different components that the bounds let pass; members meet block by block.
+
+    A pair shares many entries, and the one with the smallest name among them gives it: a member carries the ``FIRST`` smallest
+    names of its entries, and a pair with a smaller one in common is left to that entry. Pairs whose smaller common entries
+    lie beyond the first ones are given again and become one by ``distinct``; none is lost."""
     counts = placed.groupBy("sig").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    rows = placed.join(counts.select("sig", F.ceil(F.col("n") / BLOCK).alias("blocks")), "sig").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    placed = placed.join(counts.select("sig", F.ceil(F.col("n") / BLOCK).alias("blocks")), "sig")
+    firsts = placed.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, FIRST).alias("firsts"))
+    rows = placed.join(nodes.select("node", "n_shingles", "sketch").join(firsts, "node"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["sig", "i", "j"]
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n_shingles", "sketch")
+    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n_shingles", "sketch",
+                       F.filter("firsts", lambda x: x < F.col("sig")).alias("smaller"))
 
     def met(i: int, j: int, parts: list[pd.DataFrame]) -> Iterator[tuple[int, int]]:
         rows = pd.concat(parts) if len(parts) > 1 else parts[0]
         own, node, label, size = (rows[c].to_numpy() for c in ("own", "node", "label", "n_shingles"))
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), BINS).astype(np.int32)
-        right = np.flatnonzero(own == j)
-        for x in np.flatnonzero(own == i):
-            y = right[(label[right] != label[x]) & ((node[right] > node[x]) if i == j else True)]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        sides = []
+        for side in (left, right):
+            names = [rows["smaller"].iloc[k] for k in side]
+            sides.append((np.concatenate([np.zeros(0, np.int64), *names]).astype(np.int64), np.cumsum([0, *[len(s) for s in names]])))
+        elsewhere = common_tokens(*sides[0], *sides[1], i == j) > 0
+        for row, x in enumerate(left):
+            y = right[(label[right] != label[x]) & ~elsewhere[row] & ((node[right] > node[x]) if i == j else True)]
             y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * rule.percent]
             y = y[np.abs(sketch[y] - sketch[x]).sum(1) <= rule.apart(size[y], size[x])]
             yield from ((min(node[x], z), max(node[x], z)) for z in node[y].tolist())

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, UNKNOWN = "▁", -1
-KNOWN_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 1_000_000, 400_000, 2_000_000
+KNOWN_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 120_000, 400_000, 2_000_000  # a known word takes about 300 bytes
 ENCODED = [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
            T.StructField("round_trip", T.BooleanType())]
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")

@@ -2,16 +2,18 @@
 the language that needs the fewest phrases, normalised by the lengths of text and training text, wins.
 
 Each language has a suffix automaton of its training bytes, turned into a dense table whose missing moves already lead
-to the state after a phrase break. Segments of many texts walk the tables of all languages in lockstep.
+to the state after a phrase break. Segments of many texts walk the tables of all languages in lockstep, each from the start state; then
+the state in which its predecessor ends is walked into a segment until it meets the segment's own state, as after a common break, and the phrases up to there
+are put right. So the phrases are those of the whole text.
 
-The training text is a bounded sample: ``docs_per_lang`` pieces of ``piece`` characters per label. Texts are parsed whole,
-in segments of ``SEGMENT`` bytes (a phrase ends at a segment's end). Null texts and texts without a letter are ``und``
+The training text is a bounded sample: ``docs_per_lang`` pieces of ``piece`` characters per label. A task builds the tables and
+drops them at its end. Texts are parsed whole, however long; repeated rows get equal answers, an empty table gives none. Null texts and texts without a letter are ``und``
 with score 0. Ties go to the smallest label. Nothing but the text is read for a prediction.
 """
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,10 @@ FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 OUT = "lang_pred string, score double"
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
@@ -39,7 +45,7 @@ def training_sample(docs: DataFrame, docs_per_lang: int = 96, piece: int = 400)
     texts: dict[str, list[str]] = {}
     for r in sorted(rows.select("lang", "rn", "t").collect()):
         texts.setdefault(r.lang, []).append(r.t)
-    return tuple((lang, "\n".join(t)) for lang, t in sorted(texts.items()) if LETTER.search("".join(t)))
+    return tuple((lang, "\n".join(t)) for lang, t in sorted(texts.items()) if has_letter("".join(t)))
 
 
 def folded(text: str) -> bytes:
@@ -116,6 +122,7 @@ class Parser:
             start = np.repeat(np.cumsum(sizes) - sizes, n_seg) + nth * SEGMENT
             size = np.minimum(SEGMENT, sizes[doc] - nth * SEGMENT)
             order = np.argsort(-size, kind="stable")
+            in_text = (start, size, nth)
             start, size, doc = start[order], size[order], doc[order]
             active = np.searchsorted(-size, -np.arange(SEGMENT), "left")
             state = np.repeat(np.array(self.roots)[:, None], len(doc), 1)
@@ -125,13 +132,41 @@ class Parser:
                 v = self.table[state[:, :n] * self.width + codes[start[:n] + t]]
                 broken[:, :n] += v & 1
                 state[:, :n] = v >> 1
+            end = np.empty_like(state)
+            end[:, order] = state
+            broken += self.carried(codes, *in_text, end)[:, order]
             for k in range(len(self.langs)):
                 out[k, a:b] = np.bincount(doc, broken[k], minlength=b - a)
         return out
 
+    def carried(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, nth: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """What each segment's phrases change by when it is entered in the state in which its predecessor ends. ``end`` holds the states after the segments, each
+        walked from the start state, and is put right where a segment never meets its own walk; such a segment's successor is walked again."""
+        change, alone = np.zeros(end.shape, np.int64), end.copy()
+        lang, seg = np.nonzero(np.broadcast_to(nth > 0, end.shape))
+        while len(seg):
+            own, true = np.array(self.roots)[lang], end[lang, seg - 1]
+            more = np.full(len(seg), -1, np.int64)  # a segment's first phrase goes on from before
+            live, t = np.arange(len(seg)), 0
+            while len(live):
+                at = codes[start[seg[live]] + t]
+                u, v = self.table[own[live] * self.width + at], self.table[true[live] * self.width + at]
+                more[live] += (v & 1).astype(np.int64) - (u & 1)
+                own[live], true[live] = u >> 1, v >> 1
+                t += 1
+                live = live[(own[live] != true[live]) & (size[seg[live]] > t)]
+            change[lang, seg] = more
+            ends = np.where(own == true, alone[lang, seg], true)
+            apart = ends != end[lang, seg]
+            end[lang, seg] = ends
+            after = np.minimum(seg[apart] + 1, len(nth) - 1)
+            again = (seg[apart] + 1 < len(nth)) & (nth[after] > 0)
+            lang, seg = lang[apart][again], after[again]
+        return change
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        live = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
+        live = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.langs else []
         if live:
             cost = self.phrases([folded(texts[i]) for i in live]) * self.cost[:, None]
             best = cost.argmin(0)
@@ -142,9 +177,7 @@ class Parser:
         return langs, scores
 
 
-@lru_cache(maxsize=2)
 def parser(sample: tuple[tuple[str, str], ...]) -> Parser:
-    """One parser per worker process and sample."""
     return Parser(sample) if sample else _Nothing()
 
 
@@ -155,9 +188,11 @@ class _Nothing(Parser):
 
 def predictor(sample: tuple[tuple[str, str], ...]):
     @F.pandas_udf(OUT)
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = parser(sample).predict([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = parser(sample)
+        for texts in batches:
+            langs, scores = own.predict([t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
     return predict
 
 

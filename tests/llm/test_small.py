@@ -406,6 +406,30 @@ def test_cross_parsing_counts_phrases():
             assert got[k, 0] == n
 
 
+@pytest.mark.parametrize("segment", [3, 7, 1024])
+def test_phrases_run_on_across_segments(monkeypatch, segment):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    rng = random.Random(12)
+    train = ["".join(rng.choice("ab") for _ in range(60)), "ab" * 30, "abc " * 20]
+    p = langid.Parser(tuple(zip("xyz", train, strict=True)))
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 90))) for _ in range(40)] + ["ab" * 40, "abababc " * 9, "c", "q" * 20]
+    got = p.phrases([langid.folded(t) for t in texts])
+    for k, t in enumerate(train):
+        data = langid.folded(t)
+        for i, text in enumerate(texts):
+            b, at, n = langid.folded(text), 0, 0
+            while at < len(b):
+                size = 1
+                while at + size < len(b) and b[at:at + size + 1] in data:
+                    size += 1
+                at, n = at + size, n + 1
+            assert got[k, i] == n, (t, text)
+
+
+def test_signs_that_count_as_numbers_are_no_letters():
+    assert not langid.has_letter("½ ² ① 12 _ -") and langid.has_letter("½a") and langid.has_letter("ß")
+
+
 def test_language_report(sp):
     rng = random.Random(6)
     words = {"xx": ["lorem", "ipsum", "dolor"], "yy": ["fjord", "skål", "blåbær"]}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-WINDOW, CONTEXT = 32, 2
+WINDOW, CONTEXT = 256, 2
 Template = Callable[[list[tuple[str, str]]], str]
 TURNS = ("conv_id long, pos long, role string, start long, end long, loss_start long, loss_end long, piece string, rewrites boolean")
 DIGESTS = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_rewrites long")

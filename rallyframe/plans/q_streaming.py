@@ -100,6 +100,17 @@ def _segment_folder(fx, only="true"):
     return folder
 
 
+def _closing(fx, folder):
+    """A row of no match long after all others, and the delay that files spanning whole matches need."""
+    d = fx.spark.read.schema(streams.FRAME_STREAM).parquet(folder)
+    last = d.agg(F.max("ts")).first()[0]
+    span = d.agg(F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))).first()[0] + 2
+    null = [F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema if f.name not in ("ts", "frame_idx")]
+    end = d.limit(1).select(*null, F.lit(0).cast("bigint").alias("frame_idx"), (F.lit(last) + F.make_interval(secs=F.lit(20 * span))).alias("ts")).select(*d.columns)
+    end.write.mode("append").parquet(folder)
+    return f"{span} seconds"
+
+
 @query("stream_merge", "SR-01 SR-02 SR-07", "SELECT match_id, segment_idx, COUNT(*) AS n FROM fx_frames GROUP BY 1, 2")
 def stream_merge(fx):
     out = shared_folder(fx.spark, "merged")
@@ -111,9 +122,24 @@ def stream_merge(fx):
 
 @query("stream_contacts", "SR-04", "SELECT match_id, frame_idx FROM o_cool WHERE ok")
 def stream_contacts(fx):
+    """No match says that it is over: each is closed by the watermark."""
     folder = _segment_folder(fx)
-    fx.frames.select("match_id", F.lit(True).alias("finish")).distinct().write.mode("append").parquet(folder)
+    delay = _closing(fx, folder)
     ship(fx.spark)
     with rocksdb(fx.spark):
-        s = streams.segment_files(fx.spark, folder, f"{streams.FRAME_STREAM}, finish BOOLEAN", "parquet", 1)
-        return streams.drain(streams.contact_stream(s), "contacts").select("match_id", "frame_idx")
+        s = streams.segment_files(fx.spark, folder, fmt="parquet", files_per_trigger=1)
+        return streams.drain(streams.contact_stream(s, delay), "contacts").where("match_id IS NOT NULL").select("match_id", "frame_idx")
+
+
+@query("stream_late_rows", "SR-05 SR-07", """
+SELECT user_id // 30 AS match_id, date_trunc('day', ts) AS slice_start, COUNT(*) AS frames, ROUND(AVG(CASE WHEN event_id % 7 <> 0 AND value IS NOT NULL THEN 100.0::DOUBLE ELSE 0 END), 6) AS ball_pct FROM events GROUP BY 1, 2""")
+def stream_late_rows(fx):
+    """A delay far shorter than the disorder: what the watermark would drop is routed aside and merged afterwards."""
+    rows, delay = _events(fx)
+    delay = float(delay.split()[0]) / 50
+    folder = shared_folder(fx.spark, "routed")
+    streams.route_late(rows, f"{folder}/table", f"{folder}/checkpoint", delay).trigger(availableNow=True).start().awaitTermination()
+    on_time = streams.segment_files(fx.spark, f"{folder}/table/on_time/*", rows.schema, "parquet")
+    counts = streams.drain(streams.coverage_counts(on_time.withWatermark("ts", f"{int(delay)} seconds"), "1 day"), "coverage")
+    late = streams.late_rows(fx.spark, f"{folder}/table", rows.schema)
+    return rounded(streams.coverage_of(streams.with_late(counts, late, "1 day")).withColumn("slice_start", F.col("slice_start").cast("timestamp_ntz")))

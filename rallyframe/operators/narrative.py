@@ -393,7 +393,7 @@ def run_insights(run: DataFrame, events: DataFrame, points: DataFrame) -> DataFr
         fill("Found {b} bounces and {h} hits in this segment.", b=s("bounces"), h=s("hits")),
         F.when(F.col("bounces") > 0, fill("Bounces called: {i} in, {o} out, on the singles court with {m} units of margin.", i=s("bounces_in"), o=s("bounces_out"), m=str(K.LINE_MARGIN))),
         fill("Play splits into {n} point(s), mean {a} hits each.", n=s("points"), a=n1(F.col("avg_hits"))),
-        F.when(F.col("faults") > 0, fill("Serve faults: {f}.", f=s("faults"))))
+        F.when(F.col("faults") > 0, fill("Serve faults: {f} ({k}).", f=s("faults"), k=F.col("fault_types"))))
     return d.select("match_id", lines.alias("insights"))
 
 

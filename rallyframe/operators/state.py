@@ -94,8 +94,9 @@ def job_status(log: DataFrame) -> DataFrame:
 
 
 def full_status(log: DataFrame, decisions: DataFrame, evals: DataFrame) -> DataFrame:
-    """Job status with number of decisions, the last decision and the last evaluation."""
-    d = decisions.groupBy("job_id").agg(F.count(F.lit(1)).alias("decisions"), F.max_by("action", "iteration").alias("last_action"))
+    """Job status with the decisions in order (one an iteration), their number, the last one and the last evaluation."""
+    listed = F.sort_array(F.collect_list(F.struct("iteration", "action", "justification")))
+    d = decisions.groupBy("job_id").agg(F.count(F.lit(1)).alias("decisions"), F.max_by("action", "iteration").alias("last_action"), listed.alias("decision_log"))
     e = latest(evals, ["job_id"], ["iteration"]).select("job_id", F.col("iteration").alias("last_iteration"), F.col("player_map").alias("last_player_map"))
     return job_status(log).join(d, "job_id", "left").join(e, "job_id", "left")
 

@@ -391,9 +391,11 @@ def event_statistics(events: DataFrame) -> DataFrame:
 
 
 def point_statistics(points: DataFrame) -> DataFrame:
+    kinds = [(kind, F.count_if(F.col("serve_fault_type") == kind)) for kind in ("long", "net", "wide")]
     return points.groupBy("match_id").agg(
         F.count(F.lit(1)).alias("points"), F.avg("rally_hit_count").alias("avg_hits"), F.max("rally_hit_count").alias("max_hits"),
-        F.avg("confidence").alias("avg_confidence"), F.count("serve_fault_type").alias("faults"), F.count("serve_zone").alias("zoned"))
+        F.avg("confidence").alias("avg_confidence"), F.count("serve_fault_type").alias("faults"), F.count("serve_zone").alias("zoned"),
+        F.concat_ws(", ", *[F.when(n > 0, F.concat(F.lit(f"{kind} "), n.cast("string"))) for kind, n in kinds]).alias("fault_types"))
 
 
 def merged_statistics(frames: DataFrame, segments: DataFrame) -> DataFrame:
@@ -404,6 +406,27 @@ def merged_statistics(frames: DataFrame, segments: DataFrame) -> DataFrame:
     return g.join(done, KEY, "left")
 
 
+# Per segment: what can be added up over segments, so that a new segment costs its own rows only.
+SUMS = ("frames", "ball_frames", "reliable_frames", "confidence_sum", "confidence_n", "error_sum", "error_n", "speed_sum", "speed_n", "a_frames", "b_frames")
+
+
+def segment_states(frames: DataFrame, keys: Sequence[str] = ("match_id", "segment_idx")) -> DataFrame:
+    """Mergeable statistics of each segment of the frame table."""
+    total = lambda c: [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n")]
+    return frames.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("frames"), F.count("ball_px").alias("ball_frames"), F.count_if("reliable").alias("reliable_frames"),
+        *total("confidence"), *total("error"), *total("speed"), F.max("speed").alias("max_speed"), F.count_if("has_a").alias("a_frames"), F.count_if("has_b").alias("b_frames"))
+
+
+def merged_states(states: DataFrame, segments: DataFrame) -> DataFrame:
+    """Statistics of a match from the states of its segments; equal to those of all of its frames."""
+    g = states.groupBy("match_id").agg(*[F.sum(c).alias(c) for c in SUMS], F.max("max_speed").alias("max_speed"), F.countDistinct("segment_idx").alias("segments_seen"))
+    mean = lambda c: F.try_divide(F.col(f"{c}_sum"), F.col(f"{c}_n")).alias(f"avg_{c}")
+    g = g.select("match_id", "frames", "ball_frames", "reliable_frames", "a_frames", "b_frames", "segments_seen", mean("confidence"), mean("error"), mean("speed"), "max_speed")
+    done = segments.groupBy("match_id").agg(F.countDistinct(F.when(F.col("status") == "complete", F.col("segment_idx"))).alias("segments_done"))
+    return g.join(done, KEY, "left")
+
+
 def match_quality_report(frames: DataFrame, points: DataFrame, hits: DataFrame, positions: DataFrame) -> DataFrame:
     """Flagship: quality, serve, rally and movement of every match in one row."""
     m = movement(positions)

@@ -9,7 +9,7 @@ from rallyframe.plans.q_stats import Tables, rounded
 from rallyframe.plans.q_narrative import _profile
 from rallyframe.plans.registry import ORACLES, query
 from rallyframe.session import pin, shared_folder
-from rallyframe.sources import readers, sinks
+from rallyframe.sources import labels, readers, sinks
 
 
 @query("frame_files", "IO-01 IO-05", """
@@ -18,13 +18,41 @@ SELECT CAST(match_id AS VARCHAR) AS match_id, COUNT(*) AS frames_total, ROUND(AV
   ROUND(AVG(CASE WHEN has_a AND has_b THEN 100.0::DOUBLE ELSE 0 END), 6) AS both_pct FROM o_frame GROUP BY 1""")
 def frame_files(fx):
     t, folder = Tables(fx), shared_folder(fx.spark, "frames")
-    doc = sinks.frame_documents(t.physics, t.homography, t.players)
+    doc = sinks.frame_documents(t.physics, t.homography, t.players, fx.keypoints)
     sinks.write_json(doc.withColumn("run", F.col("match_id")), folder, ["run"])
     back = readers.frames(fx.spark, f"{folder}/*")
     back = back.withColumn("job_id", F.regexp_replace("job_id", "^run=", ""))
     return rounded(stats.coverage_quality(readers.flat_frames(back)))
 
 
+@query("frame_keypoints", "IO-05 IO-01", """
+SELECT match_id, frame_idx, COUNT(px) AS seen, ROUND(SUM(ROUND(px, 2)), 2) AS sum_px, ROUND(SUM(ROUND(py, 2)), 2) AS sum_py, ROUND(MAX(CASE WHEN kp = 13 THEN px END), 2) AS last_px FROM fx_keypoints GROUP BY 1, 2""")
+def frame_keypoints(fx):
+    """The 14 court keypoints of every frame through the frame documents."""
+    t, folder = Tables(fx), shared_folder(fx.spark, "keypoints")
+    doc = sinks.frame_documents(t.physics, t.homography, t.players, fx.keypoints)
+    sinks.write_json(doc.select("match_id", "frame_idx", "court_keypoints").withColumn("run", F.col("match_id")), folder, ["run"])
+    back = fx.spark.read.schema("match_id BIGINT, frame_idx BIGINT, court_keypoints ARRAY<ARRAY<DOUBLE>>").json(f"{folder}/*")
+    k = back.select("match_id", "frame_idx", F.posexplode("court_keypoints").alias("kp", "xy"))
+    return rounded(k.groupBy("match_id", "frame_idx").agg(F.count("xy").alias("seen"), F.round(F.sum(F.col("xy")[0]), 2).alias("sum_px"),
+                                                          F.round(F.sum(F.col("xy")[1]), 2).alias("sum_py"), F.max(F.when(F.col("kp") == 13, F.col("xy")[0])).alias("last_px")))
+
+
+@query("coaching_cards", "IO-15 NA-01 NA-02", f"SELECT c.*, e.exploit_plan FROM ({ORACLES['player_card']}) c JOIN ({ORACLES['exploit_plan']}) e ON e.match_id = c.match_id AND e.owner = c.owner")
+def coaching_cards(fx):
+    """Whole cards of both players written as the coaching document of a match and read back."""
+    from rallyframe.plans.q_narrative import _coverage
+    folder, profile = shared_folder(fx.spark, "cards"), pin(_profile(fx, coverage=_coverage(fx)))
+    cards = narrative.player_cards(profile, stats.pattern_top(fx.shots)).withColumn("tendencies", F.array_join("tendencies", " "))
+    keep = ["tendencies", "serve_summary", "shot_distribution", "coverage_summary", "exploit_plan"]
+    plan = profile.select("match_id", "owner", narrative.exploit_plan().alias("exploit_plan"))
+    cards = cards.drop("exploit_plan").join(plan, ["match_id", "owner"]).select("match_id", "owner", *keep)
+    sinks.write_rows(sinks.coaching_documents(cards, narrative.weakness_report(profile)), folder)
+    d = fx.spark.read.schema("match_id BIGINT, document STRING").option("basePath", folder).json(folder)
+    card = F.from_json("document", f"MAP<STRING, STRUCT<{', '.join(f'{c}: STRING' for c in keep)}>>")
+    return d.select("match_id", F.explode(card).alias("owner", "card")).select("match_id", "owner", "card.*")
+
+
 @query("point_documents", "IO-02 IO-09", """
 SELECT end_reason, COUNT(*) AS n, CAST(SUM(rally_hit_count) AS BIGINT) AS hits, COUNT(DISTINCT match_id) AS runs FROM fx_points GROUP BY 1""")
 def point_documents(fx):
@@ -38,12 +66,12 @@ def point_documents(fx):
 
 
 @query("label_files", "IO-04 IO-12", """
-SELECT class_id, COUNT(*) AS boxes, ROUND(SUM(cx), 4) AS sum_cx, ROUND(SUM(ROUND(w, 6)), 4) AS sum_w FROM fx_boxes GROUP BY 1""")
+SELECT match_id, frame_idx, class_id, ROUND(cx, 6) AS cx, ROUND(cy, 6) AS cy, ROUND(w, 6) AS w, ROUND(h, 6) AS h FROM fx_boxes""")
 def label_files(fx):
+    """One file per frame, written and read by tasks; every box comes back under the frame that the file's name says."""
     folder = shared_folder(fx.spark, "labels")
-    sinks.write_label_files(curation.label_lines(fx.boxes), folder, per_frame=False)
-    d = readers.labels(fx.spark, f"{folder}/*")
-    return d.groupBy("class_id").agg(F.count(F.lit(1)).alias("boxes"), F.round(F.sum("cx"), 4).alias("sum_cx"), F.round(F.sum("w"), 4).alias("sum_w"))
+    labels.write_label_files(curation.label_lines(fx.boxes), folder)
+    return rounded(labels.read_label_files(fx.spark, folder))
 
 
 @query("run_metadata", "IO-11", """

@@ -201,8 +201,9 @@ _P2 = "regexp_replace(printf('%.2f', ROUND({} * 100, 2)), '([.][0-9])0$', '\\1')
 WITH r AS (SELECT match_id, COUNT(*) AS n, COUNT(*) FILTER (reliable) AS rel, AVG(error) AS err, COUNT(px) AS ball, AVG(speed) AS sp, MAX(speed) AS mx, COUNT(*) FILTER (has_b) AS b FROM o_frame GROUP BY 1),
 d AS (SELECT match_id, COUNT(*) AS raw, COUNT(*) FILTER (inside) AS kept FROM o_located GROUP BY 1),
 e AS (SELECT match_id, COUNT(*) FILTER (event_type = 'bounce') AS bo, COUNT(*) FILTER (event_type = 'hit') AS hi, COUNT(*) FILTER (in_out = 'in') AS i, COUNT(*) FILTER (in_out = 'out') AS o FROM o_events GROUP BY 1),
-p AS (SELECT match_id, COUNT(*) AS np, AVG(rally_hit_count) AS ah, COUNT(serve_fault_type) AS f FROM o_serve GROUP BY 1)
-SELECT r.match_id, {_PART.format(f"CASE WHEN rel / n::DOUBLE >= 0.85 THEN 'Court found reliably: ' || rel || '/' || n || ' frames (' || {_P2.format('rel / n::DOUBLE')} || '%) have a trusted projection, mean error ' || {_N1.format('err')} || ' px.' ELSE 'Court often not found: only ' || rel || '/' || n || ' frames (' || {_P2.format('rel / n::DOUBLE')} || '%) have a trusted projection.' END, 'Ball speed: mean ' || {_N0.format('sp * 3.6')} || ' km/h, max ' || {_N0.format('mx * 3.6')} || ' km/h (capped at 80.0 m/s).', CASE WHEN ball / n::DOUBLE < 0.5 THEN 'The ball is rarely seen (' || {_P2.format('ball / n::DOUBLE')} || '%); replays, close-ups or a bad view are likely.' ELSE 'Ball seen in ' || ball || '/' || n || ' frames (' || {_P2.format('ball / n::DOUBLE')} || '%).' END, CASE WHEN b / n::DOUBLE < 0.3 THEN 'Player B, on the far side, is seen in just ' || {_P2.format('b / n::DOUBLE')} || '% of frames, as is usual when a player is far from the camera.' END, CASE WHEN raw > kept THEN 'Outside the court, ' || (raw - kept) || ' detections were dropped (' || {_P2.format('(raw - kept) / raw::DOUBLE')} || '% of all; crowd, officials, ball kids).' END, 'Found ' || bo || ' bounces and ' || hi || ' hits in this segment.', CASE WHEN bo > 0 THEN 'Bounces called: ' || i || ' in, ' || o || ' out, on the singles court with 20 units of margin.' END, 'Play splits into ' || np || ' point(s), mean ' || {_N1.format('ah')} || ' hits each.', CASE WHEN f > 0 THEN 'Serve faults: ' || f || '.' END")} AS insights
+k AS (SELECT match_id, string_agg(serve_fault_type || ' ' || n, ', ' ORDER BY serve_fault_type) AS kinds FROM (SELECT match_id, serve_fault_type, COUNT(*) AS n FROM o_serve WHERE serve_fault_type IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT s.match_id, COUNT(*) AS np, AVG(rally_hit_count) AS ah, COUNT(serve_fault_type) AS f, ANY_VALUE(kinds) AS kinds FROM o_serve s LEFT JOIN k ON k.match_id = s.match_id GROUP BY 1)
+SELECT r.match_id, {_PART.format(f"CASE WHEN rel / n::DOUBLE >= 0.85 THEN 'Court found reliably: ' || rel || '/' || n || ' frames (' || {_P2.format('rel / n::DOUBLE')} || '%) have a trusted projection, mean error ' || {_N1.format('err')} || ' px.' ELSE 'Court often not found: only ' || rel || '/' || n || ' frames (' || {_P2.format('rel / n::DOUBLE')} || '%) have a trusted projection.' END, 'Ball speed: mean ' || {_N0.format('sp * 3.6')} || ' km/h, max ' || {_N0.format('mx * 3.6')} || ' km/h (capped at 80.0 m/s).', CASE WHEN ball / n::DOUBLE < 0.5 THEN 'The ball is rarely seen (' || {_P2.format('ball / n::DOUBLE')} || '%); replays, close-ups or a bad view are likely.' ELSE 'Ball seen in ' || ball || '/' || n || ' frames (' || {_P2.format('ball / n::DOUBLE')} || '%).' END, CASE WHEN b / n::DOUBLE < 0.3 THEN 'Player B, on the far side, is seen in just ' || {_P2.format('b / n::DOUBLE')} || '% of frames, as is usual when a player is far from the camera.' END, CASE WHEN raw > kept THEN 'Outside the court, ' || (raw - kept) || ' detections were dropped (' || {_P2.format('(raw - kept) / raw::DOUBLE')} || '% of all; crowd, officials, ball kids).' END, 'Found ' || bo || ' bounces and ' || hi || ' hits in this segment.', CASE WHEN bo > 0 THEN 'Bounces called: ' || i || ' in, ' || o || ' out, on the singles court with 20 units of margin.' END, 'Play splits into ' || np || ' point(s), mean ' || {_N1.format('ah')} || ' hits each.', CASE WHEN f > 0 THEN 'Serve faults: ' || f || ' (' || kinds || ').' END")} AS insights
 FROM r JOIN d ON d.match_id = r.match_id JOIN e ON e.match_id = r.match_id JOIN p ON p.match_id = r.match_id""")
 def run_insights(fx):
     t = Tables(fx)

@@ -7,6 +7,7 @@ from rallyframe.operators import state, stats
 from rallyframe.plans.q_stats import Tables, rounded
 from rallyframe.plans.registry import query
 from rallyframe.session import shared_folder
+from rallyframe.streaming import commits
 from rallyframe.sources import readers, sinks
 
 _LATEST = "SELECT * EXCLUDE (k) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, point_idx ORDER BY version DESC) AS k FROM fx_feedback) WHERE k = 1"
@@ -62,11 +63,15 @@ def job_status(fx):
 
 @query("full_job_status", "JN-15 SL-06", """
 WITH s AS (SELECT job_id, arg_max(stage, seq) AS stage, CASE WHEN COUNT(error_message) > 0 THEN 'error' ELSE arg_max(status, seq) END AS status, arg_max(error_message, seq) FILTER (error_message IS NOT NULL) AS error_message FROM fx_status_log GROUP BY 1),
-e AS (SELECT job_id, COUNT(*) AS decisions, arg_max(CASE WHEN ball_map < 0.7 THEN 'retrain' ELSE 'exit' END, iteration) AS last_action, MAX(iteration) AS last_iteration, arg_max(player_map, iteration) AS last_player_map FROM fx_evals GROUP BY 1)
-SELECT s.*, e.decisions, e.last_action, e.last_iteration, e.last_player_map FROM s LEFT JOIN e ON e.job_id = s.job_id""")
+e AS (SELECT job_id, COUNT(*) AS decisions, arg_max(CASE WHEN ball_map < 0.7 THEN 'retrain' ELSE 'exit' END, iteration) AS last_action, MAX(iteration) AS last_iteration, arg_max(player_map, iteration) AS last_player_map,
+  string_agg(iteration || ' ' || CASE WHEN ball_map < 0.7 THEN 'retrain' ELSE 'exit' END || ': ' || frame_count || ' frames', '; ' ORDER BY iteration) AS decision_log FROM fx_evals GROUP BY 1)
+SELECT s.*, e.decisions, e.last_action, e.last_iteration, e.last_player_map, e.decision_log FROM s LEFT JOIN e ON e.job_id = s.job_id""")
 def full_job_status(fx):
-    decisions = fx.evals.select("job_id", "iteration", F.when(F.col("ball_map") < 0.7, "retrain").otherwise("exit").alias("action"))
-    return state.full_status(fx.status_log, decisions, fx.evals)
+    decisions = fx.evals.select("job_id", "iteration", F.when(F.col("ball_map") < 0.7, "retrain").otherwise("exit").alias("action"),
+                               F.concat(F.col("frame_count").cast("string"), F.lit(" frames")).alias("justification"))
+    d = state.full_status(fx.status_log, decisions, fx.evals)
+    line = lambda x: F.concat(x["iteration"].cast("string"), F.lit(" "), x["action"], F.lit(": "), x["justification"])
+    return d.withColumn("decision_log", F.array_join(F.transform("decision_log", line), "; "))
 
 
 @query("segment_status", "AG-37 ST-02", """
@@ -134,6 +139,20 @@ def delete_cascade(fx):
     return state.delete_cascade(h.select("player_id").distinct(), h, gone)[1]
 
 
+@query("delete_together", "ST-06 ST-01", """
+SELECT 'players' AS what, player_id, COUNT(*) AS n FROM (SELECT DISTINCT player_id FROM fx_history) WHERE player_id NOT IN ('player_a_1', 'player_b_1') GROUP BY 2
+UNION ALL SELECT 'matches', player_id, COUNT(*) FROM fx_history WHERE player_id NOT IN ('player_a_1', 'player_b_1') GROUP BY 2""")
+def delete_together(fx):
+    """Players and their matches in stored tables; the deletion changes both in one step."""
+    root, h = shared_folder(fx.spark, "together"), fx.history.select("player_id", "job_id")
+    commits.write_together(fx.spark, root, players=h.select("player_id").distinct(), matches=h)
+    now = lambda name: commits.read_table(fx.spark, root, name)
+    players, matches = state.delete_cascade(now("players"), now("matches"), now("players").filter(F.col("player_id").endswith("_1")))
+    commits.write_together(fx.spark, root, players=players, matches=matches)
+    count = lambda name: now(name).groupBy(F.lit(name).alias("what"), "player_id").agg(F.count(F.lit(1)).alias("n"))
+    return count("players").unionByName(count("matches"))
+
+
 @query("session_records", "ST-07 SL-06", f"""
 WITH f AS ({_LATEST}), s AS (SELECT match_id, COUNT(*) AS reviewed, COUNT(*) FILTER (action = 'flag') AS flagged, COUNT(note) AS with_note FROM f GROUP BY 1)
 SELECT s.*, p.created_at, p.preference FROM s LEFT JOIN (SELECT match_id, MAX(point_idx) AS created_at, arg_max(serve_player, point_idx) AS preference FROM fx_points GROUP BY 1) p ON p.match_id = s.match_id""")

@@ -9,8 +9,9 @@ from rallyframe.operators import heatmaps, points, state, stats
 from rallyframe.operators.quantiles import percentiles, summarise
 from rallyframe.operators.scan import join_in_span
 from rallyframe.plans.chain import Chain
-from rallyframe.plans.registry import query
-from rallyframe.session import pin
+from rallyframe.plans.registry import ORACLES, query
+from rallyframe.session import pin, shared_folder
+from rallyframe.streaming.commits import Batches
 
 
 def rounded(df: DataFrame, *drop: str, digits: int = 6) -> DataFrame:
@@ -114,9 +115,9 @@ def player_shots_in_points(fx):
     return j.groupBy("match_id", "point_idx", "owner").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("frame_table", "JN-09 IO-05", "SELECT match_id, frame_idx, ROUND(px, 6) AS ball_px, ROUND(cx, 6) AS cx, speed, ROUND(confidence, 6) AS confidence, reliable, carried, has_a, has_b FROM o_frame")
+@query("frame_table", "JN-09 IO-05", "SELECT match_id, frame_idx, ROUND(px, 6) AS ball_px, ROUND(cx, 3) AS cx, speed, ROUND(confidence, 6) AS confidence, reliable, carried, has_a, has_b FROM o_frame")
 def frame_table(fx):
-    return rounded(Tables(fx).frame_table.select("match_id", "frame_idx", "ball_px", "cx", "speed", "confidence", "reliable", "carried", "has_a", "has_b"))
+    return rounded(Tables(fx).frame_table.select("match_id", "frame_idx", "ball_px", F.round("cx", 3).alias("cx"), "speed", "confidence", "reliable", "carried", "has_a", "has_b"))
 
 
 @query("bounce_call_at_frame", "JN-11", """
@@ -265,9 +266,9 @@ def out_ball_stats(fx):
     return rounded(stats.out_ball_stats(Chain(fx).events))
 
 
-@query("out_ball_positions", "AG-18", f"SELECT match_id, frame_idx, ROUND(cx, 6) AS cx, ROUND(cy, 6) AS cy, ROUND({_OUT}, 6) AS out_m FROM o_events WHERE event_type = 'bounce' AND in_out = 'out'")
+@query("out_ball_positions", "AG-18", f"SELECT match_id, frame_idx, ROUND(cx, 3) AS cx, ROUND(cy, 3) AS cy, ROUND({_OUT}, 4) AS out_m FROM o_events WHERE event_type = 'bounce' AND in_out = 'out'")
 def out_ball_positions(fx):
-    return rounded(stats.out_ball_samples(Chain(fx).events).select("match_id", "frame_idx", "cx", "cy", "out_m"))
+    return stats.out_ball_samples(Chain(fx).events).select("match_id", "frame_idx", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("cx", 3), ("cy", 3), ("out_m", 4))])
 
 
 @query("court_coverage", "AG-09", "SELECT match_id, label, ROUND(distance, 3) AS distance, ROUND(centre_x, 6) AS centre_x, ROUND(centre_y, 6) AS centre_y, n FROM o_cover")
@@ -348,7 +349,9 @@ def event_statistics(fx):
 
 
 @query("point_statistics", "AG-24", """
-SELECT match_id, COUNT(*) AS points, ROUND(AVG(rally_hit_count), 6) AS avg_hits, MAX(rally_hit_count) AS max_hits, ROUND(AVG(confidence), 6) AS avg_confidence, COUNT(serve_fault_type) AS faults, COUNT(serve_zone) AS zoned FROM o_serve GROUP BY 1""")
+SELECT match_id, COUNT(*) AS points, ROUND(AVG(rally_hit_count), 6) AS avg_hits, MAX(rally_hit_count) AS max_hits, ROUND(AVG(confidence), 6) AS avg_confidence, COUNT(serve_fault_type) AS faults, COUNT(serve_zone) AS zoned,
+  concat_ws(', ', CASE WHEN COUNT(*) FILTER (serve_fault_type = 'long') > 0 THEN 'long ' || COUNT(*) FILTER (serve_fault_type = 'long') END, CASE WHEN COUNT(*) FILTER (serve_fault_type = 'net') > 0 THEN 'net ' || COUNT(*) FILTER (serve_fault_type = 'net') END,
+    CASE WHEN COUNT(*) FILTER (serve_fault_type = 'wide') > 0 THEN 'wide ' || COUNT(*) FILTER (serve_fault_type = 'wide') END) AS fault_types FROM o_serve GROUP BY 1""")
 def point_statistics(fx):
     return rounded(stats.point_statistics(Tables(fx).serve_points))
 
@@ -362,6 +365,20 @@ def merged_statistics(fx):
     return rounded(stats.merged_statistics(f, fx.segments))
 
 
+@query("merged_from_segments", "AG-25 AG-22 SO-01", """
+WITH s AS (SELECT match_id, COUNT(DISTINCT segment_idx) FILTER (status = 'complete') AS segments_done FROM fx_segments GROUP BY 1)
+SELECT f.match_id, COUNT(*) AS frames, COUNT(px) AS ball_frames, COUNT(*) FILTER (reliable) AS reliable_frames, COUNT(*) FILTER (has_a) AS a_frames, COUNT(*) FILTER (has_b) AS b_frames, COUNT(DISTINCT segment_idx) AS segments_seen,
+  ROUND(AVG(confidence), 5) AS avg_confidence, ROUND(AVG(error), 4) AS avg_error, ROUND(AVG(speed), 5) AS avg_speed, MAX(speed) AS max_speed, ANY_VALUE(s.segments_done) AS segments_done FROM o_frame f LEFT JOIN s ON s.match_id = f.match_id GROUP BY 1""")
+def merged_from_segments(fx):
+    """Segments arrive in three parts; each leaves the states of its own segments, and the match is put together from those."""
+    frames, folder = pin(Tables(fx).frame_table), shared_folder(fx.spark, "states")
+    table = Batches(fx.spark, folder)
+    for k in range(3):
+        table.append(stats.segment_states(frames.where(F.col("segment_idx") % 3 == k)), 0, k)
+    d = stats.merged_states(table.read(stats.segment_states(frames).schema), fx.segments)
+    return d.withColumns({"avg_confidence": F.round("avg_confidence", 5), "avg_error": F.round("avg_error", 4), "avg_speed": F.round("avg_speed", 5)})
+
+
 # --- heatmaps -------------------------------------------------------------------------------------------
 
 def _bin(v, lo, hi, n):
@@ -425,15 +442,13 @@ def set_density_blurred(fx):
     return rounded(heatmaps.blurred_density(heatmaps.set_density(fx.boxes, fx.frames)).select("match_id", "set_no", "xb", "yb", "density"))
 
 
-@query("match_report", "AG-15 AG-16 AG-17 AG-19 AG-21", """
-WITH q AS (SELECT match_id, COUNT(*) AS frames_total, AVG(CASE WHEN px IS NOT NULL THEN 100.0::DOUBLE ELSE 0 END) AS ball_pct, AVG(CASE WHEN reliable THEN 100.0::DOUBLE ELSE 0 END) AS reliable_pct FROM o_frame GROUP BY 1),
-s AS (SELECT match_id, COUNT(*) AS samples, quantile_cont(abs(bounce_cx - 832) * (10.97::DOUBLE / 1117), 0.5) AS width_median FROM o_serve WHERE bounce_cx IS NOT NULL GROUP BY 1),
-p AS (SELECT match_id, AVG(rally_hit_count) AS avg_hits FROM fx_points GROUP BY 1),
-m AS (SELECT match_id, SUM(sqrt(POWER(x - px, 2) + POWER(y - py, 2)) * (10.97::DOUBLE / 1117)) AS d FROM (SELECT *, LAG(x) OVER w AS px, LAG(y) OVER w AS py, LAG(t) OVER w AS pt FROM o_pos WHERE x IS NOT NULL AND label = 'player_a' WINDOW w AS (PARTITION BY match_id ORDER BY frame_idx)) WHERE t - pt > 0 AND t - pt <= 0.5 GROUP BY 1)
-SELECT q.match_id, frames_total, ROUND(ball_pct, 6) AS ball_pct, ROUND(reliable_pct, 6) AS reliable_pct, samples, ROUND(width_median, 6) AS width_median, ROUND(avg_hits, 6) AS avg_hits, ROUND(d, 4) AS a_distance_m
-FROM q JOIN s ON s.match_id = q.match_id JOIN p ON p.match_id = q.match_id JOIN m ON m.match_id = q.match_id""")
+@query("match_report", "AG-15 AG-16 AG-17 AG-19 AG-21", f"""
+WITH q AS ({ORACLES['coverage_quality']}), s AS ({ORACLES['serve_depth_width']}), r AS ({ORACLES['rally_structure']}), m AS ({ORACLES['movement_stats']})
+SELECT q.*, s.samples, s.fault_rate, s.depth_median, s.width_median, r.* EXCLUDE (match_id), a.distance_m AS a_distance_m, a.speed_p95 AS a_speed_p95, b.distance_m AS b_distance_m, b.speed_p95 AS b_speed_p95
+FROM q LEFT JOIN s ON s.match_id = q.match_id LEFT JOIN r ON r.match_id = q.match_id LEFT JOIN m a ON a.match_id = q.match_id AND a.label = 'player_a' LEFT JOIN m b ON b.match_id = q.match_id AND b.label = 'player_b'""")
 def match_report(fx):
+    """Flagship: quality, serve, rally and movement of both players, every column of the report."""
     t = Tables(fx)
     t.players = pin(t.players)
     r = stats.match_quality_report(pin(t.frame_table), t.serve_points, fx.shots, t.positions)
-    return rounded(r.select("match_id", "frames_total", "ball_pct", "reliable_pct", "samples", "width_median", "avg_hits", F.round("a_distance_m", 4).alias("a_distance_m")))
+    return rounded(r.withColumns({c: F.round(c, 4) for c in ("a_distance_m", "b_distance_m")}))

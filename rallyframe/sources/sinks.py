@@ -128,12 +128,6 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def write_label_files(lines: DataFrame, path: str, per_frame: bool = True, mode: str = "overwrite") -> None:
-    """Label lines as text below one folder per frame, or per match for large sets."""
-    by: Column = F.concat_ws("_", "match_id", "frame_idx") if per_frame else F.col("match_id").cast("string")
-    lines.select(F.col("line").alias("value"), by.alias("frame")).write.mode(mode).partitionBy("frame").text(path)
-
-
 def write_bundle(tables: dict[str, DataFrame], path: str, partition_by: Sequence[str] = ("match_id",)) -> None:
     """All result tables of a job below one folder; the per-frame table is left out."""
     for name, df in tables.items():

@@ -27,7 +27,7 @@ def hot_frames(fx: Fixtures, copies: int):
     n = f.groupBy("match_id", "k").agg(F.count(F.lit(1)).alias("_len")).withColumn("_hot", (F.col("k") % 3 == 0).cast("int"))
     w = Window.partitionBy("_hot").orderBy("match_id", "k").rowsBetween(Window.unboundedPreceding, -1)  # one row per copy of a match
     n = n.withColumn("_off", F.coalesce(F.sum("_len").over(w), F.lit(0)))
-    d = f.join(F.broadcast(n.select("match_id", "k", "_off")), ["match_id", "k"])
+    d = f.join(n.select("match_id", "k", "_off"), ["match_id", "k"])
     hot = F.col("k") % 3 == 0
     return d.select(F.when(hot, -1).otherwise(F.col("match_id") + F.col("k") * 100000).alias("match_id"),
                     (F.col("frame_idx") + F.when(hot, F.col("_off")).otherwise(0)).alias("frame_idx"), "fps", "ball_px", "ball_py", "cx", "cy")

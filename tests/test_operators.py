@@ -104,9 +104,11 @@ def test_heat_totals_equal_rows_in_range(spark, fx):
     assert tuple(heatmaps.heatmap(top, "x", "y", 19, 29).first())[1:3] == (18, 28)
 
 
-@pytest.mark.parametrize("limit,front", [(500, 64), (3, 2)])
-def test_near_duplicates_equal_brute_force(spark, limit, front):
-    """limit=3 refines nearly every bucket, front=2 needs several rounds."""
+@pytest.mark.parametrize("block,peels", [(1024, 2), (3, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, peels):
+    """With blocks of 3 frames nearly every bucket is hot, without peeling all is decided on the graph."""
+    monkeypatch.setattr(curation, "BLOCK", block)
+    monkeypatch.setattr(curation, "PEELS", peels)
     rnd = random.Random(7)
     seeds = [rnd.getrandbits(256) for _ in range(12)]
     rows = []
@@ -124,10 +126,31 @@ def test_near_duplicates_equal_brute_force(spark, limit, front):
     words = [f"w{k}" for k in range(8)]
     data = [(i, *[None if h is None else (h >> (32 * k)) & 0xFFFFFFFF for k in range(8)]) for i, h in rows]
     df = spark.createDataFrame(data, "frame_no BIGINT, " + ", ".join(f"{w} BIGINT" for w in words))
-    got = curation.near_duplicates(df, words, limit=limit, front=front)
+    got = curation.near_duplicates(df, words)
     assert sorted(r.frame_no for r in got.collect()) == want
 
 
+def test_a_long_chain_of_near_frames_takes_few_rounds(spark, monkeypatch):
+    """5,000 frames, each near the one before only: every second one stays."""
+    edges = spark.range(1, 5000).selectExpr("id - 1 AS prev", "id")
+    empty, rounds = type(edges).isEmpty, []
+    monkeypatch.setattr(type(edges), "isEmpty", lambda self: (rounds.append(1), empty(self))[1])
+    got = {r.id for r in curation._settle(edges).where("kept").collect()}
+    assert got == set(range(0, 5000, 2)) and len(rounds) < 2 * 20
+
+
+def test_graph_of_near_frames_equals_a_walk(spark):
+    rnd = random.Random(11)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in ((rnd.randrange(120), rnd.randrange(120)) for _ in range(200)) if a != b})
+    kept = set()
+    for i in range(120):
+        if not any(p in kept for p, k in edges if k == i):
+            kept.add(i)
+    nodes = {x for e in edges for x in e}
+    got = {r.id: r.kept for r in curation._settle(spark.createDataFrame(edges, "prev BIGINT, id BIGINT")).collect()}
+    assert got == {n: n in kept for n in nodes}
+
+
 def test_diverse_subset_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(120, 6)).astype(np.float32)

@@ -151,7 +151,7 @@ def test_graph_of_near_frames_equals_a_walk(spark):
     assert got == {n: n in kept for n in nodes}
 
 
-def test_diverse_subset_equals_brute_force(spark):
+def test_diverse_subset_equals_brute_force(spark, monkeypatch, fx):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(120, 6)).astype(np.float32)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id BIGINT, embedding ARRAY<FLOAT>")
@@ -160,8 +160,11 @@ def test_diverse_subset_equals_brute_force(spark):
         d = np.linalg.norm(v[:, None].astype(float) - v[chosen][None].astype(float), axis=2).min(axis=1)
         d[chosen] = -1
         chosen.append(int(d.argmax()))
-    assert sorted(r.vec_id for r in curation.diverse_subset(df, 10, pin_every=4).collect()) == sorted(chosen)
+    assert sorted(r.vec_id for r in curation.diverse_subset(df, 10, candidates=7).collect()) == sorted(chosen)
     assert curation.diverse_subset(df, 120).count() == 120
+    passes, one = [], curation._farthest
+    monkeypatch.setattr(curation, "_farthest", lambda *a: (passes.append(1), one(*a))[1])
+    assert curation.diverse_subset(fx.table("embeddings")).count() == 24 and len(passes) <= 6
     sparse = df.withColumn("embedding", F.when(F.col("vec_id") < 5, F.col("embedding")))
     assert sorted(r.vec_id for r in curation.diverse_subset(sparse, 10).collect()) == [i * 12 for i in range(10)]
 

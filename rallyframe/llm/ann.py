@@ -10,7 +10,7 @@ in the end, though there are more, meets all entries. Both are exact, so only la
 A bucket of any size is cut into blocks of at most about ``BLOCK`` rows; a query meets each of them. Equal vectors are one
 entry, so a vector repeated a million times is no large bucket. Null vectors, zero vectors and those with null or non-finite
 components take no part, nor do null ids; repeated ids are rows of their own. Shorter vectors count as filled up with
-zeros. Other columns are not read.
+zeros. A table without any vector that takes part gives no rows. Other columns are not read.
 """
 from __future__ import annotations
 

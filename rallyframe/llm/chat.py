@@ -7,8 +7,8 @@ a conversation is a chain over its text. Prefixes are whole: a task holds the co
 prefixes. Only for a template that declares itself ``context_free`` (the output is one piece after the other, each made of its own
 turn alone, as in ``marked_turns``) a task holds ``WINDOW`` turns at a time: then rendering goes on with the last ``CONTEXT``.
 
-Null roles and texts count as empty, repeated rows are turns of their own, a null conv_id is a conversation. Other columns
-of the input are not read.
+Null roles and texts count as empty, repeated rows are turns of their own, a null conv_id is a conversation. Texts are rendered whole, however long;
+an empty table gives no turns (the report still has its own conversation -1). Other columns of the input are not read.
 """
 from __future__ import annotations
 

@@ -23,7 +23,7 @@ may be taken for frequent by chance.
 
 Equal sets are one node, named by a 64-bit digest. Null and empty texts have no shingles and are linked with nothing. Rows with
 the same id count as one document of several texts: each row has its own set, and ids are only compared for the smallest of a
-component. Other columns are not read.
+component. Texts are taken whole, however long; an empty table gives no rows. Other columns are not read.
 """
 from __future__ import annotations
 

@@ -11,8 +11,8 @@ Positions in a source come from running sums over parts of about ``PART`` rows a
 a third of all rows is no task of its own. Sources get weights 1, 2, 3, repeating, by code point with null last; targets share
 the total size by weight, stop at ``MOST`` times the source's size, and the excess is shared again.
 
-Null texts have no words; documents without words are listed and take nothing. Repeated rows are documents of their own. An
-empty table gives an empty result. Other columns of the input are not read. The draws depend on ``SEED`` only.
+Null texts have no words; documents without words are listed and take nothing. Repeated rows are documents of their own. Texts
+are counted whole, however long. An empty table gives an empty result. Other columns of the input are not read. The draws depend on ``SEED`` only.
 """
 from __future__ import annotations
 

@@ -4,8 +4,8 @@ Base kinds (``email``, ``ip``, ``card``, ``phone``) are leftmost non-overlapping
 their own test; they are always kept. ``iban`` (mod 97) and ``ssn`` (needs a context word) come on top. Words after an account number may look like
 more of it, so every length of it is tried.
 
-Null and empty texts have no spans. Offsets are code points, ends exclusive. Rows stay as they are, repeated or not,
-and any other column of the input is left alone.
+Null and empty texts have no spans. Offsets are code points, ends exclusive. Texts are searched whole, however long. Rows stay as they are, repeated
+or not, an empty table gives no rows, and any other column of the input is left alone.
 """
 from __future__ import annotations
 

@@ -10,7 +10,7 @@ over several shards; for those, each shard lists its distinct windows sorted, in
 among the lists of the other shards.
 
 Null and empty texts have no windows and nothing is removed. Rows that repeat an id and a text are places of their own, so
-their windows repeat. Strings never reach across documents. Other columns are not read.
+their windows repeat. Strings never reach across documents, however long these are. An empty table gives no rows. Other columns are not read.
 """
 from __future__ import annotations
 

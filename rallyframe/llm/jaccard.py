@@ -42,7 +42,7 @@ from rallyframe.llm.stored import discard, store
 from rallyframe.llm.text import ORDER_CODE, mix, shingle_sets, slices
 
 FREQUENT, TABLE_BITS, CHUNK_TOKENS, BINS, BLOCK, ROUNDS = 24, 26, 3_000_000, 64, 1024, 3
-FIRST = 16
+FIRST, PAIRS = 16, 50_000
 FAMILY, FAMILY_TOKENS, COLUMNS = 256, 500_000, 4096
 SETS = "doc_id long, version long, n_shingles long, node long, sketch binary, signatures array<long>"
 
@@ -283,18 +283,27 @@ def pairs_across(placed: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     def met(i: int, j: int, parts: list[pd.DataFrame]) -> Iterator[tuple[int, int]]:
         rows = pd.concat(parts) if len(parts) > 1 else parts[0]
         own, node, label, size = (rows[c].to_numpy() for c in ("own", "node", "label", "n_shingles"))
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), BINS).astype(np.int32)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        able = label[left][:, None] != label[right][None, :]
+        if i == j:
+            able &= node[left][:, None] < node[right][None, :]
+        able &= np.minimum.outer(size[left], size[right]) * 100 >= np.maximum.outer(size[left], size[right]) * rule.percent
+        x, y = np.nonzero(able)
+        if not len(x):
+            return
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), BINS).astype(np.int16)
+        near = [np.abs(sketch[right[y[k:k + PAIRS]]] - sketch[left[x[k:k + PAIRS]]]).sum(1) <= rule.apart(size[right[y[k:k + PAIRS]]], size[left[x[k:k + PAIRS]]])
+                for k in range(0, len(x), PAIRS)]
+        x, y = x[np.concatenate(near)], y[np.concatenate(near)]
+        if not len(x):
+            return
         sides = []
         for side in (left, right):
             names = [rows["smaller"].iloc[k] for k in side]
-            sides.append((np.concatenate([np.zeros(0, np.int64), *names]).astype(np.int64), np.cumsum([0, *[len(s) for s in names]])))
-        elsewhere = common_tokens(*sides[0], *sides[1], i == j) > 0
-        for row, x in enumerate(left):
-            y = right[(label[right] != label[x]) & ~elsewhere[row] & ((node[right] > node[x]) if i == j else True)]
-            y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * rule.percent]
-            y = y[np.abs(sketch[y] - sketch[x]).sum(1) <= rule.apart(size[y], size[x])]
-            yield from ((min(node[x], z), max(node[x], z)) for z in node[y].tolist())
+            sides.append((np.concatenate([np.zeros(0, np.int64), *names]).astype(np.int64), np.cumsum([0, *[len(n) for n in names]])))
+        new = common_tokens(*sides[0], *sides[1], i == j)[x, y] == 0
+        a, b = node[left[x[new]]], node[right[y[new]]]
+        yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, parts = None, []

@@ -9,7 +9,8 @@ from rallyframe.plans import all_oracles, all_queries, coverage
 
 FULL = os.environ.get("RALLYFRAME_FULL") == "1"
 SAMPLE = ["in_out_calls", "track_interpolated", "event_cross_dedup", "point_records", "contacts", "serve_summary", "error_by_rally", "movement_stats",
-          "ball_heatmap", "momentum_decay", "confirmed_weakness", "near_dup_frames", "shard_qc", "next_action", "review_applied", "player_card", "stream_merge"]
+          "ball_heatmap", "momentum_decay", "confirmed_weakness", "near_dup_frames", "shard_qc", "next_action", "review_applied", "player_card", "stream_merge",
+          "calibration", "fitted_matrices", "label_files", "delete_together", "merged_from_segments", "stream_late_rows"]
 
 
 @pytest.fixture(scope="module")

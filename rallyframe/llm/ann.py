@@ -2,10 +2,11 @@
 
 Entries are split into bands of length, each ``RATIO`` times the next. In a band, vectors get one more component that brings all
 of them to the band's top length, so that the largest inner product is the smallest distance. Each table hashes with ``FUNCTIONS`` random projections cut into steps of ``WIDTH`` times that length.
-A query visits, in each table, the ``PROBES`` buckets its vector reaches with the smallest estimated displacement (own
-bucket first), in every band; the candidates are merged and ranked by their exact inner product on the original vectors.
-A band of at most ``BLOCK`` entries has no tables: every query meets all of it. A query that has met fewer than ``TOP + 1`` entries
-in the end, though there are more, meets all entries. Both are exact, so only large bands are approximate.
+A query has, in each table, a sequence of buckets in the order of the smallest displacement that brings its vector there: its own
+first, then those one, two and more steps away, over the box of steps in which the table has entries. It visits ``PROBES`` of them in
+every band; the candidates are merged and ranked by their exact inner product on the original vectors. A query that has met
+fewer than ``ENOUGH`` entries a table, or found fewer than ``TOP + 1`` different ones, goes on along its sequences, each time four times as
+far, until it has met enough or the boxes are exhausted, when it has met every entry. Bands of all sizes are hashed alike.
 
 A bucket of any size is cut into blocks of at most about ``BLOCK`` rows; a query meets each of them. Equal vectors are one
 entry, so a vector repeated a million times is no large bucket. Null vectors, zero vectors and those with null or non-finite
@@ -14,8 +15,6 @@ zeros. A table without any vector that takes part gives no rows. Other columns a
 """
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,9 +23,9 @@ from pyspark.sql import functions as F
 from rallyframe.llm.vectors import BLOCK, QUERY_STEP, TOP, best_of, distinct_vectors, finite, matrix, meet, packed, unpacked
 from rallyframe.session import pin
 
-TABLES, FUNCTIONS, WIDTH, PROBES, SEED, RATIO = 4, 4, 1.4, 60, 20240, 1.25
-WHOLE = -1  # the table number of what is searched without tables
-FOUND = "query_id long, vid long, score double"
+TABLES, FUNCTIONS, WIDTH, PROBES, ENOUGH, SEED, RATIO = 4, 4, 1.4, 60, 84, 20240, 1.25
+CELLS = 2_000_000  # displacements worked out at once
+FOUND = "query_id long, vid long, score double, met long"
 KEYED = "tbl int, bucket long, id long, data binary"
 
 
@@ -40,18 +39,14 @@ class Tables:
         self.b = rng.uniform(0, WIDTH, TABLES * FUNCTIONS)
         self.code = rng.integers(1, 2**62, size=(TABLES, FUNCTIONS)) | 1
         self.band_code = int(rng.integers(1, 2**62)) | 1
-        moves = np.array(list(itertools.product((-1, 0, 1), repeat=FUNCTIONS)))
-        self.moves = moves[np.argsort(np.abs(moves).sum(1), kind="stable")]
+        self.low = self.high = np.zeros((TABLES, FUNCTIONS), np.int64)  # the box of steps with entries
 
-    def steps(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Step numbers and the distances to the lower border, by table and function."""
-        p = points @ self.a + self.b
-        h = np.floor(p / WIDTH)
-        shape = (len(points), TABLES, FUNCTIONS)
-        return h.astype(np.int64).reshape(shape), (p - h * WIDTH).reshape(shape)
+    def projected(self, points: np.ndarray) -> np.ndarray:
+        return (points @ self.a + self.b).reshape(len(points), TABLES, FUNCTIONS)
 
-    def buckets(self, steps: np.ndarray) -> np.ndarray:
-        return (steps * self.code).sum(-1)
+    def cells(self) -> int:
+        """Buckets in the box of the table that has most."""
+        return int((self.high - self.low + 1).prod(1).max())
 
     def bands(self, x: np.ndarray) -> np.ndarray:
         largest = np.abs(x).max(1)  # scaled first, so that no square is lost
@@ -61,21 +56,28 @@ class Tables:
     def of_band(self, buckets: np.ndarray, band: np.ndarray) -> np.ndarray:
         return buckets + np.asarray(band, np.int64) * self.band_code
 
-    def entries(self, x: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """One bucket per table for each row, all bands alike."""
+    def steps(self, x: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Step numbers of entries by table and function, all bands alike."""
         x = x / self.longest * (RATIO ** band.astype(float))[:, None]
         rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-        return self.buckets(self.steps(np.column_stack([x, rest]))[0])
+        return np.floor(self.projected(np.column_stack([x, rest])) / WIDTH).astype(np.int64)
 
-    def probes(self, q: np.ndarray) -> np.ndarray:
-        """``PROBES`` buckets per table for each query, most promising first."""
+    def entries(self, x: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """One bucket per table for each row."""
+        return (self.steps(x, band) * self.code).sum(-1)
+
+    def probes(self, q: np.ndarray, t: int, first: int, last: int) -> np.ndarray:
+        """Buckets ``first`` to ``last`` of each query's sequence in table ``t``, most promising first."""
         q = q / np.abs(q).max(1)[:, None]
         q = q / np.linalg.norm(q, axis=1)[:, None]
-        steps, low = self.steps(np.column_stack([q, np.zeros(len(q))]))
-        cost = np.stack([low**2, np.zeros_like(low), (WIDTH - low) ** 2], -1)
-        total = sum(cost[:, :, f, self.moves[:, f] + 1] for f in range(FUNCTIONS))
-        order = np.argsort(total, -1, kind="stable")[:, :, :PROBES]
-        return ((steps[:, :, None, :] + self.moves[order]) * self.code[None, :, None, :]).sum(-1)
+        at = self.projected(np.column_stack([q, np.zeros(len(q))]))[:, t]
+        cost, bucket = np.zeros((len(q), 1)), np.zeros(1, np.int64)
+        for f in range(FUNCTIONS):
+            step = np.arange(self.low[t, f], self.high[t, f] + 1)
+            away = np.maximum(0, np.maximum(step * WIDTH - at[:, f, None], at[:, f, None] - (step + 1) * WIDTH))
+            cost = (cost[:, :, None] + (away**2)[:, None, :]).reshape(len(q), -1)
+            bucket = (bucket[:, None] + step * self.code[t, f]).ravel()
+        return bucket[np.argsort(cost, 1, kind="stable")[:, first:last]]
 
 
 def search_block(block, ids, data, _bounds) -> pd.DataFrame:
@@ -90,7 +92,8 @@ def search_block(block, ids, data, _bounds) -> pd.DataFrame:
         rows.append(np.full(len(at), i))
         cols.append(at)
     rows, cols = np.concatenate(rows), np.concatenate(cols)
-    return pd.DataFrame({"query_id": ids[rows], "vid": vids[cols], "score": score[rows, cols]})
+    met = np.where(np.concatenate([[True], rows[1:] != rows[:-1]]), len(vids), 0)  # once a query
+    return pd.DataFrame({"query_id": ids[rows], "vid": vids[cols], "score": score[rows, cols], "met": met})
 
 
 def nearest(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -110,36 +113,39 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding") ->
 
     entries = pin(groups.select("vid", "vec").mapInPandas(banded, "band long, id long, data binary"))
     sizes = {r.band: r.n for r in entries.groupBy("band").agg(F.count("*").alias("n")).collect()}  # one row a band
-    large = sorted(k for k, n in sizes.items() if n > BLOCK)
-    small = sorted(k for k, n in sizes.items() if n <= BLOCK)
 
-    def hashed(batches):
+    def extents(batches):
         for b in batches:
-            x, band = unpacked(b["data"], np.float64).reshape(len(b), -1), b["band"].to_numpy()
-            if not len(b):
-                continue
-            big = np.isin(band, large)
-            found = tables.of_band(tables.entries(x[big], band[big]), band[big][:, None])
-            for t in range(TABLES):
-                yield pd.DataFrame({"tbl": t, "bucket": found[:, t], "id": b["id"][big], "data": b["data"][big]}).astype({"tbl": "int32"})
-            yield pd.DataFrame({"tbl": WHOLE, "bucket": band[~big], "id": b["id"][~big], "data": b["data"][~big]}).astype({"tbl": "int32"})
-
-    def probing(batches):
-        for b in batches:
-            for i in range(0, len(b), 256):
-                x = matrix(b["vec"][i:i + 256], np.float64, tables.dim)
-                ids, found, data = b["vec_id"][i:i + 256].to_numpy(), tables.probes(x), np.array([*packed(x), None], dtype=object)[:-1]
-                n, _, p = found.shape
-                for band in large:
-                    for t in range(TABLES):
-                        yield pd.DataFrame({"tbl": t, "bucket": tables.of_band(found[:, t], band).ravel(), "id": np.repeat(ids, p),
-                                            "data": np.repeat(data, p)}).astype({"tbl": "int32"})
-                for band in small:
-                    yield pd.DataFrame({"tbl": WHOLE, "bucket": band, "id": ids, "data": data}).astype({"tbl": "int32"})
+            if len(b):
+                steps = tables.steps(unpacked(b["data"], np.float64), b["band"].to_numpy()).reshape(len(b), -1)
+                yield pd.DataFrame({"f": np.arange(steps.shape[1]), "low": steps.min(0), "high": steps.max(0)})
+
+    box = entries.mapInPandas(extents, "f long, low long, high long").groupBy("f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    box = box.toPandas().sort_values("f")  # one row a function
+    tables.low, tables.high = (box[c].to_numpy(np.int64).reshape(TABLES, FUNCTIONS) for c in ("low", "high"))
 
-    def plain(batches):
+    def hashed(batches):
         for b in batches:
-            yield pd.DataFrame({"id": b["vec_id"], "data": packed(matrix(b["vec"], np.float64, tables.dim))})
+            if len(b):
+                band = b["band"].to_numpy()
+                found = tables.of_band(tables.entries(unpacked(b["data"], np.float64), band), band[:, None])
+                for t in range(TABLES):
+                    yield pd.DataFrame({"tbl": t, "bucket": found[:, t], "id": b["id"], "data": b["data"]}).astype({"tbl": "int32"})
+
+    def probing(first, last):
+        at_once = min(256, max(1, CELLS // tables.cells()))
+
+        def run(batches):
+            for b in batches:
+                for i in range(0, len(b), at_once):
+                    x = matrix(b["vec"][i:i + at_once], np.float64, tables.dim)
+                    ids, data = b["vec_id"][i:i + at_once].to_numpy(), np.array([*packed(x), None], dtype=object)[:-1]
+                    for t in range(TABLES):
+                        found = tables.probes(x, t, first, last)
+                        for band in sizes:
+                            yield pd.DataFrame({"tbl": t, "bucket": tables.of_band(found, band).ravel(), "id": np.repeat(ids, found.shape[1]),
+                                                "data": np.repeat(data, found.shape[1])}).astype({"tbl": "int32"})
+        return run
 
     def met(members, asks):
         blocks = members.groupBy("tbl", "bucket").count().select("tbl", "bucket", F.ceil(F.col("count") / BLOCK).alias("blocks"))
@@ -147,13 +153,18 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding") ->
         asks = asks.join(blocks, ["tbl", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("bound", F.lit(0.0))
         return meet(members, asks, ["tbl", "bucket", "block"], lambda ids, data: (ids, unpacked(data, np.float64)), search_block, FOUND)
 
-    queries = rows.where(F.col("vec_id") % QUERY_STEP == 0).dropDuplicates(["vec_id"])
-    found = met(entries.mapInPandas(hashed, KEYED), queries.mapInPandas(probing, KEYED))
-    if large:  # without large bands every query has met everything
-        found = pin(found)
-        enough = found.groupBy("query_id").agg(F.countDistinct("vid").alias("n")).where(F.col("n") >= min(TOP + 1, sum(sizes.values())))
-        short = pin(queries.join(enough, queries.vec_id == enough.query_id, "left_anti").select("vec_id", "vec").mapInPandas(plain, "id long, data binary"))
-        if not short.isEmpty():
-            whole = [F.lit(WHOLE).alias("tbl"), F.lit(0).cast("long").alias("bucket"), "id", "data"]
-            found = found.unionByName(met(entries.select(*whole), short.select(*whole)))
+    members, found, first, last = entries.mapInPandas(hashed, KEYED), None, 0, PROBES
+    waiting = rows.where(F.col("vec_id") % QUERY_STEP == 0).dropDuplicates(["vec_id"])
+    total = sum(sizes.values())
+    while True:  # as often as four goes into the cells of a box
+        new = pin(met(members, waiting.mapInPandas(probing(first, last), KEYED)))
+        found = new if found is None else found.unionByName(new)
+        first, last = last, 4 * last
+        if first >= tables.cells():
+            break
+        sums = found.groupBy("query_id").agg(F.countDistinct("vid").alias("n"), F.sum("met").alias("met"))
+        enough = sums.where((F.col("n") >= min(TOP + 1, total)) & (F.col("met") >= TABLES * min(ENOUGH, total)))
+        waiting = pin(waiting.join(enough, waiting.vec_id == enough.query_id, "left_anti"))
+        if waiting.isEmpty():
+            break
     return best_of(found, groups, "double")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,6 +357,24 @@ def test_nearest_neighbours(sp, monkeypatch):
     assert np.mean(share) >= 0.9
 
 
+def test_nearest_neighbours_recall_with_production_parameters(sp):
+    x = np.random.default_rng(4).normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    queries = list(range(0, len(x), 20))
+    table = sp.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    found = {}
+    for r in rows_of(ann.nearest(table)):
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    share = []
+    for q in queries:
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert len(found[q]) == 20
+        share.append(len(found[q] & {int(i) for i in np.argsort(-score)[:20]}) / 20)
+    print("recall", np.mean(share), min(share))
+    assert np.mean(share) >= 0.9
+
+
 @pytest.mark.parametrize("n,block,skew", [(5, 2048, 0.0), (15, 2048, 1.0), (19, 6, 0.0), (900, 150, 1.5), (900, 150, "one long")])
 def test_nearest_neighbours_of_few_and_uneven_vectors(sp, monkeypatch, n, block, skew):
     monkeypatch.setattr(ann, "BLOCK", block)

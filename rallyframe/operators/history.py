@@ -103,12 +103,13 @@ def summary_lines(history: DataFrame) -> DataFrame:
     """Sentences per match and slot once three matches exist."""
     d = deltas(history).join(baselines(history).drop("match_count"), "player_key").filter("enabled")
     one = lambda c: F.format_string("%.1f", F.bround(c, 1))
-    sign = F.when(F.col("backhand_delta_pp") >= 0, "+").otherwise("")
+    delta = F.col("backhand_delta_pp")
+    sign = F.when(delta >= 0, "+").otherwise("-")  # a small loss reads -0.0: rounding has no negative zero of its own
     lines = F.array_compact(F.array(
         F.when(F.col("base_backhand").isNotNull(), F.concat(F.lit("Backhand error averages "), one(F.col("base_backhand") * 100),
                F.lit("% across "), F.col("match_count").cast("string"), F.lit(" matches."))),
         F.when(F.col("base_long").isNotNull(), F.concat(F.lit("Long-rally error averages "), one(F.col("base_long") * 100),
                F.lit("% across "), F.col("match_count").cast("string"), F.lit(" matches."))),
         F.when(F.col("backhand_delta_pp").isNotNull(), F.concat(F.lit("Today vs baseline: backhand error "), sign,
-               one("backhand_delta_pp"), F.lit(" percentage points.")))))
+               one(F.abs(delta)), F.lit(" percentage points.")))))
     return d.select("player_key", "job_id", F.array_join(lines, " ").alias("summary"))

@@ -3,11 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe import constants as K
 from rallyframe.operators.scan import Agg, scan
+from rallyframe.session import ship
 
 DOUBLES_BOX = (K.DOUBLES_LEFT, K.DOUBLES_RIGHT, K.FAR_BASELINE, K.NEAR_BASELINE)
 
@@ -88,14 +91,25 @@ BLUR = (0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125)
 
 
 def blurred_density(cells: DataFrame, keys: Sequence[str] = ("match_id", "set_no"), res: int = 64) -> DataFrame:
-    """7x7 Gaussian blur (mirrored at the edges) scaled so that the peak is 1."""
-    taps = F.array(*[F.struct(F.lit(i - 3).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(BLUR)])
-    last = res - 1
-    def spread(c):
-        v = F.col(c)
-        images = F.array_compact(F.array(v, F.when(v.between(1, 3), -v), F.when(v.between(last - 3, last - 1), 2 * last - v)))
-        targets = F.flatten(F.transform(images, lambda p: F.transform(taps, lambda t: F.struct((p - t.o).alias("at"), t.w.alias("w")))))
-        return F.filter(targets, lambda t: t["at"].between(0, last))
-    d = cells.select(*keys, "n", "yb", F.explode(spread("xb")).alias("x")).select("*", F.explode(spread("yb")).alias("y"))
-    g = d.groupBy(*keys, F.col("x.at").alias("xb"), F.col("y.at").alias("yb")).agg(F.sum(F.col("n") * F.col("x.w") * F.col("y.w")).alias("heat"))
-    return g.withColumn("density", F.col("heat") / F.max("heat").over(Window.partitionBy(*keys)))
+    """7x7 Gaussian blur (mirrored at the edges) scaled so that the peak is 1; cells that no count reaches have no row.
+
+    A grid holds at most res * res cells, so each is blurred as a whole: what a task sorts are counts, not their 49 images.
+    """
+    ship(cells.sparkSession)
+    keys, last = list(keys), res - 1
+    blur = np.zeros((res, res))
+    for at in range(res):
+        for o, w in enumerate(BLUR, -3):
+            blur[at, last - abs(last - abs(at + o))] += w
+
+    def spread(grid: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros((res, res))
+        n[grid["xb"], grid["yb"]] = grid["n"]
+        heat = blur @ n @ blur.T
+        x, y = np.nonzero(heat)
+        out = pd.DataFrame({k: grid[k].iloc[0] for k in keys} | {"xb": x, "yb": y, "heat": heat[x, y]})
+        out["density"] = out["heat"] / heat.max()
+        return out
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keys).schema)
+    return cells.groupBy(*keys).applyInPandas(spread, f"{kinds}, xb bigint, yb bigint, heat double, density double")

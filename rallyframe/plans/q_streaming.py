@@ -91,10 +91,10 @@ def stream_status(fx):
     return streams.drain(streams.status_stream(rows), "status", ("job_id",), "n").drop("n")
 
 
-def _segment_folder(fx, only="true"):
+def _segment_folder(fx, track=None, only="true"):
     """Projected track as segment files that arrive out of order: each holds frames of every segment."""
     folder = shared_folder(fx.spark, "segments")
-    d = Chain(fx).physics.select("match_id", "frame_idx", "fps", "cx", "cy", "speed", "ball_px")
+    d = (Chain(fx).physics if track is None else track).select("match_id", "frame_idx", "fps", "cx", "cy", "speed", "ball_px")
     d = d.withColumn("segment_idx", F.expr("frame_idx div 300")).withColumn("ts", F.timestamp_seconds(F.col("frame_idx") / F.col("fps")))
     _arriving(d.where(only), folder)
     return folder
@@ -113,9 +113,9 @@ def _closing(fx, folder):
 
 @query("stream_merge", "SR-01 SR-02 SR-07", "SELECT match_id, segment_idx, COUNT(*) AS n FROM fx_frames GROUP BY 1, 2")
 def stream_merge(fx):
-    out = shared_folder(fx.spark, "merged")
+    out, track = shared_folder(fx.spark, "merged"), Chain(fx).physics_table
     for version, only in enumerate(("true", "segment_idx % 2 = 0")):  # the re-run brings every second segment again
-        s = streams.segment_files(fx.spark, _segment_folder(fx, only), fmt="parquet", files_per_trigger=1)
+        s = streams.segment_files(fx.spark, _segment_folder(fx, track, only), fmt="parquet", files_per_trigger=1)
         streams.merge_segments(s, f"{out}/table", f"{out}/run{version}", version).trigger(availableNow=True).start().awaitTermination()
     return streams.merged_segments(fx.spark, f"{out}/table").groupBy("match_id", "segment_idx").agg(F.count(F.lit(1)).alias("n"))
 

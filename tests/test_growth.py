@@ -51,6 +51,14 @@ def test_three_corners_on_a_point_make_no_fit():
     assert np.isnan(calibrate._fit_all(np.full((1, 14), 0.3), np.full((1, 14), 0.4), ref)).all()
 
 
+def test_inverses_come_with_the_fits(spark, fx):
+    """The same bits as the column arithmetic, which took as long as all fits of a frame."""
+    rows = calibrate.frame_fits(fx.keypoints.where("match_id = 0")).where("matrix IS NOT NULL").select("inverse", calibrate.invert(F.col("matrix")).alias("want")).collect()
+    assert rows and all(r.inverse == r.want for r in rows)
+    singular = calibrate._inverses(np.array([[1., 2, 3, 2, 4, 6, 0, 0, 1], [1, 0, 0, 0, 1, 0, 0, 0, 1]]))
+    assert np.isnan(singular[0]).all() and singular[1].tolist() == [1, 0, 0, 0, 1, 0, 0, 0, 1]
+
+
 def test_a_folder_is_not_written_by_every_task(spark, tmp_path):
     d = spark.range(4000).repartition(8).select((F.col("id") % 5).alias("run"), "id")
     sinks.write_json(d, str(tmp_path / "rows"), ["run"])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rallyframe import constants as K
 from rallyframe.fixtures import Fixtures
-from rallyframe.operators import calibrate, curation, heatmaps, history
+from rallyframe.operators import calibrate, curation, heatmaps, history, scan
 from rallyframe.plans import all_queries, q_streaming
 from rallyframe.plans.chain import Chain
 from rallyframe.sources import labels, sinks
@@ -120,3 +120,19 @@ def test_a_small_loss_keeps_its_sign(spark):
                                     "first_serve double, speed_kmh double, total_shots bigint, dominant_pattern string")
     text = {r.job_id: r.summary for r in history.summary_lines(d).collect()}
     assert text[0].endswith(" error -0.0 percentage points.") and text[1].endswith(" error +0.0 percentage points.")
+
+
+def test_keys_are_folded_without_a_call_of_pandas_for_each(spark):
+    """A task holds thousands of matches; keys may go on over Arrow batches, and null is a key."""
+    rows = [(k, c, float(c % 7)) for k in (None, *range(40)) for c in range((k or 3) % 11 + 1)]
+    d = spark.createDataFrame(rows, "k bigint, _chunk bigint, e double").repartition(5)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = scan.fold_chunks(d, ["k"], lambda r: {"so_far": r["e"].cumsum().tolist(), "last": [None, *r["_chunk"].tolist()[:-1]]}, "so_far double, last long")
+        assert "FlatMapGroupsInPandas" not in plan(out)
+        got = sorted(((r.k is None, r.k or 0, r._chunk, r.so_far, r.last) for r in out.collect()), key=lambda r: r[:3])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    want = sorted(((k is None, k or 0, c, sum(x % 7.0 for x in range(c + 1)), c - 1 if c else None) for k, c, _ in rows), key=lambda r: r[:3])
+    assert got == want

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rallyframe import constants as K
 from rallyframe.fixtures import Fixtures
-from rallyframe.operators import calibrate, curation, heatmaps, history, scan
+from rallyframe.operators import calibrate, curation, heatmaps, history, scan, stats
 from rallyframe.plans import all_queries, q_streaming
 from rallyframe.plans.chain import Chain
 from rallyframe.sources import labels, sinks
@@ -136,3 +136,14 @@ def test_keys_are_folded_without_a_call_of_pandas_for_each(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     want = sorted(((k is None, k or 0, c, sum(x % 7.0 for x in range(c + 1)), c - 1 if c else None) for k, c, _ in rows), key=lambda r: r[:3])
     assert got == want
+
+
+def test_frame_table_reads_the_players_once(spark):
+    on = "match_id bigint, frame_idx bigint"
+    track = spark.createDataFrame([(1, f) for f in range(4)], on)
+    hom = spark.createDataFrame([(1, 0, 14, 0.5, 1.0, True, False)], f"{on}, detected bigint, error double, confidence double, reliable boolean, carried boolean")
+    found = [(1, 0, "player_a", 1.0, 2.0), (1, 0, "player_b", 3.0, 4.0), (1, 1, "player_b", None, None), (1, 3, "player_a", 5.0, 6.0)]
+    d = stats.frame_table(track, hom, spark.createDataFrame(found, f"{on}, label string, foot_x double, foot_y double"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
+    got = {r.frame_idx: (r.has_a, r.a_x, r.a_y, r.has_b, r.b_x, r.b_y) for r in d.collect()}
+    assert got == {0: (True, 1.0, 2.0, True, 3.0, 4.0), 1: (False, None, None, True, None, None), 2: (False, None, None, False, None, None), 3: (True, 5.0, 6.0, False, None, None)}

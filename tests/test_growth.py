@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rallyframe import constants as K
 from rallyframe.fixtures import Fixtures
-from rallyframe.operators import calibrate, curation, heatmaps, history, scan, stats
+from rallyframe.operators import calibrate, curation, heatmaps, history, players, scan, stats
 from rallyframe.plans import all_queries, q_streaming
 from rallyframe.plans.chain import Chain
 from rallyframe.sources import labels, sinks
@@ -147,3 +147,39 @@ def test_frame_table_reads_the_players_once(spark):
     assert d._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
     got = {r.frame_idx: (r.has_a, r.a_x, r.a_y, r.has_b, r.b_x, r.b_y) for r in d.collect()}
     assert got == {0: (True, 1.0, 2.0, True, 3.0, 4.0), 1: (False, None, None, True, None, None), 2: (False, None, None, False, None, None), 3: (True, 5.0, 6.0, False, None, None)}
+
+
+def test_chunks_are_walked_in_the_order_of_their_rows(spark):
+    """Suppression folds the rows of a chunk as well: any order, and lists as results."""
+    d = spark.createDataFrame([(k, c, (7 * a) % 10) for k in range(3) for c in range(2) for a in range(10)], "k bigint, _chunk bigint, _at bigint").repartition(4)
+    out = scan.fold_chunks(d, ["k", "_chunk"], lambda r: {"seen": [list(range(n)) if n % 2 else None for n in r["_at"]]}, "seen array<int>", "_at")
+    got = sorted((r.k, r._chunk, r._at, r.seen) for r in out.collect())
+    assert got == [(k, c, a, list(range(a)) if a % 2 else None) for k in range(3) for c in range(2) for a in range(10)]
+
+
+def test_hit_deltas_do_without_the_players(spark, monkeypatch):
+    def asked(self):
+        raise AssertionError("players are not asked for")
+    monkeypatch.setattr(Chain, "located", property(asked))
+    for name in ("hit_speed_deltas", "rally_sessions", "bounce_call_at_frame"):
+        assert all_queries()[name](spark, SMALL).count() > 0
+
+
+def test_players_of_a_frame_stay_where_it_was_joined(spark):
+    on = "match_id bigint, frame_idx bigint"
+    box = lambda f, slot, y, w, c=0.9: (1, f, slot, 10.0, y - 10, 10.0 + w, y, c, slot)
+    found = spark.createDataFrame([box(0, 0, 800.0, 5), box(0, 1, 700.0, 9), box(0, 3, 700.0, 9), box(0, 2, 100.0, 3), box(2, 0, 900.0, 4), box(3, 0, 900.0, 4, 0.1)],
+                                  f"{on}, slot int, x1 double, y1 double, x2 double, y2 double, confidence double, track_id int")
+    hom = spark.createDataFrame([(1, f, False, None) for f in range(4)], f"{on}, reliable boolean, inverse array<double>")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = players.by_frame(players.locate(found, hom), keep=["track_id"])
+        assert plan(d).count("Exchange hashpartitioning") == 2
+        got = [tuple(r) for r in players.carry(d, hom.select("match_id", "frame_idx")).orderBy("frame_idx", "label").collect()]
+        seen = [(r.frame_idx, r.label, r.track_id) for r in players.choose(players.locate(found, hom)).orderBy("frame_idx", "label").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    a, b = "player_a", "player_b"
+    assert got == [(1, 0, a, 1, False), (1, 0, b, 2, False), (1, 1, a, 1, True), (1, 1, b, 2, True), (1, 2, a, 0, False), (1, 2, b, 2, True), (1, 3, a, 0, True), (1, 3, b, 2, True)]
+    assert seen == [(0, a, 1), (0, b, 2), (2, a, 0)]

@@ -92,21 +92,22 @@ def stream_status(fx):
 
 
 def _segment_folder(fx, track=None, only="true"):
-    """Projected track as segment files that arrive out of order: each holds frames of every segment."""
+    """Projected track as segment files that arrive out of order: each holds frames of every segment. The clock starts a second after the
+    epoch, where the first watermark of a stream stands: a row at the epoch itself is late and would be dropped."""
     folder = shared_folder(fx.spark, "segments")
     d = (Chain(fx).physics if track is None else track).select("match_id", "frame_idx", "fps", "cx", "cy", "speed", "ball_px")
-    d = d.withColumn("segment_idx", F.expr("frame_idx div 300")).withColumn("ts", F.timestamp_seconds(F.col("frame_idx") / F.col("fps")))
+    d = d.withColumn("segment_idx", F.expr("frame_idx div 300")).withColumn("ts", F.timestamp_seconds(1 + F.col("frame_idx") / F.col("fps")))
     _arriving(d.where(only), folder)
     return folder
 
 
 def _closing(fx, folder):
-    """A row of no match long after all others, and the delay that files spanning whole matches need."""
+    """A row of no match long after all others and after the minute in which a match closes, and the delay that files spanning whole matches need."""
     d = fx.spark.read.schema(streams.FRAME_STREAM).parquet(folder)
     last = d.agg(F.max("ts")).first()[0]
     span = d.agg(F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))).first()[0] + 2
     null = [F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema if f.name not in ("ts", "frame_idx")]
-    end = d.limit(1).select(*null, F.lit(0).cast("bigint").alias("frame_idx"), (F.lit(last) + F.make_interval(secs=F.lit(20 * span))).alias("ts")).select(*d.columns)
+    end = d.limit(1).select(*null, F.lit(0).cast("bigint").alias("frame_idx"), (F.lit(last) + F.make_interval(secs=F.lit(20 * span + 60))).alias("ts")).select(*d.columns)
     end.write.mode("append").parquet(folder)
     return f"{span} seconds"
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rallyframe.plans import q_streaming
 from rallyframe.plans.q_streaming import rocksdb
 from rallyframe.session import ship
 from rallyframe.streaming import commits, streams
@@ -108,6 +109,21 @@ def test_contacts_close_by_the_watermark(spark, tmp_path):
         assert sorted(r.frame_idx for r in got if r.match_id == match) == want[match]
 
 
+def test_the_first_frame_of_a_match_is_not_late(spark, fx):
+    """A turn right after the start: the smoothed track depends on frame 0."""
+    track = [(1158.37, 670.21), (1219.37, 573.21), (1280.37, 524.21), (1239.37, 621.21), (1178.37, 718.21), (1117.37, 815.21), (1056.37, 912.21)]
+    rows = [(136, i, 25.0, x, y, 9.0, 1.0) for i, (x, y) in enumerate(track)]
+    want = plain_contacts([(i, x, y, v) for _, i, _, x, y, v, _ in rows])
+    d = spark.createDataFrame(rows, "match_id BIGINT, frame_idx BIGINT, fps DOUBLE, cx DOUBLE, cy DOUBLE, speed DOUBLE, ball_px DOUBLE")
+    folder = q_streaming._segment_folder(fx, d)
+    delay = q_streaming._closing(fx, folder)
+    ship(spark)
+    with rocksdb(spark):
+        s = streams.segment_files(spark, folder, fmt="parquet", files_per_trigger=1)
+        got = streams.drain(streams.contact_stream(s, delay), "contacts").where("match_id IS NOT NULL").collect()
+    assert [r.frame_idx for r in got] == want == [4]
+
+
 def test_two_tables_change_together(spark, tmp_path):
     root = str(tmp_path / "r")
     a, b = spark.range(5), spark.range(7)

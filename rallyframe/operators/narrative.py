@@ -14,6 +14,7 @@ from rallyframe import constants as K
 from rallyframe.functions import scalars as S
 from rallyframe.operators import momentum, stats
 from rallyframe.operators.points import rows_in_points
+from rallyframe.operators.quantiles import mean_in_order
 from rallyframe.operators.scan import Agg, row_numbers, scan
 from rallyframe.session import pin
 
@@ -418,14 +419,15 @@ def match_stories(prof: DataFrame, weaknesses: DataFrame) -> DataFrame:
 def point_sentences(points: DataFrame, shots: DataFrame, prof: DataFrame, owner: str = "player_a") -> DataFrame:
     """One report sentence per point from the view of one player; the long-rally remark comes once per match."""
     own = shots.filter(F.col("owner") == owner)
-    p = prof.filter(F.col("owner") == owner).select("match_id", "avg_speed", _long_rate().alias("_lr"))
-    d = stats.with_last_shot(points, own).join(p, "match_id", "left")
+    p = prof.filter(F.col("owner") == owner).select("match_id", _long_rate().alias("_lr"))
+    usual = mean_in_order(own.filter("speed_m_s > 0"), ["match_id"], "frame_idx", "speed_m_s", 1, "_usual")
+    d = stats.with_last_shot(points, own).join(p, "match_id", "left").join(usual, "match_id", "left")
     danger = F.coalesce((F.col("end_reason") == "BALL_LOST") & F.col("serve_fault_type").isNull() & (F.col("rally_hit_count") >= 7) & (F.col("_lr") > 40), F.lit(False))
     d = scan(d.withColumn("_danger", danger), ["match_id"], ["point_idx"], _before=Agg("max", "before", F.col("_danger").cast("int")))
     label = F.lit("Player A" if owner == "player_a" else "Player B")
     h, dur = F.col("rally_hit_count").cast("string"), n1(F.col("end_sec") - F.col("start_sec"))
     kind, dirn, v, r, f = F.col("last_type"), F.col("last_direction"), F.col("last_speed"), F.col("end_reason"), F.col("serve_fault_type")
-    kmh, avg = js0(v * 3.6), F.round("avg_speed", 1)
+    kmh, avg = js0(v * 3.6), F.col("_usual")
     full, some = kind.isNotNull() & dirn.isNotNull() & v.isNotNull(), kind.isNotNull()
     once = F.col("_danger") & (F.coalesce("_before", F.lit(0)) == 0)
     text = S.when_chain([

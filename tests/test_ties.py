@@ -1,5 +1,6 @@
 """Values that lie exactly on a limit: what floating point leaves of them decides nothing."""
 import math
+import random
 
 import duckdb
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions import scalars as S
 from rallyframe.operators import events
+from rallyframe.operators.quantiles import mean_in_order
 from rallyframe.plans.oracle import CTES
 
 HEIGHTS = [1000, 1100, 1200, 1290, 1190, 1200, 1050, 950, 850, 750, 650, 550]  # frames 2 and 5 cancel: the smoothed height stands still at 4
@@ -34,3 +36,21 @@ def test_halves_round_up_whatever_the_order_of_the_sum(spark):
     d = spark.createDataFrame([(v,) for v in half[1:]], "v double")
     assert {r.r for r in d.select(S.round_up("v", 2).alias("r")).collect()} == {31.39}
     assert spark.range(1).select(S.round_up(F.lit(0.3405), 3).alias("r")).first().r == 0.341
+
+
+def test_a_mean_that_lies_halfway_rounds_as_its_rows_add_up(spark):
+    """Speeds of one decimal: the mean of each match is k.x5 exactly, what floating point makes of it depends on the order of the rows."""
+    rnd, rows = random.Random(1), []
+    for match in range(20):
+        tenths = [rnd.randrange(600) for _ in range(119)]
+        tenths.append(120 * 306 + 60 - sum(tenths))
+        rows += [(match, i, t / 10) for i, t in enumerate(tenths)]
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE s(match_id BIGINT, frame_idx BIGINT, v DOUBLE)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?)", rows)
+    want = dict(con.execute("SELECT match_id, ROUND(AVG(v), 1) FROM s GROUP BY 1").fetchall())
+    assert set(want.values()) == {30.6, 30.7}
+    for seed in (1, 2):
+        d = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "match_id long, frame_idx long, v double").repartition(8)
+        assert dict(map(tuple, mean_in_order(d, ["match_id"], "frame_idx", "v", 1, "m").collect())) == want

@@ -24,7 +24,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD, GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of the SQL, on lower-cased texts
+# the same words in texts of any case, as ranges: Spark's engine takes ten times as long to match the complement of some
+PART, GAP = r"[0-9A-Za-z\x80-\x{10FFFF}]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, STEP, THRESHOLD = 64, 32, 90
 
@@ -57,24 +59,28 @@ def needed(words: tuple[str, ...], threshold: int) -> int:
     return -(-threshold * len(words) // 100)
 
 
-def lowered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).alias("text"))
+def whole(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def words_of(text: str) -> Column:
-    return F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+def lowered(text: str | Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
+
+
+def words_of(text: str | Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PART + "+"), F.lit(0))
 
 
 def ranks(texts: DataFrame, words: list[str]) -> dict[str, int]:
     """Place of each template word in the order of all words: the rarest over all texts first, equal ones by themselves."""
-    seen = texts.select(F.explode(words_of("text")).alias("word")).where(F.col("word").isin(words))
+    seen = texts.select(F.explode(words_of(lowered("text"))).alias("word")).where(F.col("word").isin(words))
     n = dict(seen.groupBy("word").count().collect())
     return {w: i for i, w in enumerate(sorted(words, key=lambda w: (n.get(w, 0), w)))}
 
 
 def any_of(words: list[str]) -> str:
-    """A pattern found in every text that holds one of ``words``."""
-    return rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:{'|'.join(sorted(words))})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
+    """A pattern found in every text that holds one of ``words``, in any case."""
+    return f"(?i)(?<!{PART})(?:{'|'.join(sorted(words))})(?!{PART})"
 
 
 def inline(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
@@ -84,8 +90,8 @@ def inline(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
 
 
 def held_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, ``version`` (hash of the lower-cased text), ``block`` number, label, ``common`` and ``size``: every block that holds a template."""
-    spark, texts = docs.sparkSession, lowered(docs)
+    """doc_id, ``version`` (hash of the text), ``block`` number, label, ``common`` and ``size``: every block that holds a template."""
+    spark, texts = docs.sparkSession, whole(docs)
     rows = [r for r in template_rows(templates) if r[2]]
     place = ranks(texts, sorted({w for _, _, ws in rows for w in ws}))
     table, firsts = [], set()
@@ -98,7 +104,7 @@ def held_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     rank = inline(spark, "word, rank", sorted(place.items()))
     least = min(needed(ws, threshold) for _, _, ws in rows)
     found = texts.where(F.col("text").rlike(any_of([w for w, r in place.items() if r in firsts])))
-    words = found.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(words_of("text")).alias("pos", "word"))
+    words = found.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(words_of(lowered("text"))).alias("pos", "word"))
     words = words.where(F.col("word").isin(list(place))).join(F.broadcast(rank), "word")
     # a block starts every STEP words, so a word lies in BLOCK / STEP of them
     home = F.expr(f"CAST(pos DIV {STEP} AS INT)")
@@ -133,11 +139,12 @@ def phrase_places(words: str = "words") -> Column:
 def license_report(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: words, places and labels of the phrases, and with them the labels of the templates its blocks hold.
     ``score`` is 1 with a phrase, else the largest share of a template held, 0 without any."""
-    may = "|".join(phrase.replace(" ", GAP) for phrase in PHRASES)
-    texts = lowered(docs).select("doc_id", F.xxhash64("text").alias("version"), words_of("text").alias("words"), F.col("text").rlike(may).alias("may"))
+    may = F.col("text").rlike(any_of([phrase.replace(" ", GAP) for phrase in PHRASES]))
+    # only texts with a phrase are lower-cased and looked through word by word
+    texts = whole(docs).select("doc_id", F.xxhash64("text").alias("version"), F.size(words_of("text")).cast("long").alias("n_words"),
+                               F.when(may, words_of(lowered("text"))).alias("words"))
     no_place = F.array().cast("array<struct<at:bigint,label:string>>")
-    base = texts.select("doc_id", "version", F.size("words").cast("long").alias("n_words"),
-                        F.when(F.col("may"), phrase_places()).otherwise(no_place).alias("places"))
+    base = texts.select("doc_id", "version", "n_words", F.coalesce(phrase_places(), no_place).alias("places"))
     held = (held_templates(docs, templates, threshold).groupBy("doc_id", "version")
             .agg(F.collect_set("label").alias("held"), F.max(F.col("common") / F.col("size")).alias("share")))
     d, h = base.alias("d"), held.alias("h")

@@ -228,3 +228,15 @@ def test_license_scans(sp):
 def test_license_join_is_native(sp):
     plan = licenses.license_report(docs_of(sp, [(1, "Released under the MIT License", "en")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("PythonRDD", ""))
+
+
+def test_words_are_ranges_in_texts_of_any_case(sp):
+    """The words of the SQL, found without lower-casing the text first; every code point beside a border of the ranges stands between letters."""
+    borders = [0, 0x2F, 0x30, 0x39, 0x3A, 0x40, 0x41, 0x5A, 0x5B, 0x60, 0x61, 0x7A, 0x7B, 0x7F, 0x80, 0xFF, 0x212A, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x10FFFF]
+    text = " ".join(f"Ab{chr(c)}yZ {chr(c)}" for c in borders)
+    lower = text.translate(str.maketrans(licenses.UPPER, licenses.LOWER))
+    d = sp.createDataFrame([(text,)], "text string").select(licenses.words_of("text").alias("raw"), licenses.words_of(licenses.lowered("text")).alias("low"))
+    got = d.first()
+    assert got.low == re.findall(licenses.WORD, lower) and [w.translate(str.maketrans(licenses.UPPER, licenses.LOWER)) for w in got.raw] == got.low
+    plan = licenses.license_report(docs_of(sp, [(1, "Released under the MIT License", "en")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert licenses.WORD not in plan

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rallyframe.functions import scalars as S
-from rallyframe.operators import events
+from rallyframe.operators import events, stats
 from rallyframe.operators.quantiles import mean_in_order
 from rallyframe.plans.oracle import CTES
 
@@ -54,3 +54,23 @@ def test_a_mean_that_lies_halfway_rounds_as_its_rows_add_up(spark):
     for seed in (1, 2):
         d = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "match_id long, frame_idx long, v double").repartition(8)
         assert dict(map(tuple, mean_in_order(d, ["match_id"], "frame_idx", "v", 1, "m").collect())) == want
+
+
+def test_the_mean_between_hits_rounds_as_its_intervals_add_up(spark):
+    """512 intervals at 25 frames a second over 4 * odd frames: the mean ends in 5 at the seventh decimal."""
+    rnd, rows = random.Random(2), []
+    for match in range(40):
+        steps = [rnd.randrange(1, 8) for _ in range(511)]
+        steps.append(1 + (4 - sum(steps) - 1) % 8)
+        at = [sum(steps[:k]) for k in range(513)]
+        rows += [(match, f, f / 25) for f in at]
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE s(match_id BIGINT, frame_idx BIGINT, t DOUBLE)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?)", rows)
+    want = dict(con.execute("""SELECT match_id, ROUND(AVG(iv), 6) FROM (SELECT match_id, t - LAG(t) OVER (PARTITION BY match_id ORDER BY frame_idx) AS iv FROM s)
+                               WHERE iv > 0 GROUP BY 1""").fetchall())
+    hits = spark.createDataFrame(rows, "match_id long, frame_idx long, timestamp_sec double").repartition(8)
+    points = spark.createDataFrame([(m, 3, 0.0, 1.0) for m in range(40)], "match_id long, rally_hit_count long, start_sec double, end_sec double")
+    got = stats.rally_structure(points, hits).selectExpr("match_id", "round(mean_inter_hit, 6)").collect()
+    assert dict(map(tuple, got)) == want
